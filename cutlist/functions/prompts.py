@@ -40,6 +40,8 @@ PLACE_PATTERNS = (
     r"([A-Za-z][A-Za-z0-9&'. -]{1,24}|[가-힣A-Za-z0-9]+(?:\s*[가-힣A-Za-z0-9]+){0,2})\s*(?:가족\s*)?(?:여행|브이로그)",
     r"(?:to|in)\s+([A-Za-z][A-Za-z0-9&'. -]{1,24})",
 )
+PLACE_AFTER = (("에서", "로"), ("여행", "브이로그"), ())
+PLACE_RUN = r"[A-Za-z0-9가-힣&'.\s-]++"
 PLACE_STOP_WORDS = (
     "가족", "여행", "브이로그", "영상", "장면", "공항", "숙소", "리조트", "호텔", "한국", "현지", "집",
 )
@@ -114,12 +116,12 @@ def prompt_dates(prompt: Column, first: Column, last: Column) -> Column:
     Full dates count if there are any. Else month and day take the year of the first or last clip date,
     whichever puts them between the two, else the earlier one.
     """
-    full = []
-    for pattern in FULL_DATES:
-        pick = lambda m, g, p=pattern: F.regexp_extract(m, "(?U)" + p, g)
+    def dates(pattern: str) -> Column:
+        part = lambda m, g: F.regexp_extract(m, "(?U)" + pattern, g)
         found = F.regexp_extract_all(prompt, F.lit("(?U)" + pattern), F.lit(0))
-        full.append(F.transform(found, lambda m, f=pick: _date(f(m, 1), f(m, 2), f(m, 3))))
-    named = F.array_compact(F.concat(*full))
+        return F.transform(found, lambda m: _date(part(m, 1), part(m, 2), part(m, 3)))
+
+    named = F.array_compact(F.concat(*[dates(pattern) for pattern in FULL_DATES]))
 
     def resolve(m: Column) -> Column:
         month, day = (F.regexp_extract(m, "(?U)" + MONTH_DAY, g) for g in (1, 2))
@@ -162,9 +164,23 @@ def _place(match: Column) -> Column:
     return strip(F.regexp_replace(name, "(?U)" + PLACE_TRAVEL_ENDING, ""))
 
 
+def _matches(prompt: Column, pattern: str, after: tuple[str, ...] = ()) -> Column:
+    """First group of every match of ``pattern``.
+
+    A pattern that ends in one of the ``after`` words backtracks over each word before it. No match holds a
+    character outside ``PLACE_RUN``, so only runs of those characters with such a word in them are searched.
+    """
+    found = lambda text: F.regexp_extract_all(text, F.lit(_I + pattern), F.lit(1))
+    if not after:
+        return found(prompt)
+    runs = F.filter(F.regexp_extract_all(prompt, F.lit("(?U)" + PLACE_RUN), F.lit(0)), lambda r: contains_any(r, after))
+    near = F.flatten(F.transform(runs, found))
+    return F.when(contains_any(prompt, after), near).otherwise(F.array().cast("array<string>"))
+
+
 def places(prompt: Column) -> Column:
     """Place names the prompt seems to mention, pattern by pattern, each once."""
-    matches = F.concat(*[F.regexp_extract_all(prompt, F.lit(_I + p), F.lit(1)) for p in PLACE_PATTERNS])
+    matches = F.concat(*[_matches(prompt, p, after) for p, after in zip(PLACE_PATTERNS, PLACE_AFTER)])
     usable = lambda c: (
         (c != "") & ~c.isin(*PLACE_STOP_WORDS) & ~c.rlike(PLACE_BAD_ENDING) & (F.length(c) <= PLACE_MAX)
     )
@@ -187,15 +203,22 @@ def video_title(prompt: Column, summary_text: Column, description: Column) -> Co
     prompt, summary_text = filled(prompt, ""), filled(summary_text, "")
     source = F.when(prompt != "", prompt).otherwise(summary_text)
     kind = F.when(contains_any(source, GROUP_KIND_WORDS), F.lit(GROUP_KIND)).otherwise(F.lit(PLAIN_KIND))
-    place = F.try_element_at(places(source), F.lit(-1))
-    named, prefix = F.concat_ws(" ", place, kind), season(source)
-    named = F.when((prefix != "") & ~F.contains(named, prefix), F.concat_ws(" ", prefix, named)).otherwise(named)
+
+    def named(place: Column) -> Column:
+        return F.transform(F.array(F.concat_ws(" ", place, kind)), lambda t: _seasoned(t, season(source)))[0]
+
+    # The search for places is costly, so its result is bound to a name rather than written out twice.
+    last = F.transform(F.slice(F.reverse(places(source)), 1, 1), named)
     fits = lambda t: F.when(F.length(t).between(LINE_MIN, LINE_MAX), t)
     return F.coalesce(
         F.nullif(explicit_title(prompt), F.lit("")),
-        F.when(place.isNotNull() & (F.length(named) <= TITLE_MAX), named),
+        F.get(F.filter(last, lambda t: F.length(t) <= TITLE_MAX), F.lit(0)),
         fits(clean_title(first_line(prompt))),
         fits(clean_title(first_line(summary_text))),
         filled(description),
         F.lit(DEFAULT_TITLE),
     )
+
+
+def _seasoned(title: Column, prefix: Column) -> Column:
+    return F.when((prefix != "") & ~F.contains(title, prefix), F.concat_ws(" ", prefix, title)).otherwise(title)

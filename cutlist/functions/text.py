@@ -31,17 +31,12 @@ def caption_text(text: Column) -> Column:
 
 
 def contains_any(text: Column, words: Sequence[str]) -> Column:
-    found = F.lit(False)
-    for word in words:
-        found = found | F.contains(text, F.lit(word))
-    return found
+    return F.exists(F.lit(list(words)), lambda word: F.contains(text, word))
 
 
 def hits(text: Column, words: Sequence[str], weight: int, cap: int) -> Column:
     """Distinct ``words`` found in ``text`` times ``weight``, at most ``cap``."""
-    found = F.lit(0)
-    for word in words:
-        found = found + F.contains(text, F.lit(word)).cast("int")
+    found = F.size(F.filter(F.lit(list(words)), lambda word: F.contains(text, word)))
     return F.least(F.lit(cap), found * weight)
 
 

@@ -50,35 +50,35 @@ def day_budgets(candidates: DataFrame, targets: DataFrame, params: CutParams = D
     )
 
 
-def _long_picks(longs: DataFrame, params: CutParams) -> DataFrame:
-    """Per day the long candidates that enter, as (rank, duration) in rank order.
+def _long_picks(longs: DataFrame, params: CutParams) -> DataFrame | None:
+    """Per day the long candidates that enter, as an array of (rank, ms); nothing if there are none.
 
-    Each round is one map-side combined minimum over the long candidates. Each pick is more than 18 % of
-    the budget and all together are at most 118 %, which bounds the rounds.
+    A round takes the first that fits in every day, with one map-side combined minimum, and keeps the later
+    ones that still fit. Each pick is more than 18 % of the budget and all together are at most 118 %, so
+    six rounds are enough; mostly the first few leave nothing.
     """
     over = params.overshoot_pct
-    key = [*DAY, SLICE]
-    pieces = longs.select(*key).distinct()
-    picks = longs.select(*DAY).distinct().withColumn("longs", F.array().cast("array<struct<rank:bigint,ms:bigint>>"))
-    for _ in range(over // (over - 100)):
-        used = F.col("before_ms") + F.aggregate("longs", F.lit(0).cast("bigint"), lambda t, x: t + x["ms"])
-        fits = (
-            (F.col("rank") > F.coalesce(F.element_at(F.col("longs"), -1)["rank"], F.lit(0)))
-            & (used < F.col("budget_ms"))
-            & ((used + F.col("ms")) * 100 <= F.col("budget_ms") * over)
+    taken: DataFrame | None = None
+    while True:
+        longs = staged(longs)
+        if longs.isEmpty():
+            break
+        hits = longs.groupBy(*DAY).agg(F.min(F.struct("rank", "ms")).alias("hit"))
+        taken = hits if taken is None else taken.unionByName(hits)
+        # A day's pick is sent to each of its slices, so a day with most of the rows stays spread out.
+        pieces = longs.select(*DAY, SLICE).distinct().join(hits, DAY)
+        used = F.col("before_ms") + F.col("hit.ms")
+        longs = (
+            longs.join(pieces, [*DAY, SLICE])
+            .filter(F.col("rank") > F.col("hit.rank"))
+            .filter(used < F.col("budget_ms"))
+            .filter((used + F.col("ms")) * 100 <= F.col("budget_ms") * over)
+            .withColumn("before_ms", used)
+            .drop("hit")
         )
-        # A day's state is sent to each of its slices, so a day with most of the rows stays spread out.
-        state = pieces.join(picks, DAY)
-        picks = (
-            longs.join(state, key)
-            .groupBy(*DAY)
-            .agg(
-                F.min(F.when(fits, F.struct("rank", "ms"))).alias("_hit"),
-                F.first("longs").alias("longs"),
-            )
-            .select(*DAY, F.when(F.col("_hit").isNull(), F.col("longs")).otherwise(F.concat("longs", F.array("_hit"))).alias("longs"))
-        )
-    return picks
+    if taken is None:
+        return None
+    return taken.groupBy(*DAY).agg(F.collect_list("hit").alias("longs"))
 
 
 def choose(
@@ -129,10 +129,11 @@ def choose(
     )
     days = heads.select(*DAY, (F.col("head_ms") >= F.col("_budget")).alias("is_full")).join(second, DAY, "left")
     none = F.array().cast("array<struct<rank:bigint,ms:bigint>>")
-    if longs.isEmpty():
+    picks = _long_picks(longs, params)
+    if picks is None:
         days = days.withColumn("longs", none)
     else:
-        days = days.join(_long_picks(staged(longs), params), DAY, "left").withColumn("longs", F.coalesce("longs", none))
+        days = days.join(picks, DAY, "left").withColumn("longs", F.coalesce("longs", none))
 
     long_before = F.aggregate(
         F.filter("longs", lambda x: x["rank"] < F.col("rank")), F.lit(0).cast("bigint"), lambda t, x: t + x["ms"]

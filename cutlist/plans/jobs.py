@@ -47,7 +47,8 @@ def build_segments(
 ) -> DataFrame:
     """Unscored candidates: grouped cues inside their clips, numbered per project."""
     facts = story_labels(clips.select(*_CLIP_FACTS), briefs)
-    segments = segment_bounds(cue_groups(cues, params, slices), facts, params)
+    # Numbering, day ranking and scoring all read the segments, which are few next to the cues.
+    segments = staged(segment_bounds(cue_groups(cues, params, slices), facts, params))
     return candidate_ids(segments.withColumnRenamed("start_utc", "source_utc"), slices)
 
 
