@@ -69,7 +69,7 @@ def digest(path: str, start: str, end: str) -> str:
 
 
 def pad3(x: str) -> str:
-    return f"lpad(cast({x} as varchar), greatest(length(cast({x} as varchar)), 3), '0')"
+    return f"lpad(cast({x} as varchar), cast(greatest(length(cast({x} as varchar)), 3) as int), '0')"
 
 
 SESSIONS = {kind: f"with recursive {sessions(sql)}" for kind, sql in (("conv", A.CUES_CONV), ("events", A.CUES_EVENTS))}
@@ -147,9 +147,9 @@ rated as (
   from scored),
 final as (
   select *, overall * 100 + importance * 35 + fun * 12 + emotion * 8 as priority,
-    concat(event_type, ' scene. People: ',
+    trim(concat(event_type, ' scene. People: ',
       case when len(who) > 0 then array_to_string(who, ', ') else {q(WORDING.no_people)} end, '. Gist: ',
-      substr(case when {collapse('excerpt')} = '' then {q(WORDING.no_speech)} else {collapse('excerpt')} end, 1, 140)) as summary
+      substr(case when {collapse('excerpt')} = '' then {q(WORDING.no_speech)} else {collapse('excerpt')} end, 1, 140))) as summary
   from rated)"""
 FEATURES = ("importance", "fun", "people", "audio", "scenery", "food", "emotion", "transition", "duration_fit")
 
@@ -359,13 +359,6 @@ def corrected(text: str) -> str:
     return strip(f"replace({out}, '  ', ' ')")
 
 
-DISTINCT = "[x for x, i in {0} if list_position({0}, x) = i]"
-
-
-def distinct_list(items: str) -> str:
-    return f"(select list(x order by i) from (select x, min(i) as i from (select unnest({items}) as x, generate_subscripts({items}, 1) as i) u group by x) v)"
-
-
 def vocabulary() -> str:
     default = ", ".join(q(t) for t in DEFAULT_TAXONOMY["prompt_terms"])
     canonical = ", ".join(q(t["canonical"]) for t in DEFAULT_TAXONOMY["terms"])
@@ -439,7 +432,7 @@ both_kinds as (select * from named union all select * from settled where d is no
 spans as (
   select project_id, min(d) as a, max(d) as b from both_kinds group by 1),
 date_spans as (
-  select p.project_id, coalesce(case when a = b then strftime(a, '%Y.%m.%d')
+  select p.project_id, coalesce(case when a is null then null when a = b then strftime(a, '%Y.%m.%d')
     else concat(strftime(a, '%Y.%m.%d'), ' - ', strftime(b, '%Y.%m.%d')) end, '') as date_span
   from prompts p left join spans s using (project_id))"""
 
@@ -472,11 +465,11 @@ last_word as (select project_id, part, i,
   case when regexp_matches(c, '[가-힣]') and contains(c, ' ') then string_split(c, ' ')[-1] else c end as c from tidy),
 ended as (select project_id, part, i, {strip(f"regexp_replace(c, {q(P.PLACE_TRAVEL_ENDING)}, '', 'g')")} as c from last_word),
 usable as (
-  select project_id, c, min(part * 1000000 + i) as at from ended
+  select project_id, c, min(part * 1000000 + i) as seen_at from ended
   where c <> '' and c not in ({stop}) and not regexp_matches(c, {q(P.PLACE_BAD_ENDING)}) and length(c) <= {P.PLACE_MAX}
   group by 1, 2),
 place_lists as (
-  select p.project_id, coalesce(string_agg(c, '|' order by at), '') as places, arg_max(c, at) as last_place
+  select p.project_id, coalesce(string_agg(c, '|' order by seen_at), '') as places, arg_max(c, seen_at) as last_place
   from prompts p left join usable u using (project_id) group by 1)"""
 
 
@@ -527,7 +520,7 @@ ORACLE: dict[str, str] = {
         cast(case when turned <> 0 then 1920 else 1080 end as bigint) as height, cast(fps as double) as fps,
         event_id % 4 <> 0 as has_audio, size_bytes,
         ((size_bytes * 16 + duration_ms) // (duration_ms * 2)) / 1000 as bitrate_mbps, turned <> 0 as is_vertical,
-        epoch_ms(start_utc) as start_utc_ms, epoch_ms(start_local) as start_local_ms,
+        epoch_us(start_utc) // 1000 as start_utc_ms, epoch_us(start_local) // 1000 as start_local_ms,
         cast(cast(start_local - interval 4 hour as date) as varchar) as date_key, location_id, route_phase, route_label
       from timed""",
     "travel_day_key": """with keyed as (
@@ -536,7 +529,7 @@ ORACLE: dict[str, str] = {
         count(*) over (partition by project_id) as total_days from (select distinct project_id, d from keyed) k)
       select project_id, event_id, cast(d as varchar) as date_key, travel_day, total_days from keyed join days using (project_id, d)""",
     "filename_times": """select event_id, case when event_id % 7 = 3 then -1
-      else epoch_ms(date_trunc('second', ts)) end as name_ms from events""",
+      else epoch_us(date_trunc('second', ts)) // 1000 end as name_ms from events""",
     "dominant_fps": f"""{CLIPS},
       rates as (select project_id, fps, sum(duration_ms) as total, min(struct_pack(a := start_utc, b := filename)) as first
         from timed group by 1, 2)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cutlist.functions.text import clock, filled, padded, slug, span_text, title_parts
 from cutlist.lexicon import WORDING, Wording
-from cutlist.operators.ordered import with_running
+from cutlist.operators.ordered import staged, with_running
 from cutlist.params import DEFAULTS, CutParams
 from cutlist.schemas import TIMELINE_ITEM
 
@@ -35,8 +35,11 @@ def _placed(selections: DataFrame, clips: DataFrame, params: CutParams) -> tuple
         "duration_ms", F.greatest(F.lit(0).cast("bigint"), F.col("end_ms") - F.col("start_ms"))
     )
     key = ["project_id", "travel_day"]
-    rows = with_running(
-        rows, key, "sequence_index", sums={"place": F.lit(1).cast("bigint"), "upto_ms": F.col("duration_ms")}
+    # Segments, day cards and both ends of the film are built from these rows, so they are computed once.
+    rows = staged(
+        with_running(
+            rows, key, "sequence_index", sums={"place": F.lit(1).cast("bigint"), "upto_ms": F.col("duration_ms")}
+        )
     )
     earlier = Window.partitionBy("project_id").orderBy("travel_day").rowsBetween(Window.unboundedPreceding, -1)
     days = (
