@@ -16,6 +16,11 @@ TABLES = (
 ).split()
 
 
+TYPES = {
+    "BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "BOOLEAN": "boolean", "DOUBLE": "double", "DATE": "date",
+}
+
+
 def session() -> SparkSession:
     spark = (
         SparkSession.builder.master("local[8]")
@@ -55,6 +60,10 @@ def main(sf: str, names: list[str]) -> int:
             print(f"{name}: ERROR {str(error)[:700]}", flush=True)
             continue
         same = mine == theirs
+        kinds = {d[0]: TYPES.get(str(d[1]), str(d[1])) for d in result.description}
+        odd = {n: (t, kinds.get(n)) for n, t in df.dtypes if kinds.get(n) != t}
+        if odd:
+            print("   types", name, odd, flush=True)
         bad += not same
         print(f"{name}: {'ok' if same else 'DIFFERENT'} {len(mine[0])}/{len(theirs[0])} rows, spark {mid - start:.1f}s, sql {time.time() - mid:.1f}s", flush=True)
         if not same:

@@ -15,6 +15,7 @@ from cutlist.functions.text import (
     result_key,
     segment_digest,
     slug,
+    strip,
     title_parts,
 )
 from cutlist.functions.timekeys import day_key, epoch_ms, filename_time, iso_instant, wall_clock
@@ -471,7 +472,7 @@ def prompt_places(spark, sf):
 
 def prompt_title(spark, sf):
     prompt = F.col("prompt")
-    return _prompts(spark, sf).select(
+    return _prompts(spark, sf).withColumn("prompt", strip(prompt)).select(
         "project_id",
         P.explicit_title(prompt).alias("explicit"),
         P.video_title(prompt, F.lit(""), F.col("description")).alias("title"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cutlist.functions.text import collapse, contains_any, filled, span_text, strip
+from cutlist.functions.text import bind, collapse, contains_any, filled, span_text, strip
 
 # Word lists, patterns and texts.
 TONES = (
@@ -137,7 +137,9 @@ def prompt_dates(prompt: Column, first: Column, last: Column) -> Column:
 
 
 def prompt_date_span(dates: Column) -> Column:
-    return F.when(F.size(dates) > 0, span_text(F.array_min(dates), F.array_max(dates))).otherwise(F.lit(""))
+    return bind(
+        dates, lambda ds: F.when(F.size(ds) > 0, span_text(F.array_min(ds), F.array_max(ds))).otherwise(F.lit(""))
+    )
 
 
 def clean_title(text: Column) -> Column:
@@ -199,26 +201,29 @@ def first_line(text: Column) -> Column:
 
 
 def video_title(prompt: Column, summary_text: Column, description: Column) -> Column:
-    """Explicit title, else last place with kind and season, else a short first line, else a default."""
-    prompt, summary_text = filled(prompt, ""), filled(summary_text, "")
-    source = F.when(prompt != "", prompt).otherwise(summary_text)
-    kind = F.when(contains_any(source, GROUP_KIND_WORDS), F.lit(GROUP_KIND)).otherwise(F.lit(PLAIN_KIND))
+    """Explicit title, else last place with kind and season, else a short first line, else a default.
+
+    ``prompt`` and ``summary_text`` are columns that are stripped and not null.
+    """
+    chosen = F.when(prompt != "", prompt).otherwise(summary_text)
+    kind = F.when(contains_any(chosen, GROUP_KIND_WORDS), F.lit(GROUP_KIND)).otherwise(F.lit(PLAIN_KIND))
+    prefix = season(chosen)
 
     def named(place: Column) -> Column:
-        return F.transform(F.array(F.concat_ws(" ", place, kind)), lambda t: _seasoned(t, season(source)))[0]
+        return bind(
+            F.concat_ws(" ", place, kind),
+            lambda t: F.when((prefix != "") & ~F.contains(t, prefix), F.concat_ws(" ", prefix, t)).otherwise(t),
+        )
 
-    # The search for places is costly, so its result is bound to a name rather than written out twice.
-    last = F.transform(F.slice(F.reverse(places(source)), 1, 1), named)
-    fits = lambda t: F.when(F.length(t).between(LINE_MIN, LINE_MAX), t)
+    def fits(line: Column) -> Column:
+        return bind(line, lambda t: F.when(F.length(t).between(LINE_MIN, LINE_MAX), t))
+
+    last = F.transform(F.slice(F.reverse(places(chosen)), 1, 1), named)
     return F.coalesce(
-        F.nullif(explicit_title(prompt), F.lit("")),
+        bind(explicit_title(prompt), lambda t: F.when(t != "", t)),
         F.get(F.filter(last, lambda t: F.length(t) <= TITLE_MAX), F.lit(0)),
         fits(clean_title(first_line(prompt))),
         fits(clean_title(first_line(summary_text))),
         filled(description),
         F.lit(DEFAULT_TITLE),
     )
-
-
-def _seasoned(title: Column, prefix: Column) -> Column:
-    return F.when((prefix != "") & ~F.contains(title, prefix), F.concat_ws(" ", prefix, title)).otherwise(title)

@@ -213,7 +213,7 @@ def sessionize(cues: DataFrame, params: CutParams = DEFAULTS, slices: int | None
     limits = (params.group_gap_ms, params.group_span_ms)
     order = [F.col("start_ms"), F.col("end_ms"), F.col("cue_no")]
     cut = sliced(cues, CLIP, order, slices, sort=True).withColumn(SLICE, F.col(SLICE).cast("bigint"))
-    keyed = cut.withColumn("_key", F.to_json(F.struct(*CLIP)))
+    keyed = cut.withColumn("_key", F.concat_ws("/", *CLIP))
     edges = keyed.select(SLICE, "_key", "start_ms", "end_ms").mapInArrow(_read_edges(*limits), _EDGE_DDL)
     # One report per slice, so this group is as long as there are partitions, whatever the data's size.
     carried = edges.groupBy().applyInPandas(_chain(*limits), _CARRY_DDL)

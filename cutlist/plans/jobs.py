@@ -99,17 +99,20 @@ def prompt_features(prompts: DataFrame, dates: DataFrame | None = None, params:
         rows = rows.withColumn("first_date", F.lit(None).cast("date")).withColumn("last_date", F.lit(None).cast("date"))
     else:
         rows = rows.join(dates.select("project_id", "first_date", "last_date"), "project_id", "left")
-    prompt = filled(F.col("prompt"), "")
-    hint = filled(given("target_runtime"), P.runtime_phrase(prompt))
-    return rows.select(
+    prompt, before = F.col("_prompt"), F.col("_summary")
+    # Whole texts are stripped and searched, so each result is a column before the next step reads it.
+    found = rows.withColumns(
+        {"_prompt": filled(F.col("prompt"), ""), "_summary": filled(given("summary"), "")}
+    ).withColumn("_hint", filled(given("target_runtime"), P.runtime_phrase(prompt)))
+    return found.select(
         "project_id",
-        P.summary(prompt, given("summary")).alias("summary"),
+        P.summary(prompt, before).alias("summary"),
         F.coalesce(P.tone(prompt, given("tone")), F.lit("")).alias("tone"),
         F.coalesce(P.pacing(prompt, given("pacing_guidance")), F.lit("")).alias("pacing_guidance"),
-        hint.alias("target_runtime"),
-        P.target_seconds(hint, prompt, params.default_minutes).alias("target_s"),
+        F.col("_hint").alias("target_runtime"),
+        P.target_seconds(F.col("_hint"), prompt, params.default_minutes).alias("target_s"),
         P.prompt_date_span(P.prompt_dates(prompt, F.col("first_date"), F.col("last_date"))).alias("date_span"),
-        P.video_title(prompt, given("summary"), given("description")).alias("title"),
+        P.video_title(prompt, before, given("description")).alias("title"),
     )
 
 
@@ -163,14 +166,14 @@ def plan(
 ) -> dict[str, DataFrame]:
     """From probe records, stored transcripts, briefs and prompts to timelines, for all projects at once.
 
-    ``candidates`` and ``selections`` are staged, since several results read them. Faults of the selection
-    are in ``violations``; with ``fail_fast`` they raise instead.
+    Clips, corrected results, candidates and selections are staged, since several steps read them. Faults of
+    the selection are in ``violations``; with ``fail_fast`` they raise instead.
     """
     briefs = prompted_briefs(briefs, prompts)
-    clips = build_clips(probes, briefs, day_start_hour)
+    clips = staged(build_clips(probes, briefs, day_start_hour))
     if taxonomies is not None:
         own = merge_taxonomy(taxonomies_with_default(briefs, taxonomies), briefs)
-        results = curate_results(results, own)
+        results = staged(curate_results(results, own))
     candidates = staged(
         build_candidates(clips, explode_transcripts(results), briefs, "ranked", lexicon, params, wording)
     )
