@@ -19,16 +19,13 @@ CORRUPT = "_corrupt_record"
 def read_documents(spark: SparkSession, path: str, schema: StructType, multiline: bool = True) -> DataFrame:
     """JSON documents with a ``_corrupt_record`` column for those that do not fit ``schema``.
 
-    One file per document, or one line per document with ``multiline=False``, which Spark can split.
+    One file per document, or one line per document with ``multiline=False``, which Spark can split. The text
+    is parsed against the whole schema, so which columns a query reads does not change what is corrupt.
     """
     shape = StructType([*schema.fields, StructField(CORRUPT, StringType())])
-    return (
-        spark.read.schema(shape)
-        .option("multiLine", multiline)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .json(path)
-    )
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    texts = spark.read.text(path, wholetext=multiline).filter(F.btrim("value") != "")
+    return texts.select(F.from_json("value", shape, options).alias("_d")).select("_d.*")
 
 
 def accepted(documents: DataFrame) -> DataFrame:
