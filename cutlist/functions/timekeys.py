@@ -11,7 +11,7 @@ import zoneinfo
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from cutlist.functions.text import strip
+from cutlist.functions.text import bind, strip
 
 _EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
@@ -31,8 +31,10 @@ def from_wall_clock(local: Column, zone: Column) -> Column:
 
 
 def utc_of(instant: Column) -> Column:
-    """A TIMESTAMP as its UTC wall clock."""
-    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant.cast("timestamp_ntz"))
+    """A TIMESTAMP as its UTC wall clock, by way of its microseconds: no session zone takes part."""
+    seconds = (F.unix_micros(instant).cast("decimal(20,0)") / F.lit(1000000).cast("decimal(7,0)")).cast("decimal(18,6)")
+    zero = F.lit(0)
+    return F.expr(_EPOCH) + F.make_dt_interval(zero, zero, zero, seconds)
 
 
 def epoch_ms(ts: Column) -> Column:
@@ -41,13 +43,13 @@ def epoch_ms(ts: Column) -> Column:
 
 def iso_instant(text: Column) -> Column:
     """ISO time to UTC; text without an offset is read as UTC, bad text gives null (F2)."""
-    value = strip(text)
-    offset = F.regexp_extract(value, r"([+-]\d{2}:?\d{2})$", 1)
-    local = F.regexp_replace(value, r"([+-]\d{2}:?\d{2}|[Zz])$", "").try_cast("timestamp_ntz")
-    digits = F.regexp_replace(offset, "[+:-]", "")
-    minutes = F.coalesce(F.substring(digits, 1, 2).try_cast("int") * 60 + F.substring(digits, 3, 2).try_cast("int"), F.lit(0))
-    signed = F.when(offset.startswith("-"), minutes).otherwise(-minutes)
-    return F.when(value.rlike(r"^\d{4}-\d{2}-\d{2}"), F.timestamp_add("MINUTE", signed, local))
+
+    def parse(value: Column) -> Column:
+        zoned = F.when(value.rlike(r"([+-]\d{2}:?\d{2}|[Zz])$"), value).otherwise(F.concat(value, F.lit("Z")))
+        plain = F.regexp_replace(zoned, r"([+-]\d{2})(\d{2})$", "$1:$2")
+        return F.when(value.rlike(r"^\d{4}-\d{2}-\d{2}"), plain.try_cast("timestamp"))
+
+    return utc_of(bind(strip(text), parse))
 
 
 def iso_wall_clock(text: Column) -> Column:

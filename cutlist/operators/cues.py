@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cutlist.functions.text import padded, segment_digest, strip
-from cutlist.operators.ordered import with_order, with_running
+from cutlist.operators.ordered import staged, with_order, with_running
 from cutlist.operators.sessions import CLIP, sessionize
 from cutlist.params import DEFAULTS, CutParams
 
@@ -114,8 +114,11 @@ def merge_short(groups: DataFrame, params: CutParams = DEFAULTS) -> DataFrame:
 
 
 def cue_groups(cues: DataFrame, params: CutParams = DEFAULTS, slices: int | None = None) -> DataFrame:
-    """Merged groups of raw cues: normalization, sessions, short-group folding."""
-    return merge_short(session_groups(normalize_cues(cues, params), params, slices), params)
+    """Merged groups of raw cues: normalization, sessions, short-group folding.
+
+    Folding reads the sessions twice; they are staged so that the cues are read in order only once.
+    """
+    return merge_short(staged(session_groups(normalize_cues(cues, params), params, slices)), params)
 
 
 def segment_bounds(groups: DataFrame, clips: DataFrame, params: CutParams = DEFAULTS) -> DataFrame:

@@ -87,7 +87,8 @@ def with_running(
 ) -> DataFrame:
     """Add inclusive running sums and maxima in the order of a dense ``ordinal``.
 
-    A dense ordinal divides evenly, so ``ordinal div bucket`` bounds every window partition.
+    A dense ordinal divides evenly, so ``ordinal div bucket`` bounds every window partition. ``df`` is read
+    twice, by the windows and by the bucket totals; stage it where it is costly to compute.
     """
     sums, maxima = dict(sums or {}), dict(maxima or {})
     folds = {**{k: (F.sum, v) for k, v in sums.items()}, **{k: (F.max, v) for k, v in maxima.items()}}
