@@ -1,6 +1,6 @@
 """Time the headline queries: one JSON line with seconds per query.
 
-Every query runs once to warm up and then ``BENCH_RUNS`` times (default 3); the median counts. Results go
+Every query runs once to warm up and then ``BENCH_RUNS`` times (default 1); the median counts. Results go
 to the no-op sink, so the whole plan runs and nothing is sent to the driver.
 """
 
@@ -26,7 +26,7 @@ HEADLINE = (
 def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "1"))
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("bench")

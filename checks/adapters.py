@@ -157,6 +157,13 @@ def adapt(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(sql.replace("{ntz}", "timestamp_ntz"), **frames(spark, sf_dir, sql))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core where a table has fewer splits than there are cores; leave larger tables as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if splits < cores else df
+
+
 def duck(sql: str) -> str:
     return re.sub(r"\{(\w+)\}", lambda m: "timestamp" if m[1] == "ntz" else m[1], sql)
 
@@ -251,7 +258,7 @@ def anchor_briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probe records: one event is one clip file. Some have no creation time and some no time in their name."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events = spread(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type", "value"))
     iso = "concat(replace(cast(ts as string), ' ', 'T'), 'Z')"
     stamp = "substring(regexp_replace(cast(ts as string), '[-:]', ''), 1, 15)"
     return events.selectExpr(

@@ -362,11 +362,11 @@ def corrected(text: str) -> str:
 def vocabulary() -> str:
     default = ", ".join(q(t) for t in DEFAULT_TAXONOMY["prompt_terms"])
     canonical = ", ".join(q(t["canonical"]) for t in DEFAULT_TAXONOMY["terms"])
-    region = "concat('Region ', n_regionkey)"
-    rows = f"""[{default}, n_name, lower(n_name), '공항', {region}, '지도', n_name, 'Day out', {region}, 'tour', 'own', 'own',
-      n_name, {canonical}, n_name]"""
+    place = "concat('Nation ', c_nationkey)"
+    rows = f"""[{default}, c_name, lower(c_name), '공항', {place}, '지도', c_name, 'Day out', {place}, c_mktsegment, 'own', 'own',
+      c_name, {canonical}, c_name]"""
     return f"""with words as (
-  select cast(n_nationkey as bigint) as project_id, unnest({rows}) as word, generate_subscripts({rows}, 1) as i from nation),
+  select c_custkey as project_id, unnest({rows}) as word, generate_subscripts({rows}, 1) as i from customer),
 firsts as (select project_id, word, min(i) as i from words group by 1, 2)
 select project_id, count(*) as n_terms, concat({q(DEFAULT_TAXONOMY['context'] + ' Names and terms: ')},
   string_agg(word, ', ' order by i), '.') as prompt from firsts group by 1"""

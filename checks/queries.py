@@ -111,7 +111,7 @@ def clip_catalog(spark, sf):
 
 
 def travel_day_key(spark, sf):
-    events = spark.read.parquet(f"{sf}/events.parquet")
+    events = A.spread(spark.read.parquet(f"{sf}/events.parquet").select("event_id", "user_id", "ts"))
     stamp = F.concat(F.replace(F.col("ts").cast("string"), F.lit(" "), F.lit("T")), F.lit("+02:00"))
     local = wall_clock(iso_instant(stamp), F.lit("Etc/GMT-9"))
     rows = events.select((F.col("user_id") % 10).alias("project_id"), "event_id", day_key(local, 4).alias("date_key"))
@@ -138,8 +138,10 @@ def date_span(spark, sf):
 
 
 def anchor_interval_join(spark, sf):
-    events = spark.read.parquet(f"{sf}/events.parquet").select(
-        (F.col("user_id") % 10).alias("project_id"), "event_id", F.col("ts").alias("creation_utc")
+    events = A.spread(
+        spark.read.parquet(f"{sf}/events.parquet").select(
+            (F.col("user_id") % 10).alias("project_id"), "event_id", F.col("ts").alias("creation_utc")
+        )
     )
     placed = catalog.resolve_time_context(events, catalog.time_contexts(A.anchor_briefs(spark, sf)))
     return placed.select("project_id", "event_id", "timezone_name", "location_id", "route_phase", "route_label")
@@ -315,20 +317,22 @@ def _corrections(spark, keys: DataFrame) -> DataFrame:
 
 
 def taxonomy_correct(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select((F.col("doc_id") % 10).alias("project_id"), "doc_id", "text")
+    docs = A.spread(
+        spark.read.parquet(f"{sf}/documents.parquet").select((F.col("doc_id") % 10).alias("project_id"), "doc_id", "text")
+    )
     return transcripts.correct_cues(docs, _corrections(spark, docs.select("project_id").distinct())).select("doc_id", "text")
 
 
 def vocabulary(spark, sf):
-    """Nations as projects: their default taxonomy and their brief's people, places and own terms."""
-    nations = spark.read.parquet(f"{sf}/nation.parquet").withColumn("project_id", F.col("n_nationkey").cast("bigint"))
-    name, region = F.col("n_name"), F.concat(F.lit("Region "), F.col("n_regionkey").cast("string"))
+    """Customers as projects: the default taxonomy and their brief's people, places and own terms."""
+    customers = spark.read.parquet(f"{sf}/customer.parquet").withColumn("project_id", F.col("c_custkey"))
+    name, place = F.col("c_name"), F.concat(F.lit("Nation "), F.col("c_nationkey").cast("string"))
     briefs = A.as_briefs(
-        nations.select(
+        customers.select(
             "project_id",
-            F.array(F.struct(name.alias("name"), F.array(F.lower("n_name"), F.lit(" "), F.lit("공항")).alias("aliases"))).alias("people"),
-            F.array(F.struct(region.alias("name"), F.array(F.lit("지도"), name).alias("aliases"))).alias("places"),
-            F.array(F.struct(F.lit("Day out").alias("label"), F.array(region, F.lit("tour")).alias("keywords"))).alias("story_anchors"),
+            F.array(F.struct(name.alias("name"), F.array(F.lower("c_name"), F.lit(" "), F.lit("공항")).alias("aliases"))).alias("people"),
+            F.array(F.struct(place.alias("name"), F.array(F.lit("지도"), name).alias("aliases"))).alias("places"),
+            F.array(F.struct(F.lit("Day out").alias("label"), F.array(place, F.col("c_mktsegment")).alias("keywords"))).alias("story_anchors"),
             F.struct(F.array(F.lit("own"), F.lit("own"), name).alias("prompt_terms")).alias("transcription"),
         )
     )
@@ -444,7 +448,7 @@ def brief_defaults(spark, sf):
 
 
 def _prompts(spark, sf):
-    return A.adapt(spark, sf, A.PROMPTS)
+    return A.spread(A.adapt(spark, sf, A.PROMPTS))
 
 
 def prompt_runtime(spark, sf):

@@ -18,8 +18,9 @@ _EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
 def known_zones(spark: SparkSession) -> list[str]:
     """Zone names that both Python's list and the JVM know; any other would fail the job."""
-    ids = spark._jvm.java.time.ZoneId.getAvailableZoneIds()
-    return sorted(zone for zone in zoneinfo.available_timezones() if ids.contains(zone))
+    jvm = spark._jvm
+    ids = set(jvm.java.lang.String.join(" ", jvm.java.time.ZoneId.getAvailableZoneIds()).split())
+    return sorted(ids & zoneinfo.available_timezones())
 
 
 def wall_clock(utc: Column, zone: Column) -> Column:

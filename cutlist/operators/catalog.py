@@ -76,7 +76,7 @@ def time_contexts(briefs: DataFrame) -> DataFrame:
     An anchor's zone is its own, else its place's, else the project's; an unknown name counts as the project's,
     and an unknown project zone as UTC. Anchors with neither bound are left out, as they never match.
     """
-    zones = F.array(*[F.lit(z) for z in known_zones(briefs.sparkSession)])
+    zones = F.split(F.lit(" ".join(known_zones(briefs.sparkSession))), " ")
     known = lambda zone: F.when(F.array_contains(zones, zone), zone)
     places = F.coalesce(F.col("places"), F.array().cast(briefs.schema["places"].dataType))
     stories = F.coalesce(F.col("story_anchors"), F.array().cast(briefs.schema["story_anchors"].dataType))

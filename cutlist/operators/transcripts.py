@@ -102,18 +102,25 @@ def alias_rules(terms: Column) -> Column:
 
 
 def regex_rules(rules: Column) -> Column:
-    """Rules with a pattern, written for the JVM's regular expressions.
+    """Rules with a pattern, rewritten from the dialect they are written in to the JVM's.
 
-    Classes such as ``\\s`` cover all scripts and ``\\1`` names a group, as in the rules' own dialect.
+    Classes such as ``\\s`` cover all scripts and only a line feed ends a line; ``(?P<n>..)``, ``\\1`` and
+    ``\\g<n>`` name groups, and a dollar sign in a replacement is just that.
     """
-    literal_dollar = lambda r: F.replace(r, F.lit("$"), F.lit("\\$"))
-    group = lambda r: F.regexp_replace(r, r"\\(\d)", r"\$$1")
+
+    def pattern(r: Column) -> Column:
+        named = F.replace(strip(r["pattern"]), F.lit("(?P<"), F.lit("(?<"))
+        return F.concat(F.lit("(?Ud)"), F.regexp_replace(named, r"\(\?P=(\w+)\)", r"\\k<$1>"))
+
+    def replacement(r: Column) -> Column:
+        text = F.replace(F.coalesce(strip(r["replacement"]), F.lit("")), F.lit("$"), F.lit("\\$"))
+        text = F.replace(F.replace(text, F.lit("\\n"), F.lit("\n")), F.lit("\\t"), F.lit("\t"))
+        text = F.regexp_replace(F.regexp_replace(text, r"\\g<(\d+)>", r"\$$1"), r"\\(\d)", r"\$$1")
+        return F.regexp_replace(text, r"\\g<(\w+)>", r"\${$1}")
+
     return F.transform(
         F.filter(rules, lambda r: filled(r["pattern"]).isNotNull()),
-        lambda r: F.struct(
-            F.concat(F.lit("(?U)"), strip(r["pattern"])).alias("pattern"),
-            group(literal_dollar(F.coalesce(strip(r["replacement"]), F.lit("")))).alias("replacement"),
-        ),
+        lambda r: F.struct(pattern(r).alias("pattern"), replacement(r).alias("replacement")),
     )
 
 

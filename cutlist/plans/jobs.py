@@ -110,7 +110,7 @@ def prompt_features(prompts: DataFrame, dates: DataFrame | None = None, params:
         F.coalesce(P.tone(prompt, given("tone")), F.lit("")).alias("tone"),
         F.coalesce(P.pacing(prompt, given("pacing_guidance")), F.lit("")).alias("pacing_guidance"),
         F.col("_hint").alias("target_runtime"),
-        P.target_seconds(F.col("_hint"), prompt, params.default_minutes).alias("target_s"),
+        P.target_seconds(F.col("_hint"), P.summary(prompt, before), params.default_minutes).alias("target_s"),
         P.prompt_date_span(P.prompt_dates(prompt, F.col("first_date"), F.col("last_date"))).alias("date_span"),
         P.video_title(prompt, before, given("description")).alias("title"),
     )

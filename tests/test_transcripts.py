@@ -11,6 +11,7 @@ from cutlist.operators.transcripts import (
     correct_cues,
     curate_results,
     merge_taxonomy,
+    regex_rules,
     stored_or_default,
     taxonomies_with_default,
     taxonomy_signature,
@@ -53,6 +54,24 @@ def test_corrections_equal_a_loop(spark, text):
     assert got[1].text == loop(text, [], []).replace("  ", " ") or got[1].text == re.sub(r"\s+", " ", text).strip(" -")
 
 
+@pytest.mark.parametrize(
+    "pattern, replacement",
+    [
+        (r"(?P<word>\w+)-(?P=word)", r"<\g<word>>"),
+        (r"(\w)(\w)", r"<\2\1>"),
+        (r"(\d+)", r"\g<1>0$"),
+        (r"\s", r"\t"),
+        (r"é.", r"\n"),
+        (r"$", r"$1"),
+    ],
+)
+def test_rule_dialect(spark, pattern, replacement):
+    text = "ab-ab 12 é\u2028x 가나"
+    rules = spark.createDataFrame([taxonomy(rules=[(pattern, replacement)])], TAXONOMY).select(regex_rules(F.col("replacement_rules")).alias("r"))
+    got = rules.select(F.regexp_replace(F.lit(text), F.col("r")[0]["pattern"], F.col("r")[0]["replacement"])).first()[0]
+    assert got == re.sub(pattern, replacement, text)
+
+
 def results(spark, *rows):
     return spark.createDataFrame([{"project_id": 1, **r} for r in rows], CLIP_RESULT)
 
