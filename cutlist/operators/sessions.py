@@ -12,9 +12,12 @@ from __future__ import annotations
 import sys
 from bisect import bisect_right
 from collections.abc import Iterator
+from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +29,16 @@ from cutlist.params import DEFAULTS, CutParams
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CLIP = ("project_id", "clip_path")
-_STATE = ("prev_end", "cur", "session_no", "first", "seen")
+
+
+class _State(NamedTuple):
+    """Where reading stands in a clip: the last cue's end, the open session's start, number and first cue."""
+
+    prev_end: int = 0
+    cur: int = 0
+    session_no: int = 0
+    first: int = 0
+    seen: int = 0
 
 
 def _entry_steps(starts: list[int], ends: list[int], gap: int, span: int) -> dict:
@@ -80,7 +92,7 @@ _EDGE_FIELDS = [
     ("first_start", pa.int64()),
     ("first_end", pa.int64()),
     ("first_rows", pa.int64()),
-    *[(f"last_{name}", pa.int64()) for name in _STATE],
+    *[(f"last_{name}", pa.int64()) for name in _State._fields],
     *[(name, pa.list_(pa.int64())) for name in ("step_end", "step_at", "step_cur", "step_more")],
     *[(f"{case}_{name}", pa.int64()) for case in ("hard", "fresh") for name in ("at", "cur", "more")],
 ]
@@ -91,57 +103,77 @@ _EDGE_DDL = (
     "step_more array<bigint>, hard_at bigint, hard_cur bigint, hard_more bigint, fresh_at bigint, "
     "fresh_cur bigint, fresh_more bigint"
 )
-_CARRY_DDL = "_slice bigint, " + ", ".join(f"in_{name} bigint" for name in _STATE)
+_CARRY_DDL = "_slice bigint, " + ", ".join(f"in_{name} bigint" for name in _State._fields)
+
 
+def _columns(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    return batch.column("_key"), batch.column("start_ms").to_numpy(), batch.column("end_ms").to_numpy()
 
-class _Reader:
-    """Session state while reading cues in order."""
 
-    def __init__(self, gap: int, span: int):
-        self.gap, self.span = gap, span
-        self.key = None
-        self.prev_end = self.cur = self.session_no = self.first = self.seen = 0
+def _changes(keys: pa.Array, last: str | None) -> np.ndarray:
+    """True where a row's clip is not the one before."""
+    changed = np.ones(len(keys), dtype=bool)
+    changed[0] = keys[0].as_py() != last
+    changed[1:] = pc.not_equal(keys.slice(1), keys.slice(0, len(keys) - 1)).to_numpy(zero_copy_only=False)
+    return changed
 
-    def enter(self, key, state) -> None:
-        self.key = key
-        self.prev_end, self.cur, self.session_no, self.first, self.seen = state
 
-    def take(self, key, start: int, end: int) -> None:
-        if key != self.key:
-            self.key, self.cur, self.session_no, self.first, self.seen = key, start, 1, 1, 1
-        else:
-            self.seen += 1
-            if start - self.prev_end > self.gap or end - self.cur > self.span:
-                self.cur, self.first = start, self.seen
-                self.session_no += 1
-        self.prev_end = end
+def _read(new: np.ndarray, starts: np.ndarray, ends: np.ndarray, state: _State, gap: int, span: int):
+    """Session number, cue ordinal and place in the session of each cue, and the state after them."""
+    n = len(starts)
+    hard = new.copy()
+    hard[1:] |= starts[1:] - ends[:-1] > gap
+    hard[0] |= starts[0] - state.prev_end > gap
+    opened, cur = [], state.cur
+    for i, (start, end, must) in enumerate(zip(starts.tolist(), ends.tolist(), hard.tolist())):
+        if must or end - cur > span:
+            cur = start
+            opened.append(i)
+    opens = np.zeros(n, dtype=np.int64)
+    opens[opened] = 1
+    at, total = np.arange(n), np.cumsum(opens)
+    clip_at = np.maximum.accumulate(np.where(new, at, -1))
+    session_at = np.maximum.accumulate(np.where(opens == 1, at, -1))
+    seen = np.where(clip_at < 0, state.seen + at + 1, at - clip_at + 1)
+    numbers = total + np.where(clip_at < 0, state.session_no, 1 - total[clip_at])
+    places = np.where(session_at < 0, seen - state.first, at - session_at)
+    after = _State(int(ends[-1]), cur, int(numbers[-1]), int(seen[-1] - places[-1]), int(seen[-1]))
+    return numbers, seen, places, after
 
 
 def _read_edges(gap: int, span: int):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = _Reader(gap, span)
-        first_key, whole, starts, ends, number = None, True, [], [], None
+        first_key = key = number = None
+        whole, state, heads = True, _State(), []
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("_key", "start_ms", "end_ms")]
-            if batch.num_rows and first_key is None:
-                first_key, number = columns[0][0], batch.column(SLICE)[0].as_py()
-            for key, start, end in zip(*columns):
-                reader.take(key, start, end)
-                if whole and key == first_key:
-                    starts.append(start)
-                    ends.append(end)
-                else:
-                    whole = False
+            if not batch.num_rows:
+                continue
+            keys, starts, ends = _columns(batch)
+            new = _changes(keys, key)
+            if first_key is None:
+                first_key, number = keys[0].as_py(), batch.column(SLICE)[0].as_py()
+                inner = np.flatnonzero(new[1:]) + 1
+            else:
+                inner = np.flatnonzero(new)
+            if whole:
+                until = int(inner[0]) if len(inner) else len(starts)
+                heads.append((starts[:until], ends[:until]))
+                whole = not len(inner)
+            # Only the clip that leaves the slice is read through; those that end inside it need no report.
+            at = int(np.flatnonzero(new)[-1]) if new.any() else 0
+            key = keys[len(keys) - 1].as_py()
+            state = _read(new[at:], starts[at:], ends[at:], state, gap, span)[-1]
         if first_key is not None:
+            starts, ends = (np.concatenate(part).tolist() for part in zip(*heads))
             row = {
                 "_slice": number,
                 "first_key": first_key,
-                "last_key": reader.key,
+                "last_key": key,
                 "whole": whole,
                 "first_start": starts[0],
                 "first_end": ends[-1],
                 "first_rows": len(starts),
-                **{f"last_{name}": getattr(reader, name) for name in _STATE},
+                **{f"last_{name}": value for name, value in state._asdict().items()},
                 **_entry_steps(starts, ends, gap, span),
             }
             yield pa.RecordBatch.from_pylist([row], schema=pa.schema(_EDGE_FIELDS))
@@ -174,30 +206,30 @@ def _chain(gap: int, span: int):
                 state = (int(e.first_end), int(cur), int(number), int(first), int(seen + e.first_rows))
             else:
                 key = e.last_key
-                state = tuple(int(getattr(e, f"last_{name}")) for name in _STATE)
-        return pd.DataFrame(out, columns=["_slice", *[f"in_{name}" for name in _STATE]]).astype("int64")
+                state = tuple(int(getattr(e, f"last_{name}")) for name in _State._fields)
+        return pd.DataFrame(out, columns=["_slice", *[f"in_{name}" for name in _State._fields]]).astype("int64")
 
     return chain
 
 
 def _number_cues(gap: int, span: int):
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, fresh = _Reader(gap, span), True
+        key, state, begun = None, _State(), False
         for batch in batches:
-            keys, starts, ends = (batch.column(c).to_pylist() for c in ("_key", "start_ms", "end_ms"))
-            if fresh and batch.num_rows:
-                fresh = False
-                state = [batch.column(f"in_{name}")[0].as_py() for name in _STATE]
-                if state[0] is not None:
-                    reader.enter(keys[0], state)
-            numbers, seen, places = [], [], []
-            for key, start, end in zip(keys, starts, ends):
-                reader.take(key, start, end)
-                numbers.append(reader.session_no)
-                seen.append(reader.seen)
-                places.append(reader.seen - reader.first)
             kept = [c for c in batch.schema.names if c not in ("_key", SLICE) and not c.startswith("in_")]
-            arrays = [batch.column(c) for c in kept] + [pa.array(x, pa.int64()) for x in (numbers, seen, places)]
+            arrays = [batch.column(c) for c in kept]
+            if batch.num_rows:
+                keys, starts, ends = _columns(batch)
+                if not begun:
+                    begun = True
+                    entry = [batch.column(f"in_{name}")[0].as_py() for name in _State._fields]
+                    if entry[0] is not None:
+                        key, state = keys[0].as_py(), _State(*entry)
+                *numbered, state = _read(_changes(keys, key), starts, ends, state, gap, span)
+                key = keys[len(keys) - 1].as_py()
+            else:
+                numbered = [[], [], []]
+            arrays += [pa.array(x, pa.int64()) for x in numbered]
             yield pa.RecordBatch.from_arrays(arrays, names=kept + ["session_no", "cue_ordinal", "place"])
 
     return number

@@ -15,7 +15,7 @@ from cutlist.operators.cues import (
     segment_bounds,
     session_groups,
 )
-from cutlist.operators.sessions import _entry_steps, _Reader, sessionize
+from cutlist.operators.sessions import _entry_steps, sessionize
 from cutlist.schemas import CLIP_RESULT
 
 CUE = "project_id bigint, clip_path string, cue_no bigint, start_ms bigint, end_ms bigint, text string"
@@ -76,6 +76,30 @@ def test_sessions_equal_loop(spark, slices):
     assert groups == merged
 
 
+@pytest.mark.parametrize("slices, batch", [(1, 7), (4, 16), (9, 1)])
+def test_state_passes_between_batches(spark, slices, batch):
+    """A slice arrives in several Arrow batches, and clips and sessions go on from one to the next."""
+    rows = random_cues(40 + batch)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, batch)
+        got = sessionize(spark.createDataFrame(rows, CUE), slices=slices).collect()
+    finally:
+        spark.conf.set(name, before)
+    numbers, _ = loop(rows)
+    assert {((r.project_id, r.clip_path), r.cue_no): r.session_no for r in got} == numbers
+    by_clip = {}
+    for r in sorted(got, key=lambda r: (r.start_ms, r.end_ms, r.cue_no)):
+        by_clip.setdefault((r.project_id, r.clip_path), []).append(r)
+    for cues in by_clip.values():
+        assert [r.cue_ordinal for r in cues] == list(range(1, len(cues) + 1))
+        opened = {}
+        for r in cues:
+            opened.setdefault(r.session_no, r.cue_ordinal)
+            assert r.place == r.cue_ordinal - opened[r.session_no]
+
+
 def test_entry_steps_tell_every_exit():
     """The step function gives the exit state for any entering session."""
     rng = random.Random(9)
@@ -88,10 +112,11 @@ def test_entry_steps_tell_every_exit():
         gap, span = rng.choice([100, 500, 10**9]), rng.choice([150, 400, 1500])
         steps = _entry_steps(starts, ends, gap, span)
         for entry in range(max(0, starts[0] - span - 60), starts[0] + 1, 7):
-            reader = _Reader(gap, span)
-            reader.enter("k", (starts[0], entry, 1, 1, 1))
-            for s, e in zip(starts, ends):
-                reader.take("k", s, e)
+            cur, number, first, prev_end = entry, 1, 1, starts[0]
+            for seen, (start, end) in enumerate(zip(starts, ends), 2):
+                if start - prev_end > gap or end - cur > span:
+                    cur, number, first = start, number + 1, seen
+                prev_end = end
             j = next((j for j, e in enumerate(steps["step_end"]) if e > entry + span), None)
             if j is not None:
                 want = (steps["step_cur"][j], 2 + steps["step_more"][j], 2 + steps["step_at"][j])
@@ -99,7 +124,7 @@ def test_entry_steps_tell_every_exit():
                 want = (steps["hard_cur"], 2 + steps["hard_more"], 2 + steps["hard_at"])
             else:
                 want = (entry, 1, 1)
-            assert (reader.cur, reader.session_no, reader.first) == want
+            assert (cur, number, first) == want
 
 
 def one_clip(spark, spans):
