@@ -66,11 +66,11 @@ def session_groups(cues: DataFrame, params: CutParams = DEFAULTS, slices: int |
     """One row per session of normalized cues, before short ones are folded (A2).
 
     The excerpt is the first ``excerpt_chars`` characters of the joined texts. Every text has a character
-    and a blank follows it, so half as many cues as characters are enough to fill it.
+    and a blank follows it, so one cue more than half as many as characters always fills it.
     """
     chars = params.excerpt_chars
     piece = F.when(
-        F.col("place") < chars // 2, F.struct("cue_ordinal", F.substring("text", 1, chars).alias("text"))
+        F.col("place") <= chars // 2, F.struct("cue_ordinal", F.substring("text", 1, chars).alias("text"))
     )
     return (
         sessionize(cues, params, slices)
@@ -98,7 +98,7 @@ def merge_short(groups: DataFrame, params: CutParams = DEFAULTS) -> DataFrame:
         maxima={"_kept": F.when(keep, F.col("session_no"))},
     )
     piece = F.when(
-        F.col("session_no") - F.col("_kept") < chars // 2, F.struct("session_no", F.col("excerpt").alias("text"))
+        F.col("session_no") - F.col("_kept") <= chars // 2, F.struct("session_no", F.col("excerpt").alias("text"))
     )
     return (
         numbered.groupBy(*CLIP, "group_index")

@@ -196,6 +196,12 @@ def test_frame_plan(spark):
     assert got == [("a", 1, 1720), ("a", 2, 3000), ("a", 3, 4280), ("b", 1, 500), ("b", 2, 500), ("b", 3, 500)]
 
 
+def test_long_session_fills_the_excerpt(spark):
+    cues = spark.createDataFrame([(1, "/a", i, i, i + 300, "x") for i in range(700)], CUE)
+    (row,) = session_groups(cues, slices=5).collect()
+    assert row.n_cues == 700 and row.excerpt == "x " * 250
+
+
 def test_long_group_fills_the_excerpt(spark):
     cues = spark.createDataFrame([(1, "/a", i, i * 3000, i * 3000 + 300, "x") for i in range(700)], CUE)
     (row,) = cue_groups(cues, slices=5).collect()
