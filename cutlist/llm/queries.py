@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cutlist.llm import mixing
+from cutlist.llm import mixing, pii, secrets, spans
 from cutlist.llm.common import staged, table
 
 
@@ -17,6 +18,20 @@ def op7_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(measured).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op2_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    own = F.size(spans.of_kinds(F.col("spans"), [pii.GENERAL, pii.REMOVED])).cast("long")
+    return found.select("doc_id", own.alias("n_terms"), *[c.alias(n) for n, c in spans.digest(F.col("spans"), pii.KINDS).items()])
+
+
+def op3_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    kinds = [r.kind for r in secrets.BASE]
+    return found.select("doc_id", *[c.alias(n) for n, c in spans.digest(F.col("spans"), kinds).items()])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_disclosure_pii": op2_disclosure_pii,
+    "op3_trigram_secrets": op3_trigram_secrets,
     "op7_pareto_mixing": op7_pareto_mixing,
 }
