@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutlist.llm import mixing, pii, secrets, spans
+from cutlist.llm import graygroups, mixing, pii, secrets, spans
 from cutlist.llm.common import staged, table
 
 
@@ -18,6 +18,10 @@ def op7_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(measured).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op1_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graygroups.near_duplicates(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 def op2_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"), keep=["doc_id"])
     own = F.size(spans.of_kinds(F.col("spans"), [pii.GENERAL, pii.REMOVED])).cast("long")
@@ -31,6 +35,7 @@ def op3_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_gray_simhash": op1_gray_simhash,
     "op2_disclosure_pii": op2_disclosure_pii,
     "op3_trigram_secrets": op3_trigram_secrets,
     "op7_pareto_mixing": op7_pareto_mixing,
