@@ -7,8 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutlist.llm import graygroups, mixing, pii, secrets, spans
-from cutlist.llm.common import staged, table
+from cutlist.llm import graygroups, languages, mixing, pieces, pii, secrets, spans
+from cutlist.llm.common import remainder, staged, table
+
+
+def op5_family_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder(F.col("doc_id"), 4) == 2
+    model = languages.train(docs.where(~held_out))
+    return languages.predict(docs, model, keep=["doc_id"]).withColumn("held_out", held_out)
 
 
 def op7_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,9 +41,15 @@ def op3_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[c.alias(n) for n, c in spans.digest(F.col("spans"), kinds).items()])
 
 
+def op8_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), pieces.read_model(), keep=["doc_id"], check=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_gray_simhash": op1_gray_simhash,
     "op2_disclosure_pii": op2_disclosure_pii,
     "op3_trigram_secrets": op3_trigram_secrets,
+    "op5_family_language": op5_family_language,
     "op7_pareto_mixing": op7_pareto_mixing,
+    "op8_merge_dropout": op8_merge_dropout,
 }
