@@ -24,7 +24,7 @@ import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from hashlib import blake2b
-from heapq import heapify, heappop, heappush
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -35,28 +35,52 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Hash streams among which the occurrences of a unit are spread.
-VARIANTS = 8
-CACHED = 400_000
+VARIANTS = 4
+#: Segmentations that a worker keeps: as many again that were used before the newest ones filled up.
+CACHED = 300_000
 CACHED_LENGTH = 48
+#: Units up to this length have a list as agenda, longer ones a heap.
+SHORT = 64
+NEVER = 1 << 60
 UNITS = re.compile(r" *[^ \n▁]+| +|[\n▁]")
 _ADDED = ("ids", "n_pieces")
 
 
+class _Skips:
+    """The decisions for one unit: two bytes each of a keyed hash, in the order in which candidates come up."""
+
+    def __init__(self, unit: str, rate: float, key: bytes, variant: int):
+        self.limit, self.key, self.drawn, self.refill = int(rate * 65536), key, 0, 0
+        self.name, self.stream = (b"%d:" % variant + unit.encode()) if self.limit else b"", b""
+
+    def next(self) -> bool:
+        if not self.limit:
+            return False
+        at = self.drawn % 64
+        if not at:
+            self.stream = blake2b(b"%d:" % self.refill + self.name, digest_size=64, key=self.key).digest()
+            self.refill += 1
+        self.drawn += 2
+        return (self.stream[at] << 8 | self.stream[at + 1]) < self.limit
+
+
 @dataclass
 class Pieces:
-    """The vocabulary of a merge-type model."""
+    """The vocabulary of a merge-type model; ``rank`` orders merges, best first."""
 
-    rank: dict[str, tuple[float, int]]
+    rank: dict[str, int]
+    id: dict[str, int]
     bytes_: list[int]
     surface: list[bytes]
     cache: dict = field(default_factory=dict)
+    older: dict = field(default_factory=dict)
 
     @classmethod
     def load(cls, proto: bytes) -> Pieces:
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_proto=proto)
-        rank, byte_ids, surface = {}, [0] * 256, []
+        scores, ids, byte_ids, surface = {}, {}, [0] * 256, []
         for i in range(model.vocab_size()):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
@@ -67,63 +91,81 @@ class Pieces:
             else:
                 surface.append(piece.replace("▁", " ").encode())
                 if not model.is_unused(i):
-                    rank[piece] = (-model.get_score(i), i)
-        return cls(rank, byte_ids, surface)
+                    scores[piece], ids[piece] = -model.get_score(i), i
+        places = {v: n for n, v in enumerate(sorted(set(scores.values())))}
+        return cls({p: places[v] for p, v in scores.items()}, ids, byte_ids, surface)
 
     def segment(self, unit: str, rate: float, key: bytes, variant: int) -> list[int]:
         """Piece ids of one unit, whose blanks are written U+2581."""
+        skips = _Skips(unit, rate, key, variant)
+        parts = self._short(unit, skips) if len(unit) <= SHORT else self._long(unit, skips)
+        ids: list[int] = []
+        for part in parts:
+            if part in self.id:
+                ids.append(self.id[part])
+            else:
+                ids += [self.bytes_[b] for b in part.encode()]
+        return ids
+
+    def _short(self, unit: str, skips: _Skips) -> list[str]:
+        """The agenda as a list with one place per pair: its least entry, leftmost first, is the next candidate."""
+        rank, parts = self.rank, list(unit)
+        agenda = [rank.get(a + b, NEVER) for a, b in zip(parts, parts[1:])]
+        skipped: list[tuple[int, int]] = []
+        while agenda and (best := min(agenda)) < NEVER:
+            i = agenda.index(best)
+            if skips.next():
+                skipped.append((i, best))
+                agenda[i] = NEVER
+                continue
+            for place, value in skipped:
+                agenda[place] = value
+            skipped = []
+            joined = parts[i] + parts[i + 1]
+            parts[i : i + 2] = [joined]
+            del agenda[i]
+            if i:
+                agenda[i - 1] = rank.get(parts[i - 1] + joined, NEVER)
+            if i < len(agenda):
+                agenda[i] = rank.get(joined + parts[i + 1], NEVER)
+        return parts
+
+    def _long(self, unit: str, skips: _Skips) -> list[str]:
+        """The agenda as a heap over linked parts, in the same order; stale entries are passed over."""
         rank = self.rank
         parts: list[str | None] = list(unit)
         size = len(parts)
         after, before = list(range(1, size + 1)), list(range(-1, size - 1))
-        agenda = []
+        agenda: list[tuple[int, int, str, str]] = []
+
+        def propose(i: int, j: int) -> None:
+            joined = parts[i] + parts[j]
+            if joined in rank:
+                heappush(agenda, (rank[joined], i, joined, parts[i]))
+
         for i in range(size - 1):
-            found = rank.get(parts[i] + parts[i + 1])
-            if found:
-                agenda.append((found[0], i, parts[i] + parts[i + 1], parts[i]))
-        heapify(agenda)
-        limit, stream, drawn, refill = int(rate * 65536), b"", 0, 0
+            propose(i, i + 1)
         skipped: list[tuple] = []
         while agenda:
             top = heappop(agenda)
             _, i, joined, left = top
-            # Stale: one of the two has been merged since.
             j = after[i]
             if parts[i] != left or j >= size or left + parts[j] != joined:
                 continue
-            if limit:
-                if drawn == len(stream):
-                    name = b"%d:%d:" % (variant, refill) + unit.encode()
-                    stream, drawn, refill = blake2b(name, digest_size=64, key=key).digest(), 0, refill + 1
-                skip = stream[drawn] << 8 | stream[drawn + 1]
-                drawn += 2
-                if skip < limit:
-                    skipped.append(top)
-                    continue
+            if skips.next():
+                skipped.append(top)
+                continue
             parts[i], parts[j] = joined, None
             after[i] = after[j]
-            if after[j] < size:
-                before[after[j]] = i
-                found = rank.get(joined + parts[after[j]])
-                if found:
-                    heappush(agenda, (found[0], i, joined + parts[after[j]], joined))
-            if before[i] >= 0:
-                k = before[i]
-                found = rank.get(parts[k] + joined)
-                if found:
-                    heappush(agenda, (found[0], k, parts[k] + joined, parts[k]))
             for candidate in skipped:
                 heappush(agenda, candidate)
             skipped = []
-        ids: list[int] = []
-        for part in parts:
-            if part is not None:
-                known = rank.get(part)
-                if known:
-                    ids.append(known[1])
-                else:
-                    ids += [self.bytes_[b] for b in part.encode()]
-        return ids
+            if after[i] < size:
+                before[after[i]] = i
+                propose(i, after[i])
+            if before[i] >= 0:
+                propose(before[i], i)
+        return [p for p in parts if p is not None]
 
     def packed(self, unit: str, rate: float, key: bytes, variant: int) -> bytes:
         if unit == "▁":
@@ -137,15 +179,14 @@ class Pieces:
         units = UNITS.findall(" " + text)
         key = seed.to_bytes(8, "big", signed=True)
         variants = _spread(place, len(units)).tolist() if rate else [0] * len(units)
-        cache, out = self.cache, []
-        for unit, variant in zip(units, variants):
-            name = (unit, variant)
+        if len(self.cache) >= CACHED:
+            self.cache, self.older = {}, self.cache
+        cache, older, out = self.cache, self.older, []
+        for name in zip(units, variants):
             ids = cache.get(name)
             if ids is None:
-                ids = self.packed(unit, rate, key, variant)
-                if len(unit) <= CACHED_LENGTH:
-                    if len(cache) >= CACHED:
-                        cache.clear()
+                ids = older.get(name) or self.packed(name[0], rate, key, name[1])
+                if len(name[0]) <= CACHED_LENGTH and len(cache) < CACHED:
                     cache[name] = ids
             out.append(ids)
         return b"".join(out)

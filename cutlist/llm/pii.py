@@ -26,7 +26,7 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -177,13 +177,28 @@ def disclosing_terms(docs: DataFrame, rule: Disclosure = Disclosure(), text: str
     seen = staged(mentions(docs, rule, text))
     corpus = docs.agg(F.countDistinct(F.xxhash64(text)).alias("corpus"))
     entities = seen.groupBy("entity").agg(F.countDistinct("digest").alias("n_entity"))
-    near = seen.withColumn("context", F.xxhash64("terms")).select(
-        "digest", "entity", "context", F.explode(F.transform("terms", F.lower)).alias("term")
+    near = staged(
+        seen.withColumn("context", F.xxhash64("terms")).select(
+            "digest", "entity", "context", F.explode(F.transform("terms", F.lower)).alias("term")
+        )
     )
+    # Texts with the term near any entity are a lower bound of its texts, and so give an upper bound of what it
+    # discloses: common words end here, before they are looked up in the whole corpus.
+    least = near.groupBy("term").agg(F.countDistinct("digest").alias("n_least"))
+    information = F.log(F.col("corpus") / F.col("n_entity"))
+
+    def disclosure(n_term: str) -> Column:
+        mutual = F.log(F.col("n_both") * F.col("corpus") / (F.col("n_entity") * F.col(n_term)))
+        return F.when(information > 0, mutual / information).otherwise(0.0)
+
     pairs = staged(
         near.groupBy("entity", "term")
         .agg(F.countDistinct("digest").alias("n_both"), F.countDistinct("context").alias("contexts"))
         .where(F.col("contexts") >= rule.contexts)
+        .join(entities, "entity")
+        .join(least, "term")
+        .crossJoin(F.broadcast(corpus))  # one row
+        .where(disclosure("n_least") >= rule.generalise)
     )
     terms = F.explode(F.array_distinct(F.split(F.lower(text), BETWEEN_TERMS))).alias("term")
     holding = staged(
@@ -192,15 +207,7 @@ def disclosing_terms(docs: DataFrame, rule: Disclosure = Disclosure(), text: str
         .distinct()
     )
     counts = holding.groupBy("term").agg(F.count("*").alias("n_term"))
-    information = F.log(F.col("corpus") / F.col("n_entity"))
-    mutual = F.log(F.col("n_both") * F.col("corpus") / (F.col("n_entity") * F.col("n_term")))
-    scored = (
-        pairs.join(entities, "entity")
-        .join(counts, "term")
-        .crossJoin(F.broadcast(corpus))  # one row
-        .withColumn("disclosure", F.when(information > 0, mutual / information).otherwise(0.0))
-        .where(F.col("disclosure") >= rule.generalise)
-    )
+    scored = pairs.join(counts, "term").withColumn("disclosure", disclosure("n_term")).where(F.col("disclosure") >= rule.generalise)
     best = scored.groupBy("term").agg(
         F.max_by("entity", F.struct("disclosure", "entity")).alias("entity"), F.max("disclosure").alias("disclosure")
     )
