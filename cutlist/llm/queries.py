@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutlist.llm import graygroups, languages, mixing, pieces, pii, secrets, spans
+from cutlist.llm import graygroups, languages, mixing, ngrams, pieces, pii, secrets, spans
 from cutlist.llm.common import remainder, staged, table
 
 
@@ -18,6 +18,13 @@ def op5_family_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.predict(docs, model, keep=["doc_id"]).withColumn("held_out", held_out)
 
 
+def op6_bloom_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = remainder(F.col("doc_id"), 7) == 2
+    model = ngrams.train(docs.where(~held_out))
+    return ngrams.score(docs, model, keep=["doc_id"]).withColumn("held_out", held_out)
+
+
 def op7_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     # Texts are read once; what is staged is an id, a source, a size and a digest per document.
@@ -50,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_disclosure_pii": op2_disclosure_pii,
     "op3_trigram_secrets": op3_trigram_secrets,
     "op5_family_language": op5_family_language,
+    "op6_bloom_ngrams": op6_bloom_ngrams,
     "op7_pareto_mixing": op7_pareto_mixing,
     "op8_merge_dropout": op8_merge_dropout,
 }
