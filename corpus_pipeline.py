@@ -1,27 +1,70 @@
-"""Corpus pipeline over ``documents``: stages applied one after the other, each on all that the last one kept."""
+"""Corpus pipeline over ``documents``: stages applied one after the other, each on all that the last one kept.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``docs``. Columns
+that ``docs`` has besides those of documents pass through, whatever their names.
+
+Defined cases, beyond what the operators state: a null or letterless text is rejected by the first stage, so later
+ones see none of their own making; an empty table goes through as an empty table; repeated rows are near-duplicates of
+each other, so one of them stays; equal rows that the mix repeats are encoded alike.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cutlist.llm import mixing
+from cutlist.llm import graygroups, languages, mixing, pieces, secrets
 from cutlist.llm.common import staged, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop texts in no language and fill in the language where a document has none.
+
+    The model is learned from the documents' own labels. A text with letters is never dropped, however sure or unsure
+    its language is, unless there is no label to learn from at all.
+    """
+    columns = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    found = languages.predict(docs.select(*columns), languages.train(docs))
+    kept = found.where(F.col("lang_pred") != languages.UNDETERMINED)
+    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*columns)
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near-duplicates, the one with the smallest id."""
+    return graygroups.deduplicate(docs)
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace secrets in the texts; every document stays, and n_chars follows its text."""
+    found = secrets.redact(docs)
+    if "n_chars" not in docs.columns:
+        return found
+    return found.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat and thin out documents so that sources come near their target shares."""
     return mixing.expand(mixing.mix(mixing.measure(docs))).select(*docs.columns)
 
 
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of every document's text."""
+    return pieces.encode(docs, pieces.read_model(), keep=["doc_id", "lang", "source"])
+
+
 STAGES: list[tuple[str, Stage]] = [
-    ("mix", mix),
+    ("language_id", identify),
+    ("simhash_near_dedup", deduplicate),
+    ("secret_scan", redact),
+    ("source_mix", mix),
+    ("piece_encoding", encode),
 ]
 
-#: Nothing here can be said in SQL as a whole: the stages are tested against plain Python versions.
+#: The language and piece models cannot be said in SQL: the stages are tested against plain Python versions.
 ORACLE_SQL: str | None = None
 
 

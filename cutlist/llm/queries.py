@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutlist.llm import graygroups, languages, mixing, ngrams, pieces, pii, secrets, spans
+from cutlist.llm import curves, graygroups, languages, mixing, ngrams, pages, pieces, pii, secrets, spans, topk
 from cutlist.llm.common import remainder, staged, table
 
 
+def op4_layout_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages"), keep=["page_id"])
+
+
 def op5_family_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = remainder(F.col("doc_id"), 4) == 2
@@ -52,12 +56,23 @@ def op8_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), pieces.read_model(), keep=["doc_id"], check=True)
 
 
+def op9_histogram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op10_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curves.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_gray_simhash": op1_gray_simhash,
     "op2_disclosure_pii": op2_disclosure_pii,
     "op3_trigram_secrets": op3_trigram_secrets,
+    "op4_layout_text": op4_layout_text,
     "op5_family_language": op5_family_language,
     "op6_bloom_ngrams": op6_bloom_ngrams,
     "op7_pareto_mixing": op7_pareto_mixing,
     "op8_merge_dropout": op8_merge_dropout,
+    "op9_histogram_topk": op9_histogram_topk,
+    "op10_hilbert_neighbours": op10_hilbert_neighbours,
 }
