@@ -1,7 +1,7 @@
 """Corpus pipeline over ``documents``: stages applied one after the other, each on all that the last one kept.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``docs``. Columns
-that ``docs`` has besides those of documents pass through, whatever their names.
+that ``docs`` has besides those of documents pass through, whatever their names, up to the last stage.
 
 Defined cases, beyond what the operators state: a null or letterless text is rejected by the first stage, so later
 ones see none of their own making; an empty table goes through as an empty table; repeated rows are near-duplicates of
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cutlist.llm import graygroups, languages, mixing, pieces, secrets
-from cutlist.llm.common import staged, table
+from cutlist.llm.common import kept, staged, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -25,12 +25,19 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop texts in no language and fill in the language where a document has none.
 
     The model is learned from the documents' own labels. A text with letters is never dropped, however sure or unsure
-    its language is, unless there is no label to learn from at all.
+    its language is; without any label to learn from, languages stay as they are.
     """
-    columns = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    found = languages.predict(docs.select(*columns), languages.train(docs))
-    kept = found.where(F.col("lang_pred") != languages.UNDETERMINED)
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*columns)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    at = dict(zip(docs.columns, names))
+    model = languages.train(docs)
+    # Under plain names, so that a column of docs named like an added one stays.
+    found = languages.predict(docs.toDF(*names), model, text=at["text"])
+    if model.languages:
+        found = found.where(F.col("lang_pred") != languages.UNDETERMINED)
+        found = found.withColumn(at["lang"], F.coalesce(at["lang"], "lang_pred"))
+    else:
+        found = found.where(F.col(at["text"]).rlike(r"\p{L}"))
+    return found.select(*names).toDF(*docs.columns)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +55,12 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat and thin out documents so that sources come near their target shares."""
-    return mixing.expand(mixing.mix(mixing.measure(docs))).select(*docs.columns)
+    others = kept(docs, None, mixing.ADDED)
+    if others == docs.columns:
+        return mixing.expand(mixing.mixed(docs))
+    # Columns named like the mix's own go through under other names.
+    names = [f"_own{i}" if c not in others else c for i, c in enumerate(docs.columns)]
+    return mixing.expand(mixing.mixed(docs.toDF(*names))).toDF(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

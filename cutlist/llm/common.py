@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +43,26 @@ def drop_staged(spark: SparkSession) -> None:
     path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def quoted(name: str) -> Column:
+    """A top-level column, whatever characters its name has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def kept(df: DataFrame, keep: Sequence[str] | None, added: Sequence[str]) -> list[str]:
+    """The columns to pass through: ``keep`` or all, without those that the added ones replace in any case."""
+    replaced = {a.lower() for a in added}
+    return [c for c in (df.columns if keep is None else keep) if c.lower() not in replaced]
+
+
+def carried(columns: Sequence[str]) -> list[Column]:
+    """Columns under names that no operator uses itself; ``restored`` gives them their own back."""
+    return [quoted(c).alias(f"_carried{i}") for i, c in enumerate(columns)]
+
+
+def restored(columns: Sequence[str]) -> list[Column]:
+    return [F.col(f"_carried{i}").alias(c) for i, c in enumerate(columns)]
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z only, whatever the locale and whatever other letters there are."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cutlist.llm.common import staged
+from cutlist.llm.common import carried, kept, quoted, restored, staged
 
 #: Fingerprints that differ in at most this many bits are linked.
 DISTANCE = 2
@@ -92,9 +92,9 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(prints.view(np.int64))], names=[*batch.schema.names[:-1], "_print"])
 
 
-def fingerprints(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
+def fingerprints(docs: DataFrame, text: Column, keep: list[Column]) -> DataFrame:
     """The columns ``keep`` with ``_print``, the fingerprint as a signed long."""
-    chosen = docs.select(*keep, F.col(text).alias("_text"))
+    chosen = docs.select(*keep, text.alias("_text"))
     schema = chosen.drop("_text").schema.add("_print", "long")
     return chosen.mapInArrow(_fingerprints, schema)
 
@@ -303,21 +303,20 @@ def _grouped(rows: DataFrame, order: Column) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (all, by default) of ``docs`` with ``fingerprint`` and ``component_id``."""
-    columns = [c for c in (docs.columns if keep is None else keep) if c not in ADDED]
-    extra = [] if doc_id in columns else [doc_id]
-    rows = staged(fingerprints(docs, text, [*columns, *extra]))
-    groups = _grouped(rows, F.col(doc_id))
-    joined = rows.join(groups, F.col("_print") == F.col("_key"))
-    return joined.select(
-        *columns, F.lower(F.lpad(F.hex("_print"), 16, "0")).alias("fingerprint"), F.col("_first").alias("component_id")
-    )
+    columns = kept(docs, keep, ADDED)
+    rows = staged(fingerprints(docs, quoted(text), [*carried(columns), quoted(doc_id).alias("_id")]))
+    joined = rows.join(_grouped(rows, F.col("_id")), F.col("_print") == F.col("_key"))
+    shown = F.lower(F.lpad(F.hex("_print"), 16, "0")).alias("fingerprint")
+    return joined.select(*restored(columns), shown, F.col("_first").alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row of each component: the one with the smallest non-null id, of equal ones the first as stored."""
-    numbered = staged(docs.withColumn("_row", F.monotonically_increasing_id()))
-    rows = staged(fingerprints(numbered, text, [doc_id, "_row"]))
-    order = F.struct(F.col(doc_id).isNull().alias("unknown"), F.col(doc_id).alias("id"), F.col("_row").alias("row"))
-    groups = _grouped(rows, order)
-    others = rows.join(groups, F.col("_print") == F.col("_key")).where(F.col("_row") != F.col("_first.row"))
-    return numbered.join(staged(others.select("_row")), "_row", "left_anti").select(*docs.columns)
+    columns = docs.columns
+    of = dict(zip(columns, range(len(columns))))
+    numbered = staged(docs.select(*carried(columns), F.monotonically_increasing_id().alias("_row")))
+    value, name = F.col(f"_carried{of[text]}"), F.col(f"_carried{of[doc_id]}")
+    rows = staged(fingerprints(numbered, value, [name.alias("_id"), F.col("_row")]))
+    order = F.struct(F.col("_id").isNull().alias("unknown"), F.col("_id").alias("id"), F.col("_row").alias("row"))
+    others = rows.join(_grouped(rows, order), F.col("_print") == F.col("_key")).where(F.col("_row") != F.col("_first.row"))
+    return numbered.join(staged(others.select("_row")), "_row", "left_anti").select(*restored(columns))

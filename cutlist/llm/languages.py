@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from cutlist.llm.common import carried, kept, quoted, restored
 from cutlist.llm.spans import chunks
 from cutlist.llm.trigrams import lower_bytes
 
@@ -169,8 +170,8 @@ def train(
     labelled: DataFrame, per_language: int = PER_LANGUAGE, text: str = "text", lang: str = "lang", doc_id: str = "doc_id"
 ) -> Model:
     """A model from the labelled texts; the id only helps to choose the sample of each language."""
-    pick = F.xxhash64(F.lit(5), F.col(doc_id).cast("string"), F.col(text)).alias("pick")
-    usable = labelled.select(F.col(lang).alias("lang"), pick, F.col(text).alias("text")).where(
+    pick = F.xxhash64(F.lit(5), quoted(doc_id).cast("string"), quoted(text)).alias("pick")
+    usable = labelled.select(quoted(lang).alias("lang"), pick, quoted(text).alias("text")).where(
         F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")
     )
     counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}  # one row per language
@@ -211,8 +212,9 @@ def train(
 
 def predict(docs: DataFrame, model: Model, text: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
     """The columns ``keep`` (all, by default) of ``docs`` with ``lang_pred`` and ``score``."""
-    columns = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
-    schema = T.StructType([docs.schema[c] for c in columns]).add("lang_pred", "string").add("score", "double")
+    columns = kept(docs, keep, ["lang_pred", "score"])
+    inner = docs.select(*carried(columns), quoted(text).alias("_text"))
+    schema = T.StructType(inner.drop("_text").schema.fields).add("lang_pred", "string").add("score", "double")
     arrow, at = to_arrow_schema(schema), len(columns)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -223,4 +225,4 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: Sequence[st
                 made = [*batch.columns[:at], pa.array(names, pa.string()), pa.array(scores, pa.float64())]
                 yield pa.RecordBatch.from_arrays(made, schema=arrow)
 
-    return docs.select(*columns, F.col(text).alias("_text")).mapInArrow(task, schema)
+    return inner.mapInArrow(task, schema).select(*restored(columns), "lang_pred", "score")

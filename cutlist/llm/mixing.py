@@ -13,7 +13,7 @@ which the target is reached is found among these sums, and only its documents ar
 Defined cases: a null or blank text has size 0 and is taken 0 times. A null source is a source of its own,
 last in order. Rows with equal ids are separate documents. An empty table gives an empty mix. Equal ranks are
 ordered by id, size and text hash; rows equal in all of these are interchangeable. Columns of any other name
-pass through ``mix`` untouched; ``size``, ``source_size``, ``target``, ``copies`` and ``taken`` are replaced.
+pass through; ``size``, ``source_size``, ``target``, ``copies`` and ``taken`` are replaced.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cutlist.llm.common import WORD, staged
+from cutlist.llm.common import WORD, carried, kept, quoted, restored, staged
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (1, 2, 3)
@@ -68,14 +68,14 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: flo
     return flow.select("source", "source_size", target.alias("target"))
 
 
-def _plan(measured: DataFrame, source: str, weights: Sequence[int], most: float) -> DataFrame:
+def _plan(measured: DataFrame, weights: Sequence[int], most: float) -> DataFrame:
     """One row per source: words, target, whole copies, the remainder's words and its inclusion scale.
 
     p = min(1, scale / sqrt(size)) adds up to the remainder in expected words. The sizes for which p is 1 are
     the smallest ones; the scale is the one that the first size outside them gives. The windows see one row per
     source and distinct size.
     """
-    counts = staged(measured.groupBy(F.col(source).alias("source"), "size").agg(F.count("*").alias("documents")))
+    counts = staged(measured.groupBy(F.col("_origin").alias("source"), "size").agg(F.count("*").alias("documents")))
     sizes = counts.groupBy("source").agg(F.sum(F.col("size") * F.col("documents")).alias("source_size"))
     rate = F.when(F.col("_words") > 0, F.col("_target") / F.col("_words")).otherwise(0.0)
     targets = (
@@ -106,12 +106,13 @@ def uniform(seed: int, doc_id: Column, digest: Column) -> Column:
     return (bits + 0.5) / float(1 << 52)
 
 
-def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``size`` and ``_digest``, all that ``mix`` needs to know of a text."""
-    known = docs.drop(*ADDED, "_digest")
-    return known.withColumns(
-        {"size": words(F.col(text)), "_digest": F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))}
-    )
+def measure(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
+    """All that ``mix`` needs of a document beside its carried columns: _id, _origin, size and _digest."""
+    value = quoted(text)
+    return docs.select(
+        *carried(kept(docs, None, ADDED)), quoted(doc_id).alias("_id"), quoted(source).alias("_origin"),
+        words(value).alias("size"), F.md5(F.coalesce(value, F.lit("")).cast("binary")).alias("_digest"),
+    )
 
 
 def mix(
@@ -120,21 +121,19 @@ def mix(
     seed: int = 7,
     most: int = MOST_COPIES,
     ranges: int = RANGES,
-    source: str = "source",
-    doc_id: str = "doc_id",
+    columns: Sequence[str] = (),
 ) -> DataFrame:
-    """A measured table with source_size, target, copies and taken (words, repeats counted).
+    """``columns``, the names of the carried ones, with size, source_size, target, copies and taken (words).
 
-    ``copies`` says how often a document enters the mix; ``expand`` repeats the rows. ``measured`` is read
-    twice: once for sums by source and size, once for the decisions.
+    ``copies`` says how often a document enters the mix; ``expand`` repeats the rows. ``measured``, or a stored
+    selection of its columns, is read twice: once for sums by source and size, once for the decisions.
     """
-    kept = [c for c in measured.columns if c not in ADDED and not c.startswith("_")]
-    plan = staged(_plan(measured, source, weights, most))
+    plan = staged(_plan(measured, weights, most))
     p = F.least(F.lit(1.0), F.col("_scale") / F.sqrt("size"))
-    u = uniform(seed, F.col(doc_id), F.col("_digest"))
+    u = uniform(seed, F.col("_id"), F.col("_digest"))
     odds = F.when(p >= 1, 0.0).when(p <= 0, float("inf")).otherwise(u / (1 - u) * (1 - p) / p)
     ranked = (
-        measured.join(plan, F.col(source).eqNullSafe(F.col("_source")))
+        measured.join(plan, F.col("_origin").eqNullSafe(F.col("_source")))
         .withColumn("_rank", F.when(F.col("size") > 0, odds))
         # Odds in (0, inf) go to (0, 1): as even as the random numbers, so ranges hold like shares of a source.
         .withColumn("_range", F.least(F.floor(F.col("_rank") / (1 + F.col("_rank")) * ranges), F.lit(ranges - 1)))
@@ -152,7 +151,7 @@ def mix(
     marked = ranked.join(staged(sums), F.col("_source").eqNullSafe(F.col("_s")), "left")
     at = F.coalesce(F.col("_range") == F.col("_at"), F.lit(False))
     # Only the range in which a source reaches its target is ordered; all other rows are decided by their range.
-    inside = Window.partitionBy("_source").orderBy("_rank", doc_id, "size", "_digest")
+    inside = Window.partitionBy("_source").orderBy("_rank", "_id", "size", "_digest")
     running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     edge = (
         marked.where(at)
@@ -165,12 +164,17 @@ def mix(
     rest = marked.where(~at).withColumn("_one", F.coalesce(below, F.lit(False)).cast("long"))
     copies = F.when(F.col("size") > 0, F.least(F.col("_whole") + F.col("_one"), F.lit(most))).otherwise(0)
     return rest.unionByName(edge).select(
-        *kept, "size", F.col("_words").alias("source_size"), F.round("_target", 6).alias("target"),
+        *restored(columns), "size", F.col("_words").alias("source_size"), F.round("_target", 6).alias("target"),
         copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"),
     )
 
 
 def expand(mixed: DataFrame) -> DataFrame:
     """One row per copy that the mix takes, without the columns that ``mix`` has added."""
-    times = F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("_copy")
-    return mixed.select("*", times).drop("_copy", *ADDED)
+    times = F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))
+    return mixed.select(*[quoted(c) for c in kept(mixed, None, ADDED)], times.alias("copies")).drop("copies")
+
+
+def mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, seed: int = 7, most: int = MOST_COPIES) -> DataFrame:
+    """``docs`` with the mix's columns; its texts are read twice."""
+    return mix(measure(docs), weights, seed, most, columns=kept(docs, None, ADDED))

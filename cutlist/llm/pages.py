@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from cutlist.llm.common import carried, kept, quoted, restored
+
 DEPTH = 200
 #: Columns of a table beyond this many are written without alignment.
 GRID = 200
@@ -433,8 +435,9 @@ def render(html: str) -> str:
 
 def extract(pages: DataFrame, html: str = "html", to: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
     """The columns ``keep`` (all, by default) of ``pages`` with the visible text of ``html``."""
-    columns = [c for c in (pages.columns if keep is None else keep) if c != to]
-    schema = T.StructType([pages.schema[c] for c in columns]).add(to, "string")
+    columns = kept(pages, keep, [to])
+    inner = pages.select(*carried(columns), quoted(html).alias("_html"))
+    schema = T.StructType(inner.drop("_html").schema.fields).add("_text", "string")
     arrow, at = to_arrow_schema(schema), len(columns)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -442,4 +445,4 @@ def extract(pages: DataFrame, html: str = "html", to: str = "text", keep: Sequen
             texts = [None if x.as_py() is None else render(x.as_py()) for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(texts, pa.string())], schema=arrow)
 
-    return pages.select(*columns, F.col(html).alias("_html")).mapInArrow(task, schema)
+    return inner.mapInArrow(task, schema).select(*restored(columns), F.col("_text").alias(to))

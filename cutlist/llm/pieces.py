@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from cutlist.llm.common import carried, kept, quoted, restored
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Hash streams among which the occurrences of a unit are spread.
 VARIANTS = 4
@@ -237,11 +239,12 @@ def encode(
     With ``check`` a column ``lossless`` says whether the ids decode to the text.
     """
     added = [*_ADDED, *(["lossless"] if check else [])]
-    columns = [c for c in (docs.columns if keep is None else keep) if c not in added]
-    schema = T.StructType([docs.schema[c] for c in columns]).add("ids", T.ArrayType(T.IntegerType())).add("n_pieces", "long")
+    columns = kept(docs, keep, added)
+    place = F.xxhash64(F.lit(seed), F.coalesce(quoted(key).cast("string"), F.lit("")))
+    inner = docs.select(*carried(columns), quoted(text).alias("_text"), place.alias("_place"))
+    schema = T.StructType(inner.schema.fields[: len(columns)]).add("ids", T.ArrayType(T.IntegerType())).add("n_pieces", "long")
     schema = schema.add("lossless", "boolean") if check else schema
     arrow, at = to_arrow_schema(schema), len(columns)
-    place = F.xxhash64(F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("")))
     model = docs.sparkSession.sparkContext.broadcast(proto)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,13 +275,14 @@ def encode(
                     yield pa.RecordBatch.from_arrays(made, schema=arrow)
                     begin, packed, held, same = row + 1, [], 0, []
 
-    return docs.select(*columns, F.col(text).alias("_text"), place.alias("_place")).mapInArrow(task, schema)
+    return inner.mapInArrow(task, schema).select(*restored(columns), *added)
 
 
 def decode(encoded: DataFrame, proto: bytes, ids: str = "ids", text: str = "text") -> DataFrame:
     """``encoded`` with the exact ``text`` that its ids stand for."""
-    columns = [c for c in encoded.columns if c != text]
-    schema = T.StructType([encoded.schema[c] for c in columns]).add(text, "string")
+    columns = kept(encoded, None, [text])
+    inner = encoded.select(*carried(columns), quoted(ids).alias("_ids"))
+    schema = T.StructType(inner.drop("_ids").schema.fields).add("_text", "string")
     arrow, at = to_arrow_schema(schema), len(columns)
     model = encoded.sparkSession.sparkContext.broadcast(proto)
 
@@ -288,4 +292,4 @@ def decode(encoded: DataFrame, proto: bytes, ids: str = "ids", text: str = "text
             texts = [None if x.as_py() is None else pieces.decode(x.as_py()) for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(texts, pa.string())], schema=arrow)
 
-    return encoded.select(*columns, F.col(ids).alias("_ids")).mapInArrow(task, schema)
+    return inner.mapInArrow(task, schema).select(*restored(columns), F.col("_text").alias(text))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from cutlist.llm.common import staged
+from cutlist.llm.common import carried, kept, quoted, restored, staged
 from cutlist.llm.spans import SPANS, redacted, span_array
 
 KINDS = ("email", "ip", "card", "phone")
@@ -228,43 +228,37 @@ def all_spans(text: str, kinds: dict[str, str]) -> list[tuple[str, int, int]]:
     return sorted([*base, *own], key=lambda s: (s[1], order[s[0]]))
 
 
-def _run(docs: DataFrame, rule: Disclosure, text: str, columns: list[str], schema: T.StructType, emit: Callable):
-    flagged, holding = disclosing_terms(docs, rule, text)
-    by_text = staged(
-        holding.join(flagged, "term").groupBy("digest").agg(F.map_from_entries(F.collect_set(F.struct("term", "kind"))).alias("_kinds"))
-    )
-    needed = docs.select(*columns, F.col(text).alias("_text"), F.xxhash64(text).alias("digest_of_text"))
+def _run(docs: DataFrame, rule: Disclosure, text: str, columns: Sequence[str], emit: Callable, last: T.DataType) -> DataFrame:
+    """The carried columns and one more, which ``emit`` makes of texts and their spans."""
+    inner = docs.select(*carried(columns), quoted(text).alias("_text"), F.xxhash64(quoted(text)).alias("_digest"))
+    flagged, holding = disclosing_terms(inner.select("_text"), rule, "_text")
+    kinds = F.map_from_entries(F.collect_set(F.struct("term", "kind"))).alias("_kinds")
+    by_text = staged(holding.join(flagged, "term").groupBy("digest").agg(kinds))
     # Mostly few texts hold such a term; Spark broadcasts the table only if its measured size allows that.
-    told = needed.join(by_text, F.col("digest_of_text") == F.col("digest"), "left").select(*columns, "_text", "_kinds")
+    told = inner.join(by_text, F.col("_digest") == F.col("digest"), "left").drop("_digest", "digest")
+    at = len(columns)
+    schema = T.StructType(told.schema.fields[:at]).add("_made", last)
     arrow = to_arrow_schema(schema)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, kinds = batch.column(len(columns)), batch.column(len(columns) + 1)
+            texts, kinds = batch.column(at), batch.column(at + 1)
             listed = [all_spans(t.as_py() or "", dict(k.as_py() or ())) for t, k in zip(texts, kinds)]
-            yield pa.RecordBatch.from_arrays(emit(batch, listed), schema=arrow)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], emit(texts, listed)], schema=arrow)
 
     return told.mapInArrow(task, schema)
 
 
 def find(docs: DataFrame, rule: Disclosure = Disclosure(), text: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
     """The columns ``keep`` (all, by default) of ``docs`` with ``spans``: base kinds and disclosing terms."""
-    columns = [c for c in (docs.columns if keep is None else keep) if c != "spans"]
-    schema = T.StructType([docs.schema[c] for c in columns] + [T.StructField("spans", SPANS)])
-
-    def emit(batch: pa.RecordBatch, listed: list) -> list[pa.Array]:
-        return [batch.column(i) for i in range(len(columns))] + [span_array(listed)]
-
-    return _run(docs, rule, text, columns, schema, emit)
+    columns = kept(docs, keep, ["spans"])
+    made = _run(docs, rule, text, columns, lambda texts, listed: span_array(listed), SPANS)
+    return made.select(*restored(columns), F.col("_made").alias("spans"))
 
 
 def sanitise(docs: DataFrame, rule: Disclosure = Disclosure(), text: str = "text") -> DataFrame:
     """``docs`` with found values and general terms replaced by ``[kind]`` and the most telling terms removed."""
-    at = docs.columns.index(text)
-
-    def emit(batch: pa.RecordBatch, listed: list) -> list[pa.Array]:
-        columns = [batch.column(i) for i in range(len(docs.columns))]
-        columns[at] = redacted(columns[at], listed, lambda kind: "" if kind == REMOVED else f"[{kind}]")
-        return columns
-
-    return _run(docs, rule, text, docs.columns, docs.schema, emit)
+    others = [c for c in docs.columns if c != text]
+    mark = lambda kind: "" if kind == REMOVED else f"[{kind}]"
+    made = _run(docs, rule, text, others, lambda texts, listed: redacted(texts, listed, mark), T.StringType())
+    return made.select(*restored(others), F.col("_made").alias(text)).select(*[quoted(c) for c in docs.columns])

@@ -31,9 +31,12 @@ def op6_bloom_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    names = ["doc_id", "source"]
     # Texts are read once; what is staged is an id, a source, a size and a digest per document.
-    measured = staged(mixing.measure(docs).drop("text"))
-    return mixing.mix(measured).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+    measured = mixing.measure(docs).drop("_carried2")
+    return mixing.mix(staged(measured), columns=names).select(
+        "doc_id", "size", "source_size", "target", "taken", "source", "copies"
+    )
 
 
 def op1_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

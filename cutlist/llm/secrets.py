@@ -18,9 +18,11 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from cutlist.llm.common import carried, kept, quoted, restored
 from cutlist.llm.spans import SPANS, chunks, redacted, span_array
 from cutlist.llm.trigrams import EVERY, Index, derive, named
 
@@ -82,34 +84,35 @@ def _scan(batches: Iterator[pa.RecordBatch], rules: Sequence[Rule], column: int,
             yield pa.RecordBatch.from_arrays(emit(batch, listed), schema=schema)
 
 
-def _run(docs: DataFrame, rules: Sequence[Rule], text: str, columns: Sequence[str], schema: T.StructType, emit: Callable):
-    needed = docs.select(*columns, *([] if text in columns else [text]))
-    at, arrow = needed.columns.index(text), to_arrow_schema(schema)
+def _run(inner: DataFrame, rules: Sequence[Rule], schema: T.StructType, emit: Callable) -> DataFrame:
+    """``inner`` has the texts in its last column."""
+    arrow, at = to_arrow_schema(schema), len(inner.columns) - 1
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _scan(batches, rules, at, arrow, emit)
 
-    return needed.mapInArrow(task, schema)
+    return inner.mapInArrow(task, schema)
 
 
 def scan(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
     """The columns ``keep`` (all, by default) of ``docs`` with ``spans``: kind, start, stop by start, then rule order."""
-    columns = [c for c in (docs.columns if keep is None else keep) if c != "spans"]
-    schema = T.StructType([docs.schema[c] for c in columns] + [T.StructField("spans", SPANS)])
+    columns = kept(docs, keep, ["spans"])
+    inner = docs.select(*carried(columns), quoted(text).alias("_text"))
+    schema = T.StructType(inner.drop("_text").schema.fields).add("spans", SPANS)
 
     def emit(batch: pa.RecordBatch, listed: list[list]) -> list[pa.Array]:
-        return [batch.column(i) for i in range(len(columns))] + [span_array(listed)]
+        return [*batch.columns[:-1], span_array(listed)]
 
-    return _run(docs, rules, text, columns, schema, emit)
+    return _run(inner, rules, schema, emit).select(*restored(columns), "spans")
 
 
 def redact(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text") -> DataFrame:
     """``docs`` with every span of ``text`` replaced by ``[kind]``; texts without spans, null too, stay as they are."""
-    at = docs.columns.index(text)
+    others = [c for c in docs.columns if c != text]
+    inner = docs.select(*carried(others), quoted(text).alias("_text"))
 
     def emit(batch: pa.RecordBatch, listed: list[list]) -> list[pa.Array]:
-        columns = list(batch.columns)
-        columns[at] = redacted(columns[at], listed, lambda kind: f"[{kind}]")
-        return columns
+        return [*batch.columns[:-1], redacted(batch.column(batch.num_columns - 1), listed, lambda kind: f"[{kind}]")]
 
-    return _run(docs, rules, text, docs.columns, docs.schema, emit)
+    made = _run(inner, rules, inner.schema, emit).select(*restored(others), F.col("_text").alias(text))
+    return made.select(*[quoted(c) for c in docs.columns])
