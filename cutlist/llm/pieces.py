@@ -1,14 +1,14 @@
 """Encoding with a public merge-type piece model under seeded merge-dropout, and lossless decoding.
 
 Encoding processes an agenda of candidate merges, best score first. Each candidate that comes up is skipped if
-the keyed hash of its unit and variant says so; skipped ones return to the agenda after the next merge. The hash is
-BLAKE2b under the seed, so an encoding depends on nothing but text, seed, rate and key: any task on any
-executor makes the same one again. With rate 0 the result is the model's own segmentation.
+the hash of its unit and variant, keyed by the seed, says so; skipped ones return to the agenda after the next
+merge. An encoding depends on nothing but text, seed, rate and key: any task on any executor makes the same
+one again. With rate 0 the result is the model's own segmentation.
 
 Texts are cut into units before blanks, at line feeds and at literal U+2581, none of which lies inside a piece, and
 each occurrence of a unit has one of ``VARIANTS`` hash streams, chosen by the document's key and the occurrence's
 place. A segmentation is computed once per unit and variant while it is in the worker's cache, whose size is
-bounded; only time depends on the cache.
+bounded; only time depends on the cache. New units are segmented together, as rows of arrays.
 
 Characters outside the vocabulary become byte pieces, and so does a literal U+2581, which stands for a blank in
 pieces. Decoding joins the pieces' bytes, and so returns every text exactly.
@@ -22,18 +22,20 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
-from hashlib import blake2b
 from heapq import heappop, heappush
+from itertools import islice
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from cutlist.llm.common import carried, kept, quoted, restored
+from cutlist.llm.spans import chunks
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Hash streams among which the occurrences of a unit are spread.
@@ -41,41 +43,54 @@ VARIANTS = 4
 #: Segmentations that a worker keeps: as many again that were used before the newest ones filled up.
 CACHED = 300_000
 CACHED_LENGTH = 48
-#: Units up to this length have a list as agenda, longer ones a heap.
-SHORT = 64
+#: Units whose segmentations are looked up together, and of the new ones the rows of one matrix.
+GROUP = 400_000
+#: Bytes of text that are encoded together.
+BLOCK = 2 << 20
+ROWS = 8192
+#: Longer units have an agenda of their own.
+SHORT = 24
 NEVER = 1 << 60
+_MASK, _STREAM, _STEP = (1 << 64) - 1, 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
 UNITS = re.compile(r" *[^ \n▁]+| +|[\n▁]")
 _ADDED = ("ids", "n_pieces")
 
 
-class _Skips:
-    """The decisions for one unit: two bytes each of a keyed hash, in the order in which candidates come up."""
+def _draw(unit: int, variant: int, nth: int) -> int:
+    """The nth 64 random bits of a unit's stream; ``unit`` is its keyed hash."""
+    return int(_mixed(np.array([(unit + variant * _STREAM + nth * _STEP) & _MASK], np.uint64))[0])
 
-    def __init__(self, unit: str, rate: float, key: bytes, variant: int):
-        self.limit, self.key, self.drawn, self.refill = int(rate * 65536), key, 0, 0
-        self.name, self.stream = (b"%d:" % variant + unit.encode()) if self.limit else b"", b""
 
-    def next(self) -> bool:
-        if not self.limit:
-            return False
-        at = self.drawn % 64
-        if not at:
-            self.stream = blake2b(b"%d:" % self.refill + self.name, digest_size=64, key=self.key).digest()
-            self.refill += 1
-        self.drawn += 2
-        return (self.stream[at] << 8 | self.stream[at + 1]) < self.limit
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _spread(place: int, start: int, size: int) -> np.ndarray:
+    """A variant for each place in a document, by a hash of document and place."""
+    return (_mixed(np.arange(start, start + size, dtype=np.uint64) + np.uint64(place & _MASK)) % np.uint64(VARIANTS)).astype(np.int64)
 
 
-@dataclass
 class Pieces:
     """The vocabulary of a merge-type model; ``rank`` orders merges, best first."""
 
-    rank: dict[str, int]
-    id: dict[str, int]
-    bytes_: list[int]
-    surface: list[bytes]
-    cache: dict = field(default_factory=dict)
-    older: dict = field(default_factory=dict)
+    def __init__(self, scores: dict[str, float], ids: dict[str, int], byte_ids: list[int], surface: list[bytes]):
+        self.id, self.bytes_, self.surface = ids, byte_ids, surface
+        places = {v: n for n, v in enumerate(sorted(set(scores.values())))}
+        self.rank = {p: places[v] for p, v in scores.items()}
+        self.cache: dict[tuple[str, int], bytes] = {}
+        self.older: dict[tuple[str, int], bytes] = {}
+        # The same as arrays: pieces of one character by code point, and merges by their two halves.
+        self._letter = np.full(1 << 16, -1, np.int64)
+        merges = []
+        for piece, i in ids.items():
+            if len(piece) == 1 and ord(piece) < len(self._letter):
+                self._letter[ord(piece)] = i
+            halves = ((ids.get(piece[:n]), ids.get(piece[n:])) for n in range(1, len(piece)))
+            merges += [(a << 32 | b, self.rank[piece], i) for a, b in halves if a is not None and b is not None]
+        table = np.array(sorted(merges), np.int64).reshape(-1, 3)
+        self._pairs, self._ranks, self._made = table[:, 0].copy(), table[:, 1].copy(), table[:, 2].copy()
 
     @classmethod
     def load(cls, proto: bytes) -> Pieces:
@@ -94,47 +109,17 @@ class Pieces:
                 surface.append(piece.replace("▁", " ").encode())
                 if not model.is_unused(i):
                     scores[piece], ids[piece] = -model.get_score(i), i
-        places = {v: n for n, v in enumerate(sorted(set(scores.values())))}
-        return cls({p: places[v] for p, v in scores.items()}, ids, byte_ids, surface)
+        return cls(scores, ids, byte_ids, surface)
 
-    def segment(self, unit: str, rate: float, key: bytes, variant: int) -> list[int]:
-        """Piece ids of one unit, whose blanks are written U+2581."""
-        skips = _Skips(unit, rate, key, variant)
-        parts = self._short(unit, skips) if len(unit) <= SHORT else self._long(unit, skips)
-        ids: list[int] = []
-        for part in parts:
-            if part in self.id:
-                ids.append(self.id[part])
-            else:
-                ids += [self.bytes_[b] for b in part.encode()]
-        return ids
+    # One unit
 
-    def _short(self, unit: str, skips: _Skips) -> list[str]:
-        """The agenda as a list with one place per pair: its least entry, leftmost first, is the next candidate."""
-        rank, parts = self.rank, list(unit)
-        agenda = [rank.get(a + b, NEVER) for a, b in zip(parts, parts[1:])]
-        skipped: list[tuple[int, int]] = []
-        while agenda and (best := min(agenda)) < NEVER:
-            i = agenda.index(best)
-            if skips.next():
-                skipped.append((i, best))
-                agenda[i] = NEVER
-                continue
-            for place, value in skipped:
-                agenda[place] = value
-            skipped = []
-            joined = parts[i] + parts[i + 1]
-            parts[i : i + 2] = [joined]
-            del agenda[i]
-            if i:
-                agenda[i - 1] = rank.get(parts[i - 1] + joined, NEVER)
-            if i < len(agenda):
-                agenda[i] = rank.get(joined + parts[i + 1], NEVER)
-        return parts
-
-    def _long(self, unit: str, skips: _Skips) -> list[str]:
-        """The agenda as a heap over linked parts, in the same order; stale entries are passed over."""
-        rank = self.rank
+    def segment(self, unit: str, rate: float, seed: int, variant: int) -> list[int]:
+        """Piece ids of one unit, whose blanks are written U+2581, by an agenda that is a heap.
+
+        Entries whose parts have been merged since are passed over.
+        """
+        rank, limit = self.rank, int(rate * 2**64)
+        key, drawn = xxhash.xxh64_intdigest(unit.encode(), seed & _MASK), 0
         parts: list[str | None] = list(unit)
         size = len(parts)
         after, before = list(range(1, size + 1)), list(range(-1, size - 1))
@@ -154,9 +139,11 @@ class Pieces:
             j = after[i]
             if parts[i] != left or j >= size or left + parts[j] != joined:
                 continue
-            if skips.next():
-                skipped.append(top)
-                continue
+            if limit:
+                drawn += 1
+                if _draw(key, variant, drawn) < limit:
+                    skipped.append(top)
+                    continue
             parts[i], parts[j] = joined, None
             after[i] = after[j]
             for candidate in skipped:
@@ -167,45 +154,167 @@ class Pieces:
                 propose(i, after[i])
             if before[i] >= 0:
                 propose(before[i], i)
-        return [p for p in parts if p is not None]
-
-    def packed(self, unit: str, rate: float, key: bytes, variant: int) -> bytes:
-        if unit == "▁":
-            return np.array([self.bytes_[b] for b in unit.encode()], np.int32).tobytes()
-        return np.array(self.segment(unit.replace(" ", "▁"), rate, key, variant), np.int32).tobytes()
-
-    def encode(self, text: str, rate: float, seed: int, place: int) -> bytes:
-        """Ids of a text as packed 32-bit integers; ``place`` stands for the document."""
-        if not text:
-            return b""
-        units = UNITS.findall(" " + text)
-        key = seed.to_bytes(8, "big", signed=True)
-        variants = _spread(place, len(units)).tolist() if rate else [0] * len(units)
+        ids: list[int] = []
+        for part in parts:
+            if part is not None:
+                ids += [self.id[part]] if part in self.id else [self.bytes_[b] for b in part.encode()]
+        return ids
+
+    # Many units
+
+    def _merges(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Row of the merge table for each pair of ids, -1 where they do not merge or one is missing."""
+        pair = left << 32 | right
+        at = np.minimum(np.searchsorted(self._pairs, pair), len(self._pairs) - 1)
+        return np.where((left >= 0) & (right >= 0) & (self._pairs[at] == pair), at, -1)
+
+    def _agenda(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        at = self._merges(left, right)
+        return np.where(at >= 0, self._ranks[at], NEVER)
+
+    def segment_many(self, units: Sequence[str], variants: Sequence[int], rate: float, seed: int) -> list[bytes]:
+        """Packed ids of many units, as ``segment`` gives them: their agendas are the rows of one matrix.
+
+        Every round takes the best entry of each row, leftmost first, and either skips it, which hides it until the
+        row's next merge, or merges. Units that are long or hold a character outside the vocabulary go one by one.
+        """
+        out: list[bytes | None] = [None] * len(units)
+        sizes = np.array([len(u) for u in units], np.int64)
+        points = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
+        letters = np.where(points < len(self._letter), self._letter[np.minimum(points, len(self._letter) - 1)], -1)
+        starts = np.cumsum(sizes) - sizes
+        unknown = np.add.reduceat(letters < 0, starts) > 0 if len(units) else np.zeros(0, bool)
+        for i in np.flatnonzero(unknown | (sizes > SHORT)):
+            out[i] = np.array(self.segment(units[i], rate, seed, variants[i]), np.int32).tobytes()
+        plain = np.flatnonzero(~unknown & (sizes <= SHORT))
+        plain = plain[np.argsort(sizes[plain], kind="stable")]
+        for at in range(0, len(plain), ROWS):
+            rows = plain[at : at + ROWS]
+            width = int(sizes[rows].max())
+            cols = np.arange(width)
+            ids = np.where(cols < sizes[rows][:, None], letters[np.minimum(starts[rows][:, None] + cols, len(letters) - 1)], -1)
+            key = np.array([xxhash.xxh64_intdigest(units[i].encode(), seed & _MASK) for i in rows], np.uint64)
+            key += np.array([variants[i] for i in rows], np.uint64) * np.uint64(_STREAM)
+            done = self._merged(ids, key, rate)
+            held = done >= 0
+            cuts = np.concatenate([[0], np.cumsum(held.sum(axis=1))]) * 4
+            buffer = done[held].astype(np.int32).tobytes()
+            for n, i in enumerate(rows):
+                out[i] = buffer[cuts[n] : cuts[n + 1]]
+        return out
+
+    def _merged(self, ids: np.ndarray, key: np.ndarray, rate: float) -> np.ndarray:
+        """``ids`` after all merges, what is left of a row at its beginning."""
+        limit = np.uint64(min(int(rate * 2**64), _MASK))
+        result = ids.copy()
+        if ids.shape[1] < 2:
+            return result
+        ids = np.concatenate([ids, np.full((len(ids), 1), -1)], axis=1)
+        agenda = np.concatenate([self._agenda(ids[:, :-1], ids[:, 1:]), np.full((len(ids), 1), NEVER)], axis=1)
+        hidden = np.full_like(agenda, NEVER)
+        whose, drawn = np.arange(len(ids)), np.zeros(len(ids), np.uint64)
+        cols = np.arange(ids.shape[1])
+        while len(whose):
+            at = agenda.argmin(axis=1)
+            rows = np.arange(len(whose))
+            best = agenda[rows, at]
+            ended = best >= NEVER
+            if ended.any():
+                result[whose[ended]] = ids[ended, :-1]
+                go = ~ended
+                ids, agenda, hidden, whose, drawn, key = ids[go], agenda[go], hidden[go], whose[go], drawn[go], key[go]
+                at, best, rows = at[go], best[go], np.arange(len(whose))
+            merge = np.ones(len(whose), bool)
+            if limit:
+                drawn += np.uint64(1)
+                merge = _mixed(key + drawn * np.uint64(_STEP)) >= limit
+                skip = ~merge
+                hidden[rows[skip], at[skip]] = best[skip]
+                agenda[rows[skip], at[skip]] = NEVER
+            rows, at = rows[merge], at[merge]
+            if not len(rows):
+                continue
+            own = np.minimum(agenda[rows], hidden[rows])
+            hidden[rows] = NEVER
+            left, right = ids[rows, at], ids[rows, at + 1]
+            moved = np.minimum(cols + (cols > at[:, None]), ids.shape[1] - 1)
+            new = np.take_along_axis(ids[rows], moved, axis=1)
+            new[np.arange(len(rows)), at] = self._made[self._merges(left, right)]
+            own = np.take_along_axis(own, moved, axis=1)
+            each = np.arange(len(rows))
+            own[each, at] = self._agenda(new[each, at], new[each, at + 1])
+            inner = np.flatnonzero(at > 0)
+            own[inner, at[inner] - 1] = self._agenda(new[inner, at[inner] - 1], new[inner, at[inner]])
+            ids[rows], agenda[rows] = new, own
+        return result
+
+    # Texts
+
+    def _looked_up(self, units: list[str], variants: np.ndarray, rate: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+        """All occurrences' ids in a row, and how many each has."""
+        codes, distinct = pd.factorize(np.array(units, object))
+        combined, which = np.unique(codes * VARIANTS + variants, return_inverse=True)
+        names = list(zip(distinct[combined // VARIANTS].tolist(), (combined % VARIANTS).tolist()))
         if len(self.cache) >= CACHED:
             self.cache, self.older = {}, self.cache
-        cache, older, out = self.cache, self.older, []
-        for name in zip(units, variants):
-            ids = cache.get(name)
-            if ids is None:
-                ids = older.get(name) or self.packed(name[0], rate, key, name[1])
-                if len(name[0]) <= CACHED_LENGTH and len(cache) < CACHED:
-                    cache[name] = ids
-            out.append(ids)
-        return b"".join(out)
+        cache, older = self.cache, self.older
+        found = [cache.get(n) or older.get(n) for n in names]
+        # A literal U+2581 is no blank: it is written in bytes.
+        bare = np.array([self.bytes_[b] for b in "▁".encode()], np.int32).tobytes()
+        new = [i for i, ids in enumerate(found) if ids is None and names[i][0] != "▁"]
+        made = self.segment_many([names[i][0].replace(" ", "▁") for i in new], [names[i][1] for i in new], rate, seed)
+        for i, ids in zip(new, made):
+            found[i] = ids
+        found = [bare if ids is None else ids for ids in found]
+        cache.update((n, ids) for n, ids in zip(names, found) if len(n[0]) <= CACHED_LENGTH)
+        sizes = np.array([len(ids) // 4 for ids in found], np.int64)
+        starts, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(found), np.int32)
+        each = sizes[which]
+        ends = np.cumsum(each)
+        return flat[np.repeat(starts[which] - (ends - each), each) + np.arange(int(each.sum()))], each
+
+    def encode_many(
+        self, texts: Sequence[str | None], rate: float, seed: int, places: Sequence[int]
+    ) -> list[np.ndarray | None]:
+        """Each text's ids; ``places`` stand for the documents."""
+        out: list[list[np.ndarray] | None] = [None if t is None else [] for t in texts]
+        units: list[str] = []
+        variants: list[np.ndarray] = []
+        rows: list[tuple[int, int]] = []
+
+        def flush() -> None:
+            nonlocal units, variants, rows
+            if units:
+                ids, each = self._looked_up(units, np.concatenate(variants), rate, seed)
+                cuts = np.cumsum([n for _, n in rows])
+                for (row, _), part in zip(rows, np.split(ids, np.concatenate([[0], np.cumsum(each)])[cuts[:-1]])):
+                    out[row].append(part)
+                units, variants, rows = [], [], []
+
+        for row, text in enumerate(texts):
+            found, start = (m[0] for m in UNITS.finditer(" " + text)) if text else iter(()), 0
+            if text and len(text) <= GROUP:
+                found = iter(UNITS.findall(" " + text))
+            while some := list(islice(found, GROUP)):
+                spread = _spread(places[row], start, len(some)) if rate else np.zeros(len(some), np.int64)
+                units += some
+                variants.append(spread)
+                rows.append((row, len(some)))
+                start += len(some)
+                if len(units) >= GROUP:
+                    flush()
+        flush()
+        none = np.zeros(0, np.int32)
+        return [None if parts is None else np.concatenate([none, *parts]) for parts in out]
+
+    def encode(self, text: str, rate: float = 0.0, seed: int = 0, place: int = 0) -> list[int]:
+        return self.encode_many([text], rate, seed, [place])[0].tolist()
 
     def decode(self, ids: Sequence[int]) -> str:
         surface = self.surface
         return b"".join([surface[i] for i in ids]).decode()[1:]
 
 
-def _spread(place: int, size: int) -> np.ndarray:
-    """A variant for each place in a document, from a multiplicative hash of document and place."""
-    x = np.arange(size, dtype=np.uint64) + np.uint64(place & 0xFFFFFFFFFFFFFFFF)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return ((x ^ (x >> np.uint64(31))) % np.uint64(VARIANTS)).astype(np.int64)
-
-
 _LOADED: dict[tuple, Pieces] = {}
 
 
@@ -250,30 +359,22 @@ def encode(
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = loaded(model.value, rate, seed)
         for batch in batches:
-            # The ids of a batch are kept for a limited number of bytes at a time.
-            begin, packed, held = 0, [], 0
-            same: list[bool | None] = []
-            texts, places = batch.column(at), batch.column(at + 1).to_pylist()
-            for row in range(batch.num_rows):
-                value = texts[row].as_py()
-                ids = None if value is None else pieces.encode(value, rate, seed, places[row])
-                packed.append(ids)
-                held += len(ids or b"")
+            for part in chunks(batch, at, BLOCK):
+                texts = part.column(at).to_pylist()
+                packed = pieces.encode_many(texts, rate, seed, part.column(at + 1).to_pylist())
+                sizes = np.array([0 if x is None else len(x) for x in packed], np.int64)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.int32())
+                values = pa.array(np.concatenate([np.zeros(0, np.int32), *(x for x in packed if x is not None)]))
+                none = np.array([x is None for x in packed])
+                made = [
+                    *part.columns[:at],
+                    pa.ListArray.from_arrays(offsets, values, mask=pa.array(none)),
+                    pa.array(sizes, mask=none),
+                ]
                 if check:
-                    same.append(None if ids is None else pieces.decode(np.frombuffer(ids, np.int32).tolist()) == value)
-                if held >= 16 << 20 or row + 1 == batch.num_rows:
-                    sizes = np.array([len(x or b"") // 4 for x in packed], np.int64)
-                    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.int32())
-                    values = pa.array(np.frombuffer(b"".join(x or b"" for x in packed), np.int32))
-                    none = pa.array([x is None for x in packed])
-                    made = [
-                        *(c.slice(begin, row + 1 - begin) for c in batch.columns[:at]),
-                        pa.ListArray.from_arrays(offsets, values, mask=none),
-                        pa.array(sizes, mask=none.to_numpy(zero_copy_only=False)),
-                        *([pa.array(same, pa.bool_())] if check else []),
-                    ]
-                    yield pa.RecordBatch.from_arrays(made, schema=arrow)
-                    begin, packed, held, same = row + 1, [], 0, []
+                    back = (None if x is None else pieces.decode(x.tolist()) for x in packed)
+                    made.append(pa.array([None if t is None else t == b for t, b in zip(texts, back)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays(made, schema=arrow)
 
     return inner.mapInArrow(task, schema).select(*restored(columns), *added)
 
