@@ -272,26 +272,31 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Large-star joins every larger neighbour of a node to the smallest one, small-star every smaller neighbour;
     repeated, every component becomes a star. Both keep at most one row per edge and combine on the map side.
     """
-    both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = staged(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    before = None
     for _ in range(rounds):
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before or not state[0]:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
-                edges.select(F.col("b").alias("node"), F.col("b").alias("root"))
-            ).distinct()
-        before = state
-        around = both(edges)
+        if _stars(edges):
+            of_leaf = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            return of_leaf.union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        around = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = around.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = around.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = staged(large.where("a <> b").distinct())
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
+        both = F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
+        small = large.join(low, "a").select(F.explode(both).alias("e"))
         edges = staged(small.select("e.a", "e.b").where("a <> b").distinct())
     raise RuntimeError(f"components have not settled after {rounds} rounds")
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node has one smaller neighbour at most, and that one has none."""
+    roles = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+        edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    )
+    known = roles.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not known.where((F.col("up") > 1) | (F.col("up") > 0) & (F.col("down") > 0)).limit(1).count()
+
+
 def _grouped(rows: DataFrame, order: Column) -> DataFrame:
     """(_key, _first) per distinct fingerprint of ``rows``: the least ``order`` in its component."""
     distinct = staged(rows.groupBy("_print").agg(F.min(order).alias("_least")))

@@ -356,15 +356,23 @@ class Renderer:
                 elif child.tag in ("tbody", "thead", "tfoot"):
                     yield from self.rows(child, seen)
 
-    def table(self, node: Node, shown: bool, kept: bool) -> list[str]:
-        """Captions and stray content first, then rows whose columns start at equal places."""
-        flow = Flow()
+    def strays(self, node: Node, flow: Flow, shown: bool, kept: bool) -> None:
+        """What stands in a table or its sections outside of rows."""
         for child in node.children:
             if isinstance(child, str):
                 if shown:
                     flow.text(child, kept)
-            elif child.tag not in ("tr", "tbody", "thead", "tfoot") and not self.rules.gone(child):
-                self.element(child, flow, self.rules.visible(child, shown), kept)
+            elif child.tag != "tr" and not self.rules.gone(child):
+                seen = self.rules.visible(child, shown)
+                if child.tag in ("tbody", "thead", "tfoot"):
+                    self.strays(child, flow, seen, kept)
+                else:
+                    self.element(child, flow, seen, kept)
+
+    def table(self, node: Node, shown: bool, kept: bool) -> list[str]:
+        """Captions and stray content first, then rows whose columns start at equal places."""
+        flow = Flow()
+        self.strays(node, flow, shown, kept)
         grid: list[list[tuple[int, int, list[str], bool]]] = []  # column, span, lines, right-aligned
         taken: dict[int, int] = {}  # columns that a cell above still covers
         for row, seen in self.rows(node, shown):

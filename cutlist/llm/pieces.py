@@ -81,6 +81,7 @@ class Pieces:
         self.rank = {p: places[v] for p, v in scores.items()}
         self.cache: dict[tuple[str, int], bytes] = {}
         self.older: dict[tuple[str, int], bytes] = {}
+        self._filled_for: tuple[float, int] | None = None
         # The same as arrays: pieces of one character by code point, and merges by their two halves.
         self._letter = np.full(1 << 16, -1, np.int64)
         merges = []
@@ -255,6 +256,8 @@ class Pieces:
         codes, distinct = pd.factorize(np.array(units, object))
         combined, which = np.unique(codes * VARIANTS + variants, return_inverse=True)
         names = list(zip(distinct[combined // VARIANTS].tolist(), (combined % VARIANTS).tolist()))
+        if self._filled_for != (rate, seed):
+            self.cache, self.older, self._filled_for = {}, {}, (rate, seed)
         if len(self.cache) >= CACHED:
             self.cache, self.older = {}, self.cache
         cache, older = self.cache, self.older
@@ -315,16 +318,15 @@ class Pieces:
         return b"".join([surface[i] for i in ids]).decode()[1:]
 
 
-_LOADED: dict[tuple, Pieces] = {}
+_LOADED: dict[bytes, Pieces] = {}
 
 
-def loaded(proto: bytes, rate: float, seed: int) -> Pieces:
-    """This worker's vocabulary with the cache of one (rate, seed)."""
-    name = (hash(proto), rate, seed)
-    if name not in _LOADED:
+def loaded(proto: bytes) -> Pieces:
+    """This worker's vocabulary, with the cache that later tasks find filled."""
+    if proto not in _LOADED:
         _LOADED.clear()
-        _LOADED[name] = Pieces.load(proto)
-    return _LOADED[name]
+        _LOADED[proto] = Pieces.load(proto)
+    return _LOADED[proto]
 
 
 def read_model(path: str = MODEL) -> bytes:
@@ -357,7 +359,7 @@ def encode(
     model = docs.sparkSession.sparkContext.broadcast(proto)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = loaded(model.value, rate, seed)
+        pieces = loaded(model.value)
         for batch in batches:
             for part in chunks(batch, at, BLOCK):
                 texts = part.column(at).to_pylist()
@@ -388,7 +390,7 @@ def decode(encoded: DataFrame, proto: bytes, ids: str = "ids", text: str = "text
     model = encoded.sparkSession.sparkContext.broadcast(proto)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = loaded(model.value, 0.0, 0)
+        pieces = loaded(model.value)
         for batch in batches:
             texts = [None if x.as_py() is None else pieces.decode(x.as_py()) for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(texts, pa.string())], schema=arrow)

@@ -36,7 +36,8 @@ def _grams(strings: set[bytes]) -> tuple:
 
 def _all(parts: Sequence[tuple]) -> tuple:
     flat = dict.fromkeys(x for p in parts for x in (p[1] if p[0] == "all" else (p,)))
-    return ("all", tuple(flat))
+    only = next(iter(flat)) if len(flat) == 1 else None
+    return only if isinstance(only, tuple) else ("all", tuple(flat))
 
 
 def _any(parts: Sequence[tuple]) -> tuple:
