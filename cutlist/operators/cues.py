@@ -14,18 +14,31 @@ _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
 def milliseconds(seconds: Column) -> Column:
-    """Whole milliseconds of seconds held as number or text; null for anything that is no finite number."""
+    """Whole milliseconds of seconds held as number or text; null for what is no number or fits no long."""
     text = seconds.cast("string")
     value = F.when(text.rlike(_NUMBER), F.btrim(text).try_cast("double"))
-    return F.when(F.abs(value) < 1e12, F.round(value * 1000)).cast("bigint")
+    return F.round(value * 1000).try_cast("bigint")
 
 
 def explode_transcripts(results: DataFrame) -> DataFrame:
     """One raw cue per row from stored results.
 
     A cue without a start begins at 0 and one without an end has no length, so it falls to the length floor.
-    A start or end that is present but no number drops the cue.
+    A start or end that is present but no number drops the cue; ``rejected_cues`` has these.
     """
+    return _timed(results).filter("start_ms is not null and end_ms is not null")
+
+
+def rejected_cues(results: DataFrame) -> DataFrame:
+    """The cues that ``explode_transcripts`` leaves out, each with its start and end as given."""
+    return (
+        _timed(results, F.col("cue.start").alias("start"), F.col("cue.end").alias("end"))
+        .filter("start_ms is null or end_ms is null")
+        .drop("start_ms", "end_ms")
+    )
+
+
+def _timed(results: DataFrame, *more: Column) -> DataFrame:
     cue = F.col("cue")
     start = F.when(cue["start"].isNull(), F.lit(0)).otherwise(milliseconds(cue["start"]))
     return (
@@ -38,8 +51,8 @@ def explode_transcripts(results: DataFrame) -> DataFrame:
             "start_ms",
             F.when(cue["end"].isNull(), F.col("start_ms")).otherwise(milliseconds(cue["end"])).alias("end_ms"),
             cue["text"].alias("text"),
+            *more,
         )
-        .filter("start_ms is not null and end_ms is not null")
     )
 
 

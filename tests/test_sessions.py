@@ -12,6 +12,7 @@ from cutlist.operators.cues import (
     merge_short,
     milliseconds,
     normalize_cues,
+    rejected_cues,
     segment_bounds,
     session_groups,
 )
@@ -178,6 +179,16 @@ def test_raw_cue_numbers(spark):
     assert value is None
 
 
+def test_late_cues_stay(spark):
+    """Any number of seconds that fits counts; what does not fit is told."""
+    raw = [("2e12", "2000000000001.5"), ("1e300", "1"), ("5", "inf"), ("3", "4")]
+    result = {"project_id": 1, "clip_path": "/a", "transcript": [{"start": s, "end": e, "text": "x"} for s, e in raw]}
+    frame = spark.createDataFrame([result], CLIP_RESULT)
+    cues = explode_transcripts(frame).orderBy("cue_no").collect()
+    assert [(c.cue_no, c.start_ms, c.end_ms) for c in cues] == [(0, 2 * 10**15, 2 * 10**15 + 1500), (3, 3000, 4000)]
+    assert [(c.cue_no, c.start, c.end) for c in rejected_cues(frame).orderBy("cue_no").collect()] == [(1, "1e300", "1"), (2, "5", "inf")]
+
+
 def test_segment_bounds(spark):
     groups = spark.createDataFrame(
         [(1, "/short", 1, 200, 900), (1, "/past", 1, 40000, 41000), (1, "/mid", 1, 5000, 6000), (1, "/gone", 1, 0, 5)],
