@@ -121,6 +121,7 @@ from {nation}
 """
 DEFAULT_ZONES = ("Etc/GMT-2", "UTC")
 PLACE_ZONE = "Etc/GMT-3"
+UNREADABLE_ANCHOR = 23
 
 # Frequent words of the given texts, in place of the default keyword lists.
 TEXT_WORDS = {
@@ -157,13 +158,6 @@ def adapt(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(sql.replace("{ntz}", "timestamp_ntz"), **frames(spark, sf_dir, sql))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core where a table has fewer splits than there are cores; leave larger tables as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df.repartition(cores) if splits < cores else df
-
-
 def duck(sql: str) -> str:
     return re.sub(r"\{(\w+)\}", lambda m: "timestamp" if m[1] == "ntz" else m[1], sql)
 
@@ -232,9 +226,11 @@ def anchor_briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Briefs whose time anchors are the project's nations, in key order."""
     anchors = adapt(spark, sf_dir, ANCHORS)
     iso = lambda c: F.replace(F.col(c).cast("string"), F.lit(" "), F.lit("T"))
+    # One anchor has a bound that is no time.
+    starts = F.when(F.col("ordinal") == UNREADABLE_ANCHOR, F.lit("soon")).otherwise(iso("starts"))
     entry = F.struct(
         "ordinal",
-        iso("starts").alias("starts_at"),
+        starts.alias("starts_at"),
         iso("ends").alias("ends_at"),
         F.col("zone_name").alias("timezone"),
         "location_id",
@@ -258,7 +254,7 @@ def anchor_briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probe records: one event is one clip file. Some have no creation time and some no time in their name."""
-    events = spread(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type", "value"))
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type", "value")
     iso = "concat(replace(cast(ts as string), ' ', 'T'), 'Z')"
     stamp = "substring(regexp_replace(cast(ts as string), '[-:]', ''), 1, 15)"
     return events.selectExpr(

@@ -164,7 +164,7 @@ zoned as (
   select *, case zone when 'Etc/GMT-9' then 9 when 'Etc/GMT+5' then -5 when 'Etc/GMT-3' then 3 when 'Etc/GMT-2' then 2
     else 0 end as hours,
     case story_id when 'story_1' then 'Story one' when 'story_2' then 'Story two' else label end as route_label
-  from anchors where starts is not null or ends is not null),
+  from anchors where (starts is not null or ends is not null) and ordinal <> {A.UNREADABLE_ANCHOR}),
 placed as (
   select ev.*, coalesce(z.zone, case when ev.project_id % 2 = 0 then {q(A.DEFAULT_ZONES[0])} else {q(A.DEFAULT_ZONES[1])} end)
       as timezone_name,
@@ -265,7 +265,7 @@ calendar as (
 numbered as (
   select c.*, d.travel_day,
     row_number() over (partition by c.project_id, c.date_key order by source_utc, start_ms, end_ms, candidate_id) as seq,
-    event_id % 17 as kind
+    case when event_id % 17 in (3, 7, 8) and d.travel_day % 2 = 0 then 0 else event_id % 17 end as kind
   from cands c join calendar d using (project_id, date_key)),
 planted as (
   select project_id, travel_day, candidate_id as true_id, clip_path as true_clip, cast(date_key as varchar) as true_date,
@@ -273,7 +273,8 @@ planted as (
     case when kind = 3 then '2023-01-01' else cast(date_key as varchar) end as date_key,
     case when kind = 1 then concat(candidate_id, 'x') else candidate_id end as candidate_id,
     case when kind = 2 then '/clips/other.mp4' else clip_path end as clip_path,
-    case when kind = 4 then start_ms - 20 when kind = 9 then start_ms - 10 else start_ms end as start_ms,
+    case when kind = 4 then start_ms - 20 when kind = 9 then start_ms - 10 when kind in (10, 11) then null
+      else start_ms end as start_ms,
     case when kind = 5 then start_ms else end_ms end as end_ms,
     case when kind = 7 then seq + 1 else seq end as sequence_index,
     case when kind = 6 then '' else 'moment' end as role
@@ -284,14 +285,21 @@ faults as (
   select project_id, travel_day, candidate_id, 'V2' as rule, candidate_id as detail from seen where not known
   union all select project_id, travel_day, candidate_id, 'V3', clip_path from seen where known and clip_path <> true_clip
   union all select project_id, travel_day, candidate_id, 'V4', date_key from seen where known and date_key <> true_date
+  union all select project_id, travel_day, candidate_id, 'V5', concat_ws('-', start_ms, end_ms) from seen where start_ms is null
   union all select project_id, travel_day, candidate_id, 'V6', concat(start_ms, '-', end_ms) from seen
     where known and (start_ms < lo - 10 or end_ms > hi + 10 or end_ms <= start_ms)
   union all select project_id, travel_day, candidate_id, 'V7', role from seen where role = ''),
-day_faults as (
-  select project_id, travel_day, '' as candidate_id, 'V8' as rule,
+day_counts as (
+  select project_id, travel_day, date_key,
     concat_ws('/', min(sequence_index), max(sequence_index), count(distinct sequence_index), count(*)) as detail
   from seen group by project_id, travel_day, date_key
-  having min(sequence_index) <> 1 or max(sequence_index) <> count(*) or count(distinct sequence_index) <> count(*))"""
+  having min(sequence_index) <> 1 or max(sequence_index) <> count(*) or count(distinct sequence_index) <> count(*)),
+day_faults as (select project_id, travel_day, '' as candidate_id, 'V8' as rule, detail from day_counts)"""
+
+PLAN_FAULTS = """plan_faults as (
+  select project_id, travel_day, candidate_id, 'V7' as rule, '' as detail from segs where project_id = 1 and sequence_index = 1
+  union all select project_id, travel_day, candidate_id, 'J9', clip_path from segs where project_id = 2 and clip_path like '%7.mp4'
+  union all select distinct project_id, 0, '', 'T1', '' from segs where project_id = 3)"""
 
 TIMELINE = f"""{SELECTED},
 media as ({A.duck(A.CLIPS_EVENTS)}),
@@ -564,7 +572,10 @@ ORACLE: dict[str, str] = {
         where n_nationkey not in (select project_id from cands)""",
     "valid_selection": f"""{FAULTY}
       select project_id, travel_day, date_key, concat('Day ', travel_day) as day_label, candidate_id, start_ms, end_ms, sequence_index
-      from seen s where not exists (select 1 from faults f where f.project_id = s.project_id and f.candidate_id = s.candidate_id)""",
+      from seen s where not exists (select 1 from faults f where f.project_id = s.project_id and f.candidate_id = s.candidate_id)
+        and not exists (select 1 from day_counts d where d.project_id = s.project_id and d.travel_day = s.travel_day and d.date_key = s.date_key)""",
+    "plan_faults": f"""{TIMELINE}, {PLAN_FAULTS} select * from plan_faults""",
+    "sound_items": f"""{TIMELINE}, {PLAN_FAULTS} select * from items where project_id not in (select project_id from plan_faults)""",
     "timeline_items": f"{TIMELINE} select * from items",
     "timeline_totals": f"""{TIMELINE} select project_id, cast(sum(duration_ms) as bigint) as target_ms, count(*) as n_items,
       count(*) filter (where kind = 'segment') as n_segments from items group by 1""",
@@ -609,7 +620,7 @@ ORACLE: dict[str, str] = {
         case when o.clip_path is null then '-' else 'base' end as transcription_model,
         case when p.clip_path is null then '2024-01-01T00:00:00' else '2024-02-02T00:00:00' end as updated_at
       from old o full join patched p on o.project_id = p.project_id and o.clip_path = p.clip_path""",
-    "work_list": f"with {TURNS} select project_id, clip_path from turns where turn % 4 <> 2",
+    "work_list": f"with {TURNS} select project_id, clip_path from turns where turn % 4 <> 2 or turn % 3 = 0 or conv_id % 7 = 0",
     "preset_resolve": f"""with presets(preset_id, label, category) as (values {', '.join('(' + ', '.join(q(x) for x in p) + ')' for p in PRESETS)}),
       aliases(alias, preset_id) as (values {', '.join(f'({q(a)}, {q(b)})' for a, b in ALIASES.items())}),
       wanted as (

@@ -111,7 +111,7 @@ def clip_catalog(spark, sf):
 
 
 def travel_day_key(spark, sf):
-    events = A.spread(spark.read.parquet(f"{sf}/events.parquet").select("event_id", "user_id", "ts"))
+    events = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "user_id", "ts")
     stamp = F.concat(F.replace(F.col("ts").cast("string"), F.lit(" "), F.lit("T")), F.lit("+02:00"))
     local = wall_clock(iso_instant(stamp), F.lit("Etc/GMT-9"))
     rows = events.select((F.col("user_id") % 10).alias("project_id"), "event_id", day_key(local, 4).alias("date_key"))
@@ -138,10 +138,8 @@ def date_span(spark, sf):
 
 
 def anchor_interval_join(spark, sf):
-    events = A.spread(
-        spark.read.parquet(f"{sf}/events.parquet").select(
-            (F.col("user_id") % 10).alias("project_id"), "event_id", F.col("ts").alias("creation_utc")
-        )
+    events = spark.read.parquet(f"{sf}/events.parquet").select(
+        (F.col("user_id") % 10).alias("project_id"), "event_id", F.col("ts").alias("creation_utc")
     )
     placed = catalog.resolve_time_context(events, catalog.time_contexts(A.anchor_briefs(spark, sf)))
     return placed.select("project_id", "event_id", "timezone_name", "location_id", "route_phase", "route_label")
@@ -244,6 +242,9 @@ def faulty_selection(spark, sf):
     pool = _pool(spark, sf)
     placed = selection.place_in_day(pool).join(catalog.travel_days(pool), ["project_id", "date_key"])
     kind = F.col("event_id") % 17
+    # Faults of the numbering only on odd days, so that the others have valid rows.
+    kind = F.when(kind.isin(3, 7, 8) & (F.col("travel_day") % 2 == 0), 0).otherwise(kind)
+    start = F.col("start_ms").cast("string")
     return placed.select(
         "project_id",
         "travel_day",
@@ -251,7 +252,13 @@ def faulty_selection(spark, sf):
         F.lit("").alias("day_label"),
         F.when(kind == 1, F.concat("candidate_id", F.lit("x"))).otherwise(F.col("candidate_id")).alias("candidate_id"),
         F.when(kind == 2, F.lit("/clips/other.mp4")).otherwise(F.col("clip_path")).alias("clip_path"),
-        F.when(kind == 4, F.col("start_ms") - 20).when(kind == 9, F.col("start_ms") - 10).otherwise(F.col("start_ms")).alias("start_ms"),
+        F.when(kind == 4, (F.col("start_ms") - 20).cast("string"))
+        .when(kind == 9, (F.col("start_ms") - 10).cast("string"))
+        .when(kind == 10, F.lit("soon"))
+        .when(kind == 12, F.concat(start, F.lit(".0")))
+        .when(kind == 13, F.col("start_ms").cast("double").cast("string"))
+        .when(kind != 11, start)
+        .alias("start_ms"),
         F.when(kind == 5, F.col("start_ms")).otherwise(F.col("end_ms")).alias("end_ms"),
         F.when(kind == 7, F.col("sequence_index") + 1).otherwise(F.col("sequence_index")).alias("sequence_index"),
         (kind != 8).alias("enabled"),
@@ -274,6 +281,27 @@ def valid_selection(spark, sf):
 # Timeline
 
 
+def _planned(spark, sf):
+    """Selections with a fault in project 1, catalog without some clips of project 2, no title for project 3."""
+    pool = _pool(spark, sf)
+    picked = _selected(spark, sf)
+    first = (F.col("project_id") == 1) & (F.col("sequence_index") == 1)
+    picked = picked.withColumn("role", F.when(first, F.lit("")).otherwise(F.col("role")))
+    clips = A.adapt(spark, sf, A.CLIPS_EVENTS).filter("not (project_id = 2 and clip_path like '%7.mp4')")
+    titles = A.adapt(spark, sf, A.TITLES).filter("project_id <> 3")
+    valid, violations = validate.validate_selection(picked, pool)
+    return valid, timeline.plan_faults(valid, violations, clips, titles), clips, titles
+
+
+def plan_faults(spark, sf):
+    return _planned(spark, sf)[1]
+
+
+def sound_items(spark, sf):
+    valid, faults, clips, titles = _planned(spark, sf)
+    return timeline.build_timeline(timeline.sound_selections(valid, faults), clips, titles)
+
+
 def _timeline(spark, sf):
     return timeline.build_timeline(_selected(spark, sf), A.adapt(spark, sf, A.CLIPS_EVENTS), A.adapt(spark, sf, A.TITLES))
 
@@ -303,6 +331,7 @@ def edit_list(spark, sf):
 # Fixed rows: corrections for the given texts, in order.
 TERMS = (("Rere", ("rere", "the", "e ")), ("TION", ("tion", "ation", "TION")), ("", ("zz",)))
 RULES = ((r"eau(x)", r"EAU\1"), (r"\s+de\s+", " $de$ "), (" ", "x"), (r"(o)u", r"\1-\1"))
+BAD_RULES = (("(", "x"), ("a", r"\2"))
 
 
 def _corrections(spark, keys: DataFrame) -> DataFrame:
@@ -313,13 +342,14 @@ def _corrections(spark, keys: DataFrame) -> DataFrame:
         ]
     )
     rules = F.array(*[F.struct(F.lit(p).alias("pattern"), F.lit(r).alias("replacement")) for p, r in RULES])
-    return keys.select("project_id", terms.alias("terms"), rules.alias("replacement_rules"))
+    # One project has a rule that is no pattern and one that names a group it does not have; both are left out.
+    bad = F.array(*[F.struct(F.lit(p).alias("pattern"), F.lit(r).alias("replacement")) for p, r in BAD_RULES])
+    own = F.when(F.col("project_id") == 1, F.concat(bad, rules)).otherwise(rules)
+    return keys.select("project_id", terms.alias("terms"), own.alias("replacement_rules"))
 
 
 def taxonomy_correct(spark, sf):
-    docs = A.spread(
-        spark.read.parquet(f"{sf}/documents.parquet").select((F.col("doc_id") % 10).alias("project_id"), "doc_id", "text")
-    )
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select((F.col("doc_id") % 10).alias("project_id"), "doc_id", "text")
     return transcripts.correct_cues(docs, _corrections(spark, docs.select("project_id").distinct())).select("doc_id", "text")
 
 
@@ -383,7 +413,16 @@ def result_upsert(spark, sf):
 
 def work_list(spark, sf):
     rows = A.conv_results(spark, sf)
-    wanted = rows.select("project_id", "clip_path").withColumn("taxonomy_signature", F.lit("sig2"))
+    turns = spark.read.parquet(f"{sf}/conversations.parquet").select(
+        F.concat(F.lit("/clips/"), F.concat_ws("_", F.lit("conv"), "conv_id", "turn"), F.lit(".mp4")).alias("clip_path"), "conv_id", "turn"
+    )
+    # Wanted with another model or locale than stored, clips are work even if the taxonomy is the same.
+    wanted = rows.join(turns, "clip_path").select(
+        "project_id", "clip_path", "provider",
+        F.when(F.col("turn") % 3 == 0, F.lit("large")).otherwise(F.col("transcription_model")).alias("transcription_model"),
+        F.when(F.col("conv_id") % 7 == 0, F.lit("xx")).otherwise(F.col("speech_locale")).alias("speech_locale"),
+        F.lit("sig2").alias("taxonomy_signature"),
+    )
     return transcripts.work_list(wanted, rows).select("project_id", "clip_path")
 
 
@@ -448,7 +487,7 @@ def brief_defaults(spark, sf):
 
 
 def _prompts(spark, sf):
-    return A.spread(A.adapt(spark, sf, A.PROMPTS))
+    return A.adapt(spark, sf, A.PROMPTS)
 
 
 def prompt_runtime(spark, sf):
@@ -503,7 +542,7 @@ QUERIES: dict[str, Query] = {
         cue_normalize, cue_groups, cue_groups_events, cue_groups_merged, cue_groups_merged_events, cue_segments,
         frame_plan, segment_key, segment_digests, clip_catalog, travel_day_key, filename_times, dominant_fps, date_span,
         anchor_interval_join, event_type, people_terms, feature_scores, overall_priority, cue_analysis_by_day,
-        day_budgets, select_segments, selection_roles, validate_selection, valid_selection, timeline_items,
+        day_budgets, select_segments, selection_roles, validate_selection, valid_selection, plan_faults, sound_items, timeline_items,
         timeline_totals, chapters, timeline_chunks, edit_list, taxonomy_correct, vocabulary, transcript_report,
         transcript_statuses, result_upsert, work_list, preset_resolve, editorial_texts, brief_defaults, prompt_runtime,
         prompt_tone, prompt_dates, prompt_places, prompt_title, prompt_feature_rows, label_slugs,

@@ -74,7 +74,8 @@ def time_contexts(briefs: DataFrame) -> DataFrame:
     """Per project: the default zone and the time anchors with zone and label settled.
 
     An anchor's zone is its own, else its place's, else the project's; an unknown name counts as the project's,
-    and an unknown project zone as UTC. Anchors with neither bound are left out, as they never match.
+    and an unknown project zone as UTC. Anchors with neither bound are left out, as they never match, and so are
+    those with a bound that is no time (``rejected_anchors``): an unreadable bound is not an open one.
     """
     zones = F.split(F.lit(" ".join(known_zones(briefs.sparkSession))), " ")
     known = lambda zone: F.when(F.array_contains(zones, zone), zone)
@@ -99,12 +100,24 @@ def time_contexts(briefs: DataFrame) -> DataFrame:
             "project_id",
             "default_zone",
             F.filter(
-                F.transform("time_anchors", settle), lambda a: a["starts"].isNotNull() | a["ends"].isNotNull()
+                F.transform(F.filter("time_anchors", lambda a: ~_unreadable(a)), settle),
+                lambda a: a["starts"].isNotNull() | a["ends"].isNotNull(),
             ).alias("anchors"),
         )
     )
 
 
+def _unreadable(a: Column) -> Column:
+    wrong = lambda c: filled(a[c]).isNotNull() & iso_wall_clock(a[c]).isNull()
+    return wrong("starts_at") | wrong("ends_at")
+
+
+def rejected_anchors(briefs: DataFrame) -> DataFrame:
+    """Time anchors with a bound that is no time, with their list position."""
+    entries = briefs.select("project_id", F.posexplode("time_anchors").alias("ordinal", "_a"))
+    return entries.filter(_unreadable(F.col("_a"))).select("project_id", "ordinal", "_a.starts_at", "_a.ends_at")
+
+
 def resolve_time_context(clips: DataFrame, contexts: DataFrame, instant: str = "creation_utc") -> DataFrame:
     """Zone, place and story of each clip: the first anchor in list order that holds its instant.
 

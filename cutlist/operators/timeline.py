@@ -24,10 +24,33 @@ COLD_OPEN = "Cold Open"
 
 
 def missing_clips(selections: DataFrame, clips: DataFrame) -> DataFrame:
-    """Selections whose clip is not in the catalog; a timeline leaves them out."""
+    """Selections whose clip is not in the catalog."""
     return selections.join(clips.select("project_id", "clip_path"), ["project_id", "clip_path"], "left_anti")
 
 
+def plan_faults(selections: DataFrame, violations: DataFrame, clips: DataFrame, titles: DataFrame) -> DataFrame:
+    """Everything that keeps a project from having a film, one row per fault.
+
+    Beside the violations of the selection these are selections without their clip (J9) and projects without a
+    title row (T1).
+    """
+    report = ["project_id", "travel_day", "candidate_id", "rule", "detail"]
+    lost = missing_clips(selections, clips).select(
+        "project_id", "travel_day", "candidate_id", F.lit("J9").alias("rule"), F.col("clip_path").alias("detail")
+    )
+    untitled = selections.select("project_id").distinct().join(titles.select("project_id"), "project_id", "left_anti")
+    untitled = untitled.select(
+        "project_id", F.lit(0).cast("bigint").alias("travel_day"), F.lit("").alias("candidate_id"),
+        F.lit("T1").alias("rule"), F.lit("").alias("detail"),
+    )
+    return violations.select(*report).unionByName(lost).unionByName(untitled)
+
+
+def sound_selections(selections: DataFrame, faults: DataFrame) -> DataFrame:
+    """Selections of the projects without any fault: a film is complete or is not made."""
+    return selections.join(faults.select("project_id").distinct(), "project_id", "left_anti")
+
+
 def _placed(selections: DataFrame, clips: DataFrame, params: CutParams) -> tuple[DataFrame, DataFrame]:
     """Segments with their place in the day, and days with their place in the film."""
     facts = clips.select("project_id", "clip_path", "filename", "start_local", "has_audio")

@@ -118,10 +118,36 @@ def regex_rules(rules: Column) -> Column:
         text = F.regexp_replace(F.regexp_replace(text, r"\\g<(\d+)>", r"\$$1"), r"\\(\d)", r"\$$1")
         return F.regexp_replace(text, r"\\g<(\w+)>", r"\${$1}")
 
-    return F.transform(
+    made = F.transform(
         F.filter(rules, lambda r: filled(r["pattern"]).isNotNull()),
-        lambda r: F.struct(pattern(r).alias("pattern"), replacement(r).alias("replacement")),
+        lambda r: F.struct(pattern(r).alias("pattern"), replacement(r).alias("replacement"), strip(r["pattern"]).alias("given")),
     )
+    return made
+
+
+def _usable_rule(r: Column) -> Column:
+    """Whether a rewritten rule has a pattern that compiles and a replacement that names only groups of it."""
+    compiles = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), r["pattern"]).isNotNull()
+    plain = F.regexp_replace(r["pattern"], r"\\.", "")
+    groups = F.regexp_count(plain, F.lit(r"\((?!\?)|\(\?<[A-Za-z]"))
+    bare = F.regexp_replace(r["replacement"], r"\\.", "")
+    numbers = F.regexp_extract_all(bare, F.lit(r"\$(\d)"), 1)
+    names = F.regexp_extract_all(bare, F.lit(r"\$\{(\w+)\}"), 1)
+    numbered = F.forall(numbers, lambda n: n.try_cast("int") <= groups)
+    named = F.forall(names, lambda n: F.contains(plain, F.concat(F.lit("(?<"), n, F.lit(">"))))
+    return F.coalesce(compiles & numbered & named, F.lit(False))
+
+
+def rejected_rules(taxonomies: DataFrame) -> DataFrame:
+    """Rules that no correction uses, because the pattern or the replacement is not one: project and pattern."""
+    rules = F.coalesce("replacement_rules", F.array().cast(TAXONOMY["replacement_rules"].dataType))
+    every = taxonomies.select("project_id", F.explode(regex_rules(rules)).alias("_rule"))
+    return every.filter(~_usable_rule(F.col("_rule"))).select("project_id", F.col("_rule.given").alias("pattern"))
+
+
+def _usable_rules(taxonomies: DataFrame) -> Column:
+    rules = F.coalesce("replacement_rules", F.array().cast(TAXONOMY["replacement_rules"].dataType))
+    return F.filter(regex_rules(rules), _usable_rule)
 
 
 def correct_text(text: Column, aliases: Column, rules: Column) -> Column:
@@ -136,7 +162,7 @@ def correct_cues(cues: DataFrame, taxonomies: DataFrame, text: str = "text") ->
     rules = taxonomies.select(
         "project_id",
         alias_rules(F.coalesce("terms", F.array().cast(TAXONOMY["terms"].dataType))).alias("_aliases"),
-        regex_rules(F.coalesce("replacement_rules", F.array().cast(TAXONOMY["replacement_rules"].dataType))).alias("_rules"),
+        _usable_rules(taxonomies).alias("_rules"),
     )
     plain = caption_text(F.col(text))
     corrected = F.coalesce(correct_text(plain, F.col("_aliases"), F.col("_rules")), plain)
@@ -148,7 +174,7 @@ def curate_results(results: DataFrame, taxonomies: DataFrame) -> DataFrame:
     rules = taxonomies.select(
         "project_id",
         alias_rules(F.coalesce("terms", F.array().cast(TAXONOMY["terms"].dataType))).alias("_aliases"),
-        regex_rules(F.coalesce("replacement_rules", F.array().cast(TAXONOMY["replacement_rules"].dataType))).alias("_rules"),
+        _usable_rules(taxonomies).alias("_rules"),
         taxonomy_signature(taxonomies).alias("_signature"),
     )
     fixed = F.transform(
@@ -188,10 +214,19 @@ def vocabulary_prompt(taxonomies: DataFrame, lead: str = "Names and terms: ") ->
     )
 
 
-def work_list(clips: DataFrame, results: DataFrame, signature: str = "taxonomy_signature") -> DataFrame:
-    """Clips without a stored result for the wanted signature; an empty transcript counts as stored."""
-    done = results.filter("transcript is not null").select("project_id", "clip_path", signature)
-    return clips.join(done, ["project_id", "clip_path", signature], "left_anti")
+#: What a stored transcript was made with; another value in any of them makes it another transcript.
+SIGNATURE = ("provider", "transcription_model", "speech_locale", "taxonomy_signature")
+
+
+def work_list(clips: DataFrame, results: DataFrame, signature: Sequence[str] = SIGNATURE) -> DataFrame:
+    """Clips without a stored result of the wanted signature; an empty transcript counts as stored.
+
+    ``clips`` has the wanted values in the columns of ``signature``; nulls are equal to each other.
+    """
+    key = ("project_id", "clip_path", *signature)
+    done = results.filter("transcript is not null").select(*[F.col(c).alias(f"_{c}") for c in key])
+    same = [F.col(c) == F.col(f"_{c}") if c in key[:2] else F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key]
+    return clips.join(done, same, "left_anti")
 
 
 def stored_or_default(clips: DataFrame, results: DataFrame) -> DataFrame:

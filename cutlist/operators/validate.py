@@ -27,7 +27,8 @@ def validate_selection(
 ) -> tuple[DataFrame, DataFrame]:
     """Enabled selections that pass every rule, and the violations.
 
-    ``start_ms``, ``end_ms`` and ``sequence_index`` may hold text; what is no number is reported. ``enabled``
+    ``start_ms``, ``end_ms`` and ``sequence_index`` may hold text or doubles; what is no number is reported. Rows of a
+    day whose numbering is reported do not count as valid. ``enabled``
     is a strict boolean and a missing one counts as enabled (deviation: no truthiness of texts). With
     ``projects``, a project without candidates or without an enabled selection is reported too.
     """
@@ -39,7 +40,8 @@ def validate_selection(
         F.col("start_ms").alias("_from"),
         F.col("end_ms").alias("_to"),
     ).withColumn("_known", F.lit(True))
-    number = lambda c: F.col(c).cast("string").try_cast("bigint")
+    # Text, whole numbers and doubles alike; what is no number or fits no long becomes null.
+    number = lambda c: F.round(F.col(c).cast("string").try_cast("decimal(38,6)")).try_cast("bigint")
     rows = (
         selections.filter(F.coalesce("enabled", F.lit(True)))
         .withColumn("date_key", _text("date_key"))
@@ -76,7 +78,7 @@ def validate_selection(
     by_row = checked.select("project_id", "travel_day", "candidate_id", F.explode("_faults").alias("_f")).select(
         "project_id", "travel_day", "candidate_id", "_f.rule", "_f.detail"
     )
-    in_day = (
+    bad_days = (
         rows.filter("sequence_index is not null")
         .groupBy("project_id", "travel_day", "date_key")
         .agg(
@@ -86,13 +88,13 @@ def validate_selection(
             F.count_distinct("sequence_index").alias("kinds"),
         )
         .filter("low <> 1 or high <> n or kinds <> n")
-        .select(
-            "project_id",
-            "travel_day",
-            F.lit("").alias("candidate_id"),
-            F.lit("V8").alias("rule"),
-            F.concat_ws("/", "low", "high", "kinds", "n").alias("detail"),
-        )
+    )
+    in_day = bad_days.select(
+        "project_id",
+        "travel_day",
+        F.lit("").alias("candidate_id"),
+        F.lit("V8").alias("rule"),
+        F.concat_ws("/", "low", "high", "kinds", "n").alias("detail"),
     )
     violations = by_row.select(*report).unionByName(in_day)
     if projects is not None:
@@ -108,14 +110,20 @@ def validate_selection(
                 )
             )
     label = F.coalesce(filled(F.col("day_label")), F.concat(F.lit("Day "), F.col("travel_day").cast("string")))
-    valid = checked.filter(F.size("_faults") == 0).withColumn("day_label", label).select(*selections.columns)
+    whole_days = checked.filter(F.size("_faults") == 0).join(bad_days, ["project_id", "travel_day", "date_key"], "left_anti")
+    valid = whole_days.withColumn("day_label", label).select(*selections.columns)
     if fail_fast:
-        first = violations.limit(5).collect()
-        if first:
-            raise SelectionError("; ".join(f"{r.rule} {r.project_id}/{r.travel_day}/{r.candidate_id}: {r.detail}" for r in first))
+        raise_first(violations)
     return valid, violations
 
 
+def raise_first(violations: DataFrame) -> None:
+    """Raise if there are any violations, naming a few."""
+    first = violations.limit(5).collect()
+    if first:
+        raise SelectionError("; ".join(f"{r.rule} {r.project_id}/{r.travel_day}/{r.candidate_id}: {r.detail}" for r in first))
+
+
 def structure_rejects(documents: DataFrame) -> DataFrame:
     """Selection documents whose ``days`` or ``selections`` are no arrays.
 

@@ -14,14 +14,22 @@ from cutlist.operators.cues import candidate_ids, cue_groups, explode_transcript
 from cutlist.operators.ordered import staged
 from cutlist.operators.scoring import score_candidates
 from cutlist.operators.selection import select_segments
-from cutlist.operators.timeline import build_timeline, chapters, chunk_timeline, edit_list, timeline_summary
+from cutlist.operators.timeline import (
+    build_timeline,
+    chapters,
+    chunk_timeline,
+    edit_list,
+    plan_faults,
+    sound_selections,
+    timeline_summary,
+)
 from cutlist.operators.transcripts import (
     curate_results,
     merge_taxonomy,
     taxonomies_with_default,
     transcript_report,
 )
-from cutlist.operators.validate import validate_selection
+from cutlist.operators.validate import raise_first, validate_selection
 from cutlist.params import DEFAULTS, CutParams
 
 _CLIP_FACTS = (
@@ -166,8 +174,9 @@ def plan(
 ) -> dict[str, DataFrame]:
     """From probe records, stored transcripts, briefs and prompts to timelines, for all projects at once.
 
-    Clips, corrected results, candidates and selections are staged, since several steps read them. Faults of
-    the selection are in ``violations``; with ``fail_fast`` they raise instead.
+    Clips, corrected results, candidates, selections, faults and the timeline are staged, since several steps read
+    them. ``faults`` has the violations of the selection, missing clips and missing titles; a project with any has no
+    timeline. With ``fail_fast`` they raise instead.
     """
     briefs = prompted_briefs(briefs, prompts)
     clips = staged(build_clips(probes, briefs, day_start_hour))
@@ -178,9 +187,12 @@ def plan(
         build_candidates(clips, explode_transcripts(results), briefs, "ranked", lexicon, params, wording)
     )
     selections = staged(select_segments(candidates, target_lengths(briefs, params), params, lexicon, wording))
-    valid, violations = validate_selection(selections, candidates, briefs, fail_fast)
+    valid, violations = validate_selection(selections, candidates, briefs)
     titles = film_titles(briefs, prompts, clips)
-    items = build_timeline(valid, clips, titles, params, wording)
+    faults = staged(plan_faults(valid, violations, clips, titles))
+    if fail_fast:
+        raise_first(faults)
+    items = staged(build_timeline(sound_selections(valid, faults), clips, titles, params, wording))
     return {
         "clips": clips,
         "fps": dominant_fps(clips, briefs),
@@ -188,6 +200,7 @@ def plan(
         "candidates": candidates,
         "selections": selections,
         "violations": violations,
+        "faults": faults,
         "titles": titles,
         "timeline": items,
         "timeline_summary": timeline_summary(items),

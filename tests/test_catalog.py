@@ -15,6 +15,7 @@ from cutlist.operators.catalog import (
     date_spans,
     dominant_fps,
     probe_fields,
+    rejected_anchors,
     rejected_probes,
     resolve_time_context,
     time_contexts,
@@ -112,6 +113,18 @@ def context(spark, brief_row, instants):
     return [(r.timezone_name, r.location_id, r.route_phase, r.route_label) for r in placed.orderBy("n").collect()]
 
 
+def test_unreadable_bounds_reject_the_anchor(spark):
+    """A bound that is there but is no time does not count as open."""
+    anchors = [
+        {"starts_at": "soon", "ends_at": "2030-01-01T00:00:00", "location_id": "x"},
+        {"starts_at": "2020-01-01T00:00:00", "ends_at": "2020-13-01", "location_id": "y"},
+        {"starts_at": "2020-01-01T00:00:00", "location_id": "z"},
+    ]
+    frame = spark.createDataFrame([brief(time_anchors=anchors)], BRIEF)
+    assert context(spark, brief(time_anchors=anchors), [datetime(2024, 5, 1)])[0][1] == "z"
+    assert sorted(r.ordinal for r in rejected_anchors(frame).collect()) == [0, 1]
+
+
 def test_time_context(spark):
     got = context(
         spark,

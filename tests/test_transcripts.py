@@ -12,6 +12,7 @@ from cutlist.operators.transcripts import (
     curate_results,
     merge_taxonomy,
     regex_rules,
+    rejected_rules,
     stored_or_default,
     taxonomies_with_default,
     taxonomy_signature,
@@ -72,6 +73,17 @@ def test_rule_dialect(spark, pattern, replacement):
     assert got == re.sub(pattern, replacement, text)
 
 
+def test_bad_rules_cost_only_themselves(spark):
+    """A broken rule of one project is told and left out; its other rules and all other projects go on."""
+    bad = [("(", "x"), ("[a", "x"), ("a", r"\1"), ("a", r"\g<n>"), ("*", "x")]
+    good = [(r"(?P<n>b)", r"<\g<n>>"), (r"\(c\)", r"\\d"), (r"(e)", r"\1\1")]
+    own = [{**taxonomy(rules=[*bad, *good]), "project_id": 1}, {**taxonomy(rules=good), "project_id": 2}]
+    frame = spark.createDataFrame(own, TAXONOMY)
+    assert sorted(r.pattern for r in rejected_rules(frame).collect()) == sorted(p for p, _ in bad)
+    cues = spark.createDataFrame([(1, "a b (c) e"), (2, "a b (c) e")], "project_id bigint, text string")
+    assert {r.text for r in correct_cues(cues, frame).collect()} == {loop("a b (c) e", [], good)}
+
+
 def results(spark, *rows):
     return spark.createDataFrame([{"project_id": 1, **r} for r in rows], CLIP_RESULT)
 
@@ -98,14 +110,19 @@ def test_curation_and_report(spark):
 
 
 def test_an_empty_transcript_is_no_work(spark):
-    clips = spark.createDataFrame([(1, f"/{i}.mp4", "sig") for i in range(4)], "project_id bigint, clip_path string, taxonomy_signature string")
+    shape = "project_id bigint, clip_path string, provider string, transcription_model string, speech_locale string, taxonomy_signature string"
+    clips = spark.createDataFrame([(1, f"/{i}.mp4", "asr", "base", None, "sig") for i in range(7)], shape)
+    made = {"provider": "asr", "transcription_model": "base", "taxonomy_signature": "sig", "transcript": []}
     stored = results(
         spark,
-        {"clip_path": "/0.mp4", "taxonomy_signature": "sig", "transcript": []},
-        {"clip_path": "/1.mp4", "taxonomy_signature": "old", "transcript": cue("a")},
-        {"clip_path": "/2.mp4", "taxonomy_signature": "sig", "transcript": None},
+        {**made, "clip_path": "/0.mp4"},
+        {**made, "clip_path": "/1.mp4", "taxonomy_signature": "old", "transcript": cue("a")},
+        {**made, "clip_path": "/2.mp4", "transcript": None},
+        {**made, "clip_path": "/4.mp4", "transcription_model": "large"},
+        {**made, "clip_path": "/5.mp4", "speech_locale": "fr"},
+        {**made, "clip_path": "/6.mp4", "provider": "other"},
     )
-    assert sorted(r.clip_path for r in work_list(clips, stored).collect()) == ["/1.mp4", "/2.mp4", "/3.mp4"]
+    assert sorted(r.clip_path for r in work_list(clips, stored).collect()) == [f"/{i}.mp4" for i in range(1, 7)]
     got = {r.clip_path: (r.filename, r.taxonomy_signature) for r in stored_or_default(clips, stored).collect()}
     assert got["/0.mp4"] == ("0.mp4", "sig") and got["/3.mp4"] == ("3.mp4", None)
 
