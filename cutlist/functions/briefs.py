@@ -22,12 +22,12 @@ def must_include_terms(terms: Column) -> Column:
 
 
 def editorial_text(editorial: Column) -> Column:
-    """``key: value`` lines, then ``key: a; b`` lists; empty ones are left out (P25)."""
+    """``key: value`` lines, then ``key: a; b`` lists; empty ones are left out (P25). A plain text is itself."""
     lines = [F.concat(F.lit(f"{key}: "), filled(editorial[key])) for key in EDITORIAL_LINES]
     for key in EDITORIAL_LISTS:
         items = cleaned(editorial[key])
         lines.append(F.when(F.size(items) > 0, F.concat(F.lit(f"{key}: "), F.array_join(items, "; "))))
-    return F.concat_ws("\n", *lines)
+    return F.coalesce(filled(editorial["text"]), F.concat_ws("\n", *lines))
 
 
 def people_terms(people: Column) -> Column:

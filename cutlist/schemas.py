@@ -48,6 +48,7 @@ BRIEF = row(
         pacing_guidance=TEXT,
         opener_guidance=TEXT,
         closer_guidance=TEXT,
+        text=TEXT,
     ),
     time_anchors=rows(starts_at=TEXT, ends_at=TEXT, timezone=TEXT, location_id=TEXT, story_anchor_id=TEXT, label=TEXT),
     story_anchors=rows(id=TEXT, label=TEXT, keywords=TEXTS),

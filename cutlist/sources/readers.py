@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DataType, StringType, StructField, StructType
 
+from cutlist.functions.text import filled
 from cutlist.functions.timekeys import utc_of
 from cutlist.schemas import BRIEF, CLIP_RESULT, LONG, PROBE_DOCUMENT, TAXONOMY, TEXT, row
 
@@ -37,10 +38,6 @@ def accepted(documents: DataFrame) -> DataFrame:
     return documents.filter(F.col(CORRUPT).isNull() & some).drop(CORRUPT)
 
 
-def rejected(documents: DataFrame) -> DataFrame:
-    return documents.filter(F.col(CORRUPT).isNotNull()).select(CORRUPT)
-
-
 def list_media(spark: SparkSession, directory: str) -> DataFrame:
     """Media files directly in ``directory``, without their contents.
 
@@ -62,23 +59,57 @@ def read_clip_results(spark: SparkSession, path: str, multiline: bool = True) ->
     return accepted(read_documents(spark, path, CLIP_RESULT, multiline))
 
 
-def read_briefs(spark: SparkSession, path: str, multiline: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Briefs of the supported version, and the rejected ones with the reason."""
-    documents = read_documents(spark, path, BRIEF, multiline)
-    briefs = accepted(documents)
-    supported = F.coalesce(F.regexp_extract("version", r"^0*(\d+)$", 1) == BRIEF_VERSION, F.lit(False))
-    wrong = briefs.filter(~supported).select(
-        "project_id", F.concat(F.lit("version "), F.coalesce("version", F.lit(""))).alias("reason")
+def _lenient(text: Column, kind: DataType) -> Column:
+    """A JSON text as ``kind``, part by part: what does not fit is null, and list entries that are no objects go."""
+    if isinstance(kind, StructType):
+        fields = F.from_json(text, "map<string,string>")
+        made = F.struct(*[_lenient(fields[f.name], f.dataType).alias(f.name) for f in kind])
+        return F.when(fields.isNotNull(), made)
+    if isinstance(kind, ArrayType):
+        entries = F.transform(F.from_json(text, "array<string>"), lambda e: _lenient(e, kind.elementType))
+        return F.filter(entries, lambda e: e.isNotNull())
+    return text if isinstance(kind, StringType) else text.try_cast(kind)
+
+
+def _parsed(spark: SparkSession, path: str, schema: StructType, multiline: bool) -> DataFrame:
+    """Documents with ``_path``, ``_value`` and ``_fields``, null where the text is no object, and the parts of ``schema``."""
+    texts = spark.read.text(path, wholetext=multiline).filter(F.btrim("value") != "")
+    known = texts.select(
+        F.col("_metadata.file_path").alias("_path"),
+        F.col("value").alias("_value"),
+        F.from_json("value", "map<string,string>").alias("_fields"),
     )
-    broken = rejected(documents).select(
-        F.lit(None).cast("bigint").alias("project_id"), F.lit("not a brief").alias("reason")
+    return known.select("*", *[_lenient(F.col("_fields")[f.name], f.dataType).alias(f.name) for f in schema])
+
+
+def read_briefs(spark: SparkSession, path: str, multiline: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Briefs of the supported version, and all other documents with id, path and reason.
+
+    A brief is read part by part: an odd list entry or field is left out and the rest counts. ``editorial_brief`` may
+    be a plain text.
+    """
+    documents = _parsed(spark, path, BRIEF, multiline)
+    editorial = F.col("_fields")["editorial_brief"]
+    kind = BRIEF["editorial_brief"].dataType
+    plain = F.struct(*[(editorial if f.name == "text" else F.lit(None).cast(f.dataType)).alias(f.name) for f in kind])
+    documents = documents.withColumn("editorial_brief", F.coalesce("editorial_brief", F.when(filled(editorial).isNotNull(), plain)))
+    reason = (
+        F.when(F.col("_fields").isNull(), F.lit("not a brief"))
+        .when(
+            ~F.coalesce(F.regexp_extract("version", r"^0*(\d+)$", 1) == BRIEF_VERSION, F.lit(False)),
+            F.concat(F.lit("version "), F.coalesce("version", F.lit(""))),
+        )
+        .when(F.col("project_id").isNull(), F.lit("no project_id"))
     )
-    return briefs.filter(supported), wrong.unionByName(broken)
+    judged = documents.withColumn("_reason", reason)
+    briefs = judged.filter("_reason is null").select(*BRIEF.fieldNames())
+    return briefs, judged.filter("_reason is not null").select("project_id", F.col("_path").alias("path"), F.col("_reason").alias("reason"))
 
 
 def read_taxonomies(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
-    """Project taxonomies (S7; ``taxonomies_with_default`` fills the gaps)."""
-    return accepted(read_documents(spark, path, TAXONOMY, multiline))
+    """Project taxonomies, part by part like briefs (S7; ``taxonomies_with_default`` fills the gaps)."""
+    documents = _parsed(spark, path, TAXONOMY, multiline)
+    return documents.filter(F.size("_fields") > 0).select(*TAXONOMY.fieldNames())
 
 
 def read_table(spark: SparkSession, path: str, projects: Column | None = None) -> DataFrame:

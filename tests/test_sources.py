@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from cutlist.functions.briefs import editorial_text
 from cutlist.operators.transcripts import transcript_report
 from cutlist.plans.jobs import plan
 from cutlist.sources import readers, writers
@@ -48,10 +49,29 @@ def test_briefs(spark, tmp_path):
     dump(tmp_path, "2.json", {"project_id": 2, "version": 2})
     dump(tmp_path, "3.json", {"project_id": 3})
     dump(tmp_path, "4.json", {"project_id": 4, "version": 3, "people": "nobody"})
-    dump(tmp_path, "5.json", {"project_id": 5, "version": "3"})
+    dump(tmp_path, "5.json", {"project_id": 5, "version": "3", "editorial_brief": " All about food ", "time_anchors": [5, {"label": "x"}]})
+    dump(tmp_path, "6.json", "{}")
+    dump(tmp_path, "7.json", "[1, 2]")
+    dump(tmp_path, "8.json", "{broken")
+    dump(tmp_path, "9.json", {"version": 3})
+    dump(tmp_path, "10.json", {
+        "project_id": 10, "version": 3, "people": ["Ana", {"name": "Theo", "aliases": ["T", 7]}, 4],
+        "transcription": {"replacement_rules": ["x", {"pattern": "a", "replacement": "b"}]}, "unknown": [1],
+    })
     good, bad = readers.read_briefs(spark, str(tmp_path))
-    assert sorted(r.project_id for r in good.collect()) == [1, 5]
-    assert sorted((r.project_id or 0, r.reason) for r in bad.collect()) == [(0, "not a brief"), (2, "version 2"), (3, "version ")]
+    rows = {r.project_id: r for r in good.collect()}
+    assert sorted(rows) == [1, 4, 5, 10]
+    assert [p.name for p in rows[1].people] == ["A"] and rows[4].people is None
+    assert [(p.name, p.aliases) for p in rows[10].people] == [("Theo", ["T", "7"])]
+    assert [r.pattern for r in rows[10].transcription.replacement_rules] == ["a"]
+    assert [a.label for a in rows[5].time_anchors] == ["x"]
+    texts = {r.project_id: r.text for r in good.select("project_id", editorial_text(F.col("editorial_brief")).alias("text")).collect()}
+    assert texts[5] == "All about food"
+    reasons = sorted((r.path.rsplit("/", 1)[1], r.project_id, r.reason) for r in bad.collect())
+    assert reasons == [
+        ("2.json", 2, "version 2"), ("3.json", 3, "version "), ("6.json", None, "version "), ("7.json", None, "not a brief"),
+        ("8.json", None, "not a brief"), ("9.json", None, "no project_id"),
+    ]
 
 
 def test_selection_documents_with_wrong_structure(spark, tmp_path):
