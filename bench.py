@@ -1,7 +1,8 @@
-"""Time the headline queries: one JSON line with seconds per query.
+"""Time the headline queries, or all of the library's: one JSON line with seconds per query.
 
 Every query runs once to warm up and then ``BENCH_RUNS`` times (default 1); the median counts. Results go
-to the no-op sink, so the whole plan runs and nothing is sent to the driver.
+to the no-op sink, so the whole plan runs and nothing is sent to the driver. ``BENCH_QUERIES=all`` takes every query,
+a comma-separated list these.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from checks.queries import QUERIES
 HEADLINE = (
     "cue_normalize", "cue_groups_events", "cue_groups_merged_events", "cue_segments", "clip_catalog",
     "anchor_interval_join", "dominant_fps", "travel_day_key", "overall_priority", "day_budgets", "select_segments",
-    "selection_roles", "validate_selection", "timeline_items", "timeline_chunks", "edit_list", "taxonomy_correct",
+    "selection_roles", "validate_selection", "plan_faults", "timeline_items", "timeline_chunks", "edit_list", "taxonomy_correct",
     "prompt_runtime", "prompt_dates", "prompt_title", "result_upsert",
 )
 
@@ -34,10 +35,12 @@ def main() -> None:
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("OFF")
-    wanted = os.environ.get("BENCH_QUERIES", "").split(",") if os.environ.get("BENCH_QUERIES") else HEADLINE
+    asked = os.environ.get("BENCH_QUERIES", "")
+    wanted = tuple(QUERIES) if asked == "all" else tuple(asked.split(",")) if asked else HEADLINE
     seconds = {}
     for name in wanted:
         taken = []

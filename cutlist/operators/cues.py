@@ -82,11 +82,11 @@ def session_groups(cues: DataFrame, params: CutParams = DEFAULTS, slices: int |
     and a blank follows it, so one cue more than half as many as characters always fills it.
     """
     chars = params.excerpt_chars
-    piece = F.when(
-        F.col("place") <= chars // 2, F.struct("cue_ordinal", F.substring("text", 1, chars).alias("text"))
-    )
+    piece = F.when(F.col("place") <= chars // 2, F.struct("cue_ordinal", "text"))
+    # No more of a text can reach an excerpt, so no more of it is staged and passed on.
+    cut = cues.withColumn("text", F.substring("text", 1, chars))
     return (
-        sessionize(cues, params, slices)
+        sessionize(cut, params, slices)
         .groupBy(*CLIP, "session_no")
         .agg(
             F.min("start_ms").alias("start_ms"),

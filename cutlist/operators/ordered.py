@@ -1,7 +1,7 @@
 """Ordered scans that stay exact and balanced when one key holds most of the rows.
 
 A window over ``partitionBy(key)`` puts a whole key into one task. Here a key is cut into contiguous
-pieces of bounded size, the window runs inside each piece, and what the earlier pieces add up to is
+pieces, as many as ``slices`` or the session's shuffle partitions, the window runs inside each piece, and what the earlier pieces add up to is
 joined back from a table with one row per piece.
 """
 

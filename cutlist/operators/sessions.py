@@ -4,7 +4,9 @@ Where a session ends depends on where it began, so neither ``lag`` nor ``session
 The cues are range-partitioned by clip and time, and each slice is read once in order. A slice also
 reports how the session that enters it would leave it, as a step function of that session's start;
 chaining these reports gives every slice its entry state, so one clip may fill any number of slices
-and still be read in parallel. A report has at most one step per millisecond of the span limit.
+and still be read in parallel. A report has at most one step per millisecond of the span limit, and only
+slices that one clip fills from end to end need any; such a slice's times are held while it is read, so
+``slices`` bounds the memory of a task.
 """
 
 from __future__ import annotations
@@ -163,18 +165,22 @@ def _read_edges(gap: int, span: int):
             at = int(np.flatnonzero(new)[-1]) if new.any() else 0
             key = keys[len(keys) - 1].as_py()
             state = _read(new[at:], starts[at:], ends[at:], state, gap, span)[-1]
+            if not whole:
+                # What enters a slice that its first clip ends in does not leave it: no steps are needed.
+                heads = []
         if first_key is not None:
-            starts, ends = (np.concatenate(part).tolist() for part in zip(*heads))
+            steps = {}
+            if whole:
+                starts, ends = (np.concatenate(part).tolist() for part in zip(*heads))
+                steps = {"first_start": starts[0], "first_end": ends[-1], "first_rows": len(starts)}
+                steps.update(_entry_steps(starts, ends, gap, span))
             row = {
                 "_slice": number,
                 "first_key": first_key,
                 "last_key": key,
                 "whole": whole,
-                "first_start": starts[0],
-                "first_end": ends[-1],
-                "first_rows": len(starts),
                 **{f"last_{name}": value for name, value in state._asdict().items()},
-                **_entry_steps(starts, ends, gap, span),
+                **steps,
             }
             yield pa.RecordBatch.from_pylist([row], schema=pa.schema(_EDGE_FIELDS))
 

@@ -1,4 +1,4 @@
-"""The jobs a user calls: lazy DataFrames in, lazy DataFrames out."""
+"""The jobs a user calls. Tables that several steps read are staged on the way."""
 
 from __future__ import annotations
 
@@ -171,12 +171,14 @@ def plan(
     params: CutParams = DEFAULTS,
     wording: Wording = WORDING,
     fail_fast: bool = False,
+    slices: int | None = None,
 ) -> dict[str, DataFrame]:
     """From probe records, stored transcripts, briefs and prompts to timelines, for all projects at once.
 
     Clips, corrected results, candidates, selections, faults and the timeline are staged, since several steps read
     them. ``faults`` has the violations of the selection, missing clips and missing titles; a project with any has no
-    timeline. With ``fail_fast`` they raise instead.
+    timeline. With ``fail_fast`` they raise instead. ``slices`` is the number of pieces that ordered scans cut their
+    rows into: about the input's bytes over 64 MB, or the session's shuffle partitions by default.
     """
     briefs = prompted_briefs(briefs, prompts)
     clips = staged(build_clips(probes, briefs, day_start_hour))
@@ -184,9 +186,9 @@ def plan(
         own = merge_taxonomy(taxonomies_with_default(briefs, taxonomies), briefs)
         results = staged(curate_results(results, own))
     candidates = staged(
-        build_candidates(clips, explode_transcripts(results), briefs, "ranked", lexicon, params, wording)
+        build_candidates(clips, explode_transcripts(results), briefs, "ranked", lexicon, params, wording, slices)
     )
-    selections = staged(select_segments(candidates, target_lengths(briefs, params), params, lexicon, wording))
+    selections = staged(select_segments(candidates, target_lengths(briefs, params), params, lexicon, wording, slices))
     valid, violations = validate_selection(selections, candidates, briefs)
     titles = film_titles(briefs, prompts, clips)
     faults = staged(plan_faults(valid, violations, clips, titles))
