@@ -90,10 +90,6 @@ class Orderings:
             yield hilbert(cells.astype(np.uint32), self.bits)
 
 
-def _doubles(column: pa.Array) -> pa.Array:
-    return column.cast(pa.list_(pa.float64()))
-
-
 def points(table: DataFrame, queries: Column, k: int, vector: str, row_id: str) -> tuple[DataFrame, DataFrame]:
     """(_row, _id, _point) per row that takes part, and per point its vector, whether it is asked, and k + 1 members."""
     squares = F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
@@ -120,9 +116,9 @@ def points(table: DataFrame, queries: Column, k: int, vector: str, row_id: str)
 
 def _ordered(batches: Iterator[pa.RecordBatch], index: dict[int, Orderings]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for where, matrix in matrices(_doubles(batch.column(2))):
+        for where, matrix in matrices(batch.column(2)):
             chosen = batch.take(pa.array(where))
-            for n, place in enumerate(index[matrix.shape[1]].places(matrix)):
+            for n, place in enumerate(index[matrix.shape[1]].places(matrix.astype(np.float64))):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(where), matrix.shape[1], np.int32)), pa.array(np.full(len(where), n, np.int32)),
                      pa.array(place), *chosen.columns],
@@ -160,14 +156,14 @@ def _bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if state is not None and new != state:
                 yield from drained(1)
             state = new
-            matrix = next(matrices(_doubles(run.column(4))))[1]
+            matrix = next(matrices(run.column(4)))[1]
             held.append((run.column(2).to_numpy(), run.column(3).to_numpy(zero_copy_only=False), matrix))
             yield from drained(2 * BUCKET)
     if state is not None:
         yield from drained(1)
 
 
-def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _ask(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
     """A bucket's own queries, for itself and both neighbours."""
     names = ["size", "ordering", "nth", "q_ids", "q_matrix"]
     for batch in batches:
@@ -176,18 +172,18 @@ def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = np.flatnonzero(np.frombuffer(asked, bool))
             if len(own):
                 q_ids = np.frombuffer(ids, np.int64)[own].tobytes()
-                q_matrix = np.frombuffer(matrix, np.float64).reshape(-1, size)[own].tobytes()
+                q_matrix = np.frombuffer(matrix, kind).reshape(-1, size)[own].tobytes()
                 rows += [(size, ordering, nth + d, q_ids, q_matrix) for d in (-1, 0, 1)]
         columns = list(zip(*rows)) or [()] * 5
         kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
 
 
-def _nearest(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def _nearest(batches: Iterator[pa.RecordBatch], k: int, kind: str) -> Iterator[pa.RecordBatch]:
     """The k + 1 best points of a bucket for each query, its own point among them."""
     for batch in batches:
         for size, q_ids, q_matrix, ids, matrix in zip(*(c.to_pylist() for c in batch.columns)):
-            q, c = (np.frombuffer(x, np.float64).reshape(-1, size) for x in (q_matrix, matrix))
+            q, c = (np.frombuffer(x, kind).reshape(-1, size).astype(np.float64) for x in (q_matrix, matrix))
             q_ids, ids = np.frombuffer(q_ids, np.int64), np.frombuffer(ids, np.int64)
             cosine = (q @ c.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(c, axis=1)[None, :])
             count = min(k + 1, len(ids))
@@ -205,6 +201,10 @@ def nearest(
     ``queries`` is a condition over the id column that says which rows are queries.
     """
     sc = table.sparkSession.sparkContext
+    # Packed as they are stored; scores are computed in double precision.
+    kind = {"float": "float32", "double": "float64"}.get(table.schema[vector].dataType.elementType.simpleString())
+    if kind is None:
+        table, kind = table.withColumn(vector, F.col(vector).cast("array<double>")), "float64"
     rows, stored = points(table, queries, k, vector, row_id)
     lengths = [r[0] for r in stored.select(F.size("_vector")).distinct().collect()]  # one row per length
     index = {}
@@ -228,14 +228,16 @@ def nearest(
     )
     # A row per bucket: partitions follow each other in order, and so do the numbers in each.
     nth = Window.partitionBy("size", "ordering").orderBy("part", "number")
-    order = buckets.select("size", "ordering", "part", "number").withColumn("nth", F.row_number().over(nth).cast("long"))
+    order = staged(
+        buckets.select("size", "ordering", "part", "number").withColumn("nth", F.row_number().over(nth).cast("long"))
+    )
     numbered = buckets.join(order, ["size", "ordering", "part", "number"])
     asked = numbered.select("size", "ordering", "nth", "ids", "matrix", "asked").mapInArrow(
-        _ask, "size int, ordering int, nth long, q_ids binary, q_matrix binary"
+        lambda batches: _ask(batches, kind), "size int, ordering int, nth long, q_ids binary, q_matrix binary"
     )
     pairs = asked.join(numbered.select("size", "ordering", "nth", "ids", "matrix"), ["size", "ordering", "nth"])
     found = pairs.select("size", "q_ids", "q_matrix", "ids", "matrix").mapInArrow(
-        lambda batches: _nearest(batches, k), "_asked long, _point long, score double"
+        lambda batches: _nearest(batches, k, kind), "_asked long, _point long, score double"
     )
     merged = found.groupBy("_asked", "_point").agg(F.max("score").alias("score"))
     by_point = Window.partitionBy("_asked").orderBy(F.col("score").desc())
