@@ -56,6 +56,21 @@ select doc_id, size, source_size, round(target, 6) as target, (copies * size)::b
 from decided
 """
 
+TOP_K = """
+with whole as (
+  select vec_id, row_number() over () as n, [floor(64 * x::double) for x in embedding] as v
+  from embeddings
+  where vec_id is not null and len(embedding) > 0
+    and len([x for x in embedding if x is null or not isfinite(x::double)]) = 0),
+scored as (
+  select q.n, q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint as score,
+    row_number() over (partition by q.n order by list_inner_product(q.v, c.v) desc, c.vec_id, c.n) as rank
+  from whole q join whole c on q.n <> c.n and len(q.v) = len(c.v)
+  where q.vec_id % 20 = 0)
+select query_id, rank::integer as rank, vec_id, score from scored where rank <= 20
+"""
+
 ORACLE: dict[str, str] = {
+    "op9_histogram_topk": TOP_K,
     "op7_pareto_mixing": MIXING,
 }

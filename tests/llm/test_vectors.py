@@ -1,12 +1,14 @@
 import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from cases import SF
 from pyspark.sql import functions as F
 
 from cutlist.llm import curves, topk
+from cutlist.llm.oracle import ORACLE
 from cutlist.llm.queries import QUERIES
 
 SCHEMA = "vec_id long, embedding array<double>, score string, rank string, `_row` long"
@@ -61,6 +63,14 @@ def test_top_k_equals_all_pairs(spark):
     assert got == sorted(want)
 
 
+def test_top_k_equals_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from read_parquet('{SF}/embeddings.parquet')")
+    result = con.execute(ORACLE["op9_histogram_topk"])
+    names = [d[0] for d in result.description]
+    assert sorted(result.fetchall()) == sorted(map(tuple, QUERIES["op9_histogram_topk"](spark, SF).select(*names).collect()))
+
+
 @pytest.mark.parametrize("k", [1, 20, 500])
 def test_top_k_of_odd_rows(spark, k, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK", 16)
