@@ -39,8 +39,9 @@ PER_LANGUAGE = 500
 ROUNDS = 25
 #: Steepness of the score as a function of a machine's margin.
 STEEPNESS = 4.0
-BLOCK = 4 << 20
-ROWS = 512
+#: Bytes and texts that are turned into vectors at a time.
+BLOCK = 1 << 20
+ROWS = 256
 
 # Families of languages by ISO 639-1 code. A language that is not listed is a family of its own.
 FAMILIES = {

@@ -41,7 +41,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Hash streams among which the occurrences of a unit are spread.
 VARIANTS = 4
 #: Segmentations that a worker keeps: as many again that were used before the newest ones filled up.
-CACHED = 300_000
+CACHED = 150_000
 CACHED_LENGTH = 48
 #: Units whose segmentations are looked up together, and of the new ones the rows of one matrix.
 GROUP = 400_000

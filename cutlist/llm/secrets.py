@@ -27,7 +27,7 @@ from cutlist.llm.spans import SPANS, chunks, redacted, span_array
 from cutlist.llm.trigrams import EVERY, Index, derive, named
 
 #: Bytes of text that one index covers; a single longer text is indexed alone.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 @dataclass(frozen=True)

@@ -161,7 +161,7 @@ class Index:
         self.postings: dict[bytes, np.ndarray] = {}
         self.rows = 0
 
-    def fill(self, text: pa.Array, block: int = 1 << 22) -> None:
+    def fill(self, text: pa.Array, block: int = 1 << 20) -> None:
         """Index a batch, block by block, so that the memory beside the texts is bounded."""
         raw, starts = lower_bytes(text)
         self.rows = len(text)
