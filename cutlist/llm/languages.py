@@ -135,12 +135,12 @@ class Model:
 
 def machine(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = ROUNDS) -> np.ndarray:
     """Weights and bias of a linear support vector machine (squared hinge), by dual coordinate descent."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float64)
+    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
     w, alpha = np.zeros(x.shape[1]), np.zeros(len(x))
     # Both classes weigh the same, however many rows each has.
     share = {s: max(1, (y == s).sum()) for s in (-1, 1)}
     diagonal = np.array([share[int(s)] / len(y) / cost for s in y])
-    size = (x * x).sum(axis=1) + diagonal
+    size = np.einsum("ij,ij->i", x, x) + diagonal
     order = np.random.default_rng(1)
     for _ in range(rounds):
         for i in order.permutation(len(x)):
