@@ -1,14 +1,15 @@
 """Encoding with a public merge-type piece model under seeded merge-dropout, and lossless decoding.
 
 Encoding processes an agenda of candidate merges, best score first. Each candidate that comes up is skipped if
-the hash of its unit and variant, keyed by the seed, says so; skipped ones return to the agenda after the next
+the hash stream of the unit's occurrence, keyed by the seed, says so; skipped ones return to the agenda after the next
 merge. An encoding depends on nothing but text, seed, rate and key: any task on any executor makes the same
 one again. With rate 0 the result is the model's own segmentation.
 
 Texts are cut into units before blanks, at line feeds and at literal U+2581, none of which lies inside a piece, and
-each occurrence of a unit has one of ``VARIANTS`` hash streams, chosen by the document's key and the occurrence's
-place. A segmentation is computed once per unit and variant while it is in the worker's cache, whose size is
-bounded; only time depends on the cache. New units are segmented together, as rows of arrays.
+each occurrence of a unit has a hash stream of its own, from the document's key and the occurrence's place. A stream gives
+the numbers of merged candidates between skipped ones, and so the pattern of skips; the pattern settles the segmentation.
+A segmentation is computed once per unit and pattern while it is in the worker's cache, whose size is bounded; only time
+depends on the cache. New units are segmented together, as rows of arrays.
 
 Characters outside the vocabulary become byte pieces, and so does a literal U+2581, which stands for a blank in
 pieces. Decoding joins the pieces' bytes, and so returns every text exactly.
@@ -28,7 +29,6 @@ from itertools import islice
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,8 +38,10 @@ from cutlist.llm.common import carried, kept, quoted, restored
 from cutlist.llm.spans import chunks
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Hash streams among which the occurrences of a unit are spread.
-VARIANTS = 4
+#: Hash streams: one for every document and place.
+VARIANTS = 1 << 64
+#: Draws that a pattern of skips covers; units that may take more are segmented by their streams.
+PLACES = 43
 #: Segmentations that a worker keeps: as many again that were used before the newest ones filled up.
 CACHED = 150_000
 CACHED_LENGTH = 48
@@ -56,11 +58,6 @@ UNITS = re.compile(r" *[^ \n▁]+| +|[\n▁]")
 _ADDED = ("ids", "n_pieces")
 
 
-def _draw(unit: int, variant: int, nth: int) -> int:
-    """The nth 64 random bits of a unit's stream; ``unit`` is its keyed hash."""
-    return int(_mixed(np.array([(unit + variant * _STREAM + nth * _STEP) & _MASK], np.uint64))[0])
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -69,7 +66,44 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def _spread(place: int, start: int, size: int) -> np.ndarray:
     """A variant for each place in a document, by a hash of document and place."""
-    return (_mixed(np.arange(start, start + size, dtype=np.uint64) + np.uint64(place & _MASK)) % np.uint64(VARIANTS)).astype(np.int64)
+    return _mixed(np.arange(start, start + size, dtype=np.uint64) + np.uint64(place & _MASK))
+
+
+def _streams(variants: Sequence[int] | np.ndarray, seed: int) -> np.ndarray:
+    return _mixed(np.asarray(variants, np.uint64) ^ _mixed(np.array([seed & _MASK], np.uint64) + np.uint64(_STREAM)))
+
+
+def _shares(rate: float) -> np.ndarray:
+    """Ascending: the chances, in 2^-64, that PLACES, ..., 2, 1 draws in a row skip nothing. Whole numbers, so exact anywhere."""
+    keep, chance, out = (1 << 64) - min(int(rate * 2**64), 1 << 64), 1 << 64, []
+    for _ in range(PLACES):
+        chance = chance * keep >> 64
+        out.append(min(chance, _MASK))
+    return np.array(out[::-1], np.uint64)
+
+
+def _gaps(streams: np.ndarray, nth: int, shares: np.ndarray) -> np.ndarray:
+    """Draws that skip nothing before the next one that skips; PLACES stands for that many and a new gap."""
+    with np.errstate(over="ignore"):
+        return PLACES - np.searchsorted(shares, _mixed(streams + np.uint64(nth * _STEP & _MASK)), side="right")
+
+
+def _patterns(streams: np.ndarray, merges: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """A bit for each draw that skips, before at most ``merges`` have merged; -1 where that takes over PLACES draws."""
+    pattern, alive = np.zeros(len(streams), np.int64), np.flatnonzero(merges > 0)
+    place, left, nth = np.zeros(len(alive), np.int64), merges[alive], 0
+    while len(alive):
+        nth += 1
+        gap = _gaps(streams[alive], nth, shares)
+        go = gap < left
+        alive, place, left, gap = alive[go], place[go] + gap[go], left[go] - gap[go], gap[go]
+        far = place >= PLACES
+        pattern[alive[far]] = -1
+        near = ~far
+        alive, place, left, gap = alive[near], place[near], left[near], gap[near]
+        pattern[alive] |= np.int64(1) << place
+        place = place + 1
+    return pattern
 
 
 class Pieces:
@@ -81,7 +115,6 @@ class Pieces:
         self.rank = {p: places[v] for p, v in scores.items()}
         self.cache: dict[tuple[str, int], bytes] = {}
         self.older: dict[tuple[str, int], bytes] = {}
-        self._filled_for: tuple[float, int] | None = None
         # The same as arrays: pieces of one character by code point, and merges by their two halves.
         self._letter = np.full(1 << 16, -1, np.int64)
         merges = []
@@ -119,8 +152,21 @@ class Pieces:
 
         Entries whose parts have been merged since are passed over.
         """
-        rank, limit = self.rank, int(rate * 2**64)
-        key, drawn = xxhash.xxh64_intdigest(unit.encode(), seed & _MASK), 0
+        rank, shares, stream = self.rank, _shares(rate) if rate else None, _streams([variant], seed)
+        nth, merging = 0, 0  # gaps that have been drawn, and draws up to the next skip
+
+        def skips() -> bool:
+            nonlocal nth, merging
+            while merging == 0:
+                nth += 1
+                gap = int(_gaps(stream, nth, shares)[0])
+                merging = gap if gap == PLACES else -gap - 1
+            if merging > 0:
+                merging -= 1
+                return False
+            merging += 1
+            return merging == 0
+
         parts: list[str | None] = list(unit)
         size = len(parts)
         after, before = list(range(1, size + 1)), list(range(-1, size - 1))
@@ -140,11 +186,9 @@ class Pieces:
             j = after[i]
             if parts[i] != left or j >= size or left + parts[j] != joined:
                 continue
-            if limit:
-                drawn += 1
-                if _draw(key, variant, drawn) < limit:
-                    skipped.append(top)
-                    continue
+            if rate and skips():
+                skipped.append(top)
+                continue
             parts[i], parts[j] = joined, None
             after[i] = after[j]
             for candidate in skipped:
@@ -174,10 +218,18 @@ class Pieces:
         return np.where(at >= 0, self._ranks[at], NEVER)
 
     def segment_many(self, units: Sequence[str], variants: Sequence[int], rate: float, seed: int) -> list[bytes]:
-        """Packed ids of many units, as ``segment`` gives them: their agendas are the rows of one matrix.
+        """Packed ids of many units, as ``segment`` gives them."""
+        merges = np.array([len(u) - 1 for u in units], np.int64)
+        streams = _streams(variants, seed)
+        patterns = _patterns(streams, merges, _shares(rate)) if rate else np.zeros(len(units), np.int64)
+        return self._segmented(units, patterns, variants, rate, seed)
+
+    def _segmented(self, units: Sequence[str], patterns: np.ndarray, variants: Sequence[int], rate: float, seed: int) -> list[bytes]:
+        """Packed ids of many units by their patterns of skips: their agendas are the rows of one matrix.
 
         Every round takes the best entry of each row, leftmost first, and either skips it, which hides it until the
-        row's next merge, or merges. Units that are long or hold a character outside the vocabulary go one by one.
+        row's next merge, or merges. Units that are long, hold a character outside the vocabulary or have no pattern go
+        one by one; any variant with the same pattern gives the same ids.
         """
         out: list[bytes | None] = [None] * len(units)
         sizes = np.array([len(u) for u in units], np.int64)
@@ -185,18 +237,17 @@ class Pieces:
         letters = np.where(points < len(self._letter), self._letter[np.minimum(points, len(self._letter) - 1)], -1)
         starts = np.cumsum(sizes) - sizes
         unknown = np.add.reduceat(letters < 0, starts) > 0 if len(units) else np.zeros(0, bool)
-        for i in np.flatnonzero(unknown | (sizes > SHORT)):
-            out[i] = np.array(self.segment(units[i], rate, seed, variants[i]), np.int32).tobytes()
-        plain = np.flatnonzero(~unknown & (sizes <= SHORT))
+        single = unknown | (sizes > SHORT) | (patterns < 0)
+        for i in np.flatnonzero(single):
+            out[i] = np.array(self.segment(units[i], rate, seed, int(variants[i])), np.int32).tobytes()
+        plain = np.flatnonzero(~single)
         plain = plain[np.argsort(sizes[plain], kind="stable")]
         for at in range(0, len(plain), ROWS):
             rows = plain[at : at + ROWS]
             width = int(sizes[rows].max())
             cols = np.arange(width)
             ids = np.where(cols < sizes[rows][:, None], letters[np.minimum(starts[rows][:, None] + cols, len(letters) - 1)], -1)
-            key = np.array([xxhash.xxh64_intdigest(units[i].encode(), seed & _MASK) for i in rows], np.uint64)
-            key += np.array([variants[i] for i in rows], np.uint64) * np.uint64(_STREAM)
-            done = self._merged(ids, key, rate)
+            done = self._merged(ids, patterns[rows])
             held = done >= 0
             cuts = np.concatenate([[0], np.cumsum(held.sum(axis=1))]) * 4
             buffer = done[held].astype(np.int32).tobytes()
@@ -204,16 +255,15 @@ class Pieces:
                 out[i] = buffer[cuts[n] : cuts[n + 1]]
         return out
 
-    def _merged(self, ids: np.ndarray, key: np.ndarray, rate: float) -> np.ndarray:
+    def _merged(self, ids: np.ndarray, patterns: np.ndarray) -> np.ndarray:
         """``ids`` after all merges, what is left of a row at its beginning."""
-        limit = np.uint64(min(int(rate * 2**64), _MASK))
         result = ids.copy()
         if ids.shape[1] < 2:
             return result
         ids = np.concatenate([ids, np.full((len(ids), 1), -1)], axis=1)
         agenda = np.concatenate([self._agenda(ids[:, :-1], ids[:, 1:]), np.full((len(ids), 1), NEVER)], axis=1)
         hidden = np.full_like(agenda, NEVER)
-        whose, drawn = np.arange(len(ids)), np.zeros(len(ids), np.uint64)
+        whose, rest = np.arange(len(ids)), patterns.copy()
         cols = np.arange(ids.shape[1])
         while len(whose):
             at = agenda.argmin(axis=1)
@@ -223,15 +273,14 @@ class Pieces:
             if ended.any():
                 result[whose[ended]] = ids[ended, :-1]
                 go = ~ended
-                ids, agenda, hidden, whose, drawn, key = ids[go], agenda[go], hidden[go], whose[go], drawn[go], key[go]
+                ids, agenda, hidden, whose, rest = ids[go], agenda[go], hidden[go], whose[go], rest[go]
                 at, best, rows = at[go], best[go], np.arange(len(whose))
-            merge = np.ones(len(whose), bool)
-            if limit:
-                drawn += np.uint64(1)
-                merge = _mixed(key + drawn * np.uint64(_STEP)) >= limit
-                skip = ~merge
+            skip = (rest & 1).astype(bool)
+            rest >>= 1
+            if skip.any():
                 hidden[rows[skip], at[skip]] = best[skip]
                 agenda[rows[skip], at[skip]] = NEVER
+            merge = ~skip
             rows, at = rows[merge], at[merge]
             if not len(rows):
                 continue
@@ -254,10 +303,14 @@ class Pieces:
     def _looked_up(self, units: list[str], variants: np.ndarray, rate: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
         """All occurrences' ids in a row, and how many each has."""
         codes, distinct = pd.factorize(np.array(units, object))
-        combined, which = np.unique(codes * VARIANTS + variants, return_inverse=True)
-        names = list(zip(distinct[combined // VARIANTS].tolist(), (combined % VARIANTS).tolist()))
-        if self._filled_for != (rate, seed):
-            self.cache, self.older, self._filled_for = {}, {}, (rate, seed)
+        patterns = np.zeros(len(codes), np.int64)
+        if rate:
+            merges = np.array([len(u) - 1 for u in distinct], np.int64)[codes]
+            patterns = _patterns(_streams(variants, seed), merges, _shares(rate))
+        # Occurrences without a pattern stay apart from all others.
+        apart = -1 - np.arange(len(codes))
+        _, first, which = np.unique(np.where(patterns < 0, apart, codes << PLACES | patterns), return_index=True, return_inverse=True)
+        names = list(zip(distinct[codes[first]].tolist(), patterns[first].tolist()))
         if len(self.cache) >= CACHED:
             self.cache, self.older = {}, self.cache
         cache, older = self.cache, self.older
@@ -265,11 +318,11 @@ class Pieces:
         # A literal U+2581 is no blank: it is written in bytes.
         bare = np.array([self.bytes_[b] for b in "▁".encode()], np.int32).tobytes()
         new = [i for i, ids in enumerate(found) if ids is None and names[i][0] != "▁"]
-        made = self.segment_many([names[i][0].replace(" ", "▁") for i in new], [names[i][1] for i in new], rate, seed)
+        made = self._segmented([names[i][0].replace(" ", "▁") for i in new], patterns[first[new]], variants[first[new]], rate, seed)
         for i, ids in zip(new, made):
             found[i] = ids
         found = [bare if ids is None else ids for ids in found]
-        cache.update((n, ids) for n, ids in zip(names, found) if len(n[0]) <= CACHED_LENGTH)
+        cache.update((n, ids) for n, ids in zip(names, found) if len(n[0]) <= CACHED_LENGTH and n[1] >= 0)
         sizes = np.array([len(ids) // 4 for ids in found], np.int64)
         starts, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(found), np.int32)
         each = sizes[which]
@@ -299,7 +352,7 @@ class Pieces:
             if text and len(text) <= GROUP:
                 found = iter(UNITS.findall(" " + text))
             while some := list(islice(found, GROUP)):
-                spread = _spread(places[row], start, len(some)) if rate else np.zeros(len(some), np.int64)
+                spread = _spread(places[row], start, len(some)) if rate else np.zeros(len(some), np.uint64)
                 units += some
                 variants.append(spread)
                 rows.append((row, len(some)))

@@ -80,3 +80,23 @@ def test_odd_rows(spark, proto):
     back = pieces.decode(encoded.withColumnRenamed("text", "before"), proto)
     assert back.where("not (text <=> before)").count() == 0 and back.where("_row = 5").count() == len(rows)
     assert pieces.encode(frame.where(F.lit(False)), proto).count() == 0
+
+
+def test_occurrences_have_segmentations_of_their_own(model):
+    """A frequent word takes more segmentations than four streams could give it, and as many stay whole as chance says."""
+    word, times = " representation", 4000
+    plain = tuple(model.encode(word[1:]))
+    made = [tuple(model.segment("▁representation", 0.1, 8, int(v))) for v in pieces._spread(7, 0, times)]
+    whole = model.encode_many([word[1:] + word * (times - 1)], 0.1, 8, [7])[0].tolist()
+    assert whole == [i for ids in made for i in ids] and len(set(made)) > 8
+    # Candidates that come up without any skip: as many as merges.
+    merges = len(word) - len(plain)
+    skipless = (pieces._patterns(pieces._streams(pieces._spread(7, 0, times), 8), np.full(times, merges), pieces._shares(0.1)) == 0).mean()
+    assert abs(skipless - 0.9**merges) < 0.03
+
+
+def test_units_with_more_draws_than_a_pattern_holds(model):
+    units, variants = ["▁international"] * 200 + ["abcdefghij" * 6] * 3, list(range(203))
+    many = model.segment_many(units, variants, 0.8, 5)
+    assert [np.frombuffer(m, np.int32).tolist() for m in many] == [model.segment(u, 0.8, 5, v) for u, v in zip(units, variants)]
+    assert model.segment("▁international", 1.0, 5, 1) == [model.id[c] for c in "▁international"]
