@@ -6,7 +6,9 @@ behind their markers; and the cells of a table in aligned columns. All visible t
 
 Hidden are: elements that never show, the ``hidden`` attribute, closed ``details`` and ``dialog``, and what inline styles or
 simple style-sheet rules (a tag, a class or an id) give ``display:none`` or ``visibility:hidden``; a descendant made visible
-again shows. ``noscript`` does not show, as in a browser that runs scripts.
+again shows. Rules count as on a screen of ``SCREEN`` pixels: those in at-rules or sheets for other media do not, and of
+those that meet an element the important, the more specific and then the last one holds. Conditions other than on width and
+height are taken as not met. ``noscript`` does not show, as in a browser that runs scripts.
 
 Each page is one row and is rendered in its task; nothing is shuffled. Elements nested deeper than ``DEPTH`` join
 their ancestor at that depth, as in browsers, so that no page exhausts the stack.
@@ -34,6 +36,10 @@ from cutlist.llm.common import carried, kept, quoted, restored
 DEPTH = 200
 #: Columns of a table beyond this many are written without alignment.
 GRID = 200
+#: A cell spans at most this many columns, as in HTML.
+SPAN = 1000
+#: Width and height by which media conditions are decided.
+SCREEN = {"width": 1280, "height": 800}
 
 # Roles of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -64,10 +70,10 @@ ENDS = {
 }
 #: An end tag or an implied end does not reach beyond these.
 WALLS = frozenset("html table td th caption template".split())
-_STYLE_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_COMMENT_OR_STRING = re.compile(r"""/\*.*?(?:\*/|\Z)|<!--|-->|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'""", re.S)
 _SIMPLE = re.compile(r"[.#]?[A-Za-z][\w-]*")
-_NONE = re.compile(r"display\s*:\s*none", re.I)
-_VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
+_FEATURE = re.compile(r"\(\s*(?:(min|max)-)?(width|height)\s*:\s*([0-9]*\.?[0-9]+)\s*(px|em|rem)\s*\)")
+_VALUES = {"display": re.compile(r"[a-z][a-z -]*"), "visibility": re.compile("hidden|collapse|visible")}
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -79,14 +85,14 @@ class Node:
 
 
 class Builder(HTMLParser):
-    """A tree with html, body and table sections in place; ``sheets`` holds the text of style elements."""
+    """A tree with html, body and table sections in place; ``styles`` holds the style elements and their texts."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = Node("html", {})
         self.stack = [self.root]
         self.body: Node | None = None
-        self.sheets: list[str] = []
+        self.styles: list[tuple[Node, list[str]]] = []
 
     def _push(self, node: Node) -> None:
         self.stack[-1].children.append(node)
@@ -156,9 +162,16 @@ class Builder(HTMLParser):
         elif tag not in ("html", "body", "head"):
             self._end((tag,), ("table",) if tag not in ("table",) else ())
 
+    @property
+    def sheets(self) -> list[str]:
+        """The style sheets that hold on a screen."""
+        return ["".join(parts) for node, parts in self.styles if on_screen(node.attrs.get("media", ""))]
+
     def handle_data(self, data: str) -> None:
         if self.stack[-1].tag == "style":
-            self.sheets.append(data)
+            if not self.styles or self.styles[-1][0] is not self.stack[-1]:
+                self.styles.append((self.stack[-1], []))
+            self.styles[-1][1].append(data)
         if self.body is None and self.stack[-1] is self.root:
             if not data.strip():
                 return
@@ -166,38 +179,110 @@ class Builder(HTMLParser):
         self.stack[-1].children.append(data)
 
 
+def on_screen(media: str) -> bool:
+    """Whether a list of media queries holds on the screen."""
+
+    def holds(condition: str) -> bool:
+        if condition in ("all", "screen"):
+            return True
+        feature = _FEATURE.fullmatch(condition)
+        if not feature:
+            return False
+        bound, side, size, unit = feature.groups()
+        pixels = float(size) * (1 if unit == "px" else 16)
+        return {"min": SCREEN[side] >= pixels, "max": SCREEN[side] <= pixels, None: SCREEN[side] == pixels}[bound]
+
+    def query(text: str) -> bool:
+        negated, text = text.startswith("not "), re.sub(r"^(?:only|not)\s+", "", text)
+        return all(holds(part.strip()) for part in re.split(r"\sand\s", text)) != negated
+
+    return not media.strip() or any(query(" ".join(q.lower().split())) for q in media.split(","))
+
+
+def declared(body: str) -> dict[str, tuple[bool, str]]:
+    """What a list of declarations says last on display and visibility: whether important, and the value."""
+    found: dict[str, tuple[bool, str]] = {}
+    for declaration in body.split(";"):
+        name, _, value = declaration.partition(":")
+        name = name.strip().lower()
+        if name in _VALUES:
+            value, mark, important = (x.strip() for x in value.lower().partition("!"))
+            if _VALUES[name].fullmatch(value) and important == ("important" if mark else "") and not (not mark and name in found and found[name][0]):
+                found[name] = (bool(mark), value)
+    return found
+
+
+def style_rules(sheet: str) -> Iterator[tuple[str, str]]:
+    """(selectors, declarations) of the rules that hold on a screen, without those nested in other rules."""
+    sheet = _COMMENT_OR_STRING.sub(lambda m: "''" if m[0][0] in "\"'" else " ", sheet)
+    # Of each open block: whether its rules hold, its selectors (None for an at-rule's) and its declarations so far.
+    open_: list[tuple[bool, str | None, list[str]]] = []
+    done = 0
+    for mark in re.finditer(r"[{};]", sheet):
+        part, done = sheet[done : mark.start()].strip(), mark.end()
+        if mark[0] == "{":
+            holds, selectors, _ = open_[-1] if open_ else (True, None, [])
+            name, _, condition = part.partition(" ") if " " in part else (part.partition("(")[0], "", part[part.find("(") :])
+            name = name.lower()
+            if name.startswith("@"):
+                other = name in ("@layer", "@supports") and not condition.strip().lower().startswith("not")
+                holds = holds and selectors is None and (on_screen(condition) if name == "@media" else other)
+                open_.append((holds, None, []))
+            else:
+                open_.append((holds and selectors is None, part, []))
+        elif not open_:
+            continue  # a statement, or a brace too many
+        else:
+            open_[-1][2].append(part)
+            if mark[0] == "}":
+                holds, selectors, body = open_.pop()
+                if holds and selectors is not None:
+                    yield selectors, ";".join(body)
+    # The end of a sheet closes what is open.
+    if open_ and open_[-1][0] and open_[-1][1] is not None:
+        yield open_[-1][1], ";".join([*open_[-1][2], sheet[done:]])
+
+
 class Rules:
     """What simple style-sheet rules say about display and visibility, by tag, .class and #id."""
 
     def __init__(self, sheets: Sequence[str]):
-        self.none: set[str] = set()
-        self.visibility: dict[str, str] = {}
+        #: By property and selector: whether important, how specific, place in the sheets, and the value.
+        self.said: dict[str, dict[str, tuple[bool, int, int, str]]] = {name: {} for name in _VALUES}
+        place = 0
         for sheet in sheets:
-            for selectors, body in _STYLE_RULE.findall(sheet):
-                none, seen = _NONE.search(body), _VISIBILITY.search(body)
-                for selector in map(str.strip, selectors.split(",")):
-                    if _SIMPLE.fullmatch(selector):
-                        if none:
-                            self.none.add(selector)
-                        if seen:
-                            self.visibility[selector] = seen[1].lower()
+            for selectors, body in style_rules(sheet):
+                for name, (important, value) in declared(body).items():
+                    for selector in map(str.strip, selectors.split(",")):
+                        if _SIMPLE.fullmatch(selector):
+                            place += 1
+                            # Names of elements are in lower case; those of classes and ids are as they are written.
+                            selector = selector if selector[0] in ".#" else selector.lower()
+                            new = (important, ".#".find(selector[0]), place, value)
+                            self.said[name][selector] = max(new, self.said[name].get(selector, new))
 
     def names(self, node: Node) -> list[str]:
         return [node.tag, *("." + c for c in node.attrs.get("class", "").split()), "#" + node.attrs.get("id", "")]
 
+    def value(self, node: Node, name: str) -> str | None:
+        """What holds for a node by its own style and the sheets; None where nothing is said."""
+        said, style = self.said[name], node.attrs.get("style", "")
+        found = [said[n] for n in self.names(node) if n in said] if said else []
+        if style and name in (own := declared(_COMMENT_OR_STRING.sub(" ", style))):
+            found.append((own[name][0], 2, 0, own[name][1]))
+        return max(found)[3] if found else None
+
     def gone(self, node: Node) -> bool:
         """Not displayed, with everything inside."""
-        if node.tag in NEVER_SHOWN or "hidden" in node.attrs or _NONE.search(node.attrs.get("style", "")):
-            return True
-        if node.tag == "dialog" and "open" not in node.attrs:
+        if node.tag in NEVER_SHOWN:
             return True
-        return bool(self.none) and any(n in self.none for n in self.names(node))
+        display = self.value(node, "display")
+        if display is not None and not display.startswith("revert"):
+            return display == "none"
+        return "hidden" in node.attrs or node.tag == "dialog" and "open" not in node.attrs
 
     def visible(self, node: Node, inherited: bool) -> bool:
-        own = _VISIBILITY.search(node.attrs.get("style", ""))
-        said = own[1].lower() if own else None
-        if said is None and self.visibility:
-            said = next((self.visibility[n] for n in reversed(self.names(node)) if n in self.visibility), None)
+        said = self.value(node, "visibility")
         return inherited if said is None else said == "visible"
 
 
@@ -385,7 +470,7 @@ class Renderer:
                 while taken.get(at, 0):
                     at += 1
                 span, down = (int(v) if (v := cell.attrs.get(k, "1").strip()).isdecimal() and 0 < int(v[:4]) else 1 for k in ("colspan", "rowspan"))
-                span, down = min(span, GRID), min(down, 1 << 16)
+                span, down = min(span, SPAN), min(down, 1 << 16)
                 right = "right" in (cell.attrs.get("align", "") + cell.attrs.get("style", "")).lower()
                 cells.append((at, span, self.lines(cell, self.rules.visible(cell, seen), kept), right))
                 for c in range(at, at + span):

@@ -66,3 +66,40 @@ def test_odd_rows(spark):
     assert set(got.columns) == set(frame.columns) and got.where("_html = 'c'").count() == 6
     assert sorted((r.text is None, r.text or "") for r in got.collect()) == [(False, ""), (False, "a"), (False, "a"), (False, "a"), (False, "b"), (True, "")]
     assert pages.extract(frame.where(F.lit(False))).count() == 0
+
+
+STYLED = [
+    ("@media print{.ad{display:none} nav{display:none}}", "<nav>n</nav><p class=ad>a", "n\n\na"),
+    ("@media screen{.ad{display:none}} b{color:red}", "<p class=ad>no</p>a", "a"),
+    ("@media only screen and (max-width: 600px){.ad{display:none}}", "<p class=ad>a", "a"),
+    ("@media (min-width:600px){.ad{display:none}}", "<p class=ad>no</p>a", "a"),
+    ("@media print, screen{.ad{display:none}} @media not print{.x{display:none}}", "<p class=ad>no</p><p class=x>no</p>a", "a"),
+    ("@media print{@supports (display:grid){.ad{display:none}}} .no{display:none}", "<p class=ad>a<p class=no>no", "a"),
+    ("@import 'x.css'; @font-face{font-family:x} .no{display:none}", "<p class=no>no</p>a", "a"),
+    (".menu{display:none} .menu{display:block}", "<p class=menu>a", "a"),
+    (".menu{display:none} @media screen{.menu{display:block}}", "<p class=menu>a", "a"),
+    (".menu{display:block} .menu{display:none}", "<p class=menu>no</p>a", "a"),
+    (".menu{display:none!important} .menu{display:block}", "<p class=menu style='display:block'>no</p>a", "a"),
+    (".menu{display:none} p{display:block} #m{display:block}", "<p class=menu>no</p><p class=menu id=m>a", "a"),
+    (".menu{display:none}", "<p class=menu style='display:block'>a", "a"),
+    ("/* .ad{display:none} */ .x{/* display:none */}", "<p class=ad>a<p class=x>b", "a\n\nb"),
+    (".x::before{content:'}.ad{display:none}'}", "<p class=ad>a", "a"),
+    (".x{color:red; .ad{display:none}}", "<p class=ad>a<p class=x>b", "a\n\nb"),
+    (".v{visibility:hidden} .v{visibility:visible}", "<p class=v>a", "a"),
+    (".x{display:none", "<p class=x>no</p>a", "a"),
+]
+
+
+@pytest.mark.parametrize("sheet, body, text", STYLED)
+def test_style_sheets_as_on_a_screen(sheet, body, text):
+    assert pages.render(f"<style>{sheet}</style>{body}") == text
+
+
+def test_sheets_for_other_media():
+    assert pages.render("<style media=print>p{display:none}</style><p>a") == "a"
+    assert pages.render("<style media=screen>p{display:none}</style><p>no</p>a") == "a"
+
+
+def test_wide_spans():
+    """Cells behind ones that span 300 columns, or one and 299, stand in the same column."""
+    assert pages.render("<table><tr><td colspan=300>a<td>b<tr><td>x<td colspan=299><td>c</table>") == "a  b\nx  c"
