@@ -2,15 +2,16 @@
 
 Each of ``ORDERINGS`` orderings rotates the unit vectors at random, keeps ``AXES`` coordinates, makes each even by its
 quantiles, shifts them by a random offset and puts the points in the order of a Hilbert curve. Near vectors are near
-in some of the orders. The orders are range-partitioned and cut into buckets of ``BUCKET`` vectors by place, whatever
-the density; a query is compared with its own bucket and both neighbours, so at least ``BUCKET`` vectors to either
+in some of the orders. The orders are range-partitioned and cut into buckets by place, whatever the density, of ``BUCKET``
+vectors or as many more as it takes for the windows of all orderings to add up to ``SHARE`` of the table; a query is compared with its own bucket and both neighbours, so about a bucket's vectors to either
 side, and the best of all orderings are merged. Scores are cosines of the original vectors in double precision.
 
 Equal vectors are one point of the index: any number of copies takes one place, and no answer can hold more than
 the smallest ``k + 1`` ids of a point, which are kept with it. So copies crowd no bucket, and lose no result.
 
 The quantiles are fitted on ``SAMPLE`` vectors chosen by hash; the index holds every vector. A bucket is a row of
-packed vectors, and only a bucket's queries are sent to its neighbours, so work grows in proportion to the vectors.
+packed vectors, and only a bucket's queries are sent to its neighbours. Work grows with queries times ``SHARE`` of the
+vectors once that exceeds the least windows: in near-uniform vectors fewer comparisons lose neighbours.
 
 Defined cases: vectors that are null, empty, zero or hold a null or non-finite component take no part, nor do rows with
 a null id. Vectors of different lengths are indexes of their own. Rows with equal ids are separate rows. With fewer
@@ -19,6 +20,7 @@ candidates than k a query has what there is, without any it has no row. Other co
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +35,10 @@ ORDERINGS = 12
 AXES = 8
 BITS = 4
 BUCKET = 2048
+#: Windows of all orderings, overlaps counted, as a share of the vectors.
+SHARE = 1.0
+#: Scores that are held at once.
+SCORES = 1 << 22
 SAMPLE = 4096
 SEED = 10
 #: Rows of one vector that are ranked in one task before they are merged.
@@ -126,7 +132,7 @@ def _ordered(batches: Iterator[pa.RecordBatch], index: dict[int, Orderings]) ->
                 )
 
 
-def _bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bucketed(batches: Iterator[pa.RecordBatch], bucket: int) -> Iterator[pa.RecordBatch]:
     """Buckets of one sorted partition, as packed rows; an ordering's last two share what is left evenly."""
     names = ["size", "ordering", "part", "number", "ids", "matrix", "asked"]
     held: list[tuple] = []
@@ -143,7 +149,7 @@ def _bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def drained(least: int) -> Iterator[pa.RecordBatch]:
         while (many := sum(len(h[0]) for h in held)) >= max(1, least):
-            yield packed(BUCKET if many >= 2 * BUCKET else -(-many // 2) if many > BUCKET else many)
+            yield packed(bucket if many >= 2 * bucket else -(-many // 2) if many > bucket else many)
 
     for batch in batches:
         heads = np.stack([batch.column(i).to_numpy() for i in (0, 1)])
@@ -158,7 +164,7 @@ def _bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             state = new
             matrix = next(matrices(run.column(4)))[1]
             held.append((run.column(2).to_numpy(), run.column(3).to_numpy(zero_copy_only=False), matrix))
-            yield from drained(2 * BUCKET)
+            yield from drained(2 * bucket)
     if state is not None:
         yield from drained(1)
 
@@ -185,16 +191,18 @@ def _nearest(batches: Iterator[pa.RecordBatch], k: int, kind: str) -> Iterator[p
         for size, q_ids, q_matrix, ids, matrix in zip(*(c.to_pylist() for c in batch.columns)):
             q, c = (np.frombuffer(x, kind).reshape(-1, size).astype(np.float64) for x in (q_matrix, matrix))
             q_ids, ids = np.frombuffer(q_ids, np.int64), np.frombuffer(ids, np.int64)
-            cosine = (q @ c.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(c, axis=1)[None, :])
-            count = min(k + 1, len(ids))
-            edge = np.partition(cosine, -count, axis=1)[:, -count]
-            query, at = np.nonzero(cosine >= edge[:, None])  # ties at the edge stay: ids decide later
-            yield pa.RecordBatch.from_pydict({"_asked": q_ids[query], "_point": ids[at], "score": cosine[query, at]})
+            lengths, count, step = np.linalg.norm(c, axis=1), min(k + 1, len(ids)), max(1, SCORES // len(ids))
+            for part in range(0, len(q), step):
+                some = q[part : part + step]
+                cosine = (some @ c.T) / (np.linalg.norm(some, axis=1)[:, None] * lengths[None, :])
+                edge = np.partition(cosine, -count, axis=1)[:, -count]
+                query, at = np.nonzero(cosine >= edge[:, None])  # ties at the edge stay: ids decide later
+                yield pa.RecordBatch.from_pydict({"_asked": q_ids[part + query], "_point": ids[at], "score": cosine[query, at]})
 
 
 def nearest(
     table: DataFrame, queries: Column, k: int = 5, vector: str = "embedding", row_id: str = "vec_id",
-    orderings: int = ORDERINGS, sample: int = SAMPLE,
+    orderings: int = ORDERINGS, sample: int = SAMPLE, share: float = SHARE,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found for each query among all other rows of ``table``.
 
@@ -212,7 +220,8 @@ def nearest(
         chosen = stored.where(F.size("_vector") == size).orderBy(F.xxhash64("_point")).limit(sample)
         index[size] = Orderings(np.array([r[0] for r in chosen.select("_vector").collect()], np.float64), orderings)
     shared = sc.broadcast(index)
-    many = stored.count() * orderings
+    count = stored.count()
+    bucket, many = max(BUCKET, math.ceil(share * count / (3 * orderings))), count * orderings
     placed = stored.select("_point", "asked", "_vector").mapInArrow(
         lambda batches: _ordered(batches, shared.value),
         stored.select(
@@ -220,10 +229,10 @@ def nearest(
         ).schema,
     )
     keys = ("size", "ordering", "place", "_point")
-    ranged = placed.repartitionByRange(max(1, many // (16 * BUCKET)), *keys).sortWithinPartitions(*keys)
+    ranged = placed.repartitionByRange(max(1, many // (16 * bucket)), *keys).sortWithinPartitions(*keys)
     buckets = staged(
         ranged.select("size", "ordering", "_point", "asked", "_vector", F.spark_partition_id().alias("part")).mapInArrow(
-            _bucketed, "size int, ordering int, part int, number long, ids binary, matrix binary, asked binary"
+            lambda batches: _bucketed(batches, bucket), "size int, ordering int, part int, number long, ids binary, matrix binary, asked binary"
         )
     )
     # A row per bucket: partitions follow each other in order, and so do the numbers in each.

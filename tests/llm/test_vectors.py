@@ -113,6 +113,20 @@ def test_recall_with_many_buckets(spark, monkeypatch):
     assert len(rows) == 300 and hits >= 0.9 * 300
 
 
+def test_windows_follow_the_table(spark, monkeypatch):
+    """Near-uniform vectors, of which buckets of 16 would compare a twentieth: recall holds since buckets grow."""
+    vectors = np.random.default_rng(4).normal(size=(12_000, 32))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>").repartition(4)
+    monkeypatch.setattr(curves, "BUCKET", 16)
+    rows = curves.nearest(frame, F.col("vec_id") % 100 == 0).collect()
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    hits = sum(r.vec_id in nearest(np.arange(12_000), unit @ unit[r.query_id], r.query_id) for r in rows)
+    few = curves.nearest(frame, F.col("vec_id") % 100 == 0, share=0.0).collect()
+    lost = sum(r.vec_id in nearest(np.arange(12_000), unit @ unit[r.query_id], r.query_id) for r in few)
+    print("hits", hits / 600, "without", lost / 600)
+    assert len(rows) == 600 and hits >= 0.9 * 600 > lost
+
+
 def test_neighbours_of_odd_rows(spark, monkeypatch):
     """One bucket compares all: the answers are those of all pairs, copies by their smallest ids."""
     rows = [(i, v) for i, v in usable(odd_vectors()) if any(v)]
