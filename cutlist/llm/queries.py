@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutlist.llm import curves, graygroups, languages, mixing, ngrams, pages, pieces, pii, secrets, spans, topk
+from cutlist.llm import curves, graygroups, languages, mixing, ngrams, pages, pieces, pii, secrets, spans, token_files, topk
 from cutlist.llm.common import remainder, staged, table
 
 
@@ -67,6 +67,13 @@ def op10_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curves.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op13_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    files = token_files.write(docs, token_files.read_tokenizer(token_files.WORD_TOKENIZER), end_id=1)
+    back = token_files.read(files, docs.schema["doc_id"].dataType)
+    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_gray_simhash": op1_gray_simhash,
     "op2_disclosure_pii": op2_disclosure_pii,
@@ -78,4 +85,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_merge_dropout": op8_merge_dropout,
     "op9_histogram_topk": op9_histogram_topk,
     "op10_hilbert_neighbours": op10_hilbert_neighbours,
+    "op13_wavelet_tokens": op13_wavelet_tokens,
 }
