@@ -11,7 +11,8 @@ mounted path, or an address that they know (hdfs, s3, gs).
 
 Words between blanks are looked up once while a worker's cache holds them. That is exact for tokenizers whose tokens never
 cover a blank, as those that drop white space before they merge; for others set ``words`` to false, and whole texts are
-encoded. Only time depends on the cache, whose size is bounded.
+encoded. Only time depends on the cache, whose size is bounded. New words of plain letters skip the steps of normalization
+that leave them as they are.
 
 Defined cases: a null text counts as empty, and a document without ids has the end id alone. Null keys come first; rows with
 equal keys are ordered by a hash of their texts, and equal rows are interchangeable, so the ids of the corpus depend on
@@ -22,6 +23,7 @@ one file, whatever its size.
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 from collections.abc import Iterator, Sequence
@@ -43,9 +45,33 @@ WORD_TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
 #: Ids from which a file is closed.
 SHARD = 1 << 22
 #: Words that a worker keeps, their longest in bytes, and the words of one text when new ones are encoded.
-CACHED = 400_000
+CACHED = 600_000
 CACHED_LENGTH = 48
 GROUP = 2000
+#: Such texts that are encoded at once, which bounds what the library holds.
+GROUPS = 16
+#: Words that this normalizer turns into their lower case and that this pattern takes whole, but for one mark after them.
+PLAIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,;:!?]?$"
+NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [
+        {"type": "NFC"},
+        {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "},
+        {"type": "Lowercase"},
+    ],
+}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {
+            "type": "Split",
+            "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+            "behavior": "Removed",
+            "invert": True,
+        },
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 #: Bytes of text that are encoded together.
 TEXT_BLOCK = 8 << 20
 #: Partitions whose files one window of the manifest takes.
@@ -79,27 +105,79 @@ class WordIds:
 
         self._tokenizer, self._words = Tokenizer.from_str(definition), words
         self.largest = max(self._tokenizer.get_vocab(with_added_tokens=True).values())
+        self._plain, self._ends = self._reduced(definition)
         self._known = pa.array([], pa.large_string())
         self._values, self._sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
+    @staticmethod
+    def _reduced(definition: str):
+        """The tokenizer without what has no effect on plain words, and which ids end a unit; nothing if it works otherwise."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        shape = json.loads(definition)
+        suffix = shape["model"].get("end_of_word_suffix")
+        if not suffix or (shape["normalizer"], shape["pre_tokenizer"]) != (NORMALIZER, PRE_TOKENIZER):
+            return None, None
+        plain = Tokenizer.from_str(definition)
+        plain.normalizer = None
+        bytes_ = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.Punctuation(), bytes_])
+        vocabulary = plain.get_vocab(with_added_tokens=True)
+        ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        ends[[i for name, i in vocabulary.items() if name.endswith(suffix)]] = True
+        return plain, ends
+
     def _keep(self, words: pa.Array, values: np.ndarray, sizes: np.ndarray, used: np.ndarray) -> None:
-        """Cache all ``words``, or the newest that were ``used``, but no long ones."""
-        rows = np.arange(len(words)) if len(words) <= CACHED else np.sort(used)[-CACHED:]
+        """Cache all ``words``, or those just ``used`` and the newest ones, but no long ones."""
+        rows = np.arange(len(words))
+        if len(words) > CACHED:
+            rows = np.union1d(used, rows[len(words) - CACHED // 2 :])[-CACHED:]
         rows = rows[pc.binary_length(words.take(pa.array(rows))).to_numpy(zero_copy_only=False) <= CACHED_LENGTH]
         if len(rows) < len(words):
             words, (values, sizes) = words.take(pa.array(rows)), _gathered(values, sizes, rows)
         self._known, self._values, self._sizes = words, values, sizes
 
-    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of new words: many are encoded as one text, and offsets tell whose they are."""
-        groups = [words[at : at + GROUP] for at in range(0, len(words), GROUP)]
+    def _encoded(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of new words, the plain ones by themselves."""
+        if self._plain is None:
+            return self._by_offsets(words.to_pylist())
+        plain = pc.match_substring_regex(words, PLAIN).to_numpy(zero_copy_only=False)
+        coded = pc.utf8_lower(words.filter(pa.array(plain))).dictionary_encode()
+        values, sizes = self._by_ends(coded.dictionary)
+        values, sizes = _gathered(values, sizes, coded.indices.to_numpy(zero_copy_only=False))
+        more_values, more_sizes = self._by_offsets(words.filter(pa.array(~plain)).to_pylist())
+        order = np.empty(len(words), np.int64)
+        order[np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])] = np.arange(len(words))
+        return _gathered(np.concatenate([values, more_values]), np.concatenate([sizes, more_sizes]), order)
+
+    def _by_ends(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain words in lower case: many are encoded as one text, and ids that end a unit tell whose they are."""
+        units = pc.match_substring_regex(words, "[.,;:!?]$").to_numpy(zero_copy_only=False)
+        units = np.where(units, 2, 1)
+        values, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for at in range(0, len(words), GROUPS * GROUP):
+            some = words.slice(at, GROUPS * GROUP).to_pylist()
+            texts = [" ".join(some[n : n + GROUP]) for n in range(0, len(some), GROUP)]
+            made = self._plain.encode_batch_fast(texts, add_special_tokens=False)
+            ids = np.concatenate([np.array(e.ids, np.uint32) for e in made])
+            ends = self._ends[ids]
+            whose = np.repeat(np.arange(len(some)), units[at : at + len(some)])[np.cumsum(ends) - ends]
+            values.append(ids)
+            sizes.append(np.bincount(whose, minlength=len(some)))
+        return np.concatenate(values), np.concatenate(sizes)
+
+    def _by_offsets(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of any words: many are encoded as one text, and offsets tell whose they are."""
         values, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-        for group, made in zip(groups, self._tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)):
-            lengths = np.fromiter(map(len, group), np.int64, len(group)) + 1
-            at = np.fromiter((a for a, _ in made.offsets), np.int64, len(made.ids))
-            whose = np.searchsorted(np.cumsum(lengths), at, side="right")
-            values.append(np.array(made.ids, np.uint32))
-            sizes.append(np.bincount(whose, minlength=len(group)))
+        for at in range(0, len(words), GROUPS * GROUP):
+            groups = [words[n : n + GROUP] for n in range(at, min(at + GROUPS * GROUP, len(words)), GROUP)]
+            made = self._tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)
+            for group, one in zip(groups, made):
+                lengths = np.fromiter(map(len, group), np.int64, len(group)) + 1
+                starts = np.fromiter((a for a, _ in one.offsets), np.int64, len(one.ids))
+                whose = np.searchsorted(np.cumsum(lengths), starts, side="right")
+                values.append(np.array(one.ids, np.uint32))
+                sizes.append(np.bincount(whose, minlength=len(group)))
         return np.concatenate(values), np.concatenate(sizes)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -113,7 +191,7 @@ class WordIds:
         at = pc.fill_null(pc.index_in(distinct, value_set=self._known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
         new = np.flatnonzero(at < 0)
         fresh = distinct.take(pa.array(new))
-        values, sizes = self._encoded(fresh.to_pylist())
+        values, sizes = self._encoded(fresh)
         at[new] = len(self._known) + np.arange(len(new))
         all_values, all_sizes = np.concatenate([self._values, values]), np.concatenate([self._sizes, sizes])
         self._keep(pa.concat_arrays([self._known, fresh]), all_values, all_sizes, at)

@@ -63,9 +63,10 @@ def test_faulty_files_are_refused():
 
 def test_words_equal_whole_texts(definition, library, monkeypatch):
     texts = [None, "", " \t", "Don't  stop it 'S 12x34 é é ́a ΑΣ Σ", "a<|endoftext|>b <|endoftext|>", "日本 ﬁ 𝔘\x00y", "w" * 300]
+    texts += ["Ünïted ÀÉ, ÿß! x× ÷y Don’t a.b c.. Straße; wor_d? naïve: ı İ ſ Ā", "A,B A, B. ,A é́,"]
     texts += [f"many words{i} and number{i * 7}" for i in range(300)]
     whole = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
-    for most in (5, 400_000):
+    for most in (5, 600_000):
         monkeypatch.setattr(token_files, "CACHED", most)
         for words in (True, False):
             made = token_files.WordIds(definition, words)
