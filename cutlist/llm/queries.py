@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutlist.llm import curves, graygroups, languages, mixing, ngrams, pages, pieces, pii, secrets, spans, token_files, topk
+from cutlist.llm import alignment, curves, graygroups, languages, mixing, ngrams, pages, pieces, pii, secrets, spans, token_files, topk
 from cutlist.llm.common import remainder, staged, table
 
 
@@ -67,6 +67,12 @@ def op10_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curves.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = alignment.align(docs, alignment.read_models(), keep=["doc_id"], digest=True)
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
 def op13_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     files = token_files.write(docs, token_files.read_tokenizer(token_files.WORD_TOKENIZER), end_id=1)
@@ -85,5 +91,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_merge_dropout": op8_merge_dropout,
     "op9_histogram_topk": op9_histogram_topk,
     "op10_hilbert_neighbours": op10_hilbert_neighbours,
+    "op12_token_alignment": op12_token_alignment,
     "op13_wavelet_tokens": op13_wavelet_tokens,
 }
