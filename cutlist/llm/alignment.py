@@ -1,14 +1,15 @@
 """Alignment of two tokenizers' ids over the same text, and how often two ids share bytes in a corpus.
 
 A is a byte-level tokenizer of the tokenizers library, B a piece model of sentencepiece. Both see a blank and the text (B
-adds its own). The character offsets of A and the spans of B's proto are coarse cuts: a cut holds where one token
-ends and the next begins on it. Tokens between two cuts, which share a character or are bytes of one, are cut further by the
-bytes they decode to; these must fill the cut exactly, else the text has no alignment. Groups end where tokens of
-both end. An A and a B occurrence are linked if their bytes overlap.
+adds its own). The character offsets of A and the byte spans of B's proto (read as its offset mapping; this version of
+the library refuses ``immutable_proto``) are coarse cuts. Tokens between two cuts, which share a character or are bytes of
+one, are cut further by the bytes they decode to. Groups end where tokens of both end. An A and a B occurrence are
+linked if their bytes overlap.
 
-A text is aligned by units, cut at single blanks between other characters. A's tokens never cover such a place, nor do B's
-if no piece has a blank inside, which is looked up; otherwise the text is one unit. A unit is aligned once while a worker's
-cache holds it. Where a unit's bytes do not come back, the whole text is aligned as one unit.
+A text is aligned by units, cut before single blanks between other characters. Tokens of A never cover such a place if
+it splits texts as byte-level tokenizers do, nor do those of B if no piece has a blank inside; both are looked up, and
+otherwise the text is one unit. A unit is aligned once while a worker's cache holds it. Where a unit's bytes do not
+come back, the whole text is aligned as one unit.
 
 Counting: a document's distinct links are staged, counted over the corpus, and looked up again. The most frequent
 links, at most ``HEAD``, are broadcast; the others are joined, so no hot link is.
@@ -22,6 +23,7 @@ table gives an empty table. A text of any length is aligned whole.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator, Sequence
@@ -29,6 +31,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,10 +44,11 @@ BYTE_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Links whose counts are broadcast.
 HEAD = 1 << 18
-#: Units that a worker keeps and their longest, and units that the libraries take at once.
-CACHED = 100_000
+#: Units that a worker keeps and their longest in bytes, units that are encoded as one text, and such texts at once.
+CACHED = 250_000
 CACHED_LENGTH = 48
-GROUP = 8192
+GROUP = 256
+ROWS = 32
 #: Bytes of text that are aligned together, and links that are counted together.
 BLOCK = 2 << 20
 LINKS = 1 << 21
@@ -52,51 +56,47 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 _ADDED = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups")
 
 
-class Unit(NamedTuple):
-    """One aligned unit; ``groups`` is null if the bytes do not come back."""
+class Units(NamedTuple):
+    """Aligned units: three counts and the groups of each (no groups where bytes do not come back), and all links in a row."""
 
-    n_a: int
-    n_b: int
-    n_groups: int
-    groups: str | None
+    counts: np.ndarray
+    groups: np.ndarray
     links: np.ndarray
+    sizes: np.ndarray
 
+    def take(self, which: np.ndarray) -> Units:
+        starts, each = (np.cumsum(self.sizes) - self.sizes)[which], self.sizes[which]
+        ends = np.cumsum(each)
+        links = self.links[np.repeat(starts - (ends - each), each) + np.arange(int(each.sum()))]
+        return Units(self.counts[which], self.groups[which], links, each)
 
-def ends_of(cuts: Sequence[tuple[int, int]], sizes: Sequence[int], total: int) -> list[int] | None:
-    """Where tokens end in bytes, from coarse spans in bytes and the sizes they decode to; none if these do not fit.
 
-    Spans that overlap belong together, and empty ones, as of bytes before the last one of a character, to the next that is
-    not; each such run has to be filled exactly.
+def _joined(parts: Sequence[Units]) -> Units:
+    return Units(*(np.concatenate(column) for column in zip(*parts)))
+
+
+def _no_units(size: int = 0) -> Units:
+    return Units(np.zeros((size, 3), np.int64), np.full(size, None, object), np.zeros(0, np.int64), np.zeros(size, np.int64))
+
+
+def ends_of(starts: np.ndarray, stops: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Where tokens end in bytes, from their coarse spans in bytes and the sizes that they decode to.
+
+    A cut holds after a token with a span that the next one does not reach into. Tokens between two cuts, such as parts of
+    one character or bytes with an empty span before its last one, end by their sizes.
     """
-    ends, at, run_end, open_ = [], 0, 0, True
-    for (start, stop), size in zip(cuts, sizes):
-        if not open_ and start >= run_end:
-            if at != run_end:
-                return None
-            open_ = True
-        if stop > start:
-            run_end, open_ = max(run_end, stop), False
-        at += size
-        ends.append(at)
-    return ends if at == run_end == total else None
-
-
-def grouped(a: Sequence[int], a_ends: Sequence[int], b: Sequence[int], b_ends: Sequence[int]) -> tuple[list[str], list[tuple[int, int]]]:
-    """The groups, each as ``a1,a2|b1``, and the linked ids of two lists of tokens over the same bytes."""
-    groups, links, i, j, first_a, first_b = [], [], 0, 0, 0, 0
-    while i < len(a) and j < len(b):
-        links.append((a[i], b[j]))
-        left, right = a_ends[i], b_ends[j]
-        i += left <= right
-        j += right <= left
-        if left == right:
-            groups.append(",".join(map(str, a[first_a:i])) + "|" + ",".join(map(str, b[first_b:j])))
-            first_a, first_b = i, j
-    return groups, links
+    reach, by_size = np.maximum.accumulate(stops), np.cumsum(sizes)
+    cut = (stops > starts) & (np.append(starts[1:], reach[-1:]) >= reach)
+    before = np.concatenate([[0], np.flatnonzero(cut[:-1]) + 1])
+    run = np.repeat(np.arange(len(before)), np.diff(np.append(before, len(cut))))
+    begun = np.where(before > 0, reach[before - 1], 0)
+    ends = np.where(cut, reach, begun[run] + by_size - np.concatenate([[0], by_size])[before][run])
+    # Bytes have the last word where a library's spans do not fit them.
+    return ends if (ends == by_size).all() else by_size
 
 
 class Aligner:
-    """Both tokenizers and the bytes of their ids."""
+    """Both tokenizers, the bytes of their ids, and the units aligned so far."""
 
     def __init__(self, definition: str, proto: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -107,86 +107,158 @@ class Aligner:
         self.a.encode_special_tokens = True
         self.b = SentencePieceProcessor(model_proto=proto)
         letters = {c: b for b, c in _byte_letters().items()}
-        vocabulary = self.a.get_vocab(with_added_tokens=True)
-        self.a_bytes = {i: b"".join(bytes([letters[c]]) if c in letters else c.encode() for c in t) for t, i in vocabulary.items()}
+        tokens = sorted((i, t) for t, i in self.a.get_vocab(with_added_tokens=True).items())
+        self.a_bytes = [b""] * (tokens[-1][0] + 1)
+        for i, t in tokens:
+            self.a_bytes[i] = b"".join(bytes([letters[c]]) if c in letters else c.encode() for c in t)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.b_bytes = [
             bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)
         ]
         self.b_count = len(pieces)
-        self.by_units = not any("▁" in p.lstrip("▁") for p in pieces)
-        self.cache: dict[str, Unit] = {}
-
-    def align_many(self, texts: Sequence[str]) -> list[Unit]:
-        out: list[Unit] = []
-        for at in range(0, len(texts), GROUP):
-            some = texts[at : at + GROUP]
-            with_blank = [" " + t for t in some]
-            made = zip(some, with_blank, self.a.encode_batch(with_blank, add_special_tokens=False), self.b.encode(some, num_threads=1, return_type="proto"))
-            out += [self._aligned(text, blank, a, b.pieces) for text, blank, a, b in made]
+        self._a_size, self._b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
+        self._names = [np.array([f"{i}{mark}" for i in range(n)], object) for n, mark in self._marks()]
+        shape = json.loads(definition)
+        split = shape["pre_tokenizer"] or {}
+        self.by_units = (
+            shape["normalizer"] is None
+            and split.get("type") == "ByteLevel"
+            and split.get("use_regex", True)
+            and not any("▁" in p.lstrip("▁") for p in pieces)
+        )
+        self._known, self._units = pa.array([], pa.large_string()), _no_units()
+
+    def _marks(self) -> list[tuple[int, str]]:
+        return [(n, mark) for n, last in ((len(self.a_bytes), "|"), (self.b_count, ";")) for mark in (",", last)]
+
+    def align(self, texts: Sequence[str]) -> Units:
+        """``texts`` as units. Those with no blank at either end are encoded many at a time, as one text."""
+        inner = np.array([self.by_units and not (t[0].isspace() or t[-1].isspace()) for t in texts], bool)
+        at, alone = np.flatnonzero(inner), np.flatnonzero(~inner)
+        rows = [at[n : n + GROUP] for n in range(0, len(at), GROUP)] + [alone[n : n + 1] for n in range(len(alone))]
+        parts, order = [_no_units()], [np.zeros(0, np.int64)]
+        for n in range(0, len(rows), ROWS):
+            some = rows[n : n + ROWS]
+            parts.append(self._rows([[texts[i] for i in row] for row in some]))
+            order += some
+        back = np.empty(len(texts), np.int64)
+        back[np.concatenate(order)] = np.arange(len(texts))
+        return _joined(parts).take(back)
+
+    def _rows(self, rows: list[list[str]]) -> Units:
+        texts = [" ".join(units) for units in rows]
+        blank = [" " + t for t in texts]
+        data = [t.encode() for t in blank]
+        made_a = self.a.encode_batch(blank, add_special_tokens=False)
+        made_b = self.b.encode([t[1:] for t in data], num_threads=1, return_type="offset_mapping")
+        whole = [
+            b"".join([self.a_bytes[i] for i in a.ids]) == d == b"".join([self.b_bytes[i] for i in b["ids"]])
+            for a, b, d in zip(made_a, made_b, data)
+        ]
+        if not all(whole):
+            # A unit that does not come back must not cost its neighbours.
+            good = iter(self._fitting([(u, t, d, a, b) for u, t, d, a, b, w in zip(rows, blank, data, made_a, made_b, whole) if w]))
+            parts = []
+            for units, w in zip(rows, whole):
+                parts += [next(good)] if w else [_no_units(1)] if len(units) == 1 else [self._rows([[u] for u in units])]
+            return _joined(parts)
+        return _joined([_no_units(), *self._fitting(list(zip(rows, blank, data, made_a, made_b)))])
+
+    def _fitting(self, rows: list[tuple]) -> list[Units]:
+        """The units of each row whose bytes come back, by arrays over all rows, one after the other."""
+        if not rows:
+            return []
+        units, texts, data, made_a, made_b = zip(*rows)
+        lengths = np.array([len(d) for d in data], np.int64)
+        bases = np.cumsum(lengths) - lengths
+        points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        edges = np.concatenate([[0], np.cumsum(1 + (points > 0x7F) + (points > 0x7FF).astype(np.int64) + (points > 0xFFFF))])
+        chars = np.cumsum([0, *map(len, texts)])
+        a, b = (np.array([i for m in made for i in m], np.int64) for made in ([x.ids for x in made_a], [x["ids"] for x in made_b]))
+        spans_a = np.array([x for m in made_a for x in m.offsets], np.int64).reshape(-1, 2)
+        spans_b = np.array([x for m in made_b for x in m["offsets"]], np.int64).reshape(-1, 2)
+        spans_a = edges[spans_a + np.repeat(chars[:-1], [len(m.ids) for m in made_a])[:, None]]
+        n_b = np.array([len(m["ids"]) for m in made_b], np.int64)
+        # B's spans are of the text without the added blank; its first token has that, too.
+        spans_b = spans_b + np.repeat(bases + 1, n_b)[:, None]
+        spans_b[(np.cumsum(n_b) - n_b)[n_b > 0], 0] = bases[n_b > 0]
+        a_ends = ends_of(spans_a[:, 0], spans_a[:, 1], self._a_size[a])
+        b_ends = ends_of(spans_b[:, 0], spans_b[:, 1], self._b_size[b])
+
+        group_ends = np.intersect1d(a_ends, b_ends, assume_unique=True)
+        a_group, b_group = np.searchsorted(group_ends, a_ends), np.searchsorted(group_ends, b_ends)
+        # Between two ends of either one, there is one token of both.
+        every = np.union1d(a_ends, b_ends)
+        links = a[np.searchsorted(a_ends, every)] * self.b_count + b[np.searchsorted(b_ends, every)]
+
+        # Names in the order of groups, A's before B's.
+        a_last, b_last = np.append(a_group[1:] != a_group[:-1], True), np.append(b_group[1:] != b_group[:-1], True)
+        names = np.empty(len(a) + len(b), object)
+        a_place = np.arange(len(a)) + np.searchsorted(b_group, a_group)
+        b_place = np.arange(len(b)) + np.searchsorted(a_group, b_group, side="right")
+        names[a_place] = np.where(a_last, self._names[1][a], self._names[0][a])
+        names[b_place] = np.where(b_last, self._names[3][b], self._names[2][b])
+
+        unit_ends = np.cumsum([1 + len(u.encode()) for row in units for u in row])
+        cuts = [np.searchsorted(x, unit_ends, side="right") for x in (a_ends, b_ends, group_ends, every)]
+        counts = np.stack([np.diff(c, prepend=0) for c in cuts], axis=1)
+        listed, name_cuts = names.tolist(), [0, *(cuts[0] + cuts[1]).tolist()]
+        groups = np.empty(len(unit_ends), object)
+        groups[:] = ["".join(listed[x:y])[:-1] for x, y in zip(name_cuts, name_cuts[1:])]
+        out, first, link_cuts = [], 0, [0, *cuts[3].tolist()]
+        for row in units:
+            last = first + len(row)
+            out.append(Units(counts[first:last, :3], groups[first:last], links[link_cuts[first] : link_cuts[last]], counts[first:last, 3]))
+            first = last
         return out
 
-    def _aligned(self, text: str, blank: str, a, pieces) -> Unit:
-        whole = blank.encode()
-        a_ids, b_ids = a.ids, [p.id for p in pieces]
-        a_bytes, b_bytes = [self.a_bytes[i] for i in a_ids], [self.b_bytes[i] for i in b_ids]
-        if b"".join(a_bytes) != whole or b"".join(b_bytes) != whole:
-            return _NONE
-        a_spans = a.offsets
-        # B's spans are of the text without the added blank; its first token has that, too.
-        b_spans = [(p.begin + 1 if n else 0, p.end + 1) for n, p in enumerate(pieces)]
-        if len(whole) != len(blank):
-            edges = np.concatenate([[0], np.cumsum([len(c.encode()) for c in blank])]).tolist()
-            a_spans = [(edges[s], edges[e]) for s, e in a_spans]
-            if b_spans[-1][1] != len(whole):
-                b_spans = [(edges[s], edges[e]) for s, e in b_spans]
-        a_ends = ends_of(a_spans, list(map(len, a_bytes)), len(whole))
-        b_ends = ends_of(b_spans, list(map(len, b_bytes)), len(whole))
-        if a_ends is None or b_ends is None:
-            raise ValueError(f"spans do not fit the bytes of {text[:40]!r}")
-        groups, links = grouped(a_ids, a_ends, b_ids, b_ends)
-        codes = np.array([x * self.b_count + y for x, y in links], np.int64)
-        return Unit(len(a_ids), len(b_ids), len(groups), ";".join(groups), codes)
-
-    def documents(self, texts: Sequence[str | None]) -> tuple[list[Unit], list[np.ndarray], list[np.ndarray]]:
-        """Each text as one unit without links, and its distinct links with how often it has them."""
+    def _looked_up(self, units: list[str]) -> tuple[Units, np.ndarray]:
+        """The distinct ones of ``units``, and which one each is."""
+        coded = pa.array(units, pa.large_string()).dictionary_encode()
+        distinct = coded.dictionary
+        at = pc.fill_null(pc.index_in(distinct, value_set=self._known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = np.flatnonzero(at < 0)
+        fresh = distinct.take(pa.array(new))
+        at[new] = len(self._known) + np.arange(len(new))
+        known, made = pa.concat_arrays([self._known, fresh]), _joined([self._units, self.align(fresh.to_pylist())])
+        found = made.take(at)
+        rows = np.arange(len(known))
+        if len(known) > CACHED:
+            rows = np.union1d(at, rows[len(known) - CACHED // 2 :])[-CACHED:]
+        rows = rows[pc.binary_length(known.take(pa.array(rows))).to_numpy(zero_copy_only=False) <= CACHED_LENGTH]
+        if len(rows) < len(known):
+            known, made = known.take(pa.array(rows)), made.take(rows)
+        self._known, self._units = known, made
+        return found, coded.indices.to_numpy(zero_copy_only=False)
+
+    def documents(self, texts: Sequence[str | None]) -> tuple[np.ndarray, list[str], list[np.ndarray], list[np.ndarray]]:
+        """Three counts and the groups of each text, and its distinct links with how often it has them."""
         split = [[] if not t else _CUT.split(t) if self.by_units else [t] for t in texts]
-        number: dict[str, int] = {}
-        codes = [np.fromiter((number.setdefault(u, len(number)) for u in units), np.int64, len(units)) for units in split]
-        names = list(number)
-        found = [self.cache.get(u) for u in names]
-        new = [i for i, u in enumerate(found) if u is None]
-        for i, made in zip(new, self.align_many([names[i] for i in new])):
-            found[i] = made
-        if len(self.cache) + len(new) > CACHED:
-            self.cache.clear()
-        self.cache.update((u, made) for u, made in zip(names, found) if len(u) <= CACHED_LENGTH)
+        found, codes = self._looked_up([u for units in split for u in units])
+        edges = np.cumsum([0, *map(len, split)]).tolist()
+        which = [codes[x:y] for x, y in zip(edges, edges[1:])]
         # A text with a unit that does not come back is looked at whole.
-        faulty = np.array([u.groups is None for u in found], bool)
+        faulty = np.array([g is None for g in found.groups], bool)
+        parts, size = [found], len(found.groups)
         for row, units in enumerate(split):
-            if units and faulty[codes[row]].any():
-                whole = self.align_many([texts[row]])[0] if len(units) > 1 else _NONE
-                codes[row] = np.array([len(found)] if whole.groups is not None else [], np.int64)
-                found.append(whole)
-        numbers = np.array([u[:3] for u in found], np.int64).reshape(-1, 3)
-        sizes = np.array([len(u.links) for u in found], np.int64)
-        flat = np.concatenate([np.zeros(0, np.int64), *(u.links for u in found)])
-        starts, rows, links, times = np.cumsum(sizes) - sizes, [], [], []
-        for mine in codes:
-            n_a, n_b, n_groups = numbers[mine].sum(axis=0).tolist()
-            groups = ";".join([found[c].groups for c in mine.tolist()])
-            rows.append(Unit(n_a, n_b, n_groups, groups, _NO_LINKS))
-            each = sizes[mine]
+            if units and faulty[which[row]].any():
+                whole = self.align([texts[row]])
+                parts.append(whole)
+                which[row] = np.array([size] if whole.groups[0] is not None else [], np.int64)
+                size += 1
+        found = _joined(parts)
+        starts = np.cumsum(found.sizes) - found.sizes
+        counts, groups, links, times = np.zeros((len(texts), 3), np.int64), [], [], []
+        for row, mine in enumerate(which):
+            counts[row] = found.counts[mine].sum(axis=0)
+            groups.append(";".join(found.groups[mine].tolist()))
+            each = found.sizes[mine]
             ends = np.cumsum(each)
-            held = flat[np.repeat(starts[mine] - (ends - each), each) + np.arange(int(each.sum()))]
+            held = found.links[np.repeat(starts[mine] - (ends - each), each) + np.arange(int(each.sum()))]
             distinct, often = np.unique(held, return_counts=True)
             links.append(distinct)
             times.append(often)
-        return rows, links, times
-
-
-_NO_LINKS = np.zeros(0, np.int64)
-_NONE = Unit(0, 0, 0, None, _NO_LINKS)
+        return counts, groups, links, times
 
 
 def _byte_letters() -> dict[int, str]:
@@ -244,12 +316,11 @@ def links(
         aligner = loaded(*model.value)
         for batch in batches:
             for part in chunks(batch, at, BLOCK):
-                rows, distinct, times = aligner.documents(part.column(at).to_pylist())
-                texts = [r.groups for r in rows]
+                counts, texts, distinct, times = aligner.documents(part.column(at).to_pylist())
                 if digest:
                     texts = [t and hashlib.sha256(t.encode()).hexdigest() for t in texts]
                 made = [
-                    *(pa.array([r[n] for r in rows], pa.int64()) for n in range(3)),
+                    *(pa.array(column) for column in counts.T.copy()),
                     pa.array([int(t.sum()) for t in times], pa.int64()),
                     pa.array(texts, pa.string()),
                     _lists(distinct, "<u8"),

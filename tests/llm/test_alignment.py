@@ -1,6 +1,7 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from cases import SF, documents, odd_documents, odd_frame
 from sentencepiece import SentencePieceProcessor
@@ -89,26 +90,31 @@ def test_byte_letters_are_the_librarys():
 
 @pytest.mark.parametrize("text", ODD)
 def test_odd_texts_equal_plain_ranges(aligner, plain, text):
-    rows, links, times = aligner.documents([text, None, ""])
-    n_a, n_b, n_groups, n_links, _, _, groups = plain.rows([text])[0]
-    assert (rows[0][:4], int(times[0].sum())) == ((n_a, n_b, n_groups, groups), n_links)
-    assert all(r[:4] == (0, 0, 0, "") for r in rows[1:]) and not len(links[1])
+    counts, groups, links, times = aligner.documents([text, None, ""])
+    n_a, n_b, n_groups, n_links, *_, named = plain.rows([text])[0]
+    assert (*counts[0], groups[0], int(times[0].sum())) == (n_a, n_b, n_groups, named, n_links)
+    assert not counts[1:].any() and groups[1:] == ["", ""] and not len(links[1])
 
 
-def test_ends_need_runs_that_are_filled():
-    assert alignment.ends_of([(0, 2), (2, 5)], [2, 3], 5) == [2, 5]
-    assert alignment.ends_of([(0, 3), (0, 3), (0, 3)], [1, 1, 1], 3) == [1, 2, 3]
-    assert alignment.ends_of([(0, 3), (0, 3), (3, 4)], [1, 1, 2], 4) is None
-    assert alignment.ends_of([(0, 2)], [3], 3) is None and alignment.ends_of([(0, 2)], [2], 3) is None
+def test_spans_are_cuts_and_sizes_refine_them():
+    ends = lambda spans, sizes: alignment.ends_of(*np.array(spans).T, np.array(sizes)).tolist()
+    assert ends([(0, 2), (2, 5)], [2, 3]) == [2, 5]
+    assert ends([(0, 3), (0, 3), (0, 3), (3, 4)], [1, 1, 1, 1]) == [1, 2, 3, 4]
+    assert ends([(0, 2), (2, 2), (2, 2), (2, 5), (5, 6)], [2, 1, 1, 1, 1]) == [2, 3, 4, 5, 6]
+    assert ends([(0, 1), (1, 2)], [2, 3]) == [2, 5]
 
 
-def test_cache_does_not_change_rows(aligner, monkeypatch):
-    texts = [f"one word{i % 7} two words{i}\n three" for i in range(60)]
-    before = aligner.documents(texts)[0]
+def test_cache_and_units_do_not_change_rows(aligner, monkeypatch):
+    texts = [f"one word{i % 7} two words{i}\n three é{i} ▁" if i % 9 == 5 else f" as{i}  日本 word{i % 7} it" for i in range(60)]
+    same = lambda x, y: (x[0] == y[0]).all() and x[1] == y[1] and all((p == q).all() for p, q in zip(x[2] + x[3], y[2] + y[3]))
+    before = aligner.documents(texts)
     monkeypatch.setattr(alignment, "CACHED", 10)
-    again = [r for t in texts for r in aligner.documents([t])[0]]
+    monkeypatch.setattr(alignment, "GROUP", 3)
+    assert same(before, aligner.documents(texts)) and same(before, aligner.documents(texts))
     monkeypatch.setattr(aligner, "by_units", False)
-    assert [r[:4] for r in before] == [r[:4] for r in again] == [r[:4] for r in aligner.documents(texts)[0]]
+    monkeypatch.setattr(aligner, "_known", aligner._known[:0])
+    monkeypatch.setattr(aligner, "_units", alignment._no_units())
+    assert same(before, aligner.documents(texts))
 
 
 @pytest.mark.parametrize("head", [0, 50, 1 << 18])
@@ -142,11 +148,24 @@ def test_query_equals_plain_ranges(spark, plain):
         assert r.groups_sha256 == (hashlib.sha256(groups.encode()).hexdigest() if groups else "")
 
 
+def sweep(a, b):
+    """Groups and links of two lists of (id, start, stop) by two fingers."""
+    groups, links, i, j, first = [], [], 0, 0, (0, 0)
+    while i < len(a) and j < len(b):
+        links.append((a[i][0], b[j][0]))
+        left, right = a[i][2], b[j][2]
+        i, j = i + (left <= right), j + (right <= left)
+        if left == right:
+            groups.append("|".join(",".join(str(x[0]) for x in t[f:k]) for t, f, k in ((a, first[0], i), (b, first[1], j))))
+            first = (i, j)
+    return groups, links
+
+
 def swept(plain, rows):
     found = {}
     for i, text in rows:
         f = plain.ranges(text)
-        found[i] = None if f is None else (f, *alignment.grouped([x for x, *_ in f[0]], [e for *_, e in f[0]], [x for x, *_ in f[1]], [e for *_, e in f[1]]))
+        found[i] = None if f is None else (f, *sweep(*f))
     count = Counter(pair for f in found.values() if f for pair in set(f[2]))
     top = {}
     for (a, _), n in count.items():
