@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutlist.llm import alignment, curves, graygroups, languages, mixing, ngrams, pages, pieces, pii, secrets, spans, token_files, topk
+from cutlist.llm import alignment, curves, graygroups, languages, mixing, ngrams, pages, periods, pieces, pii, secrets
+from cutlist.llm import spans, token_files, topk
 from cutlist.llm.common import remainder, staged, table
 
 
@@ -67,6 +70,30 @@ def op10_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curves.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def periodic_tail(doc_id: int | None, n: int) -> np.ndarray | None:
+    """Places of the words of a tenth of the documents, whose words repeat from some place on with some period."""
+    h = zlib.crc32(b"" if doc_id is None else str(doc_id).encode())
+    if h % 10 or not n:
+        return None
+    g = h // 10
+    a, places = g % n, np.arange(n)
+    period = 1 + (n - a) // (3 + g % 8)
+    places[a:] = a + (places[a:] - a) % period
+    return places
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = periods.find(docs, key="doc_id", keep=["doc_id"], view=periodic_tail)
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    listed = F.concat_ws("", F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))))
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), *[F.col(f"strongest.{c}").alias(c) for c in periods.RUN.names],
+        F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = alignment.align(docs, alignment.read_models(), keep=["doc_id"], digest=True)
@@ -91,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_merge_dropout": op8_merge_dropout,
     "op9_histogram_topk": op9_histogram_topk,
     "op10_hilbert_neighbours": op10_hilbert_neighbours,
+    "op11_periodic_runs": op11_periodic_runs,
     "op12_token_alignment": op12_token_alignment,
     "op13_wavelet_tokens": op13_wavelet_tokens,
 }
