@@ -31,37 +31,46 @@ def _grams(strings: set[bytes]) -> tuple:
     """The condition that one of ``strings`` occurs; a string under three bytes says nothing."""
     if not strings or any(len(s) < 3 for s in strings):
         return EVERY
-    return _any([("all", tuple(sorted({s[i : i + 3] for i in range(len(s) - 2)}))) for s in strings])
+    return _any([("all", tuple(sorted({s[i : i + 3] for i in range(len(s) - 2)}))) for s in sorted(strings)])
 
 
 def _all(parts: Sequence[tuple]) -> tuple:
-    flat = dict.fromkeys(x for p in parts for x in (p[1] if p[0] == "all" else (p,)))
-    only = next(iter(flat)) if len(flat) == 1 else None
-    return only if isinstance(only, tuple) else ("all", tuple(flat))
+    # One order for equal conditions, however they came about.
+    flat = sorted({x for p in parts for x in (p[1] if p[0] == "all" else (p,))}, key=repr)
+    return flat[0] if len(flat) == 1 and isinstance(flat[0], tuple) else ("all", tuple(flat))
 
 
 def _any(parts: Sequence[tuple]) -> tuple:
-    distinct = tuple(dict.fromkeys(parts))
+    distinct = tuple(sorted(set(parts), key=repr))
     return EVERY if EVERY in distinct else distinct[0] if len(distinct) == 1 else ("any", distinct)
 
 
-def _charset(items) -> set[bytes] | None:
+def _letter(code: int, flags: int) -> bytes | None:
+    """The character as the index holds it, or None where its other case is no ASCII letter and so is not folded there."""
+    char = chr(code)
+    if flags & re.IGNORECASE and not flags & re.ASCII and (char in "kKsSiI" or (code > 127 and char.lower() != char.upper())):
+        return None
+    return char.lower().encode() if code < 128 else char.encode()
+
+
+def _charset(items, flags: int) -> set[bytes] | None:
     """The characters of a class as byte strings, or None where they are too many to list."""
-    found: set[bytes] = set()
+    found: set[bytes | None] = set()
     for op, value in items:
         if op is ops.LITERAL:
-            found.add(chr(value).lower().encode() if value < 128 else chr(value).encode())
+            found.add(_letter(value, flags))
         elif op is ops.RANGE and value[1] - value[0] < 4 and value[1] < 128:
-            found |= {chr(c).lower().encode() for c in range(value[0], value[1] + 1)}
+            found |= {_letter(c, flags) for c in range(value[0], value[1] + 1)}
         else:
             return None
-    return found
+    return None if None in found else found
 
 
-def _walk(tree) -> tuple[set[bytes] | None, tuple]:
+def _walk(tree, flags: int) -> tuple[set[bytes] | None, tuple]:
     """(exact strings or None if not listable, condition) for a parsed sequence."""
     exact: set[bytes] | None = {b""}
     conditions: list[tuple] = []
+    whole = True
 
     def settle() -> None:
         nonlocal exact
@@ -70,38 +79,34 @@ def _walk(tree) -> tuple[set[bytes] | None, tuple]:
         exact = None
 
     def append(strings: set[bytes] | None) -> None:
-        nonlocal exact
+        # What has been settled is no part of the exact strings any more, so these are only the end of all.
+        nonlocal exact, whole
         if strings is None:
             settle()
-            exact = {b""}
+            exact, whole = {b""}, False
         elif len(exact) * len(strings) > EXACT_LIMIT:
             settle()
-            exact = set(strings)
+            exact, whole = set(strings), False
         else:
             exact = {a + b for a, b in product(exact, strings)}
 
-    whole = True
     for op, value in tree:
         if op is ops.LITERAL:
-            append(_charset([(op, value)]))
+            append(_charset([(op, value)], flags))
         elif op is ops.IN:
-            strings = _charset(value)
-            whole &= strings is not None
-            append(strings)
+            append(_charset(value, flags))
         elif op is ops.SUBPATTERN:
-            strings, condition = _walk(value[3])
+            strings, condition = _walk(value[3], (flags | value[1]) & ~value[2])
             conditions.append(condition)
-            whole &= strings is not None
             append(strings)
         elif op is ops.BRANCH:
-            sides = [_walk(x) for x in value[1]]
+            sides = [_walk(x, flags) for x in value[1]]
             listed = None if any(s is None for s, _ in sides) else set().union(*(s for s, _ in sides))
             conditions.append(_any([_all([c] if s is None else [c, _grams(s)]) for s, c in sides]))
-            whole &= listed is not None
             append(listed)
         elif op in (ops.MAX_REPEAT, ops.MIN_REPEAT, ops.POSSESSIVE_REPEAT):
             low, high, inner = value
-            strings, condition = _walk(inner)
+            strings, condition = _walk(inner, flags)
             if low:
                 conditions.append(condition)
             if (low, high) == (0, 1) and strings is not None:
@@ -115,12 +120,10 @@ def _walk(tree) -> tuple[set[bytes] | None, tuple]:
                     for _ in range(min(low, 8)):
                         append(strings)
                 append(None)
-                whole = False
         elif op in (ops.AT, ops.ASSERT, ops.ASSERT_NOT):
             continue
         else:
             append(None)
-            whole = False
     if whole and len(exact) <= EXACT_LIMIT:
         return exact, _all(conditions)
     settle()
@@ -129,7 +132,8 @@ def _walk(tree) -> tuple[set[bytes] | None, tuple]:
 
 def derive(pattern: str) -> tuple:
     """The trigram query of a pattern; ``EVERY`` where it has no mandatory trigram."""
-    strings, condition = _walk(parser.parse(pattern))
+    tree = parser.parse(pattern)
+    strings, condition = _walk(tree, tree.state.flags)
     return _all([condition] if strings is None else [condition, _grams(strings)])
 
 
@@ -156,7 +160,7 @@ class Index:
     def __init__(self, grams: Sequence[bytes]):
         self.grams = sorted(grams)
         codes = np.array([int.from_bytes(g, "big") for g in self.grams], np.int64)
-        self._known = np.zeros(1 << 24, np.uint16)
+        self._known = np.zeros(1 << 24, np.uint16 if len(codes) < 1 << 16 else np.uint32)
         self._known[codes] = np.arange(1, len(codes) + 1)
         self.postings: dict[bytes, np.ndarray] = {}
         self.rows = 0

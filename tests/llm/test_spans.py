@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -92,6 +93,7 @@ def test_trigram_queries():
     assert trigrams.derive("ab") == everything
     assert trigrams.named(trigrams.derive("AKIA[A-Z0-9]+")) == {b"aki", b"kia"}
     assert trigrams.derive("abc|defg") == ("any", (("all", (b"abc",)), ("all", (b"def", b"efg"))))
+    assert trigrams.derive("defg|abc") == trigrams.derive("abc|defg")
     assert trigrams.derive("(abc|x)*") == everything
     assert trigrams.named(trigrams.derive("api_?key")) >= {b"api", b"key"}
 
@@ -109,6 +111,50 @@ def test_no_candidate_is_missed(rule):
         assert {i for i, t in enumerate(texts) if re.search(rule.pattern, t)} <= candidates
 
 
+def candidates(pattern, texts):
+    import pyarrow as pa
+
+    query = trigrams.derive(pattern)
+    index = trigrams.Index(trigrams.named(query))
+    index.fill(pa.array(texts), block=40)
+    return set(index.answer(query).tolist())
+
+
+@pytest.mark.parametrize(
+    "pattern, text",
+    [
+        ("q([a-d]{4}x)", "qabcdx"), ("(?i)école", "ÉCOLE"), ("(?i)task", "TAſK"), ("(?i:risk)y", "R\u0130S\u212Ay"), ("a(?i:k)c", "a\u212Ac"),
+        ("(?ai)task", "TASK"), ("([ab][cd][ef][gh][ij][kl][mn])z", "acegikmz"), ("((?:ab|cd|ef|gh){3}){2}!", "abcdefghabcd!"),
+    ],
+)
+def test_general_patterns_keep_their_matches(pattern, text):
+    assert re.search(pattern, text) and candidates(pattern, ["", text, "other"]) >= {1}
+
+
+@pytest.mark.parametrize("seed", range(400))
+def test_random_patterns_keep_their_matches(seed):
+    pick = random.Random(seed)
+
+    def some(depth):
+        kind = pick.randrange(9 if depth else 3)
+        if kind < 2:
+            return "".join(pick.choice("abcksAK") for _ in range(pick.randrange(1, 4)))
+        if kind == 2:
+            return pick.choice(["[ab]", "[a-d]", "[ks]", "[^a]", ".", r"\w", "é"])
+        if kind == 3:
+            return f"(?:{some(depth - 1)}|{some(depth - 1)})"
+        if kind == 4:
+            return f"({some(depth - 1)}){pick.choice(['?', '*', '+', '{2}', '{1,3}', '{3,}', '{4}'])}"
+        if kind == 5:
+            return f"(?i:{some(depth - 1)})"
+        return some(depth - 1) + some(depth - 1)
+
+    pattern = pick.choice(["", "(?i)", "(?ai)"]) + some(4)
+    texts = ["".join(pick.choice("aabbccddkksSAKé\u212Aſ") for _ in range(pick.randrange(1, 14))) for _ in range(300)]
+    matching = {i for i, t in enumerate(texts) if re.search(pattern, t)}
+    assert matching <= candidates(pattern, texts)
+
+
 def test_odd_rows_keep_their_columns(spark):
     frame = odd_frame(spark)
     for got in (secrets.scan(frame), pii.find(frame)):
@@ -130,14 +176,14 @@ def test_empty_tables(spark):
 
 
 def test_disclosing_terms(spark):
-    """A name that stands by one address, in different surroundings, gives it away; common words and copies do not."""
+    """A name that stands by one address, in different surroundings, gives it away; words of other texts and copies do not."""
     rows = [(i, f"Report number{i} from zorblat kim@mail.example about matter{i} closed") for i in range(6)]
     rows += [(20, "zorblat spoke without an address")]
-    rows += [(30 + i, f"unrelated text{i} from nobody about the weather closed") for i in range(60)]
-    rows += [(200, "copied glimbor lee@mail.example passage")] * 5
+    rows += [(30 + i, f"Report on text{i} from nobody about the weather closed") for i in range(300)]
+    rows += [(1000, "copied glimbor lee@mail.example passage")] * 5
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: [s for s in r.spans if s.kind in (pii.GENERAL, pii.REMOVED)] for r in pii.find(frame).collect()}
-    assert all(len(got[i]) == 1 for i in range(6)) and not any(got[30 + i] for i in range(60)) and not got[200]
+    assert all(len(got[i]) == 1 for i in range(6)) and not any(got[30 + i] for i in range(300)) and not got[1000]
     flagged = {r.term: r for r in pii.disclosing_terms(frame)[0].collect()}
     assert set(flagged) == {"zorblat"} and flagged["zorblat"].entity == "email:kim@mail.example"
     assert len(got[20]) == 1
