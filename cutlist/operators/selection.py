@@ -3,7 +3,8 @@
 Ranked by priority, a candidate enters if it keeps the day within 118 % of its budget, and the day is
 full once the budget is reached. A candidate of at most 18 % of the budget therefore always enters until
 the day is full, so only longer ones can be skipped, and no more than six of those fit. Running sums place
-the short ones and one aggregate per long one finds the long ones: no day is ever held in one task.
+the short ones. Of the long ones each slice keeps those that can enter at all (``greedy``), and one pass over these per
+day finds who does: no day is ever held in one task, and nothing is run to find out what to run next.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from cutlist.functions.text import contains_any, filled
 from cutlist.lexicon import DEFAULT_LEXICON, WORDING, Lexicon, Wording
 from cutlist.operators.catalog import travel_days
+from cutlist.operators.greedy import thinned
 from cutlist.operators.ordered import SLICE, staged, with_order
 from cutlist.operators.scoring import _template, anchor_text, search_text
 from cutlist.params import DEFAULTS, CutParams
@@ -50,35 +52,38 @@ def day_budgets(candidates: DataFrame, targets: DataFrame, params: CutParams = D
     )
 
 
-def _long_picks(longs: DataFrame, params: CutParams) -> DataFrame | None:
-    """Per day the long candidates that enter, as an array of (rank, ms); nothing if there are none.
+#: Slices of a day whose long candidates are thinned out together.
+SLICES = 64
 
-    A round takes the first that fits in every day, with one map-side combined minimum, and keeps the later
-    ones that still fit. Each pick is more than 18 % of the budget and all together are at most 118 %, so
-    six rounds are enough; mostly the first few leave nothing.
+
+def _long_picks(longs: DataFrame, params: CutParams) -> DataFrame:
+    """Per day the long candidates that enter, as an array of (rank, ms).
+
+    ``before_ms`` has the length of the short ones before each, so a long one enters if it fits with these and
+    with the long ones taken. Every long one is longer than the shortest length that may be skipped, which bounds
+    how many enter.
     """
     over = params.overshoot_pct
-    taken: DataFrame | None = None
-    while True:
-        longs = staged(longs)
-        if longs.isEmpty():
-            break
-        hits = longs.groupBy(*DAY).agg(F.min(F.struct("rank", "ms")).alias("hit"))
-        taken = hits if taken is None else taken.unionByName(hits)
-        # A day's pick is sent to each of its slices, so a day with most of the rows stays spread out.
-        pieces = longs.select(*DAY, SLICE).distinct().join(hits, DAY)
-        used = F.col("before_ms") + F.col("hit.ms")
-        longs = (
-            longs.join(pieces, [*DAY, SLICE])
-            .filter(F.col("rank") > F.col("hit.rank"))
-            .filter(used < F.col("budget_ms"))
-            .filter((used + F.col("ms")) * 100 <= F.col("budget_ms") * over)
-            .withColumn("before_ms", used)
-            .drop("hit")
-        )
-    if taken is None:
-        return None
-    return taken.groupBy(*DAY).agg(F.collect_list("hit").alias("longs"))
+    most = F.expr(f"budget_ms * {over} div 100 div (budget_ms * {max(over - 100, 0)} div 100 + 1)")
+    limits = (
+        longs.withColumn("need", F.col("before_ms") + F.col("ms"))
+        .withColumn("most", F.greatest(most, F.lit(1).cast("bigint")))
+        .withColumn("_block", F.floor(F.col(SLICE) / SLICES))
+    )
+    thin, schema = thinned("rank", "need", "most"), limits.schema
+    left = limits.groupBy(*DAY, SLICE).applyInArrow(thin, schema).groupBy(*DAY, "_block").applyInArrow(thin, schema)
+    entry = F.struct("rank", "ms", "before_ms", "budget_ms")
+    none = F.array().cast("array<struct<rank:bigint,ms:bigint>>")
+
+    def take(taken: Column, x: Column) -> Column:
+        used = x["before_ms"] + taken["total"]
+        fits = (used < x["budget_ms"]) & ((used + x["ms"]) * 100 <= x["budget_ms"] * over)
+        picked = F.array_append(taken["picks"], F.struct(x["rank"].alias("rank"), x["ms"].alias("ms")))
+        return F.when(fits, F.struct((taken["total"] + x["ms"]).alias("total"), picked.alias("picks"))).otherwise(taken)
+
+    start = F.struct(F.lit(0).cast("bigint").alias("total"), none.alias("picks"))
+    days = left.groupBy(*DAY).agg(F.array_sort(F.collect_list(entry)).alias("_longs"))
+    return days.select(*DAY, F.aggregate("_longs", start, take)["picks"].alias("longs"))
 
 
 def choose(
@@ -90,6 +95,8 @@ def choose(
     ``duration_ms``. Equal priorities go by time, start and id.
     """
     over = params.overshoot_pct
+    if over < 100:
+        raise ValueError(f"a day of {over} % of its budget is never full")
     ms = _length()
     narrow = candidates.select(*DAY, "candidate_id", "priority", "source_utc", "start_ms", ms.alias("ms")).join(
         budgets.select(*DAY, "budget_ms"), DAY
@@ -129,11 +136,7 @@ def choose(
     )
     days = heads.select(*DAY, (F.col("head_ms") >= F.col("_budget")).alias("is_full")).join(second, DAY, "left")
     none = F.array().cast("array<struct<rank:bigint,ms:bigint>>")
-    picks = _long_picks(longs, params)
-    if picks is None:
-        days = days.withColumn("longs", none)
-    else:
-        days = days.join(picks, DAY, "left").withColumn("longs", F.coalesce("longs", none))
+    days = days.join(_long_picks(longs, params), DAY, "left").withColumn("longs", F.coalesce("longs", none))
 
     long_before = F.aggregate(
         F.filter("longs", lambda x: x["rank"] < F.col("rank")), F.lit(0).cast("bigint"), lambda t, x: t + x["ms"]

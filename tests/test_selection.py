@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cutlist.operators.greedy import reachable
 from cutlist.operators.selection import choose, day_budgets, infer_role, select_segments, selection_reason
 from cutlist.params import CutParams
 
@@ -12,7 +14,7 @@ POOL = "project_id bigint, date_key string, candidate_id string, priority bigint
 BUDGET = "project_id bigint, date_key string, budget_ms bigint"
 
 
-def loop(rows, budgets):
+def loop(rows, budgets, over=118):
     days, out = {}, set()
     for r in rows:
         days.setdefault(r[:2], []).append(r)
@@ -21,7 +23,7 @@ def loop(rows, budgets):
         used = count = 0
         for r in entries:
             length = max(0, r[6])
-            if count and (used + length) * 100 > budgets[day] * 118:
+            if count and (used + length) * 100 > budgets[day] * over:
                 continue
             out.add((day, r[2]))
             used, count = used + length, count + 1
@@ -48,6 +50,39 @@ def test_choice_equals_loop(spark, slices):
     assert chosen(choose(pool, days, slices=slices)) == loop(rows, budgets)
 
 
+@pytest.mark.parametrize("over", [100, 101, 105, 118, 200])
+def test_choice_at_other_limits_runs_nothing_by_itself(spark, over, monkeypatch):
+    rng = random.Random(over)
+    rows, budgets = [], {}
+    for d in range(60):
+        budget = budgets[d % 7, f"d{d}"] = rng.choice([0, 50, 1000, 20000])
+        for i in range(rng.randint(1, 200)):
+            length = rng.choice([1, budget // 100 + 1, budget // 20 + 1, budget // 5 + 1, rng.randint(0, 2 * budget + 1)])
+            rows.append((d % 7, f"d{d}", f"c{i}", rng.randint(0, 50), rng.randint(0, 3), i, length))
+    pool = spark.createDataFrame(rows, POOL)
+    days = spark.createDataFrame([(*k, v) for k, v in budgets.items()], BUDGET)
+    stages = []
+    checkpoint = type(pool).checkpoint
+    with monkeypatch.context() as patched:
+        for action in ("collect", "count", "isEmpty", "first", "take", "toPandas", "toArrow"):
+            patched.setattr(type(pool), action, lambda *a, **b: pytest.fail("an action inside choose"))
+        patched.setattr(type(pool), "checkpoint", lambda df, *a, **b: stages.append(df) or checkpoint(df, *a, **b))
+        got = choose(pool, days, CutParams(overshoot_pct=over), slices=70)
+    assert len(stages) == 2 and chosen(got) == loop(rows, budgets, over)
+    with pytest.raises(ValueError):
+        choose(pool, days, CutParams(overshoot_pct=99))
+
+
+def test_only_reachable_entries_stay():
+    pick = random.Random(1)
+    for most in (1, 3, 6):
+        needs = [pick.randint(0, 60) for _ in range(400)]
+        left = reachable(np.array(needs), most).tolist()
+        assert left == [i for i, n in enumerate(needs) if sum(m <= n for m in needs[:i]) < most]
+    assert len(reachable(np.array([pick.random() for _ in range(200_000)]), 6)) < 200
+    assert len(reachable(np.zeros(0), 6)) == 0 and len(reachable(np.arange(100_000), 6)) == 6
+
+
 @pytest.mark.parametrize(
     "budget, lengths, want",
     [
