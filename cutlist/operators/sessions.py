@@ -1,18 +1,16 @@
 """Grouping of ordered cues into sessions with a gap limit and a span limit.
 
 Where a session ends depends on where it began, so neither ``lag`` nor ``session_window`` can say it.
-The cues are range-partitioned by clip and time, and each slice is read once in order. A slice also
-reports how the session that enters it would leave it, as a step function of that session's start;
-chaining these reports gives every slice its entry state, so one clip may fill any number of slices
-and still be read in parallel. A report has at most one step per millisecond of the span limit, and only
-slices that one clip fills from end to end need any; such a slice's times are held while it is read, so
-``slices`` bounds the memory of a task.
+The cues are range-partitioned by clip and time, and each slice is read once in order, batch by batch. A slice
+reports how the session that enters it would leave it, as a step function of that session's start; a report has
+at most one step per millisecond of the span limit, whatever the slice holds. Reports compose: those of some hundred
+slices make one of the same bound, these are chained, and their entry states are handed back down. So one
+clip may fill any number of slices and still be read in parallel, and nothing holds a slice's times.
 """
 
 from __future__ import annotations
 
 import sys
-from bisect import bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -24,13 +22,15 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cutlist.operators.ordered import SLICE, sliced
+from cutlist.operators.ordered import SLICE, sliced, staged
 from cutlist.params import DEFAULTS, CutParams
 
 # The functions below travel to the workers with the job, so the package need not be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CLIP = ("project_id", "clip_path")
+#: Slices whose reports are composed into one.
+BLOCK = 256
 
 
 class _State(NamedTuple):
@@ -43,47 +43,184 @@ class _State(NamedTuple):
     seen: int = 0
 
 
-def _entry_steps(starts: list[int], ends: list[int], gap: int, span: int) -> dict:
-    """How an unknown entering session leaves the run of cues ``starts``/``ends``.
+#: Later than any time; stands for a cue that opens a session whatever the one before.
+_ALWAYS = np.iinfo(np.int64).max
 
-    ``step_end[j]`` rises; a session begun at ``s`` first breaks at the first j with
-    ``step_end[j] > s + span``, and the run then ends in the session begun at cue ``step_at[j]``
-    after ``step_more[j]`` further breaks.
-    """
+
+def _jumps(starts: np.ndarray, values: np.ndarray, span: int) -> np.ndarray:
+    """For a session begun at each cue the next cue that opens one: the first later value past its span, or the end."""
     n = len(starts)
-    hard = [False] + [starts[k] - ends[k - 1] > gap for k in range(1, n)]
-    leave_at, more = list(range(n)), [0] * n
-    nxt, j = [n] * n, 0
-    for k in range(n):
-        j = max(j, k + 1)
-        while j < n and not hard[j] and ends[j] - starts[k] <= span:
-            j += 1
-        nxt[k] = j
-    for k in range(n - 1, -1, -1):
-        if nxt[k] < n:
-            leave_at[k], more[k] = leave_at[nxt[k]], more[nxt[k]] + 1
-    steps, top, hard_at = [], None, None
-    for k in range(n):
-        if hard[k]:
-            hard_at = k
-            break
-        if top is None or ends[k] > top:
-            top = ends[k]
-            steps.append(k)
-            if top > starts[0] + span:
-                break
-    return {
-        "step_end": [ends[k] for k in steps],
-        "step_at": [leave_at[k] for k in steps],
-        "step_cur": [starts[leave_at[k]] for k in steps],
-        "step_more": [more[k] for k in steps],
-        "hard_at": None if hard_at is None else leave_at[hard_at],
-        "hard_cur": None if hard_at is None else starts[leave_at[hard_at]],
-        "hard_more": None if hard_at is None else more[hard_at],
-        "fresh_at": leave_at[0],
-        "fresh_cur": starts[leave_at[0]],
-        "fresh_more": more[0],
-    }
+    levels = [values]
+    while 2 << (len(levels) - 1) < n:
+        size, last = 1 << (len(levels) - 1), levels[-1]
+        levels.append(np.maximum(last, np.append(last[size:], np.full(min(size, len(last)), _ALWAYS))))
+    at, limit = np.arange(1, n + 1), starts + span
+    for level in reversed(range(len(levels))):
+        size = 1 << level
+        go = (at + size <= n) & (levels[level][np.minimum(at, n - 1)] <= limit)
+        at = at + np.where(go, size, 0)
+    return at
+
+
+def _followed(jumps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For a session begun at each cue: where the last session begins, and how many have begun until then."""
+    n = len(jumps)
+    last, more = np.where(jumps < n, jumps, np.arange(n)), (jumps < n).astype(np.int64)
+    while (ahead := last[last] != last).any():
+        more = more + np.where(ahead, more[last], 0)
+        last = last[last]
+    return last, more
+
+
+def _reached(jumps: np.ndarray, first: int) -> np.ndarray:
+    """All session starts from the one at ``first`` on."""
+    n = len(jumps)
+    jump, found = np.append(jumps, n), np.array([first])
+    while jump[first] < n:
+        found = np.concatenate([found, jump[found]])
+        jump = jump[jump]
+    return np.sort(found[found < n])
+
+
+def _first_past(values: np.ndarray, limits: np.ndarray) -> np.ndarray:
+    """For each limit the place of the first value beyond it, or their number."""
+    return np.searchsorted(np.maximum.accumulate(values), limits, side="right")
+
+
+class _Report:
+    """How an unknown session that enters a run of one clip's cues leaves it; read on, batch by batch.
+
+    ``ends`` rises; a session begun at ``s`` first breaks at the first j with ``ends[j] > s + span``, else
+    at ``hard`` if there is one, else not. ``fresh`` is the case that the first cue opens a session. Each case has
+    the ordinal (from 0) and start of the cue that opened the last session, and how many sessions followed the break.
+    """
+
+    def __init__(self, gap: int, span: int):
+        self.gap, self.span = gap, span
+        self.rows, self.first_start, self.last_end, self.top, self.open = 0, 0, 0, None, True
+        self.ends = np.zeros(0, np.int64)
+        #: Columns (at, cur, more): fresh, then hard where there is one, then the steps.
+        self.cases = np.zeros((0, 3), np.int64)
+        self.has_hard = False
+
+    def read(self, starts: np.ndarray, ends: np.ndarray) -> None:
+        if not len(starts):
+            return
+        hard = np.append(self.rows > 0 and starts[0] - self.last_end > self.gap, starts[1:] - ends[:-1] > self.gap)
+        values = np.where(hard, _ALWAYS, ends)
+        last, more = _followed(_jumps(starts, values, self.span))
+
+        def begun(at: np.ndarray) -> np.ndarray:
+            return np.stack([self.rows + last[at], starts[last[at]], more[at]], axis=1)
+
+        if self.rows:
+            at = _first_past(values, self.cases[:, 1] + self.span)
+            hit = at < len(starts)
+            moved = begun(at[hit])
+            moved[:, 2] += self.cases[hit, 2] + 1
+            self.cases[hit] = moved
+        else:
+            self.first_start = int(starts[0])
+            self.cases = begun(np.array([0]))
+        if self.open:
+            until = int(hard.argmax()) if hard.any() else len(starts)
+            before = np.append(np.iinfo(np.int64).min if self.top is None else self.top, ends[:until])
+            steps = np.flatnonzero(ends[:until] > np.maximum.accumulate(before)[:-1])
+            over = np.flatnonzero(ends[steps] > self.first_start + self.span)
+            steps = steps[: over[0] + 1] if len(over) else steps
+            self.add(ends[steps], begun(steps))
+            if self.open and until < len(starts):
+                self.close(begun(np.array([until])))
+        self.rows, self.last_end = self.rows + len(starts), int(ends[-1])
+
+    def add(self, ends: np.ndarray, cases: np.ndarray) -> None:
+        """More steps, up to the first that any entering session breaks at."""
+        if len(ends):
+            self.ends, self.cases = np.append(self.ends, ends), np.concatenate([self.cases, cases])
+            self.top = int(ends[-1])
+            self.open = self.top <= self.first_start + self.span
+
+    def close(self, hard: np.ndarray) -> None:
+        self.cases, self.has_hard, self.open = np.insert(self.cases, 1, hard, axis=0), True, False
+
+    def apply(self, prev_end: int, cur: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For sessions begun at ``cur``: whether they break in this run, and the case they leave it by."""
+        if self.first_start - prev_end > self.gap:
+            return np.ones(len(cur), bool), np.repeat(self.cases[:1], len(cur), axis=0)
+        at = np.searchsorted(self.ends, cur + self.span, side="right")
+        steps = self.cases[1 + self.has_hard :]
+        broken = (at < len(steps)) | self.has_hard
+        return broken, np.where((at < len(steps))[:, None], steps[np.minimum(at, len(steps) - 1)], self.cases[int(self.has_hard)])
+
+    def then(self, after: _Report) -> _Report:
+        """This run and the one after it as one."""
+        both = _Report(self.gap, self.span)
+        both.first_start, both.top, both.open, both.has_hard = self.first_start, self.top, self.open, self.has_hard
+        both.rows, both.last_end, both.ends = self.rows + after.rows, after.last_end, self.ends
+        shift = np.array([self.rows, 0, 0])
+        broken, left = after.apply(self.last_end, self.cases[:, 1])
+        moved = left + shift
+        moved[:, 2] += self.cases[:, 2] + 1
+        both.cases = np.where(broken[:, None], moved, self.cases)
+        if self.open:
+            # A session that nothing has broken so far meets the other run as it is.
+            if after.first_start - self.last_end > self.gap:
+                both.close(after.cases[:1] + shift)
+                return both
+            new = after.ends > self.top
+            ends, steps = after.ends[new], after.cases[1 + after.has_hard :][new] + shift
+            over = np.flatnonzero(ends > self.first_start + self.span)
+            keep = over[0] + 1 if len(over) else len(ends)
+            both.add(ends[:keep], steps[:keep])
+            if both.open and after.has_hard:
+                both.close(after.cases[1:2] + shift)
+        return both
+
+    def fields(self) -> dict:
+        steps = self.cases[1 + self.has_hard :]
+        out = {"first_start": self.first_start, "first_end": self.last_end, "first_rows": self.rows, "step_end": self.ends}
+        out.update({f"step_{name}": steps[:, n] for n, name in enumerate(_CASE)})
+        hard = self.cases[1].tolist() if self.has_hard else [None] * 3
+        out.update({f"hard_{name}": hard[n] for n, name in enumerate(_CASE)})
+        out.update({f"fresh_{name}": int(self.cases[0, n]) for n, name in enumerate(_CASE)})
+        return {k: v.tolist() if isinstance(v, np.ndarray) else v for k, v in out.items()}
+
+    @classmethod
+    def of(cls, row, gap: int, span: int) -> _Report:
+        self = cls(gap, span)
+        self.first_start, self.last_end, self.rows = int(row.first_start), int(row.first_end), int(row.first_rows)
+        self.ends = np.array(row.step_end, np.int64)
+        self.top = int(self.ends[-1])
+        self.has_hard = not pd.isna(row.hard_at)
+        self.open = not self.has_hard and self.top <= self.first_start + span
+        cases = [[getattr(row, f"{case}_{n}") for n in _CASE] for case in (("fresh", "hard") if self.has_hard else ("fresh",))]
+        steps = np.stack([np.array(getattr(row, f"step_{n}"), np.int64) for n in _CASE], axis=1)
+        self.cases = np.concatenate([np.array(cases, np.int64), steps])
+        return self
+
+    def fresh_state(self) -> _State:
+        at, cur, more = self.cases[0].tolist()
+        return _State(self.last_end, cur, 1 + more, at + 1, self.rows)
+
+    def state_after(self, state: _State) -> _State:
+        """What a clip's state becomes over this run."""
+        broken, left = self.apply(state.prev_end, np.array([state.cur]))
+        if not broken[0]:
+            return state._replace(prev_end=self.last_end, seen=state.seen + self.rows)
+        at, cur, more = left[0].tolist()
+        return _State(self.last_end, cur, state.session_no + 1 + more, state.seen + at + 1, state.seen + self.rows)
+
+
+_CASE = ("at", "cur", "more")
+
+
+def _entry_steps(starts: list[int], ends: list[int], gap: int, span: int, batch: int | None = None) -> dict:
+    """The report of a run of cues, read in batches of a size."""
+    report = _Report(gap, span)
+    size = batch or max(len(starts), 1)
+    for at in range(0, len(starts), size):
+        report.read(np.array(starts[at : at + size]), np.array(ends[at : at + size]))
+    return report.fields()
 
 
 _EDGE_FIELDS = [
@@ -126,11 +263,10 @@ def _read(new: np.ndarray, starts: np.ndarray, ends: np.ndarray, state: _State,
     hard = new.copy()
     hard[1:] |= starts[1:] - ends[:-1] > gap
     hard[0] |= starts[0] - state.prev_end > gap
-    opened, cur = [], state.cur
-    for i, (start, end, must) in enumerate(zip(starts.tolist(), ends.tolist(), hard.tolist())):
-        if must or end - cur > span:
-            cur = start
-            opened.append(i)
+    values = np.where(hard, _ALWAYS, ends)
+    first = int(_first_past(values, np.array([state.cur + span]))[0])
+    opened = _reached(_jumps(starts, values, span), first) if first < n else np.zeros(0, np.int64)
+    cur = int(starts[opened[-1]]) if len(opened) else state.cur
     opens = np.zeros(n, dtype=np.int64)
     opens[opened] = 1
     at, total = np.arange(n), np.cumsum(opens)
@@ -146,7 +282,7 @@ def _read(new: np.ndarray, starts: np.ndarray, ends: np.ndarray, state: _State,
 def _read_edges(gap: int, span: int):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first_key = key = number = None
-        whole, state, heads = True, _State(), []
+        whole, state, report = True, _State(), _Report(gap, span)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -157,62 +293,68 @@ def _read_edges(gap: int, span: int):
                 inner = np.flatnonzero(new[1:]) + 1
             else:
                 inner = np.flatnonzero(new)
-            if whole:
-                until = int(inner[0]) if len(inner) else len(starts)
-                heads.append((starts[:until], ends[:until]))
-                whole = not len(inner)
-            # Only the clip that leaves the slice is read through; those that end inside it need no report.
-            at = int(np.flatnonzero(new)[-1]) if new.any() else 0
+            if whole and not len(inner):
+                report.read(starts, ends)
+            else:
+                # Only the clip that leaves the slice is read through; those that end inside it need no report.
+                whole = False
+                at = int(inner[-1]) if len(inner) else 0
+                state = _read(new[at:], starts[at:], ends[at:], state, gap, span)[-1]
             key = keys[len(keys) - 1].as_py()
-            state = _read(new[at:], starts[at:], ends[at:], state, gap, span)[-1]
-            if not whole:
-                # What enters a slice that its first clip ends in does not leave it: no steps are needed.
-                heads = []
         if first_key is not None:
-            steps = {}
             if whole:
-                starts, ends = (np.concatenate(part).tolist() for part in zip(*heads))
-                steps = {"first_start": starts[0], "first_end": ends[-1], "first_rows": len(starts)}
-                steps.update(_entry_steps(starts, ends, gap, span))
-            row = {
-                "_slice": number,
-                "first_key": first_key,
-                "last_key": key,
-                "whole": whole,
-                **{f"last_{name}": value for name, value in state._asdict().items()},
-                **steps,
-            }
-            yield pa.RecordBatch.from_pylist([row], schema=pa.schema(_EDGE_FIELDS))
+                state = report.fresh_state()
+            row = {"_slice": number, "first_key": first_key, "last_key": key, "whole": whole}
+            row.update({f"last_{name}": value for name, value in state._asdict().items()})
+            yield pa.RecordBatch.from_pylist([row | (report.fields() if whole else {})], schema=pa.schema(_EDGE_FIELDS))
 
     return read
 
 
+def _last_state(row) -> _State:
+    return _State(*(int(getattr(row, f"last_{name}")) for name in _State._fields))
+
+
+def _state_after(row, continued: bool, state: _State | None, gap: int, span: int) -> _State:
+    """The state that leaves a slice or block, given the one that enters it."""
+    return _Report.of(row, gap, span).state_after(state) if continued and row.whole else _last_state(row)
+
+
+def _composed(gap: int, span: int):
+    """One report for a block of consecutive slices."""
+
+    def compose(edges: pd.DataFrame) -> pd.DataFrame:
+        first = key = state = report = None
+        for e in edges.sort_values("_slice").itertuples(index=False):
+            own = _Report.of(e, gap, span) if e.whole else None
+            if first is None:
+                first, report, state = e, own, _last_state(e)
+            elif key != e.first_key or not e.whole:
+                report, state = None, _last_state(e)
+            else:
+                report, state = report and report.then(own), own.state_after(state)
+            key = e.last_key
+        row = {"_slice": first[0] // BLOCK, "first_key": first.first_key, "last_key": key, "whole": report is not None}
+        row.update({f"last_{name}": value for name, value in state._asdict().items()})
+        row.update(report.fields() if report else {})
+        frame = pd.DataFrame([{name: row.get(name) for name, _ in _EDGE_FIELDS}])
+        return frame.astype({name: "Int64" for name, kind in _EDGE_FIELDS if kind == pa.int64()})
+
+    return compose
+
+
 def _chain(gap: int, span: int):
-    """Entry state of every slice that continues a clip; one report per slice comes in."""
+    """Entry state of every slice or block that continues a clip, from reports in order and the state that enters the first."""
 
     def chain(edges: pd.DataFrame) -> pd.DataFrame:
         out, key, state = [], None, None
         for e in edges.sort_values("_slice").itertuples(index=False):
+            if key is None and not pd.isna(e.in_prev_end):
+                key, state = e.first_key, _State(*(int(getattr(e, f"in_{name}")) for name in _State._fields))
             continued = key == e.first_key
             if continued:
                 out.append((e[0], *state))
-            if continued and e.whole:
-                prev_end, cur, number, first, seen = state
-                j = bisect_right(list(e.step_end), cur + span)
-                if e.first_start - prev_end > gap:
-                    at, cur, more = e.fresh_at, e.fresh_cur, e.fresh_more
-                elif j < len(e.step_end):
-                    at, cur, more = e.step_at[j], e.step_cur[j], e.step_more[j]
-                elif not pd.isna(e.hard_at):
-                    at, cur, more = e.hard_at, e.hard_cur, e.hard_more
-                else:
-                    at = None
-                if at is not None:
-                    number, first = number + 1 + int(more), seen + int(at) + 1
-                state = (int(e.first_end), int(cur), int(number), int(first), int(seen + e.first_rows))
-            else:
-                key = e.last_key
-                state = tuple(int(getattr(e, f"last_{name}")) for name in _State._fields)
+            state, key = _state_after(e, continued, state, gap, span), e.last_key
         return pd.DataFrame(out, columns=["_slice", *[f"in_{name}" for name in _State._fields]]).astype("int64")
 
     return chain
@@ -252,9 +394,16 @@ def sessionize(cues: DataFrame, params: CutParams = DEFAULTS, slices: int | None
     order = [F.col("start_ms"), F.col("end_ms"), F.col("cue_no")]
     cut = sliced(cues, CLIP, order, slices, sort=True).withColumn(SLICE, F.col(SLICE).cast("bigint"))
     keyed = cut.withColumn("_key", F.concat_ws("/", *CLIP))
-    edges = keyed.select(SLICE, "_key", "start_ms", "end_ms").mapInArrow(_read_edges(*limits), _EDGE_DDL)
-    # One report per slice, so this group is as long as there are partitions, whatever the data's size.
-    carried = edges.groupBy().applyInPandas(_chain(*limits), _CARRY_DDL)
+    # Reports are read twice, by the blocks and by their slices.
+    edges = staged(keyed.select(SLICE, "_key", "start_ms", "end_ms").mapInArrow(_read_edges(*limits), _EDGE_DDL))
+    block = F.expr(f"{SLICE} div {BLOCK}").alias("_block")
+    entry = [F.lit(None).cast("bigint").alias(f"in_{name}") for name in _State._fields]
+    blocks = edges.groupBy(block).applyInPandas(_composed(*limits), _EDGE_DDL)
+    # One report per block of slices is chained here, whatever they hold.
+    entered = blocks.select("*", *entry).groupBy().applyInPandas(_chain(*limits), _CARRY_DDL).withColumnRenamed(SLICE, "_block")
+    inside = edges.select("*", block).join(F.broadcast(entered), "_block", "left")
+    carried = inside.select(*edges.columns, *[f"in_{name}" for name in _State._fields], "_block").groupBy("_block")
+    carried = carried.applyInPandas(_chain(*limits), _CARRY_DDL)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cues.schema)
     return keyed.join(F.broadcast(carried), SLICE, "left").mapInArrow(
         _number_cues(*limits), schema + ", session_no bigint, cue_ordinal bigint, place bigint"

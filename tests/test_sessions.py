@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,7 +17,8 @@ from cutlist.operators.cues import (
     segment_bounds,
     session_groups,
 )
-from cutlist.operators.sessions import _entry_steps, sessionize
+from cutlist.operators import sessions
+from cutlist.operators.sessions import _entry_steps, _jumps, _Report, _State, sessionize
 from cutlist.schemas import CLIP_RESULT
 
 CUE = "project_id bigint, clip_path string, cue_no bigint, start_ms bigint, end_ms bigint, text string"
@@ -111,7 +113,17 @@ def test_entry_steps_tell_every_exit():
             starts.append(t)
             ends.append(t + rng.choice([3, 50, 100, 300, 700]))
         gap, span = rng.choice([100, 500, 10**9]), rng.choice([150, 400, 1500])
-        steps = _entry_steps(starts, ends, gap, span)
+        steps = _entry_steps(starts, ends, gap, span, rng.choice([None, 1, 2, 7]))
+        parts = sorted(rng.sample(range(1, len(starts)), rng.randint(0, min(4, len(starts) - 1))))
+        reports = []
+        for a, b in zip([0, *parts], [*parts, len(starts)]):
+            reports.append(_Report(gap, span))
+            reports[-1].read(np.array(starts[a:b]), np.array(ends[a:b]))
+        while len(reports) > 1:
+            # In any order of composing neighbours.
+            at = rng.randrange(len(reports) - 1)
+            reports[at : at + 2] = [reports[at].then(reports[at + 1])]
+        assert reports[0].fields() == steps
         for entry in range(max(0, starts[0] - span - 60), starts[0] + 1, 7):
             cur, number, first, prev_end = entry, 1, 1, starts[0]
             for seen, (start, end) in enumerate(zip(starts, ends), 2):
@@ -128,6 +140,51 @@ def test_entry_steps_tell_every_exit():
             assert (cur, number, first) == want
 
 
+def test_jumps_equal_a_search():
+    rng = random.Random(3)
+    for n in range(1, 40):
+        starts = np.cumsum([rng.choice([0, 1, 30]) for _ in range(n)])
+        values = np.array([s + rng.choice([1, 20, 90, 10**9]) for s in starts])
+        want = [next((j for j in range(k + 1, n) if values[j] > starts[k] + 50), n) for k in range(n)]
+        assert _jumps(starts, values, 50).tolist() == want
+
+
+def test_reports_are_bounded_by_the_span():
+    """A million cues of one clip, in 1 and in 50 slices: a report has no more steps than milliseconds in the span."""
+    pick = np.random.default_rng(5)
+    starts = np.cumsum(pick.integers(0, 4, 1_000_000))
+    ends = starts + pick.integers(1, 5_000, 1_000_000)
+    span, whole = 18_000, None
+    for slices in (1, 50):
+        reports = []
+        for a, b in zip(np.array_split(starts, slices), np.array_split(ends, slices)):
+            report = _Report(2400, span)
+            for at in range(0, len(a), 10_000):
+                report.read(a[at : at + 10_000], b[at : at + 10_000])
+                assert len(report.ends) <= span and report.cases.shape == (1 + report.has_hard + len(report.ends), 3)
+            reports.append(report)
+        one = reports[0]
+        for report in reports[1:]:
+            one = one.then(report)
+            assert len(one.ends) <= span
+        whole = whole or one.fields()
+        assert one.fields() == whole
+        state = _State(int(starts[0]) - 100, int(starts[0]) - 900, 3, 7, 9)
+        passed = state
+        for report in reports:
+            passed = report.state_after(passed)
+        assert passed == one.state_after(state)
+
+
+@pytest.mark.parametrize("block", [1, 2, 5])
+def test_blocks_of_slices_hand_states_down(spark, monkeypatch, block):
+    rows = random_cues(70 + block)
+    numbers, _ = loop(rows)
+    monkeypatch.setattr(sessions, "BLOCK", block)
+    got = sessionize(spark.createDataFrame(rows, CUE), slices=29).collect()
+    assert {((r.project_id, r.clip_path), r.cue_no): r.session_no for r in got} == numbers
+
+
 def one_clip(spark, spans):
     return spark.createDataFrame([(1, "/a.mp4", i, s, e, f"t{i}") for i, (s, e) in enumerate(spans)], CUE)
 
