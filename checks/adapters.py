@@ -119,6 +119,17 @@ select n_nationkey % 10 as project_id, cast(n_nationkey as bigint) as ordinal, n
   concat('story_', cast(n_regionkey as string)) as story_id
 from {nation}
 """
+
+# One anchor per event, most of them in one brief, in two zones; some bounds are open on one side.
+EVENT_ANCHORS = """
+select case when user_id % 3 = 0 then 1 else 0 end as project_id, event_id as ordinal,
+  case when event_id % 997 = 0 then null
+    else ts + interval '1' minute * cast((event_id * 31) % 9000 - 4500 as int) end as starts,
+  case when event_id % 991 = 0 then ts - interval '1' minute * cast(40000 - event_id % 600 as int)
+    else ts + interval '1' minute * cast((event_id * 31) % 9000 - 4500 + (event_id * 7919) % 60 as int) end as ends,
+  case when event_id % 2 = 0 then 'UTC' else 'Etc/GMT-9' end as zone_name
+from {events}
+"""
 DEFAULT_ZONES = ("Etc/GMT-2", "UTC")
 PLACE_ZONE = "Etc/GMT-3"
 UNREADABLE_ANCHOR = 23
@@ -252,6 +263,17 @@ def anchor_briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def event_anchor_briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two briefs with an anchor per event; the anchor's number is its place."""
+    iso = lambda c: F.replace(F.col(c).cast("string"), F.lit(" "), F.lit("T"))
+    entry = F.struct(
+        "ordinal", iso("starts").alias("starts_at"), iso("ends").alias("ends_at"), F.col("zone_name").alias("timezone"),
+        F.col("ordinal").cast("string").alias("location_id"),
+    )
+    rows = adapt(spark, sf_dir, EVENT_ANCHORS).groupBy("project_id").agg(F.array_sort(F.collect_list(entry)).alias("time_anchors"))
+    return as_briefs(rows.withColumn("project_id", F.col("project_id").cast("bigint")))
+
+
 def event_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probe records: one event is one clip file. Some have no creation time and some no time in their name."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type", "value")

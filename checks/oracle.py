@@ -550,6 +550,22 @@ ORACLE: dict[str, str] = {
       from ends""",
     "anchor_interval_join": f"""with ev as (select *, user_id % 10 as project_id, ts as creation from events), {ANCHORED}
       select project_id, event_id, timezone_name, location_id, route_phase, route_label from placed""",
+    "anchor_many": f"""with a as (
+        select *, case zone_name when 'UTC' then ends else ends - interval 9 hour end as until,
+          case zone_name when 'UTC' then starts else starts - interval 9 hour end as since
+        from ({A.duck(A.EVENT_ANCHORS)})),
+      ev as (select event_id, case when user_id % 3 = 0 then 1 else 0 end as project_id, ts from events),
+      -- An anchor without a start holds everything up to its end; the first of these is looked up by itself.
+      hit as (
+        select e.event_id, min(a.ordinal) as ordinal from ev e join a on a.project_id = e.project_id and e.ts >= a.since and e.ts <= a.until
+        where a.since is not null group by 1
+        union all
+        select e.event_id, min(a.ordinal) from ev e join a on a.project_id = e.project_id and e.ts <= a.until
+        where a.since is null group by 1),
+      first as (select event_id, min(ordinal) as ordinal from hit group by 1)
+      select cast(e.project_id as bigint) as project_id, e.event_id, coalesce(a.zone_name, 'UTC') as timezone_name,
+        coalesce(cast(f.ordinal as varchar), '') as location_id
+      from ev e left join first f using (event_id) left join a on a.ordinal = f.ordinal""",
     "event_type": f"select conv_id, turn, {event_type('lower(text)')} as event_type from conversations",
     "people_terms": f"""with said as (select conv_id, turn, lower(text) as txt, {people('lower(text)')} as who from conversations)
       select conv_id, turn, array_to_string(who, '|') as people, len(who) as n_people, {any_of('txt', MUST)} as has_must_include from said""",

@@ -145,6 +145,15 @@ def anchor_interval_join(spark, sf):
     return placed.select("project_id", "event_id", "timezone_name", "location_id", "route_phase", "route_label")
 
 
+def anchor_many(spark, sf):
+    """As many anchors as clips, most of both in one project."""
+    events = spark.read.parquet(f"{sf}/events.parquet").select(
+        F.when(F.col("user_id") % 3 == 0, 1).otherwise(0).cast("bigint").alias("project_id"), "event_id", F.col("ts").alias("creation_utc")
+    )
+    placed = catalog.resolve_time_context(events, catalog.time_contexts(A.event_anchor_briefs(spark, sf)))
+    return placed.select("project_id", "event_id", "timezone_name", "location_id")
+
+
 # Scoring
 
 
@@ -541,7 +550,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         cue_normalize, cue_groups, cue_groups_events, cue_groups_merged, cue_groups_merged_events, cue_segments,
         frame_plan, segment_key, segment_digests, clip_catalog, travel_day_key, filename_times, dominant_fps, date_span,
-        anchor_interval_join, event_type, people_terms, feature_scores, overall_priority, cue_analysis_by_day,
+        anchor_interval_join, anchor_many, event_type, people_terms, feature_scores, overall_priority, cue_analysis_by_day,
         day_budgets, select_segments, selection_roles, validate_selection, valid_selection, plan_faults, sound_items, timeline_items,
         timeline_totals, chapters, timeline_chunks, edit_list, taxonomy_correct, vocabulary, transcript_report,
         transcript_statuses, result_upsert, work_list, preset_resolve, editorial_texts, brief_defaults, prompt_runtime,

@@ -16,6 +16,8 @@ from cutlist.functions.timekeys import (
     known_zones,
     wall_clock,
 )
+from cutlist.operators.anchors import first_holding
+from cutlist.operators.ordered import staged
 from cutlist.schemas import CLIP_COLUMNS, PROBE_DOCUMENT
 
 
@@ -94,17 +96,37 @@ def time_contexts(briefs: DataFrame) -> DataFrame:
             F.coalesce(filled(story["label"]), filled(a["label"]), F.lit("")).alias("route_label"),
         )
 
-    return (
-        briefs.withColumn("default_zone", F.coalesce(known(filled(F.col("project.default_timezone"))), F.lit("UTC")))
-        .select(
-            "project_id",
-            "default_zone",
-            F.filter(
-                F.transform(F.filter("time_anchors", lambda a: ~_unreadable(a)), settle),
-                lambda a: a["starts"].isNotNull() | a["ends"].isNotNull(),
-            ).alias("anchors"),
-        )
+    settled = briefs.withColumn("default_zone", F.coalesce(known(filled(F.col("project.default_timezone"))), F.lit("UTC"))).select(
+        "project_id",
+        "default_zone",
+        F.filter(
+            F.transform(F.filter("time_anchors", lambda a: ~_unreadable(a)), settle),
+            lambda a: a["starts"].isNotNull() | a["ends"].isNotNull(),
+        ).alias("anchors"),
+    )
+    return with_anchor_tables(settled)
+
+
+def with_anchor_tables(contexts: DataFrame) -> DataFrame:
+    """Add ``zones``: per zone of a project's anchors, where on its wall clock which anchor is the first that holds.
+
+    ``breaks`` rises; from ``breaks[i]`` on, up to the next one, ``firsts[i]`` is the smallest list position of an anchor
+    that holds, or -1. There are at most two breaks per anchor.
+    """
+    entries = contexts.select("project_id", F.posexplode("anchors").alias("_pos", "_a")).select(
+        "project_id", F.col("_a.zone").alias("zone"), _micros(F.col("_a.starts")).alias("starts"),
+        _micros(F.col("_a.ends")).alias("ends"), F.col("_pos").cast("bigint").alias("pos"),
+    )
+    kind = contexts.schema["project_id"].dataType.simpleString()
+    swept = entries.groupBy("project_id", "zone").applyInArrow(
+        first_holding, f"project_id {kind}, zone string, breaks array<bigint>, firsts array<bigint>"
     )
+    zones = swept.groupBy("project_id").agg(F.collect_list(F.struct("zone", "breaks", "firsts")).alias("zones"))
+    return contexts.join(zones, "project_id", "left")
+
+
+def _micros(ts: Column) -> Column:
+    return F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), ts)
 
 
 def _unreadable(a: Column) -> Column:
@@ -121,25 +143,45 @@ def rejected_anchors(briefs: DataFrame) -> DataFrame:
 def resolve_time_context(clips: DataFrame, contexts: DataFrame, instant: str = "creation_utc") -> DataFrame:
     """Zone, place and story of each clip: the first anchor in list order that holds its instant.
 
-    Bounds are inclusive and compared on the wall clock of the anchor's zone; a missing bound is open. The
-    anchors are an array of the project's brief, so a clip is never multiplied by them and needs no regrouping.
+    Bounds are inclusive and compared on the wall clock of the anchor's zone; a missing bound is open. A clip looks its
+    wall clock up by bisection, once for each zone that the project's anchors are in, and meets no more of the brief
+    than these tables; what the anchor says is joined by its number.
     """
-    def holds(a: Column) -> Column:
-        local = wall_clock(F.col(instant), a["zone"])
-        return (a["starts"].isNull() | (local >= a["starts"])) & (a["ends"].isNull() | (local <= a["ends"]))
-
-    hit = F.when(F.col(instant).isNotNull(), F.get(F.filter("anchors", holds), F.lit(0)))
-    return (
-        clips.join(contexts, "project_id", "left")
-        .withColumn("_hit", hit)
-        .select(
-            *clips.columns,
-            F.coalesce(F.col("_hit.zone"), F.col("default_zone"), F.lit("UTC")).alias("timezone_name"),
-            *[F.coalesce(F.col(f"_hit.{c}"), F.lit("")).alias(c) for c in ("location_id", "route_phase", "route_label")],
-        )
+    contexts = staged(contexts)
+
+    def first_in(z: Column) -> Column:
+        at = bisected(z["breaks"], _micros(wall_clock(F.col(instant), z["zone"])))
+        return F.nullif(F.get(z["firsts"], at - 1), F.lit(-1).cast("bigint"))
+
+    first = F.when(F.col(instant).isNotNull(), F.array_min(F.transform("zones", first_in)))
+    # Clips without an anchor meet nothing, and are many: they get numbers of their own.
+    none = -1 - F.pmod(F.xxhash64(*clips.columns), F.lit(1 << 20))
+    found = clips.join(contexts.select("project_id", "default_zone", "zones"), "project_id", "left")
+    found = found.withColumn("_pos", F.coalesce(first, none)).drop("zones")
+    anchors = contexts.select("project_id", F.posexplode("anchors").alias("_pos", "_hit")).withColumn("_pos", F.col("_pos").cast("bigint"))
+    return found.join(anchors, ["project_id", "_pos"], "left").select(
+        *clips.columns,
+        F.coalesce(F.col("_hit.zone"), F.col("default_zone"), F.lit("UTC")).alias("timezone_name"),
+        *[F.coalesce(F.col(f"_hit.{c}"), F.lit("")).alias(c) for c in ("location_id", "route_phase", "route_label")],
     )
 
 
+def bisected(rising: Column, value: Column) -> Column:
+    """How many entries of a rising array are not above ``value``, in as many steps as their number has binary digits."""
+    size = F.size(rising)
+    steps = F.sequence(F.lit(1), F.length(F.bin(size.cast("bigint"))))
+
+    def halve(range_: Column, _: Column) -> Column:
+        middle = F.floor((range_["low"] + range_["high"]) / 2).cast("int")
+        upper = F.struct((middle + 1).alias("low"), range_["high"].alias("high"))
+        lower = F.struct(range_["low"].alias("low"), middle.alias("high"))
+        inside = F.when(F.get(rising, middle) <= value, upper).otherwise(lower)
+        return F.when(range_["low"] < range_["high"], inside).otherwise(range_)
+
+    start = F.struct(F.lit(0).alias("low"), size.alias("high"))
+    return F.aggregate(steps, start, halve)["low"]
+
+
 def start_times(clips: DataFrame) -> DataFrame:
     """Start as instant and wall clock: creation time, else file-name time, else file time."""
     zone, named = F.col("timezone_name"), filename_time(F.col("filename"))

@@ -1,6 +1,7 @@
 """Clip fields, time context and per-project facts."""
 
 import random
+from bisect import bisect_right
 from datetime import datetime, timedelta
 from zoneinfo import ZoneInfo
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from cutlist.functions import media
 from cutlist.functions.briefs import brief_dimension, place_zones, replacement_rules
 from cutlist.functions.timekeys import day_key, filename_time, iso_instant, iso_wall_clock, known_zones, wall_clock
+from cutlist.operators.anchors import disjoint
 from cutlist.operators.catalog import (
     build_clips,
     date_spans,
@@ -175,6 +177,41 @@ def test_time_context_equals_a_loop(spark):
     assert [g[1] for g in got] == [want(t) for t in instants]
 
 
+def test_disjoint_intervals_equal_a_search():
+    rng = random.Random(8)
+    for _ in range(300):
+        some = lambda: None if rng.random() < 0.15 else rng.randint(0, 40)
+        intervals = [(some(), some(), i) for i in range(rng.randint(0, 12))]
+        rng.shuffle(intervals)
+        breaks, firsts = disjoint(intervals)
+        assert breaks == sorted(set(breaks)) and all(a != b for a, b in zip(firsts, firsts[1:]))
+        for x in range(-2, 44):
+            holding = [i for a, b, i in intervals if (a is None or a <= x) and (b is None or x <= b)]
+            at = bisect_right(breaks, x)
+            assert (firsts[at - 1] if at else -1) == min(holding, default=-1)
+
+
+def test_many_anchors_in_one_brief(spark):
+    rng = random.Random(6)
+    day = datetime(2024, 1, 1)
+    anchors = []
+    for i in range(10_000):
+        start = day + timedelta(minutes=rng.randint(0, 500_000))
+        bounds = (start, start + timedelta(minutes=rng.randint(0, 300)))
+        anchors.append({"starts_at": bounds[0].isoformat(), "ends_at": bounds[1].isoformat(), "timezone": rng.choice(["UTC", "Etc/GMT-9"]), "location_id": f"p{i}"})
+    instants = [day + timedelta(minutes=rng.randint(0, 500_000)) for _ in range(300)]
+    held = [(datetime.fromisoformat(a["starts_at"]), datetime.fromisoformat(a["ends_at"]), a["timezone"]) for a in anchors]
+
+    def want(t):
+        local = {"UTC": t, "Etc/GMT-9": t + timedelta(hours=9)}
+        return next((f"p{i}" for i, (low, high, zone) in enumerate(held) if low <= local[zone] <= high), "")
+
+    contexts = time_contexts(spark.createDataFrame([brief(time_anchors=anchors)], BRIEF))
+    assert contexts.select(F.expr("forall(zones, z -> size(z.breaks) <= 20000)")).first()[0]
+    got = context(spark, brief(time_anchors=anchors), instants)
+    assert [g[1] for g in got] == [want(t) for t in instants]
+
+
 def probe(path, streams, fmt=None, length=1000):
     return {
         "project_id": 1, "path": path, "mtime": "2024-05-05 01:02:03", "length": length, "streams": streams,
