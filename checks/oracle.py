@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from checks import adapters as A
-from checks.queries import RULES, TERMS
+from checks.queries import BAD_RULES, RULES, TERMS
 from cutlist.functions import prompts as P
 from cutlist.functions.briefs import DEFAULT_PRESETS, DEFAULT_RENDER_MODE
 from cutlist.lexicon import WORDING
@@ -615,6 +615,14 @@ ORACLE: dict[str, str] = {
         bool_or(has_audio) over (partition by project_id) as has_live_audio
       from sourced join firsts using (project_id, input)""",
     "taxonomy_correct": f"select doc_id, {corrected('text')} as text from documents",
+    "curated_results": f"""with {TURNS},
+      done as (select *, {corrected('text')} as one, {corrected("concat('- the  ', text, ' eaux -')")} as two from turns),
+      cues as (select *, case when turn % 3 = 1 or is_empty then [] when turn % 3 = 0 then list_filter([one, two], lambda x: x <> '')
+        else list_filter([one], lambda x: x <> '') end as kept from done)
+      select project_id, clip_path, case when len(kept) > 0 then 'ok' else 'empty' end as transcript_status,
+        cast(len(kept) as bigint) as n_cues, array_to_string(kept, '|') as texts from cues""",
+    "rejected_rules": f"""select distinct doc_id % 10 as project_id, pattern
+      from documents, (values {', '.join(f'({q(p)})' for p, _ in BAD_RULES)}) r(pattern) where doc_id % 10 = 1""",
     "vocabulary": vocabulary(),
     "transcript_report": f"""with {TURNS}
       select project_id, string_agg(distinct concat('asr-', role), ', ' order by concat('asr-', role)) as provider,

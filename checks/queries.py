@@ -354,7 +354,8 @@ def _corrections(spark, keys: DataFrame) -> DataFrame:
     # One project has a rule that is no pattern and one that names a group it does not have; both are left out.
     bad = F.array(*[F.struct(F.lit(p).alias("pattern"), F.lit(r).alias("replacement")) for p, r in BAD_RULES])
     own = F.when(F.col("project_id") == 1, F.concat(bad, rules)).otherwise(rules)
-    return keys.select("project_id", terms.alias("terms"), own.alias("replacement_rules"))
+    none = [F.lit(None).cast("string").alias("context"), F.lit(None).cast("array<string>").alias("prompt_terms")]
+    return keys.select("project_id", *none, terms.alias("terms"), own.alias("replacement_rules"))
 
 
 def taxonomy_correct(spark, sf):
@@ -362,6 +363,25 @@ def taxonomy_correct(spark, sf):
     return transcripts.correct_cues(docs, _corrections(spark, docs.select("project_id").distinct())).select("doc_id", "text")
 
 
+def curated_results(spark, sf):
+    """Stored transcripts corrected; a cue of blanks and hyphens goes, and with the only one the clip is empty."""
+    results = A.conv_results(spark, sf)
+    turn = F.regexp_extract("clip_path", r"_(\d+)\.mp4", 1).cast("int")
+    hollow = F.struct(F.lit("5").alias("start"), F.lit("6").alias("end"), F.lit(" -\n- ").alias("text"))
+    again = F.transform("transcript", lambda c: c.withField("text", F.concat(F.lit("- the  "), c["text"], F.lit(" eaux -"))))
+    planted = F.when(turn % 3 == 0, F.concat("transcript", F.array(hollow), again)).when(turn % 3 == 1, F.array(hollow)).otherwise(F.col("transcript"))
+    done = transcripts.curate_results(results.withColumn("transcript", planted), _corrections(spark, results.select("project_id").distinct()))
+    return done.select(
+        "project_id", "clip_path", "transcript_status", F.size("transcript").cast("bigint").alias("n_cues"),
+        F.array_join(F.transform("transcript", lambda c: c["text"]), "|").alias("texts"),
+    )
+
+
+def rejected_rules(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select((F.col("doc_id") % 10).alias("project_id")).distinct()
+    return transcripts.rejected_rules(_corrections(spark, docs))
+
+
 def vocabulary(spark, sf):
     """Customers as projects: the default taxonomy and their brief's people, places and own terms."""
     customers = spark.read.parquet(f"{sf}/customer.parquet").withColumn("project_id", F.col("c_custkey"))
@@ -552,7 +572,7 @@ QUERIES: dict[str, Query] = {
         frame_plan, segment_key, segment_digests, clip_catalog, travel_day_key, filename_times, dominant_fps, date_span,
         anchor_interval_join, anchor_many, event_type, people_terms, feature_scores, overall_priority, cue_analysis_by_day,
         day_budgets, select_segments, selection_roles, validate_selection, valid_selection, plan_faults, sound_items, timeline_items,
-        timeline_totals, chapters, timeline_chunks, edit_list, taxonomy_correct, vocabulary, transcript_report,
+        timeline_totals, chapters, timeline_chunks, edit_list, taxonomy_correct, curated_results, rejected_rules, vocabulary, transcript_report,
         transcript_statuses, result_upsert, work_list, preset_resolve, editorial_texts, brief_defaults, prompt_runtime,
         prompt_tone, prompt_dates, prompt_places, prompt_title, prompt_feature_rows, label_slugs,
     )

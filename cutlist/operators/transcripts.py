@@ -11,6 +11,7 @@ from pyspark.sql.types import StructType
 
 from cutlist.functions.briefs import people_terms, prompt_terms
 from cutlist.functions.text import caption_text, cleaned, file_name, filled, strip
+from cutlist.operators import corrections
 from cutlist.schemas import TAXONOMY
 
 # Fixed values.
@@ -102,87 +103,57 @@ def alias_rules(terms: Column) -> Column:
 
 
 def regex_rules(rules: Column) -> Column:
-    """Rules with a pattern, rewritten from the dialect they are written in to the JVM's.
-
-    Classes such as ``\\s`` cover all scripts and only a line feed ends a line; ``(?P<n>..)``, ``\\1`` and
-    ``\\g<n>`` name groups, and a dollar sign in a replacement is just that.
-    """
-
-    def pattern(r: Column) -> Column:
-        named = F.replace(strip(r["pattern"]), F.lit("(?P<"), F.lit("(?<"))
-        return F.concat(F.lit("(?Ud)"), F.regexp_replace(named, r"\(\?P=(\w+)\)", r"\\k<$1>"))
-
-    def replacement(r: Column) -> Column:
-        text = F.replace(F.coalesce(strip(r["replacement"]), F.lit("")), F.lit("$"), F.lit("\\$"))
-        text = F.replace(F.replace(text, F.lit("\\n"), F.lit("\n")), F.lit("\\t"), F.lit("\t"))
-        text = F.regexp_replace(F.regexp_replace(text, r"\\g<(\d+)>", r"\$$1"), r"\\(\d)", r"\$$1")
-        return F.regexp_replace(text, r"\\g<(\w+)>", r"\${$1}")
-
-    made = F.transform(
+    """Rules with a pattern, stripped; a missing replacement is an empty one."""
+    return F.transform(
         F.filter(rules, lambda r: filled(r["pattern"]).isNotNull()),
-        lambda r: F.struct(pattern(r).alias("pattern"), replacement(r).alias("replacement"), strip(r["pattern"]).alias("given")),
+        lambda r: F.struct(strip(r["pattern"]).alias("pattern"), F.coalesce(strip(r["replacement"]), F.lit("")).alias("replacement")),
     )
-    return made
 
 
-def _usable_rule(r: Column) -> Column:
-    """Whether a rewritten rule has a pattern that compiles and a replacement that names only groups of it."""
-    compiles = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), r["pattern"]).isNotNull()
-    plain = F.regexp_replace(r["pattern"], r"\\.", "")
-    groups = F.regexp_count(plain, F.lit(r"\((?!\?)|\(\?<[A-Za-z]"))
-    bare = F.regexp_replace(r["replacement"], r"\\.", "")
-    numbers = F.regexp_extract_all(bare, F.lit(r"\$(\d)"), 1)
-    names = F.regexp_extract_all(bare, F.lit(r"\$\{(\w+)\}"), 1)
-    numbered = F.forall(numbers, lambda n: n.try_cast("int") <= groups)
-    named = F.forall(names, lambda n: F.contains(plain, F.concat(F.lit("(?<"), n, F.lit(">"))))
-    return F.coalesce(compiles & numbered & named, F.lit(False))
+def _own_rules(taxonomies: DataFrame) -> Column:
+    return regex_rules(F.coalesce("replacement_rules", F.array().cast(TAXONOMY["replacement_rules"].dataType)))
 
 
 def rejected_rules(taxonomies: DataFrame) -> DataFrame:
     """Rules that no correction uses, because the pattern or the replacement is not one: project and pattern."""
-    rules = F.coalesce("replacement_rules", F.array().cast(TAXONOMY["replacement_rules"].dataType))
-    every = taxonomies.select("project_id", F.explode(regex_rules(rules)).alias("_rule"))
-    return every.filter(~_usable_rule(F.col("_rule"))).select("project_id", F.col("_rule.given").alias("pattern"))
+    every = taxonomies.select("project_id", F.explode(_own_rules(taxonomies)).alias("_rule"))
+    usable = F.arrow_udf(corrections.usable, "boolean")
+    return every.filter(~usable("_rule.pattern", "_rule.replacement")).select("project_id", F.col("_rule.pattern").alias("pattern"))
 
 
-def _usable_rules(taxonomies: DataFrame) -> Column:
-    rules = F.coalesce("replacement_rules", F.array().cast(TAXONOMY["replacement_rules"].dataType))
-    return F.filter(regex_rules(rules), _usable_rule)
+def _definitions(taxonomies: DataFrame, *more: Column) -> DataFrame:
+    """A project's aliases and rules as one text, which tasks compile once."""
+    terms = F.coalesce("terms", F.array().cast(TAXONOMY["terms"].dataType))
+    aliases = F.transform(alias_rules(terms), lambda r: F.struct(r["alias"].alias("alias"), r["canonical"].alias("canonical")))
+    return taxonomies.select(
+        "project_id", F.to_json(F.struct(aliases.alias("aliases"), _own_rules(taxonomies).alias("rules"))).alias("_rules"), *more
+    )
 
 
-def correct_text(text: Column, aliases: Column, rules: Column) -> Column:
-    """Aliases as plain text, then the rules in order, then one pass over double blanks."""
-    named = F.aggregate(aliases, text, lambda t, r: F.replace(t, r["alias"], r["canonical"]))
-    ruled = F.aggregate(rules, named, lambda t, r: F.regexp_replace(t, r["pattern"], r["replacement"]))
-    return strip(F.replace(ruled, F.lit("  "), F.lit(" ")))
+def _blanks(text: Column) -> Column:
+    """One pass over double blanks, and none at the ends."""
+    return strip(F.replace(text, F.lit("  "), F.lit(" ")))
 
 
 def correct_cues(cues: DataFrame, taxonomies: DataFrame, text: str = "text") -> DataFrame:
-    """Normalize and correct the text of each row by its project's taxonomy."""
-    rules = taxonomies.select(
-        "project_id",
-        alias_rules(F.coalesce("terms", F.array().cast(TAXONOMY["terms"].dataType))).alias("_aliases"),
-        _usable_rules(taxonomies).alias("_rules"),
-    )
+    """Normalize and correct the text of each row by its project's taxonomy (P2, F11): aliases, then rules, then blanks."""
     plain = caption_text(F.col(text))
-    corrected = F.coalesce(correct_text(plain, F.col("_aliases"), F.col("_rules")), plain)
-    return cues.join(rules, "project_id", "left").withColumn(text, corrected).select(*cues.columns)
+    joined = cues.withColumn(text, plain).join(_definitions(taxonomies), "project_id", "left")
+    corrected = _blanks(F.arrow_udf(corrections.correct_texts, "string")(text, "_rules"))
+    own = F.when(F.col("_rules").isNull(), F.col(text)).otherwise(corrected)
+    return joined.withColumn(text, own).select(*cues.columns)
 
 
 def curate_results(results: DataFrame, taxonomies: DataFrame) -> DataFrame:
     """Correct the transcripts of stored results, drop emptied cues and set the status."""
-    rules = taxonomies.select(
-        "project_id",
-        alias_rules(F.coalesce("terms", F.array().cast(TAXONOMY["terms"].dataType))).alias("_aliases"),
-        _usable_rules(taxonomies).alias("_rules"),
-        taxonomy_signature(taxonomies).alias("_signature"),
-    )
-    fixed = F.transform(
-        "transcript",
-        lambda c: c.withField("text", F.coalesce(correct_text(caption_text(c["text"]), F.col("_aliases"), F.col("_rules")), caption_text(c["text"]))),
-    )
+    rules = _definitions(taxonomies, taxonomy_signature(taxonomies).alias("_signature"))
+    plain = F.transform("transcript", lambda c: caption_text(c["text"]))
+    joined = results.join(rules, "project_id", "left").withColumn("_texts", plain)
+    corrected = F.transform(F.arrow_udf(corrections.correct_lists, "array<string>")("_texts", "_rules"), _blanks)
+    texts = F.when(F.col("_rules").isNull(), F.col("_texts")).otherwise(corrected)
+    fixed = F.zip_with("transcript", "_texts", lambda c, t: c.withField("text", t))
     return (
-        results.join(rules, "project_id", "left")
+        joined.withColumn("_texts", texts)
         .withColumn("transcript", F.filter(fixed, lambda c: c["text"] != ""))
         .withColumn("transcript_status", transcript_status(F.col("transcript")))
         .withColumn("taxonomy_signature", F.coalesce("_signature", "taxonomy_signature"))

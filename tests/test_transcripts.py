@@ -1,17 +1,18 @@
 """Corrections, taxonomies, stored results and presets."""
 
+import json
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from cutlist.operators.corrections import Rules
 from cutlist.operators.presets import preset_report, resolve_presets
 from cutlist.operators.transcripts import (
     DEFAULT_TAXONOMY,
     correct_cues,
     curate_results,
     merge_taxonomy,
-    regex_rules,
     rejected_rules,
     stored_or_default,
     taxonomies_with_default,
@@ -68,9 +69,19 @@ def test_corrections_equal_a_loop(spark, text):
 )
 def test_rule_dialect(spark, pattern, replacement):
     text = "ab-ab 12 é\u2028x 가나"
-    rules = spark.createDataFrame([taxonomy(rules=[(pattern, replacement)])], TAXONOMY).select(regex_rules(F.col("replacement_rules")).alias("r"))
-    got = rules.select(F.regexp_replace(F.lit(text), F.col("r")[0]["pattern"], F.col("r")[0]["replacement"])).first()[0]
-    assert got == re.sub(pattern, replacement, text)
+    cues = spark.createDataFrame([(1, text)], "project_id bigint, text string")
+    got = correct_cues(cues, spark.createDataFrame([taxonomy(rules=[(pattern, replacement)])], TAXONOMY)).first().text
+    assert got == loop(text, [], [(pattern, replacement)])
+
+
+def test_automaton_passes_over_texts_without_aliases(spark):
+    terms = [(f"Name{i}", [f"alias{i}", f"al {i}"]) for i in range(40)] + [("Name1 of", ["Name1"]), ("é", ["日本"])]
+    rules = Rules(json.dumps({"aliases": [{"alias": a, "canonical": c} for c, x in terms for a in x]}))
+    assert not rules.found("no such thing: alia, ali 4") and rules.found("x alias7") and rules.found("日本")
+    texts = ["alias1 al 3", "none", "Name1", "日本 alias39alias3", None, ""]
+    cues = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "project_id bigint, n int, text string")
+    got = correct_cues(cues, spark.createDataFrame([taxonomy(terms)], TAXONOMY)).orderBy("n").collect()
+    assert [r.text for r in got] == [None if t is None else loop(t, terms, []) for t in texts]
 
 
 def test_bad_rules_cost_only_themselves(spark):
