@@ -66,6 +66,51 @@ select user_id % 10 as project_id, concat('ev_', cast(event_id as string)) as ca
 from {events}
 """
 
+# A selection document per user: days of their events. Those of some users have another shape. Braces are doubled for Spark.
+SELECTION_DOCUMENTS = """
+select concat('/selections/', cast(user_id as string), '.json') as path,
+  case user_id % 11
+    when 0 then concat(head, ',"days":{{"0":[]}}}}')
+    when 1 then concat(head, ',"days":', substr(days, 1, length(days) - 1), ',{{"travel_day":99,"selections":"all"}}]}}')
+    when 2 then concat(head, ',"days":', days)
+    when 3 then days
+    when 4 then concat(head, ',"days":["stray",7,', replace(substr(days, 2), '"selections":[', '"selections":[5,"x",null,'), '}}')
+    when 5 then concat(head, ',"mode":null}}')
+    when 6 then concat(head, ',"days":null}}')
+    else concat(head, ',"days":', days, '}}') end as value
+from (
+  select user_id, concat('{{"project_id":', cast(user_id as string), ',"project_title":" Trip ', cast(user_id as string),
+      '","selection_mode":"auto"') as head,
+    concat('[', array_join(array_sort(collect_list(day)), ','), ']') as days
+  from (
+    select user_id, concat('{{"date_key":"', cast(day as string), '","travel_day":', cast(dayofmonth(day) as string),
+        ',"label":"Day ', cast(dayofmonth(day) as string), '","selections":[', array_join(array_sort(collect_list(item)), ','), ']}}') as day
+    from (
+      select user_id, cast(ts as date) as day, concat('{{"candidate_id":"ev_', lpad(cast(event_id as string), 9, '0'),
+          '","clip_path":"/clips/user_', cast(user_id as string), '.mp4","start":', cast(event_id % 60 as string), '.5,"end":',
+          case event_id % 5 when 0 then '"90"' when 1 then 'null' else '91.25' end, ',"sequence_index":',
+          case event_id % 7 when 0 then concat('"', cast(event_id % 9 as string), '"') else cast(event_id % 9 as string) end,
+          case event_id % 4 when 0 then '' when 1 then ',"enabled":false' else ',"enabled":true' end,
+          ',"role":" moment ","reason":', case event_id % 13 when 0 then '""' else '"fits"' end, '}}') as item
+      from {events}) i
+    group by user_id, day) d
+  group by user_id) u
+"""
+
+CANDIDATE_DOCUMENTS = """
+select concat('/candidates/', cast(user_id as string), '.json') as path,
+  concat('{{"project_id":', cast(user_id as string), ',"project_title":"Trip","candidate_count":', cast(count(*) as string),
+    ',"candidates":', case when user_id % 8 = 0 then '7' else concat('["x",', array_join(array_sort(collect_list(item)), ','),
+      ',{{"candidate_id":" ","start":1}},{{"candidate_id":"ev_', lpad(cast(min(event_id) as string), 9, '0'),
+      '","clip_path":"/clips/last.mp4","start":"2"}}]') end, '}}') as value
+from (
+  select user_id, event_id, concat('{{"candidate_id":"ev_', lpad(cast(event_id as string), 9, '0'), '","clip_path":"/clips/user_',
+    cast(user_id as string), '.mp4","date_key":"', cast(cast(ts as date) as string), '","start":', cast(event_id % 60 as string),
+    '.25,"end":91,"excerpt":"é', event_type, '","priority":', cast(event_id % 100 as string), '}}') as item
+  from {events}) c
+group by user_id
+"""
+
 CLIPS_EVENTS = """
 select user_id % 10 as project_id, concat('/clips/user_', cast(user_id as string), '.mp4') as clip_path,
   concat('user_', cast(user_id as string), '.mp4') as filename, min(ts) as start_local,

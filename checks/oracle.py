@@ -265,7 +265,7 @@ calendar as (
 numbered as (
   select c.*, d.travel_day,
     row_number() over (partition by c.project_id, c.date_key order by source_utc, start_ms, end_ms, candidate_id) as seq,
-    case when event_id % 17 in (3, 7, 8) and d.travel_day % 2 = 0 then 0 else event_id % 17 end as kind
+    case when event_id % 17 in (3, 7, 8, 14) and d.travel_day % 2 = 0 then 0 else event_id % 17 end as kind
   from cands c join calendar d using (project_id, date_key)),
 planted as (
   select project_id, travel_day, candidate_id as true_id, clip_path as true_clip, cast(date_key as varchar) as true_date,
@@ -276,7 +276,7 @@ planted as (
     case when kind = 4 then start_ms - 20 when kind = 9 then start_ms - 10 when kind in (10, 11) then null
       else start_ms end as start_ms,
     case when kind = 5 then start_ms else end_ms end as end_ms,
-    case when kind = 7 then seq + 1 else seq end as sequence_index,
+    case when kind = 7 then seq + 1 when kind = 14 then null else seq end as sequence_index,
     case when kind = 6 then '' else 'moment' end as role
   from numbered where kind <> 8),
 seen as (select p.*, c.candidate_id is not null as known from planted p left join cands c
@@ -285,17 +285,56 @@ faults as (
   select project_id, travel_day, candidate_id, 'V2' as rule, candidate_id as detail from seen where not known
   union all select project_id, travel_day, candidate_id, 'V3', clip_path from seen where known and clip_path <> true_clip
   union all select project_id, travel_day, candidate_id, 'V4', date_key from seen where known and date_key <> true_date
-  union all select project_id, travel_day, candidate_id, 'V5', concat_ws('-', start_ms, end_ms) from seen where start_ms is null
+  union all select project_id, travel_day, candidate_id, 'V5', concat_ws('-', start_ms, end_ms) from seen
+    where start_ms is null or sequence_index is null
   union all select project_id, travel_day, candidate_id, 'V6', concat(start_ms, '-', end_ms) from seen
-    where known and (start_ms < lo - 10 or end_ms > hi + 10 or end_ms <= start_ms)
+    where known and sequence_index is not null and (start_ms < lo - 10 or end_ms > hi + 10 or end_ms <= start_ms)
   union all select project_id, travel_day, candidate_id, 'V7', role from seen where role = ''),
 day_counts as (
   select project_id, travel_day, date_key,
     concat_ws('/', min(sequence_index), max(sequence_index), count(distinct sequence_index), count(*)) as detail
-  from seen group by project_id, travel_day, date_key
+  from seen where sequence_index is not null group by project_id, travel_day, date_key
   having min(sequence_index) <> 1 or max(sequence_index) <> count(*) or count(distinct sequence_index) <> count(*)),
 day_faults as (select project_id, travel_day, '' as candidate_id, 'V8' as rule, detail from day_counts)"""
 
+# What the documents hold, from the events that they were made of.
+HELD = """items as (
+  select *, user_id % 11 as shape, cast(ts as date) as day, concat('ev_', lpad(cast(event_id as varchar), 9, '0')) as candidate_id
+  from events),
+days as (
+  select user_id, day, row_number() over (partition by user_id order by day) - 1 as no from items group by 1, 2),
+held as (
+  select i.user_id as project_id, cast(dayofmonth(i.day) as bigint) as travel_day, cast(i.day as varchar) as date_key,
+    concat('Day ', dayofmonth(i.day)) as day_label, candidate_id, concat('/clips/user_', i.user_id, '.mp4') as clip_path,
+    cast(event_id % 60 * 1000 + 500 as bigint) as start_ms,
+    cast(case event_id % 5 when 0 then 90000 when 1 then null else 91250 end as bigint) as end_ms,
+    cast(event_id % 9 as bigint) as sequence_index, case event_id % 4 when 0 then null else event_id % 4 <> 1 end as enabled,
+    'moment' as role, case event_id % 13 when 0 then '' else 'fits' end as reason,
+    cast(d.no as bigint) as day_no,
+    cast(row_number() over (partition by i.user_id, i.day order by candidate_id) - 1 as bigint) as item_no,
+    concat('/selections/', i.user_id, '.json') as path
+  from items i join days d on d.user_id = i.user_id and d.day = i.day where shape not in (0, 1, 2, 3, 5, 6)),
+rejects as (
+  select case when shape in (2, 3) then null else user_id end as project_id,
+    cast(case shape when 1 then 99 else 0 end as bigint) as travel_day, '' as candidate_id, 'V10' as rule,
+    concat(case shape when 1 then 'selections is no array' when 2 then 'no object' when 3 then 'no object' else 'days is no array' end,
+      ': /selections/', user_id, '.json') as detail
+  from items where shape in (0, 1, 2, 3, 6) group by user_id, shape),
+told as (
+  select user_id as project_id, event_id, concat('/candidates/', user_id, '.json') as path, candidate_id,
+    row_number() over (partition by user_id order by candidate_id) as ordinal,
+    concat('/clips/user_', user_id, '.mp4') as clip_path, cast(day as varchar) as date_key, event_id % 60 * 1000 + 250 as start_ms,
+    91000 as end_ms, concat('é', event_type) as excerpt, event_id % 100 as priority,
+    event_id = min(event_id) over (partition by user_id) as is_first, count(*) over (partition by user_id) as n
+  from items where user_id % 8 <> 0),
+known as (
+  select project_id, path, candidate_id, cast(case when is_first then n + 1 else ordinal - 1 end as bigint) as ordinal,
+    case when is_first then '/clips/last.mp4' else clip_path end as clip_path, case when is_first then '' else date_key end as date_key,
+    cast(case when is_first then 2000 else start_ms end as bigint) as start_ms,
+    cast(case when is_first then 2000 else end_ms end as bigint) as end_ms, '' as source_time,
+    case when is_first then '' else excerpt end as excerpt, cast(case when is_first then null else priority end as bigint) as priority
+  from told)"""
+
 PLAN_FAULTS = """plan_faults as (
   select project_id, travel_day, candidate_id, 'V7' as rule, '' as detail from segs where project_id = 1 and sequence_index = 1
   union all select project_id, travel_day, candidate_id, 'J9', clip_path from segs where project_id = 2 and clip_path like '%7.mp4'
@@ -590,6 +629,28 @@ ORACLE: dict[str, str] = {
       select project_id, travel_day, date_key, concat('Day ', travel_day) as day_label, candidate_id, start_ms, end_ms, sequence_index
       from seen s where not exists (select 1 from faults f where f.project_id = s.project_id and f.candidate_id = s.candidate_id)
         and not exists (select 1 from day_counts d where d.project_id = s.project_id and d.travel_day = s.travel_day and d.date_key = s.date_key)""",
+    "selection_documents": f"with {HELD} select * from held",
+    "selection_headers": f"""with {HELD}
+      select user_id as project_id, concat('/selections/', user_id, '.json') as path, concat('Trip ', user_id) as project_title,
+        'auto' as selection_mode, cast(case shape when 5 then 0 else count(distinct day) end as bigint) as n_days
+      from items where shape not in (0, 1, 2, 3, 6) group by user_id, shape""",
+    "selection_rejects": f"with {HELD} select * from rejects",
+    "candidate_documents": f"with {HELD} select * from known",
+    "document_selection_faults": f"""with {HELD},
+      used as (select h.*, k.candidate_id is not null as found, k.clip_path as true_clip, k.date_key as true_date, k.start_ms as lo, k.end_ms as hi
+        from held h left join known k using (project_id, candidate_id) where coalesce(enabled, true)),
+      faults as (
+        select project_id, 'V2' as rule from used where not found
+        union all select project_id, 'V3' from used where found and clip_path <> true_clip
+        union all select project_id, 'V4' from used where found and true_date <> '' and date_key <> true_date
+        union all select project_id, 'V5' from used where end_ms is null
+        union all select project_id, 'V6' from used where found and end_ms is not null
+          and (start_ms < lo - 10 or end_ms > hi + 10 or end_ms <= start_ms)
+        union all select project_id, 'V7' from used where reason = ''
+        union all select project_id, 'V8' from used group by project_id, travel_day, date_key
+          having min(sequence_index) <> 1 or max(sequence_index) <> count(*) or count(distinct sequence_index) <> count(*)
+        union all select project_id, rule from rejects)
+      select project_id, rule, count(*) as n from faults group by 1, 2""",
     "plan_faults": f"""{TIMELINE}, {PLAN_FAULTS} select * from plan_faults""",
     "sound_items": f"""{TIMELINE}, {PLAN_FAULTS} select * from items where project_id not in (select project_id from plan_faults)""",
     "timeline_items": f"{TIMELINE} select * from items",

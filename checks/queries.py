@@ -21,6 +21,7 @@ from cutlist.functions.text import (
 from cutlist.functions.timekeys import day_key, epoch_ms, filename_time, iso_instant, wall_clock
 from cutlist.operators import catalog, cues, presets, scoring, selection, timeline, transcripts, validate
 from cutlist.plans.jobs import build_candidates, build_segments, prompt_features
+from cutlist.sources import documents
 from cutlist.sources.writers import cue_analysis
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -252,7 +253,7 @@ def faulty_selection(spark, sf):
     placed = selection.place_in_day(pool).join(catalog.travel_days(pool), ["project_id", "date_key"])
     kind = F.col("event_id") % 17
     # Faults of the numbering only on odd days, so that the others have valid rows.
-    kind = F.when(kind.isin(3, 7, 8) & (F.col("travel_day") % 2 == 0), 0).otherwise(kind)
+    kind = F.when(kind.isin(3, 7, 8, 14) & (F.col("travel_day") % 2 == 0), 0).otherwise(kind)
     start = F.col("start_ms").cast("string")
     return placed.select(
         "project_id",
@@ -269,7 +270,10 @@ def faulty_selection(spark, sf):
         .when(kind != 11, start)
         .alias("start_ms"),
         F.when(kind == 5, F.col("start_ms")).otherwise(F.col("end_ms")).alias("end_ms"),
-        F.when(kind == 7, F.col("sequence_index") + 1).otherwise(F.col("sequence_index")).alias("sequence_index"),
+        F.when(kind == 7, (F.col("sequence_index") + 1).cast("string"))
+        .when(kind == 14, F.concat(F.col("sequence_index").cast("string"), F.lit(".5")))
+        .otherwise(F.col("sequence_index").cast("string"))
+        .alias("sequence_index"),
         (kind != 8).alias("enabled"),
         F.when(kind == 6, F.lit(" ")).otherwise(F.lit("moment")).alias("role"),
         F.lit("fits").alias("reason"),
@@ -287,6 +291,37 @@ def valid_selection(spark, sf):
     return valid.select("project_id", "travel_day", "date_key", "day_label", "candidate_id", "start_ms", "end_ms", "sequence_index")
 
 
+def _documents(spark, sf):
+    return A.adapt(spark, sf, A.SELECTION_DOCUMENTS)
+
+
+def selection_documents(spark, sf):
+    _, rows, _ = documents.selection_documents(_documents(spark, sf))
+    return rows.withColumn("sequence_index", F.col("sequence_index").cast("bigint"))
+
+
+def selection_headers(spark, sf):
+    return documents.selection_documents(_documents(spark, sf))[0]
+
+
+def selection_rejects(spark, sf):
+    """Documents of another shape, as rows of the report on selections."""
+    return validate.structure_rejects(documents.selection_documents(_documents(spark, sf))[2])
+
+
+def candidate_documents(spark, sf):
+    _, rows, _ = documents.candidate_documents(A.adapt(spark, sf, A.CANDIDATE_DOCUMENTS))
+    return rows
+
+
+def document_selection_faults(spark, sf):
+    """What is wrong with the selections in documents, by the candidates in documents."""
+    _, rows, rejects = documents.selection_documents(_documents(spark, sf))
+    _, candidates, _ = documents.candidate_documents(A.adapt(spark, sf, A.CANDIDATE_DOCUMENTS))
+    _, violations = validate.validate_selection(rows, candidates)
+    return violations.unionByName(validate.structure_rejects(rejects)).groupBy("project_id", "rule").agg(F.count(F.lit(1)).alias("n"))
+
+
 # Timeline
 
 
@@ -571,7 +606,8 @@ QUERIES: dict[str, Query] = {
         cue_normalize, cue_groups, cue_groups_events, cue_groups_merged, cue_groups_merged_events, cue_segments,
         frame_plan, segment_key, segment_digests, clip_catalog, travel_day_key, filename_times, dominant_fps, date_span,
         anchor_interval_join, anchor_many, event_type, people_terms, feature_scores, overall_priority, cue_analysis_by_day,
-        day_budgets, select_segments, selection_roles, validate_selection, valid_selection, plan_faults, sound_items, timeline_items,
+        day_budgets, select_segments, selection_roles, validate_selection, valid_selection, selection_documents, selection_headers, selection_rejects, candidate_documents,
+        document_selection_faults, plan_faults, sound_items, timeline_items,
         timeline_totals, chapters, timeline_chunks, edit_list, taxonomy_correct, curated_results, rejected_rules, vocabulary, transcript_report,
         transcript_statuses, result_upsert, work_list, preset_resolve, editorial_texts, brief_defaults, prompt_runtime,
         prompt_tone, prompt_dates, prompt_places, prompt_title, prompt_feature_rows, label_slugs,

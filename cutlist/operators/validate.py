@@ -40,14 +40,16 @@ def validate_selection(
         F.col("start_ms").alias("_from"),
         F.col("end_ms").alias("_to"),
     ).withColumn("_known", F.lit(True))
-    # Text, whole numbers and doubles alike; what is no number or fits no long becomes null.
-    number = lambda c: F.round(F.col(c).cast("string").try_cast("decimal(38,6)")).try_cast("bigint")
+    # Text, whole numbers and doubles alike; what is no number or fits no long becomes null, as does a part of an index.
+    exact = lambda c: F.col(c).cast("string").try_cast("decimal(38,6)")
+    number = lambda c: F.round(exact(c)).try_cast("bigint")
+    index = F.when(exact("sequence_index") == F.round(exact("sequence_index")), number("sequence_index"))
     rows = (
         selections.filter(F.coalesce("enabled", F.lit(True)))
         .withColumn("date_key", _text("date_key"))
         .withColumn("start_ms", number("start_ms"))
         .withColumn("end_ms", number("end_ms"))
-        .withColumn("sequence_index", number("sequence_index"))
+        .withColumn("sequence_index", index)
         .withColumn("travel_day", F.coalesce("travel_day", F.lit(0)).cast("bigint"))
         .join(known, ["project_id", "candidate_id"], "left")
     )
@@ -124,9 +126,12 @@ def raise_first(violations: DataFrame) -> None:
         raise SelectionError("; ".join(f"{r.rule} {r.project_id}/{r.travel_day}/{r.candidate_id}: {r.detail}" for r in first))
 
 
-def structure_rejects(documents: DataFrame) -> DataFrame:
-    """Selection documents whose ``days`` or ``selections`` are no arrays.
+def structure_rejects(rejects: DataFrame) -> DataFrame:
+    """Selection documents of another shape as report rows.
 
-    ``documents`` is a read with ``_corrupt_record`` (see ``sources.readers.read_documents``).
+    ``rejects`` is the last frame of ``sources.documents.selection_documents``; the detail names reason and path.
     """
-    return documents.filter("_corrupt_record is not null").select("_corrupt_record")
+    return rejects.select(
+        "project_id", "travel_day", F.lit("").alias("candidate_id"), F.lit("V10").alias("rule"),
+        F.concat_ws(": ", "reason", "path").alias("detail"),
+    )

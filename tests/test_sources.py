@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from cutlist.functions.briefs import editorial_text
 from cutlist.operators.transcripts import transcript_report
 from cutlist.plans.jobs import plan
-from cutlist.sources import readers, writers
+from cutlist.operators.validate import structure_rejects
+from cutlist.sources import documents, readers, writers
 
 
 def dump(folder, name, value):
@@ -75,16 +76,37 @@ def test_briefs(spark, tmp_path):
 
 
 def test_selection_documents_with_wrong_structure(spark, tmp_path):
-    from cutlist.operators.validate import structure_rejects
-    from cutlist.schemas import LONG, TEXT, row, rows
-
-    shape = row(project_id=LONG, days=rows(travel_day=LONG, selections=rows(candidate_id=TEXT)))
-    dump(tmp_path, "1.json", {"project_id": 1, "days": [{"travel_day": 1, "selections": []}]})
+    item = {"candidate_id": " c1 ", "clip_path": "/a", "start": 1.5, "end": "3", "sequence_index": "1.5", "role": "moment", "reason": 7}
+    dump(tmp_path, "1.json", {"project_id": 1, "project_title": "T", "days": [5, {"travel_day": 1, "selections": [None, "x", item]}]})
     dump(tmp_path, "2.json", {"project_id": 2, "days": {"travel_day": 1}})
-    dump(tmp_path, "3.json", {"project_id": 3, "days": [{"travel_day": 1, "selections": "none"}]})
-    documents = readers.read_documents(spark, str(tmp_path), shape)
-    assert structure_rejects(documents).count() == 2
-    assert [r.project_id for r in readers.accepted(documents).collect()] == [1]
+    dump(tmp_path, "3.json", {"project_id": 3, "days": [{"travel_day": 1}, {"travel_day": 4, "selections": "none"}]})
+    dump(tmp_path, "4.json", "[1, 2]")
+    dump(tmp_path, "5.json", "{broken")
+    dump(tmp_path, "6.json", {"project_id": 6})
+    dump(tmp_path, "7.json", {"project_id": 7, "days": None})
+    headers, rows, rejects = documents.read_selection_documents(spark, str(tmp_path))
+    assert sorted((r.project_id, r.n_days) for r in headers.collect()) == [(1, 1), (6, 0)]
+    (got,) = rows.collect()
+    assert (got.candidate_id, got.travel_day, got.start_ms, got.end_ms, got.sequence_index) == ("c1", 1, 1500, 3000, "1.5")
+    assert (got.enabled, got.reason, got.day_no, got.item_no) == (None, "7", 0, 0)
+    told = [(r.path.rsplit("/", 1)[1], r.travel_day, r.reason) for r in rejects.collect()]
+    assert sorted(told) == [
+        ("2.json", 0, "days is no array"), ("3.json", 4, "selections is no array"), ("4.json", 0, "no object"),
+        ("5.json", 0, "no object"), ("7.json", 0, "days is no array"),
+    ]
+    assert {(r.project_id, r.rule) for r in structure_rejects(rejects).collect()} == {(2, "V10"), (3, "V10"), (7, "V10"), (None, "V10")}
+
+
+def test_candidate_documents(spark, tmp_path):
+    entries = [{"candidate_id": "a", "start": 1, "end": 2.5}, {"candidate_id": ""}, 7, {"candidate_id": "b"}, {"candidate_id": "a", "start": "x"}]
+    (tmp_path / "all.jsonl").write_text(
+        "\n".join(json.dumps(d) for d in ({"project_id": 1, "candidates": entries, "candidate_count": 9}, {"project_id": 2, "candidates": {}}, [3]))
+    )
+    headers, rows, rejects = documents.read_candidate_documents(spark, str(tmp_path), multiline=False)
+    assert [(r.project_id, r.candidate_count) for r in headers.collect()] == [(1, 9)]
+    # The last entry of an id counts; a missing start is 0 and a missing end the start.
+    assert sorted((r.candidate_id, r.ordinal, r.start_ms, r.end_ms) for r in rows.collect()) == [("a", 3, 0, 0), ("b", 2, 0, 0)]
+    assert sorted(r.reason for r in rejects.collect()) == ["candidates is no array", "no object"]
 
 
 def write_inputs(folder):
