@@ -651,6 +651,15 @@ ORACLE: dict[str, str] = {
           having min(sequence_index) <> 1 or max(sequence_index) <> count(*) or count(distinct sequence_index) <> count(*)
         union all select project_id, rule from rejects)
       select project_id, rule, count(*) as n from faults group by 1, 2""",
+    "written_selections": f"""{SELECTED} select project_id, concat('Trip ', project_id) as project_title, 'auto' as selection_mode,
+        count(*) as n_selections, cast(sum(end_ms - start_ms) as bigint) as total_ms, count(distinct travel_day) as n_days
+      from selected group by 1""",
+    "written_transcripts": f"""with {TURNS}
+      select project_id, concat('Trip ', project_id) as project, string_agg(distinct concat('asr-', role), ', ' order by concat('asr-', role)) as provider,
+        'base' as model, 'ko' as speech_locale, 'sig' as taxonomy_signature, count(*) as n_clips,
+        cast(sum(case when is_empty then null else length(text) end) as bigint) as n_chars,
+        count(*) filter (where not is_empty) as transcribed_clip_count, count(*) filter (where is_empty) as empty_transcript_count
+      from turns group by 1, 2""",
     "plan_faults": f"""{TIMELINE}, {PLAN_FAULTS} select * from plan_faults""",
     "sound_items": f"""{TIMELINE}, {PLAN_FAULTS} select * from items where project_id not in (select project_id from plan_faults)""",
     "timeline_items": f"{TIMELINE} select * from items",

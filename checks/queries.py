@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +22,9 @@ from cutlist.functions.text import (
 )
 from cutlist.functions.timekeys import day_key, epoch_ms, filename_time, iso_instant, wall_clock
 from cutlist.operators import catalog, cues, presets, scoring, selection, timeline, transcripts, validate
+from cutlist.operators.ordered import staged
 from cutlist.plans.jobs import build_candidates, build_segments, prompt_features
-from cutlist.sources import documents
+from cutlist.sources import documents, sink, writers
 from cutlist.sources.writers import cue_analysis
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -322,6 +325,47 @@ def document_selection_faults(spark, sf):
     return violations.unionByName(validate.structure_rejects(rejects)).groupBy("project_id", "rule").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _shared(spark) -> str:
+    """A folder of this query's own in the session's checkpoint folder."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checks-"))
+    return f"{sc.getCheckpointDir()}/documents-{uuid.uuid4().hex}"
+
+
+def written_selections(spark, sf):
+    """Selection documents written project by project and read back: headers, days and selections."""
+    path = _shared(spark)
+    writers.write_selection_documents(staged(_selected(spark, sf)), A.adapt(spark, sf, A.TITLES), path)
+    lines = sink.read_lines(spark, path)
+    day = F.from_json("text", "travel_day bigint, candidate_id string, start double, end double")
+    counts = lines.select("project_id", day.alias("_d")).groupBy("project_id").agg(
+        F.count_if(F.col("_d.candidate_id").isNotNull()).alias("n_selections"),
+        F.sum(F.round((F.col("_d.end") - F.col("_d.start")) * 1000).cast("bigint")).alias("total_ms"),
+    )
+    days = lines.filter(F.col("text").startswith('{"travel_day"')).groupBy("project_id").agg(F.count(F.lit(1)).alias("n_days"))
+    heads = sink.read_headers(spark, path, "project_title string, selection_mode string", "days")
+    return heads.join(counts, "project_id").join(days, "project_id")
+
+
+def written_transcripts(spark, sf):
+    """Transcript documents and their reports: the header of each project and what its clips hold."""
+    path, results = _shared(spark), A.conv_results(spark, sf)
+    settings = results.select(
+        "project_id", F.concat(F.lit("Trip "), F.col("project_id").cast("string")).alias("project"), F.lit("ko").alias("speech_locale"),
+        F.lit("base").alias("model"), F.lit("sig").alias("taxonomy_signature"),
+    ).distinct()
+    writers.write_transcript_documents(results, settings, path)
+    clip = F.from_json("text", "clip_path string, transcript array<struct<text: string>>")
+    clips = sink.read_lines(spark, path).select("project_id", clip.alias("_c")).filter("_c.clip_path is not null")
+    counts = clips.groupBy("project_id").agg(
+        F.count(F.lit(1)).alias("n_clips"), F.sum(F.length(F.get("_c.transcript", F.lit(0))["text"])).alias("n_chars")
+    )
+    heads = sink.read_headers(spark, path, "project string, provider string, model string, speech_locale string", "clips")
+    report = writers.transcript_summary(results, settings).select("project_id", "taxonomy_signature", "transcribed_clip_count", "empty_transcript_count")
+    return heads.join(counts, "project_id").join(report, "project_id")
+
+
 # Timeline
 
 
@@ -607,7 +651,7 @@ QUERIES: dict[str, Query] = {
         frame_plan, segment_key, segment_digests, clip_catalog, travel_day_key, filename_times, dominant_fps, date_span,
         anchor_interval_join, anchor_many, event_type, people_terms, feature_scores, overall_priority, cue_analysis_by_day,
         day_budgets, select_segments, selection_roles, validate_selection, valid_selection, selection_documents, selection_headers, selection_rejects, candidate_documents,
-        document_selection_faults, plan_faults, sound_items, timeline_items,
+        document_selection_faults, written_selections, written_transcripts, plan_faults, sound_items, timeline_items,
         timeline_totals, chapters, timeline_chunks, edit_list, taxonomy_correct, curated_results, rejected_rules, vocabulary, transcript_report,
         transcript_statuses, result_upsert, work_list, preset_resolve, editorial_texts, brief_defaults, prompt_runtime,
         prompt_tone, prompt_dates, prompt_places, prompt_title, prompt_feature_rows, label_slugs,

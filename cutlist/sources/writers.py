@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cutlist.operators.catalog import travel_days
+from cutlist.operators.ordered import with_order
+from cutlist.operators.transcripts import DEFAULT_PROVIDER, transcript_report
+from cutlist.sources.sink import flat_lines, nested_lines, write_lines
 
 MANIFEST_ORDER = ("start_utc", "filename")
 
@@ -44,6 +47,55 @@ def write_transcripts(results: DataFrame, report: DataFrame, path: str) -> None:
     write_table(report, f"{path}/report", (), "json")
 
 
+TRANSCRIPT_HEADER = ("project", "speech_locale", "provider", "model")
+
+
+def write_transcript_documents(results: DataFrame, settings: DataFrame, path: str, slices: int | None = None) -> None:
+    """One document per project: project, locale, providers and model, then its clips in file order.
+
+    ``settings`` has ``project_id``, ``project``, ``speech_locale``, ``model`` and ``taxonomy_signature`` of the run; the
+    providers are those of the stored results.
+    """
+    header = settings.join(transcript_report(results).select("project_id", "provider"), "project_id", "left")
+    header = header.withColumn("provider", F.coalesce("provider", F.lit(DEFAULT_PROVIDER)))
+    fields = F.struct(*TRANSCRIPT_HEADER)
+    clips = with_order(
+        results.select("project_id", "clip_path", "filename", F.coalesce("transcript", F.array()).alias("transcript")),
+        ["project_id"], [F.col("filename"), F.col("clip_path")], "_no", slices=slices,
+    )
+    entry = F.struct("clip_path", "filename", "transcript")
+    write_lines(flat_lines(header, fields, clips, [F.col("_no"), F.lit(0)], entry, "clips"), path, slices)
+
+
+def transcript_summary(results: DataFrame, settings: DataFrame) -> DataFrame:
+    """The report of a run: counts and providers, with model, locale and taxonomy signature."""
+    counts = transcript_report(results)
+    run = settings.select("project_id", "model", "speech_locale", "taxonomy_signature")
+    return counts.join(run, "project_id", "left").select(
+        "project_id", "provider", "model", "speech_locale", "taxonomy_signature", "clip_count", "transcribed_clip_count",
+        "empty_transcript_count",
+    )
+
+
+def write_selection_documents(selections: DataFrame, titles: DataFrame, path: str, mode: str = "auto", slices: int | None = None) -> None:
+    """One document per project: title and mode, then its days with their selections in order.
+
+    Times are seconds; ``titles`` has ``project_id`` and ``title``. Projects without a title get an empty one.
+    """
+    projects = selections.select("project_id").distinct().join(titles.select("project_id", "title"), "project_id", "left")
+    fields = F.struct(F.coalesce("title", F.lit("")).alias("project_title"), F.lit(mode).alias("selection_mode"))
+    days = selections.groupBy("project_id", "travel_day").agg(
+        F.min_by("day_label", "sequence_index").alias("label"), F.min_by(F.col("date_key").cast("string"), "sequence_index").alias("date_key")
+    )
+    group = F.struct("travel_day", "label", "date_key")
+    seconds = lambda c: (F.col(c) / 1000).alias(c.removesuffix("_ms"))
+    entry = F.struct(
+        "candidate_id", "clip_path", seconds("start_ms"), seconds("end_ms"), "sequence_index", "enabled", "role", "reason"
+    )
+    names, order = ("days", "selections"), ("travel_day", "sequence_index")
+    write_lines(nested_lines(projects, fields, days, group, selections, entry, names, order), path, slices)
+
+
 def write_candidates(candidates: DataFrame, header: DataFrame, path: str) -> None:
     """Candidate rows and a header per project with title, brief text and candidate count."""
     counts = candidates.groupBy("project_id").agg(F.count(F.lit(1)).alias("candidate_count"))

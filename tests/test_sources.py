@@ -9,7 +9,7 @@ from cutlist.functions.briefs import editorial_text
 from cutlist.operators.transcripts import transcript_report
 from cutlist.plans.jobs import plan
 from cutlist.operators.validate import structure_rejects
-from cutlist.sources import documents, readers, writers
+from cutlist.sources import documents, readers, sink, writers
 
 
 def dump(folder, name, value):
@@ -109,6 +109,89 @@ def test_candidate_documents(spark, tmp_path):
     assert sorted(r.reason for r in rejects.collect()) == ["candidates is no array", "no object"]
 
 
+def whole(folder):
+    """Each project's document: its files one after the other."""
+    return {
+        int(f.name.split("=")[1]): json.loads("".join(p.read_text(encoding="utf-8") for p in sorted(f.glob("*.json"))))
+        for f in folder.glob("project_id=*")
+    }
+
+
+SELECTED = (
+    "project_id bigint, travel_day bigint, date_key string, day_label string, candidate_id string, clip_path string, start_ms bigint, "
+    "end_ms bigint, sequence_index bigint, enabled boolean, role string, reason string"
+)
+
+
+def selected(spark, projects=3, days=4, each=9):
+    rows = [
+        (p, d, f"2024-03-0{d}", f"Day {d}", f"c{p}_{d}_{i}", "/a.mp4", 1500 * i, 1500 * i + 250, i, True, "moment", 'é "quoted"\n')
+        for p in range(projects) for d in range(1, days + 1) for i in range(1, each + 1)
+    ]
+    return spark.createDataFrame(rows, SELECTED).repartition(5), rows
+
+
+@pytest.mark.parametrize("slices", [1, 40])
+def test_selection_documents_are_written_in_order(spark, tmp_path, slices):
+    frame, rows = selected(spark)
+    titles = spark.createDataFrame([(0, "Trip \"x\""), (1, "")], "project_id bigint, title string")
+    writers.write_selection_documents(frame, titles, str(tmp_path), slices=slices)
+    got = whole(tmp_path)
+    assert set(got) == {0, 1, 2} and not list(tmp_path.glob("_run-*"))
+    for p, document in got.items():
+        assert list(document) == ["project_title", "selection_mode", "days"]
+        assert (document["project_title"], document["selection_mode"]) == ({0: 'Trip "x"'}.get(p, ""), "auto")
+        assert [(d["travel_day"], d["label"], d["date_key"]) for d in document["days"]] == [(d, f"Day {d}", f"2024-03-0{d}") for d in range(1, 5)]
+        listed = [(s["candidate_id"], s["start"], s["end"], s["reason"]) for d in document["days"] for s in d["selections"]]
+        assert listed == [(r[4], r[6] / 1000, r[7] / 1000, r[11]) for r in rows if r[0] == p]
+    if slices > 1:
+        assert max(len(list(f.glob("*.json"))) for f in tmp_path.glob("project_id=*")) > 3
+    # Another run replaces the documents of its own projects only, and the documents read back are the selections.
+    writers.write_selection_documents(frame.filter("project_id = 2 and travel_day < 3"), titles, str(tmp_path), "edited", slices)
+    again = whole(tmp_path)
+    assert again[0] == got[0] and (again[2]["selection_mode"], len(again[2]["days"])) == ("edited", 2)
+    texts = spark.createDataFrame([(str(p), json.dumps({"project_id": p, **d})) for p, d in got.items()], "path string, value string")
+    _, back, _ = documents.selection_documents(texts)
+    assert {(r.project_id, r.candidate_id, r.start_ms, r.end_ms) for r in back.collect()} == {(r[0], r[4], r[6], r[7]) for r in rows}
+
+
+@pytest.mark.parametrize("slices", [1, 30])
+def test_transcript_documents_and_summary(spark, tmp_path, slices):
+    from cutlist.schemas import CLIP_RESULT
+
+    results = spark.createDataFrame(
+        [
+            {"project_id": p, "clip_path": f"/{p}/{i}.mp4", "filename": f"{i:02d}.mp4", "provider": f"asr-{i % 2}",
+             "transcript": None if i == 3 else [{"start": "0", "end": "1.5", "text": f"word {i}"}] * (i % 3)}
+            for p in (1, 2) for i in range(12)
+        ],
+        CLIP_RESULT,
+    )
+    settings = spark.createDataFrame(
+        [(p, f"trip {p}", "ko", "base", "sig") for p in (1, 2, 9)],
+        "project_id bigint, project string, speech_locale string, model string, taxonomy_signature string",
+    )
+    writers.write_transcript_documents(results, settings, str(tmp_path), slices)
+    got = whole(tmp_path)
+    assert list(got[1]) == ["project", "speech_locale", "provider", "model", "clips"] and got[9]["clips"] == []
+    assert (got[2]["project"], got[2]["provider"], got[9]["provider"]) == ("trip 2", "asr-0, asr-1", "cohere-local")
+    assert [c["filename"] for c in got[1]["clips"]] == [f"{i:02d}.mp4" for i in range(12)]
+    assert [len(c["transcript"]) for c in got[1]["clips"]] == [0 if i == 3 else i % 3 for i in range(12)]
+    heads = sink.read_headers(spark, str(tmp_path), "project string, provider string, model string, speech_locale string", "clips")
+    assert sorted((r.project_id, r.project, r.model) for r in heads.collect()) == [(p, f"trip {p}", "base") for p in (1, 2, 9)]
+    (row,) = writers.transcript_summary(results.filter("project_id = 1"), settings).collect()
+    assert (row.model, row.speech_locale, row.taxonomy_signature, row.clip_count, row.empty_transcript_count) == ("base", "ko", "sig", 12, 4)
+
+
+def test_a_failing_write_leaves_no_document(spark, tmp_path):
+    frame, _ = selected(spark)
+    titles = spark.createDataFrame([], "project_id bigint, title string")
+    bad = frame.withColumn("reason", F.when(F.col("candidate_id") == "c1_2_5", F.raise_error(F.lit("lost"))).otherwise(F.col("reason")))
+    with pytest.raises(Exception, match="lost"):
+        writers.write_selection_documents(bad, titles, str(tmp_path), slices=6)
+    assert not whole(tmp_path)
+
+
 def write_inputs(folder):
     probes, results = [], []
     for project in (1, 2):
