@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 from collections.abc import Iterator, Sequence
 
@@ -219,7 +220,8 @@ def read_tokenizer(path: str) -> str:
 
 
 def _opened(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+    # Hadoop writes local paths with one slash, and has a name of its own for s3.
+    return fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", re.sub("^s3a:", "s3:", path)))
 
 
 def write(
