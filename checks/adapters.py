@@ -24,7 +24,7 @@ from {conversations}
 """
 
 CLIPS_CONV = f"""
-select project_id, clip_path, concat('conv_', cast(conv_id as string), '.mp4') as filename,
+select project_id, clip_path, concat('conv_', cast(conv_id - conv_id % 10 + conv_id % 5 as string), '.mp4') as filename,
   max(end_ms) + (conv_id * 13) % 900 - 300 as duration_ms,
   cast('2024-03-01' as date) + cast(conv_id % 6 as int) as date_key,
   case when conv_id % 3 = 0 then '' else concat('place_', cast(conv_id % 3 as string)) end as location_id,
@@ -114,7 +114,8 @@ group by user_id
 CLIPS_EVENTS = """
 select user_id % 10 as project_id, concat('/clips/user_', cast(user_id as string), '.mp4') as clip_path,
   concat('user_', cast(user_id as string), '.mp4') as filename, min(ts) as start_local,
-  user_id % 4 <> 0 as has_audio
+  user_id % 4 <> 0 as has_audio, concat('place_', cast(user_id % 3 as string)) as location_id,
+  case user_id % 5 when 0 then 'story' else '' end as route_phase, case user_id % 5 when 0 then 'Leg' else '' end as route_label
 from {events}
 group by user_id
 """

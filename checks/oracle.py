@@ -64,6 +64,10 @@ def seconds(x: str) -> str:
     return f"concat(cast({x} // 1000 as varchar), '.', lpad(cast({x} % 1000 as varchar), 3, '0'))"
 
 
+def result_key(path: str, more: str = "") -> str:
+    return f"concat(replace(replace({path}, '/clips/', ''), '.mp4', ''), '-', substr(sha1(concat({path}, '{more}')), 1, 10))"
+
+
 def digest(path: str, start: str, end: str) -> str:
     return f"substr(sha1(concat_ws(':', {path}, {seconds(start)}, {seconds(end)})), 1, 12)"
 
@@ -86,7 +90,7 @@ padded as (
   from merged m join clips c using (project_id, clip_path)),
 segs as (
   select *, s as start_ms, case when e - s < 2000 then least(clip_ms, s + 2000) else e end as end_ms,
-    row_number() over (partition by project_id order by filename, clip_path, group_index) as ordinal
+    row_number() over (partition by project_id order by filename, {result_key('clip_path')}, group_index) as ordinal
   from padded),
 segments as (
   select *, end_ms - start_ms as duration_ms, {digest('clip_path', 'start_ms', 'end_ms')} as digest,
@@ -345,29 +349,32 @@ media as ({A.duck(A.CLIPS_EVENTS)}),
 titles as ({A.duck(A.TITLES)}),
 segs as (
   select s.project_id, s.travel_day, s.sequence_index, s.day_label, s.role, s.clip_path, s.candidate_id, s.start_ms,
-    s.end_ms, s.end_ms - s.start_ms as duration_ms, m.filename, m.has_audio, m.start_local
+    s.end_ms, s.end_ms - s.start_ms as duration_ms, m.filename, m.has_audio, m.start_local, m.location_id, m.route_phase,
+    m.route_label, s.reason
   from selected s join media m using (project_id, clip_path)),
 span as (
   select project_id, min(cast(start_local as date)) as a, max(cast(start_local as date)) as b from segs group by 1),
 parts as (
   select project_id, 0 as part, 0 as sub, 'title' as kind, 0 as travel_day,
     concat(title, ' · ', strftime(a, '%Y.%m.%d'), case when a <> b then concat(' - ', strftime(b, '%Y.%m.%d')) else '' end) as label,
-    '' as clip_path, '' as candidate_id, 0 as start_ms, 3600 as end_ms, 3600 as duration_ms, false as has_audio, '' as role
+    '' as clip_path, '' as candidate_id, 0 as start_ms, 3600 as end_ms, 3600 as duration_ms, false as has_audio, '' as role,
+    '' as filename, null as source_local, '' as location_id, '' as route_phase, '' as route_label, '' as reason
   from span join titles using (project_id)
   union all
-  select distinct project_id, travel_day, 0, 'title', travel_day, day_label, '', '', 0, 2600, 2600, false, '' from segs
+  select distinct project_id, travel_day, 0, 'title', travel_day, day_label, '', '', 0, 2600, 2600, false, '', '', null, '', '', '', '' from segs
   union all
   select project_id, travel_day, sequence_index, 'segment', travel_day, concat(role, ' · ', filename), clip_path,
-    candidate_id, start_ms, end_ms, duration_ms, has_audio, role from segs
+    candidate_id, start_ms, end_ms, duration_ms, has_audio, role, filename, cast(start_local as varchar), location_id, route_phase, route_label,
+    reason from segs
   union all
-  select project_id, 1000000, 0, 'title', 0, concat('End of the trip · ', title), '', '', 0, 2800, 2800, false, ''
+  select project_id, 1000000, 0, 'title', 0, concat('End of the trip · ', title), '', '', 0, 2800, 2800, false, '', '', null, '', '', '', ''
   from span join titles using (project_id)),
 items as (
   select project_id, row_number() over w as pos, kind, cast(travel_day as bigint) as travel_day, label, clip_path,
     candidate_id, cast(start_ms as bigint) as start_ms, cast(end_ms as bigint) as end_ms,
     cast(duration_ms as bigint) as duration_ms,
     cast(coalesce(sum(duration_ms) over (w rows between unbounded preceding and 1 preceding), 0) as bigint) as cursor_ms,
-    has_audio, role
+    has_audio, role, filename, source_local, location_id, route_phase, route_label, reason
   from parts window w as (partition by project_id order by part, sub))"""
 
 
@@ -556,9 +563,8 @@ ORACLE: dict[str, str] = {
     "frame_plan": f"""{SEGMENTS} select project_id, candidate_id, cast(n as bigint) as frame_no,
       greatest(0, start_ms + greatest(0, least(duration_ms, cast(floor((duration_ms * p + 50) / 100) as bigint)))) as at_ms
       from segments, (values (1, 18), (2, 50), (3, 82)) f(n, p)""",
-    "segment_key": f"""{SEGMENTS} select project_id, candidate_id, digest,
-      concat(replace(filename, '.mp4', ''), '-', substr(sha1(clip_path), 1, 10)) as result_key,
-      concat(replace(filename, '.mp4', ''), '-', substr(sha1(concat(clip_path, '::sig1')), 1, 10)) as cache_key from segments""",
+    "segment_key": f"""{SEGMENTS} select project_id, candidate_id, digest, {result_key('clip_path')} as result_key,
+      {result_key('clip_path', '::sig1')} as cache_key from segments""",
     "segment_digests": f"""select project_id, clip_path, cue_no, {digest('clip_path', 'start_ms', 'end_ms')} as digest
       from ({A.duck(A.CUES_EVENTS)}) c""",
     "clip_catalog": f"""{CLIPS}

@@ -387,7 +387,7 @@ def plan_faults(spark, sf):
 
 def sound_items(spark, sf):
     valid, faults, clips, titles = _planned(spark, sf)
-    return timeline.build_timeline(timeline.sound_selections(valid, faults), clips, titles)
+    return _text(timeline.build_timeline(timeline.sound_selections(valid, faults), clips, titles), "source_local")
 
 
 def _timeline(spark, sf):
@@ -395,7 +395,7 @@ def _timeline(spark, sf):
 
 
 def timeline_items(spark, sf):
-    return _timeline(spark, sf)
+    return _text(_timeline(spark, sf), "source_local")
 
 
 def timeline_totals(spark, sf):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cutlist.functions.text import padded, segment_digest, strip
+from cutlist.functions.text import padded, result_key, segment_digest, strip
 from cutlist.operators.ordered import staged, with_order, with_running
 from cutlist.operators.sessions import CLIP, sessionize
 from cutlist.params import DEFAULTS, CutParams
@@ -158,11 +158,12 @@ def segment_bounds(groups: DataFrame, clips: DataFrame, params: CutParams = DEFA
 def candidate_ids(segments: DataFrame, slices: int | None = None) -> DataFrame:
     """Number the segments of a project in file order and derive their ids.
 
+    Clips of equal file names go by the names of their stored results.
     Only one row per clip is ordered; a segment's number is its clip's offset plus its index in the clip.
     """
     per_clip = segments.groupBy(*CLIP, "filename").agg(F.count(F.lit(1)).alias("_n"))
     offsets = with_order(
-        per_clip, ["project_id"], [F.col("filename"), F.col("clip_path")], "_clip_no", {"_upto": F.col("_n")}, slices
+        per_clip, ["project_id"], [F.col("filename"), result_key(F.col("clip_path")), F.col("clip_path")], "_clip_no", {"_upto": F.col("_n")}, slices
     ).select(*CLIP, (F.col("_upto") - F.col("_n")).alias("_before"))
     digest = segment_digest(F.col("clip_path"), F.col("start_ms"), F.col("end_ms"))
     return (

@@ -51,9 +51,14 @@ def sound_selections(selections: DataFrame, faults: DataFrame) -> DataFrame:
     return selections.join(faults.select("project_id").distinct(), "project_id", "left_anti")
 
 
+#: What a clip says about its place and story; catalogs without these leave them empty.
+_PLACE = ("location_id", "route_phase", "route_label")
+
+
 def _placed(selections: DataFrame, clips: DataFrame, params: CutParams) -> tuple[DataFrame, DataFrame]:
     """Segments with their place in the day, and days with their place in the film."""
-    facts = clips.select("project_id", "clip_path", "filename", "start_local", "has_audio")
+    places = [F.col(c) if c in clips.columns else F.lit("").alias(c) for c in _PLACE]
+    facts = clips.select("project_id", "clip_path", "filename", "start_local", "has_audio", *places)
     rows = selections.join(facts, ["project_id", "clip_path"]).withColumn(
         "duration_ms", F.greatest(F.lit(0).cast("bigint"), F.col("end_ms") - F.col("start_ms"))
     )
@@ -117,6 +122,10 @@ def build_timeline(
         (F.col("day_ms") + params.title_ms + F.col("upto_ms") - F.col("duration_ms")).alias("cursor_ms"),
         "has_audio",
         "role",
+        "filename",
+        F.col("start_local").alias("source_local"),
+        *_PLACE,
+        "reason",
     )
     span = F.coalesce(filled(F.col("date_span")), span_text(F.col("first_date"), F.col("last_date")))
     films = (
@@ -146,6 +155,9 @@ def build_timeline(
             cursor.cast("bigint").alias("cursor_ms"),
             F.lit(False).alias("has_audio"),
             none.alias("role"),
+            none.alias("filename"),
+            F.lit(None).cast("timestamp_ntz").alias("source_local"),
+            *[none.alias(c) for c in (*_PLACE, "reason")],
         )
 
     opening = card(films, F.lit(1), F.lit(0), F.concat_ws(" · ", "title", "span"), params.intro_ms, F.lit(0))

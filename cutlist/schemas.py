@@ -15,6 +15,7 @@ from pyspark.sql.types import (
     StringType,
     StructField,
     StructType,
+    TimestampNTZType,
 )
 
 TEXT, INT, LONG, FLAG = StringType(), IntegerType(), LongType(), BooleanType()
@@ -126,4 +127,10 @@ TIMELINE_ITEM = row(
     cursor_ms=LONG,
     has_audio=FLAG,
     role=TEXT,
+    filename=TEXT,
+    source_local=TimestampNTZType(),
+    location_id=TEXT,
+    route_phase=TEXT,
+    route_label=TEXT,
+    reason=TEXT,
 )

@@ -150,6 +150,8 @@ def test_timeline(spark):
         (6, "segment", "moment · b.mp4", 12800, 5000),
         (7, "title", "End of the trip · T", 17800, 2800),
     ]
+    kept = [(r.filename, r.source_local, r.route_label, r.reason) for r in film(spark).orderBy("pos").collect()]
+    assert kept[2] == ("a.mp4", datetime(2024, 1, 1, 9), "", pick()["reason"]) and kept[0] == ("", None, "", "")
     total = timeline_summary(film(spark)).first()
     assert (total.target_ms, total.n_items, total.n_segments) == (20600, 7, 3)
 
