@@ -1,17 +1,27 @@
 """Ordered scans that stay exact and balanced when one key holds most of the rows.
 
 A window over ``partitionBy(key)`` puts a whole key into one task. Here a key is cut into contiguous
-pieces, as many as ``slices`` or the session's shuffle partitions, the window runs inside each piece, and what the earlier pieces add up to is
-joined back from a table with one row per piece.
+pieces, as many as ``slices`` or the session's shuffle partitions, each piece is read in order or windowed by itself, and what
+the earlier pieces add up to is joined back from a table with one row per piece.
 """
 
 from __future__ import annotations
 
+import sys
 import tempfile
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StructType
+
+# Travels to the workers with the job, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SLICE = "_slice"
 
@@ -48,6 +58,36 @@ def sliced(
     return staged(ranged.withColumn(SLICE, F.spark_partition_id()))
 
 
+def _numbered(keys: Sequence[str], keep: int, values: Sequence[str], schema: pa.Schema):
+    """Number the rows of sorted batches by key and add up ``values``; the state is one row's key, number and sums."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, before = None, np.zeros(1 + len(values), np.int64)
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            columns = [batch.column(k) for k in keys]
+            new = np.zeros(n, bool)
+            for c in columns:
+                same = pc.equal(c.slice(1), c.slice(0, n - 1)).fill_null(False)
+                both = pc.and_(c.slice(1).is_null(), c.slice(0, n - 1).is_null())
+                new[1:] |= ~pc.or_(same, both).to_numpy(zero_copy_only=False)
+            first = [c[0].as_py() for c in columns]
+            if first != last:
+                new[0], before = True, np.zeros(1 + len(values), np.int64)
+            begun = np.maximum.accumulate(np.where(new, np.arange(n), -1))
+            added = []
+            for i, name in enumerate(("", *values)):
+                each = np.ones(n, np.int64) if not i else batch.column(name).fill_null(0).to_numpy(zero_copy_only=False)
+                sums = np.concatenate([[0], np.cumsum(each)])
+                added.append(sums[1:] - np.where(begun < 0, -before[i], sums[np.maximum(begun, 0)]))
+            last, before = [c[n - 1].as_py() for c in columns], np.array([a[-1] for a in added])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:keep], *(pa.array(a, pa.int64()) for a in added)], schema=schema)
+
+    return number
+
+
 def with_order(
     df: DataFrame,
     keys: Sequence[str],
@@ -56,23 +96,31 @@ def with_order(
     sums: Mapping[str, Column] | None = None,
     slices: int | None = None,
 ) -> DataFrame:
-    """Add a dense 1-based ``ordinal`` per key and inclusive running ``sums``; keeps ``_slice`` as a salt."""
-    cut = df.select("*", *[v.alias(f"_v_{k}") for k, v in (sums or {}).items()])
-    cut = sliced(cut, keys, order, slices)
-    values = {ordinal: F.lit(1).cast("bigint"), **{k: F.col(f"_v_{k}") for k in (sums or {})}}
-    inside = Window.partitionBy(*keys, SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    """Add a dense 1-based ``ordinal`` per key and inclusive running ``sums`` of whole numbers; keeps ``_slice`` as a salt.
+
+    Rows move once, into ranges, where they are sorted and numbered as they stand. A null counts as 0 in a sum.
+    """
+    sums = dict(sums or {})
+    cut = df.select("*", *[v.cast("bigint").alias(f"_v_{k}") for k, v in sums.items()])
+    cut = sliced(cut, keys, order, slices, sort=True).select(*df.columns, SLICE, *[f"_v_{k}" for k in sums])
+    values = {ordinal: F.lit(1).cast("bigint"), **{k: F.col(f"_v_{k}") for k in sums}}
     earlier = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     # A slice continues at most one key, its first, so this has no more rows than there are slices.
     carried = (
         cut.groupBy(*keys, SLICE)
-        .agg(*[F.sum(v).alias(f"_c_{k}") for k, v in values.items()])
+        .agg(*[F.coalesce(F.sum(v), F.lit(0)).alias(f"_c_{k}") for k, v in values.items()])
         .select(*keys, SLICE, *[F.sum(f"_c_{k}").over(earlier).alias(f"_c_{k}") for k in values])
         .filter(F.col(f"_c_{ordinal}").isNotNull())
     )
-    local = cut.select(*df.columns, SLICE, *[F.sum(v).over(inside).alias(f"_l_{k}") for k, v in values.items()])
-    return local.join(F.broadcast(carried), [*keys, SLICE], "left").select(
-        *df.columns,
-        SLICE,
+    kept = len(df.columns) + 1
+    shape = StructType(cut.schema.fields[:kept])
+    for k in values:
+        shape = shape.add(f"_l_{k}", LongType())
+    local = cut.mapInArrow(_numbered(keys, kept, [f"_v_{k}" for k in sums], to_arrow_schema(shape)), shape)
+    same = [local[k].eqNullSafe(carried[k]) for k in keys] + [local[SLICE] == carried[SLICE]]
+    return local.join(F.broadcast(carried), same, "left").select(
+        *[local[c] for c in df.columns],
+        local[SLICE],
         *[(F.col(f"_l_{k}") + F.coalesce(F.col(f"_c_{k}"), F.lit(0))).alias(k) for k in values],
     )
 

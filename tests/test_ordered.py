@@ -21,6 +21,32 @@ def test_order_and_sums_of_a_hot_key(spark, slices):
         assert {r.id: (r.n, r.total) for r in got if r.k == key} == want
 
 
+def test_null_keys_small_batches_and_wide_rows(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice([None, "a", "b"]), rng.choice([None, 1]), i, rng.choice([None, 2, 3]), [i], {"x": str(i)}) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, j int, id bigint, v int, many array<bigint>, m struct<x: string>")
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, 7)
+        got = with_order(df, ["k", "j"], [F.col("id")], "n", {"s": F.col("v")}, 5).collect()
+    finally:
+        spark.conf.set(name, before)
+    want, state = {}, {}
+    for k, j, i, v, *_ in rows:
+        n, s = state.get((k, j), (0, 0))
+        want[i] = state[k, j] = (n + 1, s + (v or 0))
+    assert {r.id: (r.n, r.s) for r in got} == want and all(r.many == [r.id] and r.m.x == str(r.id) for r in got)
+
+
+def test_rows_move_once(spark):
+    df = spark.range(1000).select((F.col("id") % 3).alias("k"), "id")
+    plan = with_order(df, ["k"], [F.col("id")], "n", slices=4)._jdf.queryExecution().executedPlan().toString()
+    # The ranges are staged; only the totals of slices are exchanged after that.
+    numbering = plan[: plan.index("BroadcastExchange")]
+    assert "MapInArrow" in numbering and "Exchange hash" not in numbering and "Window" not in numbering
+
+
 def test_running_over_buckets(spark):
     df = spark.createDataFrame([(k, i, i * 3 % 7) for k in range(3) for i in range(1, 50)], "k bigint, i bigint, v bigint")
     marked = F.when(F.col("v") > 2, F.col("i"))
