@@ -38,6 +38,26 @@ def accepted(documents: DataFrame) -> DataFrame:
     return documents.filter(F.col(CORRUPT).isNull() & some).drop(CORRUPT)
 
 
+def rejected_documents(spark: SparkSession, path: str, schema: StructType, multiline: bool = True) -> DataFrame:
+    """The documents that ``accepted`` leaves out, by ``path`` and ``reason``, with their ``value``."""
+    shape = StructType([*schema.fields, StructField(CORRUPT, StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    texts = spark.read.text(path, wholetext=multiline).filter(F.btrim("value") != "")
+    parsed = texts.select(F.col("_metadata.file_path").alias("path"), "value", F.from_json("value", shape, options).alias("_d"))
+    some = F.coalesce(*[F.col(f"_d.{f.name}").isNotNull() | F.lit(None) for f in schema], F.lit(False))
+    fields = F.from_json("value", "map<string,string>")
+    reason = (
+        F.when(fields.isNull(), F.lit("no object"))
+        .when(F.col(f"_d.{CORRUPT}").isNotNull(), F.lit("a field does not fit"))
+        .when(~some, F.lit("no known field"))
+    )
+    return parsed.withColumn("reason", reason).filter("reason is not null").select("path", "reason", "value")
+
+
+#: What ``read_probes`` expects of a document.
+PROBE_RECORD = StructType([*row(project_id=LONG, path=TEXT, mtime=TEXT, length=LONG).fields, *PROBE_DOCUMENT.fields])
+
+
 def list_media(spark: SparkSession, directory: str) -> DataFrame:
     """Media files directly in ``directory``, without their contents.
 
@@ -49,13 +69,12 @@ def list_media(spark: SparkSession, directory: str) -> DataFrame:
 
 def read_probes(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """Probe records, each with its project, path and file facts."""
-    shape = StructType([*row(project_id=LONG, path=TEXT, mtime=TEXT, length=LONG).fields, *PROBE_DOCUMENT.fields])
-    rows = accepted(read_documents(spark, path, shape, multiline))
+    rows = accepted(read_documents(spark, path, PROBE_RECORD, multiline))
     return rows.withColumn("mtime_utc", F.col("mtime").try_cast("timestamp_ntz")).drop("mtime")
 
 
 def read_clip_results(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
-    """Stored clip results; documents that are no objects are left out (S3)."""
+    """Stored clip results (S3); ``rejected_documents`` with ``CLIP_RESULT`` has the documents that are left out."""
     return accepted(read_documents(spark, path, CLIP_RESULT, multiline))
 
 
@@ -112,6 +131,13 @@ def read_taxonomies(spark: SparkSession, path: str, multiline: bool = True) -> D
     return documents.filter(F.size("_fields") > 0).select(*TAXONOMY.fieldNames())
 
 
+def rejected_taxonomies(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    """The documents that ``read_taxonomies`` leaves out: those that are no objects or have no field."""
+    documents = _parsed(spark, path, TAXONOMY, multiline)
+    left = documents.filter(~F.coalesce(F.size("_fields") > 0, F.lit(False)))
+    return left.select(F.col("_path").alias("path"), F.lit("no object with fields").alias("reason"), F.col("_value").alias("value"))
+
+
 def read_table(spark: SparkSession, path: str, projects: Column | None = None) -> DataFrame:
     """A table written by ``sources.writers`` (S8); a filter on ``project_id`` prunes its directories."""
     rows = spark.read.parquet(path)

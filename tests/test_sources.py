@@ -45,6 +45,23 @@ def test_clip_results(spark, tmp_path):
     assert set(got) == {"/a", "/b"} and (got["/a"][0].start, got["/a"][0].end) == ("0", "1.5")
 
 
+def test_rejects_are_the_rest(spark, tmp_path):
+    from cutlist.schemas import CLIP_RESULT
+
+    given = {
+        "1": {"project_id": 1, "clip_path": "/a"}, "2": "[1, 2]", "3": "{broken", "4": {"unknown": True}, "5": {"project_id": "one"},
+        "6": "7", "7": {"project_id": 2, "path": "/b", "streams": []}, "8": {},
+    }
+    for name, value in given.items():
+        dump(tmp_path, f"{name}.json", value)
+    for schema, read in ((CLIP_RESULT, readers.read_clip_results), (readers.PROBE_RECORD, lambda s, p: readers.read_probes(s, p, True))):
+        bad = {r.path.rsplit("/", 1)[1][0]: r.reason for r in readers.rejected_documents(spark, str(tmp_path), schema).collect()}
+        assert read(spark, str(tmp_path)).count() + len(bad) == len(given)
+        assert [bad[n] for n in "23456"] == ["no object", "no object", "no known field", "a field does not fit", "no object"]
+    bad = {r.path.rsplit("/", 1)[1][0] for r in readers.rejected_taxonomies(spark, str(tmp_path)).collect()}
+    assert bad == {"2", "3", "6", "8"} and readers.read_taxonomies(spark, str(tmp_path)).count() == len(given) - 4
+
+
 def test_briefs(spark, tmp_path):
     dump(tmp_path, "1.json", {"project_id": 1, "version": 3, "people": [{"name": "A"}, None]})
     dump(tmp_path, "2.json", {"project_id": 2, "version": 2})
