@@ -400,10 +400,11 @@ def score(linked: DataFrame, models: tuple[str, bytes], head: int = HEAD) -> Dat
                 np.cumsum(np.where(hit, times * head_best[places] if len(head_codes) else 0, 0), out=sums[0, 1:])
                 np.cumsum(np.where(hit, times * head_n[places] if len(head_codes) else 0, 0), out=sums[1, 1:])
                 own = part.column(0).to_numpy()
-                edges = np.searchsorted(rows, np.concatenate([own, own + 1])).reshape(2, -1)
+                # Rows of several files may follow each other in any order, so they are cut by their sizes, not by number.
+                edges = np.concatenate([[0], np.cumsum(pc.binary_length(part.column(1)).to_numpy() // 8)])
                 none = pa.nulls(part.num_rows, pa.int64())
                 # Codes below zero meet no pair and are spread like any other.
-                columns = [pa.array(own), pa.array(-1 - own), none, *(pa.array(s[edges[1]] - s[edges[0]]) for s in sums)]
+                columns = [pa.array(own), pa.array(-1 - own), none, *(pa.array(np.diff(s[edges])) for s in sums)]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
                 rest = ~hit
                 none = pa.nulls(int(rest.sum()), pa.int64())

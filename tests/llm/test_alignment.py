@@ -127,6 +127,16 @@ def test_odd_rows(spark, models, plain, head):
     assert sorted([(r.doc_id, fields(r)) for r in got], key=key) == sorted([(i, x) for (i, _), x in zip(given, plain.rows([t for _, t in given]))], key=key)
 
 
+def test_files_read_by_one_task_in_any_order(spark, models, plain):
+    """Many files of unlike sizes, which one task reads by size and not by row number."""
+    texts = [(f"{'é' * (i % 7)} word{i} the the <{i}> " * (1 + i * 13 % 40)).strip() for i in range(120)] + ODD
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(40, "doc_id")
+    want = plain.rows(texts)
+    for head in (50, 1 << 18):
+        got = {r.doc_id: fields(r) for r in alignment.align(frame, models, keep=["doc_id"], head=head).collect()}
+        assert got == dict(enumerate(want))
+
+
 def test_clashing_names_long_text_and_empty_table(spark, models):
     frame = odd_frame(spark)
     got = alignment.align(frame.withColumnRenamed("ids", "groups"), models)
