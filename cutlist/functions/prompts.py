@@ -27,7 +27,9 @@ HOURS_MINUTES = r"(\d+)\s*(?:시간|hours|hour)\s*(\d+)\s*(?:분|minutes|min)"
 HOURS = r"(\d+)\s*(?:시간|hours|hour)"
 MINUTES = r"(\d+)\s*(?:분|minutes|min)"
 FULL_DATES = (r"(\d{4})[.\-/](\d{1,2})[.\-/](\d{1,2})", r"(\d{4})\s*년\s*(\d{1,2})\s*월\s*(\d{1,2})\s*일")
+FULL_DATE_MARKS = ((), ("년",))
 MONTH_DAY = r"(\d{1,2})\s*월\s*(\d{1,2})\s*일"
+MONTH_DAY_MARKS = ("월", "일")
 EXPLICIT_TITLES = (
     "(?:제목|타이틀|프로젝트명)\\s*[:：]\\s*[\"“']?([^\\n\"”']+)",
     "(?:title|project name)\\s*[:：]\\s*[\"“']?([^\\n\"”']+)",
@@ -42,6 +44,8 @@ PLACE_PATTERNS = (
 )
 PLACE_AFTER = (("에서", "로"), ("여행", "브이로그"), ())
 PLACE_RUN = r"[A-Za-z0-9가-힣&'.\s-]++"
+# The last words of a reversed text: a match has at most 25 characters or three words, and one more, before its last word.
+PLACE_REACH = r"^(?:\s*+\S++){1,17}\s*+"
 PLACE_STOP_WORDS = (
     "가족", "여행", "브이로그", "영상", "장면", "공항", "숙소", "리조트", "호텔", "한국", "현지", "집",
 )
@@ -61,15 +65,15 @@ _I = "(?iU)"
 
 
 def tone(prompt: Column, existing: Column | None = None) -> Column:
-    lowered = F.lower(prompt)
-    found = F.coalesce(*[F.when(contains_any(lowered, words), F.lit(label)) for label, words in TONES])
+    # A whole text is lowered once, not for every word.
+    found = bind(F.lower(prompt), lambda t: F.coalesce(*[F.when(contains_any(t, words), F.lit(label)) for label, words in TONES]))
     return found if existing is None else F.coalesce(filled(existing), found)
 
 
 def pacing(prompt: Column, existing: Column | None = None) -> Column:
-    lowered = F.lower(prompt)
-    found = F.when(contains_any(lowered, SLOW_WORDS), F.lit(SLOW_PACING)).when(
-        contains_any(lowered, BRISK_WORDS), F.lit(BRISK_PACING)
+    found = bind(
+        F.lower(prompt),
+        lambda t: F.when(contains_any(t, SLOW_WORDS), F.lit(SLOW_PACING)).when(contains_any(t, BRISK_WORDS), F.lit(BRISK_PACING)),
     )
     return found if existing is None else F.coalesce(filled(existing), found)
 
@@ -91,13 +95,14 @@ def runtime_seconds(text: Column, default_minutes: int = 40) -> Column:
     """Mean of a range (at least 60 s), else hours and minutes, else hours, else minutes."""
     part = lambda pattern, group: F.nullif(F.regexp_extract(text, _I + pattern, group), F.lit("")).try_cast("bigint")
     mean = F.greatest(F.lit(60), (part(RANGE_MINUTES, 1) + part(RANGE_MINUTES, 2)) * 30)
-    return F.coalesce(
+    found = F.coalesce(
         F.when(text.rlike(_I + RANGE_MINUTES), mean),
         part(HOURS_MINUTES, 1) * 3600 + part(HOURS_MINUTES, 2) * 60,
         part(HOURS, 1) * 3600,
         part(MINUTES, 1) * 60,
-        F.lit(default_minutes * 60),
-    ).cast("bigint")
+    )
+    # The phrase has all four patterns, so a text without it is searched once.
+    return F.coalesce(F.when(text.rlike(_I + RUNTIME_PHRASE), found), F.lit(default_minutes * 60)).cast("bigint")
 
 
 def target_seconds(target_runtime: Column, editorial: Column, default_minutes: int = 40) -> Column:
@@ -116,12 +121,18 @@ def prompt_dates(prompt: Column, first: Column, last: Column) -> Column:
     Full dates count if there are any. Else month and day take the year of the first or last clip date,
     whichever puts them between the two, else the earlier one.
     """
-    def dates(pattern: str) -> Column:
+    def found(pattern: str, marks: tuple[str, ...] = ()) -> Column:
+        every = F.regexp_extract_all(prompt, F.lit("(?U)" + pattern), F.lit(0))
+        # A text without the marks that a pattern has is not searched.
+        for mark in marks:
+            every = F.when(F.contains(prompt, F.lit(mark)), every).otherwise(F.array().cast("array<string>"))
+        return every
+
+    def dates(pattern: str, marks: tuple[str, ...]) -> Column:
         part = lambda m, g: F.regexp_extract(m, "(?U)" + pattern, g)
-        found = F.regexp_extract_all(prompt, F.lit("(?U)" + pattern), F.lit(0))
-        return F.transform(found, lambda m: _date(part(m, 1), part(m, 2), part(m, 3)))
+        return F.transform(found(pattern, marks), lambda m: _date(part(m, 1), part(m, 2), part(m, 3)))
 
-    named = F.array_compact(F.concat(*[dates(pattern) for pattern in FULL_DATES]))
+    named = F.array_compact(F.concat(*[dates(pattern, marks) for pattern, marks in zip(FULL_DATES, FULL_DATE_MARKS)]))
 
     def resolve(m: Column) -> Column:
         month, day = (F.regexp_extract(m, "(?U)" + MONTH_DAY, g) for g in (1, 2))
@@ -129,11 +140,9 @@ def prompt_dates(prompt: Column, first: Column, last: Column) -> Column:
         options = F.array_compact(F.transform(years, lambda y: _date(y, month, day)))
         return F.coalesce(F.array_min(F.filter(options, lambda d: (d >= first) & (d <= last))), F.array_min(options))
 
-    partial = F.array_compact(
-        F.transform(F.regexp_extract_all(prompt, F.lit("(?U)" + MONTH_DAY), F.lit(0)), resolve)
-    )
+    partial = F.array_compact(F.transform(found(MONTH_DAY, MONTH_DAY_MARKS), resolve))
     none = F.array().cast("array<date>")
-    return F.coalesce(F.when(F.size(named) > 0, named), F.when(first.isNotNull(), partial), none)
+    return F.coalesce(bind(named, lambda ds: F.when(F.size(ds) > 0, ds)), F.when(first.isNotNull(), partial), none)
 
 
 def prompt_date_span(dates: Column) -> Column:
@@ -160,9 +169,11 @@ def explicit_title(prompt: Column) -> Column:
 
 
 def _place(match: Column) -> Column:
-    name = clean_title(match)
-    last_word = F.element_at(F.split(name, " "), -1)
-    name = F.when(name.rlike("[가-힣]") & F.contains(name, F.lit(" ")), last_word).otherwise(name)
+    last_word = lambda name: F.element_at(F.split(name, " "), -1)
+    name = bind(
+        clean_title(match),
+        lambda t: F.when(t.rlike("[가-힣]") & F.contains(t, F.lit(" ")), last_word(t)).otherwise(t),
+    )
     return strip(F.regexp_replace(name, "(?U)" + PLACE_TRAVEL_ENDING, ""))
 
 
@@ -170,19 +181,28 @@ def _matches(prompt: Column, pattern: str, after: tuple[str, ...] = ()) -> Colum
     """First group of every match of ``pattern``.
 
     A pattern that ends in one of the ``after`` words backtracks over each word before it. No match holds a
-    character outside ``PLACE_RUN``, so only runs of those characters with such a word in them are searched.
+    character outside ``PLACE_RUN``, so only runs of those characters with such a word in them are searched, and of these
+    no more than ``PLACE_REACH`` before each such word; a comma, which no match holds, stands for what is further away.
     """
     found = lambda text: F.regexp_extract_all(text, F.lit(_I + pattern), F.lit(1))
     if not after:
         return found(prompt)
     runs = F.filter(F.regexp_extract_all(prompt, F.lit("(?U)" + PLACE_RUN), F.lit(0)), lambda r: contains_any(r, after))
-    near = F.flatten(F.transform(runs, found))
+    ends = F.lit("(?s).*?(?:" + "|".join(after) + ")")
+
+    def reached(part: Column) -> Column:
+        tail = lambda t: F.reverse(F.regexp_extract(F.reverse(t), "(?U)" + PLACE_REACH, 0))
+        return bind(tail(part), lambda t: F.when(F.length(t) < F.length(part), F.concat(F.lit(","), t)).otherwise(part))
+
+    shortened = lambda run: F.array_join(F.transform(F.regexp_extract_all(run, ends, F.lit(0)), reached), "")
+    near = F.flatten(F.transform(F.transform(runs, shortened), found))
     return F.when(contains_any(prompt, after), near).otherwise(F.array().cast("array<string>"))
 
 
 def places(prompt: Column) -> Column:
     """Place names the prompt seems to mention, pattern by pattern, each once."""
-    matches = F.concat(*[_matches(prompt, p, after) for p, after in zip(PLACE_PATTERNS, PLACE_AFTER)])
+    # Equal matches give equal places, so each is cleaned once.
+    matches = F.array_distinct(F.concat(*[_matches(prompt, p, after) for p, after in zip(PLACE_PATTERNS, PLACE_AFTER)]))
     usable = lambda c: (
         (c != "") & ~c.isin(*PLACE_STOP_WORDS) & ~c.rlike(PLACE_BAD_ENDING) & (F.length(c) <= PLACE_MAX)
     )
@@ -190,8 +210,8 @@ def places(prompt: Column) -> Column:
 
 
 def season(prompt: Column) -> Column:
-    """First season word in list order that the prompt contains, else empty."""
-    found = [F.when(F.contains(F.lower(prompt), F.lit(word)), F.lit(word)) for word in SEASONS]
+    """First season word in list order that the prompt contains, else empty (R7). Hangul has no case."""
+    found = [F.when(F.contains(prompt, F.lit(word)), F.lit(word)) for word in SEASONS]
     return F.coalesce(*found, F.lit(""))
 
 
@@ -200,19 +220,19 @@ def first_line(text: Column) -> Column:
     return strip(F.regexp_extract(text, r"(?U)\S[^\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]*", 0))
 
 
-def video_title(prompt: Column, summary_text: Column, description: Column) -> Column:
+def video_title(prompt: Column, summary_text: Column, description: Column, explicit: Column | None = None) -> Column:
     """Explicit title, else last place with kind and season, else a short first line, else a default.
 
-    ``prompt`` and ``summary_text`` are columns that are stripped and not null.
+    ``prompt`` and ``summary_text`` are columns that are stripped and not null; ``explicit`` is the prompt's
+    ``explicit_title`` where it is a column already.
     """
     chosen = F.when(prompt != "", prompt).otherwise(summary_text)
     kind = F.when(contains_any(chosen, GROUP_KIND_WORDS), F.lit(GROUP_KIND)).otherwise(F.lit(PLAIN_KIND))
-    prefix = season(chosen)
 
     def named(place: Column) -> Column:
         return bind(
-            F.concat_ws(" ", place, kind),
-            lambda t: F.when((prefix != "") & ~F.contains(t, prefix), F.concat_ws(" ", prefix, t)).otherwise(t),
+            F.struct(F.concat_ws(" ", place, kind).alias("t"), season(chosen).alias("season")),
+            lambda x: F.when((x["season"] != "") & ~F.contains(x["t"], x["season"]), F.concat_ws(" ", x["season"], x["t"])).otherwise(x["t"]),
         )
 
     def fits(line: Column) -> Column:
@@ -220,7 +240,7 @@ def video_title(prompt: Column, summary_text: Column, description: Column) -> Co
 
     last = F.transform(F.slice(F.reverse(places(chosen)), 1, 1), named)
     return F.coalesce(
-        bind(explicit_title(prompt), lambda t: F.when(t != "", t)),
+        bind(explicit_title(prompt) if explicit is None else explicit, lambda t: F.when(t != "", t)),
         F.get(F.filter(last, lambda t: F.length(t) <= TITLE_MAX), F.lit(0)),
         fits(clean_title(first_line(prompt))),
         fits(clean_title(first_line(summary_text))),

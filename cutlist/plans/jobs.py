@@ -111,14 +111,14 @@ def prompt_features(prompts: DataFrame, dates: DataFrame | None = None, params:
     # Whole texts are stripped and searched, so each result is a column before the next step reads it.
     found = rows.withColumns(
         {"_prompt": filled(F.col("prompt"), ""), "_summary": filled(given("summary"), "")}
-    ).withColumn("_hint", filled(given("target_runtime"), P.runtime_phrase(prompt)))
+    ).withColumns({"_hint": filled(given("target_runtime"), P.runtime_phrase(prompt)), "_text": P.summary(prompt, before)})
     return found.select(
         "project_id",
-        P.summary(prompt, before).alias("summary"),
+        F.col("_text").alias("summary"),
         F.coalesce(P.tone(prompt, given("tone")), F.lit("")).alias("tone"),
         F.coalesce(P.pacing(prompt, given("pacing_guidance")), F.lit("")).alias("pacing_guidance"),
         F.col("_hint").alias("target_runtime"),
-        P.target_seconds(F.col("_hint"), P.summary(prompt, before), params.default_minutes).alias("target_s"),
+        P.target_seconds(F.col("_hint"), F.col("_text"), params.default_minutes).alias("target_s"),
         P.prompt_date_span(P.prompt_dates(prompt, F.col("first_date"), F.col("last_date"))).alias("date_span"),
         P.video_title(prompt, before, given("description")).alias("title"),
     )

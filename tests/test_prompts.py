@@ -1,5 +1,6 @@
 """Prompt features and brief texts, with expectations worked out by hand or by Python's own regular expressions."""
 
+import random
 import re
 from datetime import date
 
@@ -101,6 +102,24 @@ def test_place_matches_equal_a_whole_text_search(spark, text):
     assert column(spark, [text], found) == [search(text)]
 
 
+def test_far_words_are_not_searched_and_change_no_match(spark):
+    """Runs longer than a match can reach, with place words far apart, next to each other and after wide gaps."""
+    words = "서울 and b a1 가족 Sunny Bay 여행 부산에서 가족여행 제주로 x. 한옥마을 it's".split()
+    rng = random.Random(3)
+    gap = lambda: rng.choice([" ", "  ", "\n", "\u3000", "", "-", " " * 40])
+    texts = ["".join(rng.choice(words[:6] if i % 3 else words) + gap() for i in range(rng.randint(1, 160))) for _ in range(60)]
+    texts += ["w " * 300 + "to Sunny Bay 여행 " + "w " * 20 + "여행", "여행" + " a" * 17 + " 여행", "가" * 90 + "로 " * 40]
+    for pattern, after in zip(P.PLACE_PATTERNS, P.PLACE_AFTER):
+        whole = column(spark, texts, lambda t: F.regexp_extract_all(t, F.lit("(?iU)" + pattern), F.lit(1)))  # noqa: B023
+        assert column(spark, texts, lambda t: P._matches(t, pattern, after)) == whole  # noqa: B023
+
+
+def test_whole_texts_are_lowered_once(spark):
+    text = spark.createDataFrame([("x",)], "t string")
+    plan = lambda c: text.select(c.alias("x"))._jdf.queryExecution().analyzed().toString().count("lower(")
+    assert [plan(f(F.col("t"))) for f in (P.tone, P.pacing, P.season)] == [1, 1, 0]
+
+
 def test_places(spark):
     texts = ["여유로운 여행, 가족 여행, 제주도 여행, 제주도 여행", "부산출발로", "부산 출발로, 한국 공항에서", "to a place with a very long name that goes on"]
     assert column(spark, texts, P.places) == [["여유", "제주도"], ["부산"], [], ["a place with a very long"]]
