@@ -623,10 +623,9 @@ def prompt_places(spark, sf):
 
 def prompt_title(spark, sf):
     prompt = F.col("prompt")
-    return _prompts(spark, sf).withColumn("prompt", strip(prompt)).select(
-        "project_id",
-        P.explicit_title(prompt).alias("explicit"),
-        P.video_title(prompt, F.lit(""), F.col("description")).alias("title"),
+    rows = _prompts(spark, sf).withColumn("prompt", strip(prompt)).withColumn("explicit", P.explicit_title(prompt))
+    return rows.select(
+        "project_id", "explicit", P.video_title(prompt, F.lit(""), F.col("description"), F.col("explicit")).alias("title")
     )
 
 
