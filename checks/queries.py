@@ -154,7 +154,7 @@ def anchor_many(spark, sf):
     events = spark.read.parquet(f"{sf}/events.parquet").select(
         F.when(F.col("user_id") % 3 == 0, 1).otherwise(0).cast("bigint").alias("project_id"), "event_id", F.col("ts").alias("creation_utc")
     )
-    placed = catalog.resolve_time_context(events, catalog.time_contexts(A.event_anchor_briefs(spark, sf)))
+    placed = catalog.resolve_by_anchor_rows(events, *A.event_anchors(spark, sf))
     return placed.select("project_id", "event_id", "timezone_name", "location_id")
 
 

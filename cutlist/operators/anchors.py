@@ -5,23 +5,25 @@ from __future__ import annotations
 import sys
 from heapq import heappop, heappush
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 
 # Travels to the workers with the job, so the package need not be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_FIRST, _LAST = -(1 << 63), (1 << 63) - 1
+OPEN_START, OPEN_END = -(1 << 63), (1 << 63) - 1
 
 
 def disjoint(intervals: list[tuple[int | None, int | None, int]]) -> tuple[list[int], list[int]]:
     """From (start, end, place), both inclusive or open, the points where the smallest place that holds changes, and it (or -1)."""
     begun = sorted(
-        (_FIRST if start is None else start, place, _LAST if end is None else end)
+        (OPEN_START if start is None else start, place, OPEN_END if end is None else end)
         for start, end, place in intervals
         if start is None or end is None or start <= end
     )
-    points = sorted({start for start, _, _ in begun} | {end + 1 for _, _, end in begun if end < _LAST})
+    points = sorted({start for start, _, _ in begun} | {end + 1 for _, _, end in begun if end < OPEN_END})
     breaks, firsts, holding, at = [], [], [], 0
     for point in points:
         while at < len(begun) and begun[at][0] <= point:
@@ -49,3 +51,14 @@ def first_holding(rows: pa.Table) -> pa.Table:
             "firsts": pa.array([firsts], many),
         }
     )
+
+
+def first_at_points(rows: pa.Table) -> pa.Table:
+    """Of one slice the points (rows without ``_pos``) that an interval holds, and the smallest ``_pos`` that does."""
+    asked = pc.is_null(rows.column("_pos"))
+    points, intervals = rows.filter(asked), rows.filter(pc.invert(asked))
+    breaks, firsts = disjoint(list(zip(*(intervals.column(c).to_pylist() for c in ("_from", "_to", "_pos")))))
+    at = np.searchsorted(np.array(breaks, np.int64), points.column("_from").to_numpy(), side="right")
+    first = np.array([-1, *firsts], np.int64)[at]
+    held = pa.array(first >= 0)
+    return pa.table({"project_id": points.column("project_id"), "_at": points.column("_at"), "_pos": pa.array(first)}).filter(held)

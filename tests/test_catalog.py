@@ -19,6 +19,7 @@ from cutlist.operators.catalog import (
     probe_fields,
     rejected_anchors,
     rejected_probes,
+    resolve_by_anchor_rows,
     resolve_time_context,
     time_contexts,
     travel_days,
@@ -212,6 +213,33 @@ def test_many_anchors_in_one_brief(spark):
     assert [g[1] for g in got] == [want(t) for t in instants]
 
 
+def test_anchor_rows_equal_the_brief_however_they_are_sliced(spark):
+    """Open bounds, long and empty intervals, equal bounds, instants at bounds, unknown zones; clips without a brief or time."""
+    rng = random.Random(9)
+    day = datetime(2024, 10, 26)
+    briefs, rows = [], []
+    for project in (1, 2):
+        own = list(ANCHORS) if project == 1 else []
+        for i in range(150):
+            start = day + timedelta(minutes=10 * rng.randint(0, 400))
+            bounds = [start, start + timedelta(minutes=rng.choice([-10, 0, 10, 60, 3000]))]
+            texts = [b.isoformat() if rng.random() > 0.05 else "" for b in bounds]
+            zone = rng.choice(["Europe/Berlin", "UTC", "", "Not/AZone"])
+            own.append({"starts_at": texts[0], "ends_at": texts[1], "timezone": zone, "location_id": rng.choice(["b", f"p{i}"]), "story_anchor_id": "s1"})
+        own.append({"starts_at": "soon", "ends_at": "2024-10-27T00:00:00", "timezone": "UTC", "location_id": "bad"})
+        briefs.append(brief(project_id=project, time_anchors=own))
+        rows += [(project, i, *(a.get(k) for k in ("starts_at", "ends_at", "timezone", "location_id", "story_anchor_id", "label"))) for i, a in enumerate(own)]
+    shape = "project_id bigint, ordinal bigint, starts_at string, ends_at string, timezone string, location_id string, story_anchor_id string, label string"
+    anchors, held = spark.createDataFrame(rows, shape), spark.createDataFrame(briefs, BRIEF)
+    instants = [day + timedelta(minutes=10 * rng.randint(-5, 420)) for _ in range(150)] + [None, None, datetime(2020, 1, 1), datetime(2030, 1, 1)]
+    clips = spark.createDataFrame([(p, i, t) for p in (1, 2, 3) for i, t in enumerate(instants)], "project_id bigint, n int, creation_utc timestamp_ntz")
+    listed = lambda df: sorted(tuple(r) for r in df.drop("creation_utc").collect())
+    want = listed(resolve_time_context(clips, time_contexts(held)))
+    assert len(want) == 3 * len(instants) and len({r[3] for r in want}) > 5
+    for size in (1, 7, 100_000):
+        assert listed(resolve_by_anchor_rows(clips, held, anchors, slice_values=size)) == want
+
+
 def probe(path, streams, fmt=None, length=1000):
     return {
         "project_id": 1, "path": path, "mtime": "2024-05-05 01:02:03", "length": length, "streams": streams,
