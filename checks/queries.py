@@ -319,9 +319,10 @@ def candidate_documents(spark, sf):
 
 def document_selection_faults(spark, sf):
     """What is wrong with the selections in documents, by the candidates in documents."""
-    _, rows, rejects = documents.selection_documents(_documents(spark, sf))
+    # The report reads rows twice, and rejects come from the same texts: these are written once and parsed once for rows.
+    _, rows, rejects = documents.selection_documents(staged(_documents(spark, sf)))
     _, candidates, _ = documents.candidate_documents(A.adapt(spark, sf, A.CANDIDATE_DOCUMENTS))
-    _, violations = validate.validate_selection(rows, candidates)
+    _, violations = validate.validate_selection(staged(rows), candidates)
     return violations.unionByName(validate.structure_rejects(rejects)).groupBy("project_id", "rule").agg(F.count(F.lit(1)).alias("n"))
 
 
