@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cutlist.functions.text import filled
+from cutlist.functions.text import filled_field
 
 # Fixed values.
 DEFAULT_FPS = 30.0
@@ -24,14 +24,22 @@ def frame_rate(text: Column) -> Column:
     )
 
 
+def has_stream(streams: Column, kind: str) -> Column:
+    return F.coalesce(F.array_contains(streams["codec_type"], kind), F.lit(False))
+
+
 def first_stream(streams: Column, kind: str) -> Column:
-    return F.get(F.filter(streams, lambda s: s["codec_type"] == kind), F.lit(0))
+    """The first stream of a kind, or null; found by position, as filters of arrays are not compiled."""
+    return F.get(streams, F.array_position(streams["codec_type"], kind).cast("int") - 1)
 
 
 def rotation(video: Column) -> Column:
     """Rotation of the first side data that has one, else the tag, else 0."""
-    side = F.get(F.filter(video["side_data_list"], lambda d: d["rotation"].isNotNull()), F.lit(0))["rotation"]
-    return F.coalesce(side, video["tags"]["rotate"].try_cast("int"), F.lit(0))
+    sides = video["side_data_list"]
+    side = F.when(F.size(sides) > 0, F.get(F.filter(sides, lambda d: d["rotation"].isNotNull()), F.lit(0))["rotation"])
+    # A cast that fails is dear, and one without a digit always does.
+    tag = F.when(F.rlike(video["tags"]["rotate"], F.lit("[0-9]")), video["tags"]["rotate"].try_cast("int"))
+    return F.coalesce(side, tag, F.lit(0))
 
 
 def display_size(width: Column, height: Column, turned: Column) -> Column:
@@ -44,7 +52,7 @@ def display_size(width: Column, height: Column, turned: Column) -> Column:
 
 def duration_ms(container: Column, video: Column) -> Column:
     """Container length, else the video stream's, else 0 (P5)."""
-    seconds = F.coalesce(filled(container), filled(video), F.lit("0")).try_cast("double")
+    seconds = F.coalesce(filled_field(container), filled_field(video), F.lit("0")).try_cast("double")
     return F.round(seconds * 1000).cast("bigint")
 
 

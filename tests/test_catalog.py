@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from cutlist.functions import media
 from cutlist.functions.briefs import brief_dimension, place_zones, replacement_rules
+from cutlist.functions.text import file_name, filled, filled_field, strip, strip_field
 from cutlist.functions.timekeys import day_key, filename_time, iso_instant, iso_wall_clock, known_zones, wall_clock
 from cutlist.operators.anchors import disjoint
 from cutlist.operators.catalog import (
+    bisected,
     build_clips,
     date_spans,
     dominant_fps,
@@ -192,6 +194,22 @@ def test_disjoint_intervals_equal_a_search():
             assert (firsts[at - 1] if at else -1) == min(holding, default=-1)
 
 
+def test_a_clip_converts_its_instant_once_a_zone(spark):
+    clips = spark.createDataFrame([(1, datetime(2024, 1, 1))], "project_id bigint, creation_utc timestamp_ntz")
+    placed = resolve_time_context(clips, time_contexts(spark.createDataFrame([brief()], BRIEF)))
+    plan = placed._jdf.queryExecution().optimizedPlan().toString()
+    # Once in the plan, and not in a step of the search.
+    assert plan.count("convert_timezone(") == 1
+    assert "convert_timezone(" not in plan[plan.index("aggregate(") :]
+
+
+def test_bisection_equals_a_search(spark):
+    rows = [([3 * i for i in range(n)], v) for n in (0, 1, 2, 3, 4, 7, 8, 9, 24) for v in range(-1, 3 * n + 2)]
+    df = spark.createDataFrame(rows, "rising array<bigint>, value bigint")
+    got = df.select("rising", "value", bisected(F.col("rising"), F.col("value")).alias("at")).collect()
+    assert [r["at"] for r in got] == [bisect_right(r["rising"], r["value"]) for r in got]
+
+
 def test_many_anchors_in_one_brief(spark):
     rng = random.Random(6)
     day = datetime(2024, 1, 1)
@@ -278,6 +296,28 @@ def test_clip_fields(spark):
     assert (e.width, e.has_audio) == (1080, False)
 
 
+def test_streams_are_found_without_filters(spark):
+    video = {"codec_type": "video", "width": 4, "height": 2}
+    streams = [None, [], [None, {}], [{"codec_type": "audio"}], [None, {"width": 1}, video, {**video, "width": 9}], [video, {"codec_type": "audio"}]]
+    df = probes(spark, [probe(f"/v/{i}.mp4", s) for i, s in enumerate(streams)])
+    fields = probe_fields(df)
+    assert {r.filename: (r.width, r.has_audio) for r in fields.collect()} == {"4.mp4": (4, False), "5.mp4": (4, True)}
+    assert sorted(r.path for r in rejected_probes(df).collect()) == [f"/v/{i}.mp4" for i in range(4)]
+    assert "filter(streams" not in fields._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_short_ways_equal_the_long_ones(spark):
+    texts = ["", " ", "a", " a", "a ", "a b", "é", "\xa0a", "a\u3000", "~", "\x7f", "\x1fa!", "été", "90", " 90 ", "+90", "-90", "9x", "none", ".", "90.0", "٣", None]
+    df = spark.createDataFrame([(t, ([], (t,))) for t in texts], "t string, video struct<side_data_list:array<struct<rotation:int>>,tags:struct<rotate:string>>")
+    t = F.col("t")
+    wrong = ~strip_field(t).eqNullSafe(strip(t)) | ~filled_field(t).eqNullSafe(filled(t))
+    wrong |= media.rotation(F.col("video")) != F.coalesce(t.try_cast("int"), F.lit(0))
+    assert df.filter(wrong).collect() == []
+    paths = ["", "a", "/", "a/", "/a/b.mp4", "//", None]
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    assert [r.n for r in df.select(file_name(F.col("p")).alias("n")).collect()] == [p and p.split("/")[-1] for p in paths]
+
+
 def test_probe_json_text(spark):
     text = '{"streams": [{"codec_type": "video", "width": 4, "height": 2, "avg_frame_rate": "25/1", "duration": "1"}], "format": {}}'
     df = spark.createDataFrame([(1, "/a.mp4", 5, text)], "project_id bigint, path string, length bigint, probe string")
